@@ -110,7 +110,7 @@ def redact_secrets(c: Column, secret: str | None = None) -> Column:
 
 def normalize_folder(c: Column) -> Column:
     """Forward slashes, no blank, ``.`` or ``..`` parts, at most 300 characters; null -> ``''``."""
-    parts = F.transform(F.split(F.replace(c, F.lit("\\"), F.lit("/")), "/"), strip_blank)
+    parts = F.transform(F.split(F.replace(c, F.lit("\\"), F.lit("/")), "/"), lambda p: strip_blank(p))
     kept = F.filter(parts, lambda p: ~p.isin("", ".", ".."))
     return F.coalesce(F.substring(F.array_join(kept, "/"), 1, FOLDER_LIMIT), F.lit(""))
 

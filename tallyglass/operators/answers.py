@@ -102,7 +102,7 @@ def markdown_blocks(answers: DataFrame, id_col: str = "answer_id", text: str = "
     bullets = F.forall("_l", lambda l: l.rlike(_BULLET))
     before = strip_blank(F.array_join(F.slice("_l", F.lit(1), F.greatest(F.col("_rule") - 1, F.lit(0))), "\n"), JS_BLANK)
     body = F.filter(F.slice("_l", F.col("_rule") + 2, F.size("_l")), lambda l: l.contains("|"))
-    grid = F.concat(F.array(_cells(F.get("_l", F.col("_rule") - 1))), F.transform(body, _cells))
+    grid = F.concat(F.array(_cells(F.get("_l", F.col("_rule") - 1))), F.transform(body, lambda line: _cells(line)))
     shaped = placed.select(
         id_col, "block", "_p", "_l",
         F.when(table, "table").when(bullets, "item").otherwise("paragraph").alias("kind"),

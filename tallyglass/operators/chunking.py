@@ -7,7 +7,7 @@ and packing sheet rows use the order operators, which stay parallel inside one h
 from __future__ import annotations
 
 import html.parser
-from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -46,16 +46,19 @@ def _cut_after(text: Column, separator: str) -> Column:
     return F.split(marked, _MARK, -1)
 
 
+def _cut_long(pieces: Column, size: int, cutter) -> Column:
+    """Keep pieces that fit, replace the others by their cuts."""
+    return F.flatten(F.transform(
+        pieces, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(cutter(p))
+    ))
+
+
 def _pieces(text: Column, size: int) -> Column:
     """Cut by the coarsest separator; what is still too long is cut by the next one, at last by length."""
     pieces = F.array(text)
     for separator in SEPARATORS:
-        pieces = F.flatten(F.transform(
-            pieces, lambda p, s=separator: F.when(F.length(p) <= size, F.array(p)).otherwise(_cut_after(p, s))
-        ))
-    return F.flatten(F.transform(
-        pieces, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(chunk_fixed(p, size, 0))
-    ))
+        pieces = _cut_long(pieces, size, partial(_cut_after, separator=separator))
+    return _cut_long(pieces, size, partial(chunk_fixed, size=size, overlap=0))
 
 
 def _overlap_tail(text: Column, overlap: int) -> Column:
@@ -106,7 +109,7 @@ _CUTTERS = {
 def cut(text: Column, strategy: str = "recursive", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Pieces of one unit, trimmed, blank ones dropped."""
     pieces = _CUTTERS[strategy](text, size, clamp_overlap(size, overlap))
-    return F.filter(F.transform(pieces, strip_blank), lambda p: p != "")
+    return F.filter(F.transform(pieces, lambda p: strip_blank(p)), lambda p: p != "")
 
 
 def chunk_units(units: DataFrame, strategy: str = "recursive", size: int = CHUNK_SIZE,

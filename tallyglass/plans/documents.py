@@ -1 +1,476 @@
-"""x"""
+"""Files, text units and chunks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyglass.functions import text
+from tallyglass.functions.text import JS_BLANK, PY_BLANK
+from tallyglass.operators import chunking as C
+from tallyglass.operators import files as L
+from tallyglass.operators import retrieval as R
+from tallyglass.operators import sheets as S
+from tallyglass.operators.ordered import running_sum
+from tallyglass.plans.base import query
+from tallyglass.plans.sheets import _UNITS_SQL, _cells
+from tallyglass.scale import scratch_path
+from tallyglass.sources import readers, writers
+
+# ---------------------------------------------------------------- text expressions
+
+
+def _strip_sql(c: str, blank: str = PY_BLANK) -> str:
+    return f"regexp_replace({c}, '^[{blank}]+|[{blank}]+$', '', 'g')"
+
+
+_DIRTY = "replace(replace(text, ' a', chr(9) || '  a'), chr(10), chr(10) || chr(10) || chr(10) || chr(10)) || '  '"
+
+
+@query("clean_text", f"""SELECT doc_id, md5({_strip_sql(
+    f"regexp_replace(regexp_replace({_DIRTY}, '[ \t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")}) AS digest
+FROM documents""")
+def _(t):
+    dirty = F.concat(F.replace(F.replace("text", F.lit(" a"), F.lit("\t  a")), F.lit("\n"), F.lit("\n\n\n\n")), F.lit("  \x00"))
+    return t.documents.select("doc_id", F.md5(text.clean_text(dirty)).alias("digest"))
+
+
+@query("normalize_folder", """SELECT page_id, array_to_string(list_filter(list_transform(string_split(replace(
+'\\' || regexp_replace(url, '^https?:/', '') || '/../ ./' || page_id || ' /', '\\', '/'), '/'), lambda p: trim(p)),
+lambda p: p NOT IN ('', '.', '..')), '/') AS folder FROM pages""")
+def _(t):
+    raw = F.concat(F.lit("\\"), F.regexp_replace("url", "^https?:/", ""), F.lit("/../ ./"), F.col("page_id").cast("string"), F.lit(" /"))
+    return t.pages.select("page_id", text.normalize_folder(raw).alias("folder"))
+
+
+@query("split_path", """SELECT page_id, regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder, regexp_extract(url, '([^/]*)$', 1) AS name
+FROM pages""")
+def _(t):
+    return t.pages.select("page_id", text.dirname(F.col("url")).alias("folder"), text.basename(F.col("url")).alias("name"))
+
+
+@query("attr_escape", """SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '"', '&quot;'), '<', '&lt;')) AS digest
+FROM pages""")
+def _(t):
+    return t.pages.select("page_id", F.md5(text.attr_escape(F.col("html"))).alias("digest"))
+
+
+@query("redact_secrets", """SELECT doc_id, md5(regexp_replace(replace(text || ' key sk-' || md5(text), source, '[redacted]'),
+'\\b(sk|AIza|gsk|xai)[-_A-Za-z0-9*]{8,}', '[redacted]', 'g')) AS digest,
+contains(text || ' key sk-' || md5(text), 'sk-') AS had_key FROM documents WHERE source = 'src1'""")
+def _(t):
+    keyed = F.concat("text", F.lit(" key sk-"), F.md5("text"))
+    docs = t.documents.where(F.col("source") == "src1")
+    return docs.select(
+        "doc_id", F.md5(text.redact_secrets(keyed, "src1")).alias("digest"), keyed.contains("sk-").alias("had_key"))
+
+
+@query("source_label", """SELECT l_orderkey, l_linenumber, l_partkey, 'Orders/' || l_suppkey || '.xlsx' || CASE
+WHEN l_returnflag = 'A' THEN ', sheet "' || l_linestatus || '", ' || CASE WHEN l_tax = 0 THEN 'row ' || l_linenumber
+  ELSE 'rows ' || l_linenumber || '-' || (l_linenumber + 3) END
+WHEN l_returnflag = 'N' AND l_discount > 0 THEN ', page ' || CAST(round(l_discount * 100) AS INT)
+WHEN l_linestatus = 'F' THEN ', section "F"' ELSE '' END AS label FROM lineitem""")
+def _(t):
+    flag, line = F.col("l_returnflag"), F.col("l_linenumber")
+    name = F.concat(F.col("l_suppkey").cast("string"), F.lit(".xlsx"))
+    sheet = F.when(flag == "A", F.col("l_linestatus"))
+    page = F.when(flag == "N", F.round(F.col("l_discount") * 100).cast("int"))
+    section = F.when(F.col("l_linestatus") == "F", "F").otherwise("")
+    last = F.when(F.col("l_tax") == 0, line).otherwise(line + 3)
+    label = text.source_label(F.lit("Orders"), name, sheet, line, last, page, section)
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", label.alias("label"))
+
+
+# ---------------------------------------------------------------- listings
+
+_LISTED_SQL = """listed AS (SELECT source AS zip, doc_id AS pos, n_chars * 2000 AS size, CASE doc_id % 9
+  WHEN 0 THEN lang || '/' || doc_id || '.PDF' WHEN 1 THEN lang || '\\deep\\' || doc_id || '.docx'
+  WHEN 2 THEN '__MACOSX/' || doc_id || '.pdf' WHEN 3 THEN lang || '/.' || doc_id || '.pdf'
+  WHEN 4 THEN lang || '/~$' || doc_id || '.docx' WHEN 5 THEN lang || '/' || doc_id || '.txt'
+  WHEN 6 THEN lang || '/' WHEN 7 THEN lang || '/ . /' || doc_id || '.xlsm' ELSE 'en/' || doc_id || '.xlsx' END AS path
+  FROM documents)"""
+
+
+def _listed(t):
+    """A zip per source whose entries are its documents under paths of every awkward kind."""
+    n, lang = F.col("doc_id").cast("string"), F.col("lang")
+    shapes = {
+        0: F.concat(lang, F.lit("/"), n, F.lit(".PDF")), 1: F.concat(lang, F.lit("\\deep\\"), n, F.lit(".docx")),
+        2: F.concat(F.lit("__MACOSX/"), n, F.lit(".pdf")), 3: F.concat(lang, F.lit("/."), n, F.lit(".pdf")),
+        4: F.concat(lang, F.lit("/~$"), n, F.lit(".docx")), 5: F.concat(lang, F.lit("/"), n, F.lit(".txt")),
+        6: F.concat(lang, F.lit("/")), 7: F.concat(lang, F.lit("/ . /"), n, F.lit(".xlsm")),
+    }
+    path = F.concat(F.lit("en/"), n, F.lit(".xlsx"))
+    for k, shape in shapes.items():
+        path = F.when(F.col("doc_id") % 9 == k, shape).otherwise(path)
+    return t.documents.select(
+        F.col("source").alias("zip"), F.col("doc_id").alias("pos"), (F.col("n_chars") * 2000).alias("size"),
+        path.alias("path"))
+
+
+@query("supported_file", f"""WITH {_LISTED_SQL}, n AS (SELECT *, regexp_extract(replace(path, '\\', '/'), '([^/]*)$', 1) AS name FROM listed)
+SELECT pos, name, CASE WHEN NOT regexp_matches(lower(name), '\\.(pdf|docx|xlsx|xlsm)$') THEN 'unsupported file type'
+  WHEN size > 5 * 1024 * 1024 THEN 'larger than 5 MB' END AS reason FROM n
+WHERE NOT (name LIKE '.%' OR name LIKE '~$%')""")
+def _(t):
+    named = _listed(t).withColumn("name", text.basename(F.replace("path", F.lit("\\"), F.lit("/"))))
+    return L.supported_file(named, 5).select("pos", "name", "reason")
+
+
+@query("archive_entries", f"""WITH {_LISTED_SQL},
+p AS (SELECT zip, pos, size, replace(path, '\\', '/') AS path FROM listed),
+n AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS name FROM p),
+k AS (SELECT *, CASE WHEN NOT regexp_matches(lower(name), '\\.(pdf|docx|xlsx|xlsm)$') THEN 'unsupported file type'
+  WHEN size > 20 * 1024 * 1024 THEN 'larger than 20 MB' END AS reason FROM n
+  WHERE name <> '' AND path NOT LIKE '\\_\\_MACOSX/%' ESCAPE '\\' AND NOT (name LIKE '.%' OR name LIKE '~$%')),
+r AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY zip, reason IS NULL ORDER BY pos) END AS rn FROM k),
+f AS (SELECT zip, sum(size) AS total, count(DISTINCT split_part(path, '/', 1)) = 1 AND bool_and(contains(path, '/')) AS one_top
+  FROM r WHERE rn <= 10 GROUP BY 1),
+j AS (SELECT r.*, f.total, f.one_top FROM r LEFT JOIN f ON f.zip = r.zip),
+o AS (SELECT zip, path, name, array_to_string(list_filter(list_transform(string_split(CASE WHEN one_top THEN '' ELSE zip || '/' END
+    || regexp_extract(path, '^(.*)/[^/]*$', 1), '/'), lambda x: trim(x)), lambda x: x NOT IN ('', '.', '..')), '/') AS folder,
+  CASE WHEN total > 40 * 1024 * 1024 THEN 'zip expands to more than 40 MB' WHEN reason IS NOT NULL THEN reason
+    WHEN rn > 10 THEN 'file limit reached' END AS reason FROM j)
+SELECT *, CASE WHEN reason IS NULL THEN 'ready' ELSE 'failed' END AS status FROM o""")
+def _(t):
+    return L.archive_entries(_listed(t), max_files=10, max_file_mb=20, max_total_mb=40)
+
+
+_FILES_SQL = """files AS (SELECT o_custkey AS session, o_orderkey AS pos, 1 + CAST(floor(o_totalprice / 4000) AS INT) AS pages FROM orders)"""
+
+
+@query("file_quota", f"""WITH RECURSIVE {_FILES_SQL},
+o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY pos) AS rn FROM files),
+r AS (
+  SELECT session, pos, rn, pages, CASE WHEN pages <= 200 THEN 1 ELSE 0 END AS n, CASE WHEN pages <= 200 THEN pages ELSE 0 END AS total,
+    CASE WHEN pages <= 200 THEN 'ready' ELSE 'page limit reached' END AS verdict FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.session, o.pos, o.rn, o.pages, CASE WHEN r.n < 6 AND r.total + o.pages <= 200 THEN r.n + 1 ELSE r.n END,
+    CASE WHEN r.n < 6 AND r.total + o.pages <= 200 THEN r.total + o.pages ELSE r.total END,
+    CASE WHEN r.n >= 6 THEN 'file limit reached' WHEN r.total + o.pages > 200 THEN 'page limit reached' ELSE 'ready' END
+  FROM r JOIN o ON o.session = r.session AND o.rn = r.rn + 1)
+SELECT session, pos, pages AS page_equivalent, verdict FROM r""")
+def _(t):
+    pages = 1 + F.floor(F.col("o_totalprice") / 4000).cast("int")
+    files = t.orders.select(
+        F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("pos"), pages.alias("page_equivalent"))
+    return L.file_quota(files, "session", "pos", max_files=6, max_pages=200)
+
+
+@query("file_limit", """SELECT o_custkey AS session, o_orderkey AS pos, CASE WHEN row_number() OVER (
+PARTITION BY o_custkey ORDER BY o_orderkey) > 5 THEN 'file limit reached (5)' END AS reason FROM orders""")
+def _(t):
+    files = t.orders.select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("pos"))
+    return L.file_limit(files, "session", "pos", 5)
+
+
+_STATUS_SQL = """SELECT CASE WHEN n_chars >= 200 THEN doc_id END AS file_id, source || '-' || doc_id || '.docx' AS name,
+lang AS folder, CASE WHEN n_chars >= 200 THEN n_chars // 3000 END AS pages, CASE WHEN n_chars < 200 THEN 0 ELSE n_chars // 900 END AS chunks,
+CASE WHEN n_chars < 200 THEN 'failed' ELSE 'ready' END AS status,
+CASE WHEN n_chars < 200 THEN 'no extractable text' END AS error FROM documents"""
+
+
+def _status(t):
+    n = F.col("n_chars")
+    per = lambda d: F.floor(n / d).cast("bigint")
+    return t.documents.select(*L.file_result(
+        F.concat("source", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".docx")), F.col("lang"), F.col("doc_id"),
+        per(3000), per(900), F.when(n < 200, "no extractable text")))
+
+
+@query("file_result", _STATUS_SQL)
+def _(t):
+    return _status(t)
+
+
+@query("union_status", f"SELECT name, folder, status, error FROM ({_STATUS_SQL})")
+def _(t):
+    both = _status(t)
+    ready = both.where(F.col("error").isNull()).select("name", "folder")
+    failed = both.where(F.col("error").isNotNull()).select("name", "folder", "error")
+    return L.union_status(ready, failed)
+
+
+@query("folder_groups", f"""SELECT name, status, coalesce(nullif(folder, 'en'), '') AS folder,
+CASE WHEN folder = 'en' THEN 'Top level' ELSE folder || '/' END AS caption FROM ({_STATUS_SQL})""")
+def _(t):
+    files = _status(t).select("name", "status", F.when(F.col("folder") != "en", F.col("folder")).alias("folder"))
+    return L.folder_groups(files)
+
+
+@query("missing_files", """SELECT o_custkey AS name, o_orderpriority AS folder FROM orders o WHERE NOT EXISTS (
+SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""")
+def _(t):
+    manifest = t.orders.select("o_orderkey", F.col("o_custkey").alias("name"), F.col("o_orderpriority").alias("folder"))
+    keyed = manifest.withColumn("folder", F.col("o_orderkey")).withColumn("name", F.lit("order"))
+    indexed = t.lineitem.select(F.col("l_orderkey").alias("folder"), F.lit("order").alias("name"))
+    left = L.missing_files(keyed, indexed).select("o_orderkey")
+    return manifest.join(left, "o_orderkey", "left_semi").drop("o_orderkey")
+
+
+@query("chart_catalog", """SELECT s_suppkey AS pos, '- file "' || s_name || '" (folder "' || n_name || '", path "' || n_name || '/' || s_name
+|| '"): ' || CASE WHEN s_suppkey % 3 = 0 THEN 'spreadsheet, ' || k || ' sheet(s)' WHEN s_suppkey % 3 = 1 THEN 'PDF, ' || k || ' pages'
+ELSE 'Word document, ' || k || ' section(s)' END AS line FROM (
+SELECT s_suppkey, s_name, n_name, count(*) AS k FROM supplier JOIN nation ON n_nationkey = s_nationkey
+JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL ORDER BY s_suppkey LIMIT 60)""")
+def _(t):
+    counts = t.lineitem.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("k"))
+    named = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(counts, "s_suppkey")
+    kind = F.col("s_suppkey") % 3
+    zero = F.lit(0).cast("bigint")
+    return L.document_catalog(named.select(
+        F.col("s_suppkey").alias("pos"), F.col("s_name").alias("name"), F.col("n_name").alias("folder"),
+        F.when(kind == 0, F.col("k")).otherwise(zero).alias("sheets"),
+        F.when(kind == 1, F.col("k")).otherwise(zero).alias("pages"), F.col("k").alias("units")))
+
+
+_SHEETS_SQL = _UNITS_SQL + """,
+numbered AS (SELECT *, row_number() OVER (ORDER BY file_id, sheet) AS pos FROM head),
+counted AS (SELECT n.pos, n.file_id, n.sheet, n.header_row, count(u.row) AS rows FROM numbered n
+  LEFT JOIN sheet_units u ON u.file_id = n.file_id AND u.sheet = n.sheet GROUP BY ALL)"""
+
+
+@query("catalog_limit", f"""WITH {_SHEETS_SQL}
+SELECT pos, '- file "' || file_id || '" (folder "", path "' || file_id || '"), sheet "' || sheet || '", ' || rows ||
+  ' data rows, columns: ' || (SELECT string_agg('"' || header || '"', ', ' ORDER BY h.col) FROM headers h
+    WHERE h.file_id = c.file_id AND h.sheet = c.sheet) AS line FROM counted c ORDER BY pos LIMIT 40""")
+def _(t):
+    from pyspark.sql import Window
+
+    cells = _cells(t)
+    headers, keys = S.header_infer(cells), ["file_id", "sheet"]
+    rows = S.sheet_units(cells).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    # One row per sheet of the workbooks: their order is the list's order.
+    listed = headers.select(*keys).distinct().join(rows, keys, "left").fillna(0, ["rows"])
+    placed = listed.withColumn("pos", F.row_number().over(Window.orderBy(*keys)).cast("bigint"))
+    sheets = placed.select("pos", F.col("file_id").alias("name"), F.lit("").alias("folder"), "sheet", "rows")
+    return L.sheet_catalog(sheets, headers.join(placed.select("pos", *keys), keys).select("pos", "col", "header"))
+
+
+@query("list_files")
+def _(t):
+    return readers.list_files(t.spark, t.sf_dir)
+
+
+# ---------------------------------------------------------------- chunks
+
+
+def _numbered(pieces: str) -> str:
+    """SQL over pieces(file_id, unit_pos, k, text): drop blank ones and number the rest within each file."""
+    return f"""SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY unit_pos, k) - 1 AS chunk_index, unit_pos,
+  section, text FROM (SELECT file_id, unit_pos, section, k, {_strip_sql('text')} AS text FROM {pieces}) WHERE text <> ''"""
+
+
+def _fixed_sql(size: int, overlap: int) -> str:
+    return f"""SELECT source AS file_id, doc_id AS unit_pos, lang AS section, i AS k, substring(text, i + 1, {size}) AS text
+  FROM documents, unnest(range(0, greatest(length(text) - {overlap}, 1), {max(1, size - overlap)})) u(i)"""
+
+
+@query("chunk_fixed", f"WITH p AS ({_fixed_sql(400, 60)}) {_numbered('p')}")
+def _(t):
+    return C.chunk_units(t.units(), "fixed", 400, 60)
+
+
+@query("chunk_by_page", f"""WITH f AS ({_fixed_sql(1000, 100)}), p AS (
+SELECT f.* FROM f JOIN documents d ON d.doc_id = f.unit_pos WHERE length(d.text) > 1000
+UNION ALL SELECT source, doc_id, lang, 0, text FROM documents WHERE length(text) <= 1000) {_numbered('p')}""")
+def _(t):
+    return C.chunk_units(t.units(), "by_page", 500, 100)
+
+
+def _recursive_sql(source: str, size: int, overlap: int) -> str:
+    """Chunks of rows (id, text): pieces cut by length of the running total, one recursion step per chunk."""
+    cut = "[text]"
+    for sep in ("chr(10) || chr(10)", "chr(10)", "'. '", "' '"):
+        cut = (f"flatten(list_transform({cut}, lambda p: CASE WHEN length(p) <= {size} THEN [p] ELSE "
+               f"list_transform(string_split(replace(p, {sep}, {sep} || chr(1)), chr(1)), lambda q: q) END))")
+    cut = (f"flatten(list_transform({cut}, lambda p: CASE WHEN length(p) <= {size} THEN [p] ELSE "
+           f"list_transform(range(0, length(p), {size}), lambda i: substring(p, i + 1, {size})) END))")
+    tail = f"""CASE WHEN contains(right(chunk, {overlap}), ' ') THEN regexp_replace(right(chunk, {overlap}), '^[^ ]* ', '')
+      ELSE right(chunk, {overlap}) END"""
+    return f"""
+cut AS MATERIALIZED (SELECT id, text, {cut} AS pieces FROM {source}),
+piece AS MATERIALIZED (SELECT id, k, sum(n) OVER (PARTITION BY id ORDER BY k) AS cum FROM (
+  SELECT id, unnest(range(1, len(pieces) + 1)) AS k, unnest(list_transform(pieces, lambda p: length(p))) AS n FROM cut)),
+walk AS MATERIALIZED (SELECT c.id, c.text, list(p.cum ORDER BY p.k) AS cums FROM cut c JOIN piece p ON p.id = c.id GROUP BY 1, 2),
+r AS (
+  SELECT id, 0 AS n, 0::BIGINT AS used, 0::BIGINT AS done, '' AS chunk FROM walk
+  UNION ALL
+  SELECT id, n + 1, upto, CAST(cums[upto] AS BIGINT), tail || substring(text, done + 1, CAST(cums[upto] AS BIGINT) - done)
+  FROM (SELECT w.id, w.text, w.cums, r.n, r.done, r.tail, greatest(r.used + 1,
+      len(list_filter(w.cums, lambda c: c - r.done + length(r.tail) <= {size}))) AS upto
+    FROM (SELECT *, {tail} AS tail FROM r) r JOIN walk w ON w.id = r.id WHERE r.used < len(w.cums))),
+chunked AS (SELECT id, n AS k, chunk AS text FROM r WHERE n > 0)"""
+
+
+@query("chunk_recursive", f"""WITH RECURSIVE {_recursive_sql('(SELECT doc_id AS id, text FROM documents)', 300, 60)},
+p AS (SELECT d.source AS file_id, c.id AS unit_pos, d.lang AS section, c.k, c.text FROM chunked c JOIN documents d ON d.doc_id = c.id)
+{_numbered('p')}""")
+def _(t):
+    return C.chunk_units(t.units(), "recursive", 300, 60)
+
+
+@query("chunk_by_paragraph", f"""WITH RECURSIVE paras AS (
+  SELECT doc_id, unnest(range(len(x))) AS j, unnest(x) AS text FROM (
+    SELECT doc_id, regexp_split_to_array(replace(text, '.' || chr(10), '.' || chr(10) || '  ' || chr(10)), '\\n[{PY_BLANK}]*\\n') AS x
+    FROM documents)),
+{_recursive_sql("(SELECT doc_id || '/' || j AS id, text FROM paras WHERE length(text) > 300)", 300, 60)},
+all_pieces AS (SELECT doc_id, j, 0 AS k, text FROM paras WHERE length(text) <= 300
+  UNION ALL SELECT split_part(id, '/', 1)::BIGINT, split_part(id, '/', 2)::BIGINT, k, text FROM chunked),
+p AS (SELECT d.source AS file_id, a.doc_id AS unit_pos, d.lang AS section, a.j * 100000 + a.k AS k, a.text
+  FROM all_pieces a JOIN documents d ON d.doc_id = a.doc_id) {_numbered('p')}""")
+def _(t):
+    units = t.units().withColumn("text", F.replace("text", F.lit(".\n"), F.lit(".\n  \n")))
+    return C.chunk_units(units, "by_paragraph", 300, 60)
+
+
+@query("chunk_index", """SELECT source AS file_id, doc_id AS unit_pos, coalesce(CAST(sum(1 + n_chars // 500) OVER (
+PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS first_index
+FROM documents""")
+def _(t):
+    units = t.documents.select(F.col("source").alias("file_id"), F.col("doc_id").alias("unit_pos"), "n_chars")
+    pieces = 1 + F.floor(F.col("n_chars") / 500)
+    return running_sum(units, ["file_id"], "unit_pos", pieces, "first_index", block=64).drop("n_chars")
+
+
+@query("reindex", f"WITH p AS ({_fixed_sql(300, 100)}), n AS ({_numbered('p')}) "
+       "SELECT *, 'fixed' AS chunk_strategy, 300 AS chunk_size, 100 AS chunk_overlap FROM n")
+def _(t):
+    return C.reindex(t.units(), "fixed", 300, 100)
+
+
+@query("context_chars", f"""WITH p AS ({_fixed_sql(400, 60)}), n AS ({_numbered('p')}),
+s AS (SELECT CAST(sum(length(text)) AS BIGINT) AS total_chars FROM n)
+SELECT *, CASE WHEN total_chars <= 150000 THEN 'full' ELSE 'passages' END AS mode FROM s""")
+def _(t):
+    return S.context_chars(C.chunk_units(t.units(), "fixed", 400, 60))
+
+
+_ROWS_SQL = """rows AS (SELECT p_type AS file_id, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT) * 1000000000 + p_partkey AS unit_pos,
+  p_brand AS sheet, p_partkey AS row, 'Name: ' || p_name || '; Size: ' || p_size AS text FROM part)"""
+
+
+@query("pack_rows", f"""WITH RECURSIVE {_ROWS_SQL},
+o AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY unit_pos) AS rn FROM rows),
+r AS (
+  SELECT file_id, rn, sheet, length(text) + 1 AS used, 0::BIGINT AS chunk_index FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.file_id, o.rn, o.sheet, CASE WHEN o.sheet <> r.sheet OR r.used + length(o.text) > 200 THEN length(o.text) + 1
+      ELSE r.used + length(o.text) + 1 END,
+    CASE WHEN o.sheet <> r.sheet OR r.used + length(o.text) > 200 THEN r.chunk_index + 1 ELSE r.chunk_index END
+  FROM r JOIN o ON o.file_id = r.file_id AND o.rn = r.rn + 1)
+SELECT r.file_id, r.chunk_index, max(r.sheet) AS sheet, min(o.row) AS row_start, max(o.row) AS row_end,
+  'Sheet ' || max(r.sheet) || ':' || chr(10) || string_agg(o.text, chr(10) ORDER BY o.rn) AS text
+FROM r JOIN o ON o.file_id = r.file_id AND o.rn = r.rn GROUP BY 1, 2""")
+def _(t):
+    brand = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("bigint")
+    rows = t.part.select(
+        F.col("p_type").alias("file_id"), (brand * 1_000_000_000 + F.col("p_partkey")).alias("unit_pos"),
+        F.col("p_brand").alias("sheet"), F.col("p_partkey").alias("row"),
+        F.concat(F.lit("Name: "), "p_name", F.lit("; Size: "), F.col("p_size").cast("string")).alias("text"))
+    return C.pack_rows(rows, 200)
+
+
+@query("html_sections", f"""
+WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '<article>((?s).*)</article>', 1), '<p><b>([^<]*)<br>',
+  '<h2>\\1</h2>', 'g') AS body FROM pages),
+s AS (SELECT page_id, unnest(range(1, len(x))) AS unit_pos, unnest(x[2:]) AS part FROM (
+  SELECT page_id, regexp_split_to_array(body, '<h[12]>') AS x FROM a)),
+u AS (SELECT page_id, unit_pos, replace(replace(trim(split_part(part, '</h', 1)), '&quot;', '"'), '&amp;', '&') AS section,
+  list_filter(list_transform(regexp_split_to_array(regexp_replace(part, '^[^<]*</h[12]>', ''), '</?p>'),
+    lambda p: {_strip_sql('p')}), lambda p: p <> '') AS ps FROM s)
+SELECT page_id, unit_pos::INT AS unit_pos, left(section, 120) AS section, regexp_replace(regexp_replace(replace(replace(
+  array_to_string(ps, chr(10) || chr(10)), '&quot;', '"'), '&amp;', '&'), '[ \t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')
+  AS text FROM u WHERE len(ps) > 0""")
+def _(t):
+    # The article of each page; its bold leads become headings of their own.
+    article = F.regexp_extract("html", "(?s)<article>(.*)</article>", 1)
+    body = F.regexp_replace(article, "<p><b>([^<]*)<br>", "<h2>$1</h2>")
+    return C.html_sections(t.pages.select("page_id", body.alias("html")))
+
+
+# ---------------------------------------------------------------- index upkeep and snapshots
+
+_CHUNKS_SQL = f"p AS ({_fixed_sql(400, 60)}), chunks AS ({_numbered('p')})"
+
+
+@query("remove_file", f"""WITH {_CHUNKS_SQL} SELECT * FROM chunks WHERE file_id NOT IN (
+SELECT source FROM documents GROUP BY 1 HAVING max(n_chars) > 8000)""")
+def _(t):
+    big = t.documents.groupBy(F.col("source").alias("file_id")).agg(F.max("n_chars").alias("m")).where("m > 8000")
+    return R.remove_file(C.chunk_units(t.units(), "fixed", 400, 60), big)
+
+
+@query("accumulate_index", """SELECT doc_id AS file_id, n_chars, NULL::VARCHAR AS url FROM documents
+UNION ALL SELECT page_id, length(html), url FROM pages""")
+def _(t):
+    index = t.documents.select(F.col("doc_id").alias("file_id"), "n_chars")
+    added = t.pages.select(F.col("page_id").alias("file_id"), F.length("html").cast("bigint").alias("n_chars"), "url")
+    return R.accumulate_index(index, added)
+
+
+@query("save_index", f"""WITH {_CHUNKS_SQL} SELECT file_id, chunk_index, unit_pos, text, section AS workspace FROM chunks""")
+def _(t):
+    path = scratch_path(t.spark, "index")
+    chunks = C.chunk_units(t.units(), "fixed", 400, 60)
+    writers.save_index(chunks.drop("section"), path, None) if "workspace" in chunks.columns else writers.save_index(
+        chunks.withColumnRenamed("section", "workspace"), path)
+    return writers.load_index(t.spark, path)
+
+
+@query("write_manifest", """SELECT (s_suppkey)::INT AS pos, s_name AS name, n_name AS folder FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
+def _(t):
+    # Suppliers as the files of a sample pack, regions as its questions; written and read back.
+    files = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").alias("pos"), F.col("s_name").alias("name"), F.col("n_name").alias("folder"))
+    questions = t.region.select(
+        F.col("r_regionkey").alias("pos"), F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("text"))
+    path = scratch_path(t.spark, "manifest")
+    writers.write_manifest(files, questions, path, "suppliers", "from tables")
+    return readers.read_manifest(t.spark, path)[0].select("pos", "name", "folder")
+
+
+@query("read_symbols", "SELECT p_partkey AS pos, p_name || ' ' || p_partkey AS name, p_brand AS symbol FROM part")
+def _(t):
+    # The symbol list as one landed JSON document in list order.
+    entry = F.struct(
+        F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"), F.col("p_brand").alias("symbol"))
+    listed = t.part.agg(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))).alias("l"))
+    path = scratch_path(t.spark, "symbols")
+    listed.select(F.to_json(F.transform("l", lambda x: x["e"])).alias("value")).write.text(path)
+    return readers.read_symbols(t.spark, path)
+
+
+@query("read_lexicon", """WITH n AS (SELECT DISTINCT n_name AS token, n_regionkey - 2.5 AS valence FROM nation)
+SELECT token, valence::DOUBLE AS valence FROM n""")
+def _(t):
+    pairs = t.nation.select("n_name", (F.col("n_regionkey") - 2.5).cast("double").alias("v")).distinct()
+    whole = pairs.agg(F.map_from_entries(F.collect_list(F.struct("n_name", "v"))).alias("m"))
+    path = scratch_path(t.spark, "lexicon")
+    whole.select(F.to_json("m").alias("value")).write.text(path)
+    return readers.read_lexicon(t.spark, path)
+
+
+@query("read_feed_xml", """SELECT (rn - 1)::INT AS pos, CASE WHEN p_size > 25 THEN p_name || ' - Wire' ELSE p_name END AS title,
+CASE WHEN p_size > 25 THEN p_brand ELSE 'Wire' END AS source, CASE WHEN p_size % 5 = 0 THEN '#' ELSE 'https://x.example.com/' || p_partkey END AS link,
+'Fri, 05 Jan 2024 10:00:00 GMT' AS pub_date FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS rn FROM part)
+WHERE rn <= 12""")
+def _(t):
+    # An RSS file per part type, items in part order.
+    tag = lambda name, v: F.concat(F.lit(f"<{name}>"), v, F.lit(f"</{name}>"))
+    size = F.col("p_size")
+    item = F.concat(
+        F.lit("<item>"), tag("title", F.concat("p_name", F.lit(" - Wire"))),
+        F.when(size % 5 == 0, "").otherwise(tag("link", F.concat(F.lit("https://x.example.com/"), F.col("p_partkey").cast("string")))),
+        tag("pubDate", F.lit("Fri, 05 Jan 2024 10:00:00 GMT")),
+        F.when(size > 25, F.concat(F.lit('<source url="https://w.example.com">'), "p_brand", F.lit("</source>"))).otherwise(""),
+        F.lit("</item>"))
+    # A sender lists at most a page of items.
+    from tallyglass.operators.ordered import first_per_key
+
+    sent = first_per_key(t.part.select("p_type", "p_partkey", item.alias("i")), ["p_type"], [F.col("p_partkey")], 20)
+    feeds = sent.groupBy("p_type").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("p_partkey", "i"))), lambda x: x["i"]), "\n").alias("items"))
+    path = scratch_path(t.spark, "feeds")
+    rss = F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>"))
+    feeds.select("p_type", rss.alias("value")).repartition("p_type").write.partitionBy("p_type").text(path)
+    return readers.read_feed_xml(t.spark, f"{path}/*/*").drop("feed")

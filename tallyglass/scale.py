@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,16 +22,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if small else df
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint, so later passes see the very same partitions.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is named
-    (tests on one machine) a temporary folder is used.
-    """
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one where none is named (tests)."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyglass-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def scratch_path(spark, name: str) -> str:
+    """A fresh path for a written table in the shared folder."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a reliable checkpoint, so later passes see the very same partitions."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

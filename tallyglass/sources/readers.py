@@ -25,7 +25,7 @@ def read_feed_json(spark: SparkSession, path: str) -> DataFrame:
 
     The first twelve items in feed order; a feed that is not ``ok`` gives one error row.
     """
-    text = spark.read.text(path, wholetext=True).select(basename(F.input_file_name()).alias("feed"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("feed"), "value")
     return parse_feed_json(text)
 
 
@@ -49,7 +49,7 @@ def read_feed_xml(spark: SparkSession, path: str) -> DataFrame:
     schema = "title string, link string, pubDate string, source struct<_VALUE:string,_url:string>"
     items = (
         spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
-        .select("*", basename(F.col("_metadata.file_path")).alias("feed"),
+        .select("*", F.col("_metadata.file_path").alias("feed"),
                 F.monotonically_increasing_id().alias("_at"))
     )
     first = first_per_key(items, ["feed"], [F.col("_at")], FEED_ITEMS, "_n")
