@@ -58,14 +58,14 @@ def _pair_schema(vectors: DataFrame, id_col: str, queries: DataFrame, query_col:
         T.StructField(query_col, queries.schema[query_col].dataType),
         T.StructField(id_col, vectors.schema[id_col].dataType),
         T.StructField("score", T.DoubleType()),
-        T.StructField("embedding", T.ArrayType(T.FloatType())),
+        vectors.schema["embedding"],
     ])
 
 
 def _pairs(vectors: DataFrame, queries: DataFrame, id_col: str, query_col: str, threshold: float,
            k: int | None, max_query_rows: int, block_rows: int) -> DataFrame:
-    vectors = vectors.select(id_col, F.col("embedding").cast("array<float>").alias("embedding"))
-    queries = queries.select(query_col, F.col("embedding").cast("array<float>").alias("embedding"))
+    vectors = vectors.select(id_col, "embedding")
+    queries = queries.select(query_col, F.col("embedding").cast("array<double>").alias("embedding"))
     schema = _pair_schema(vectors, id_col, queries, query_col)
     few = queries.limit(max_query_rows + 1).toArrow()
     if few.num_rows <= max_query_rows:
