@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyglass.functions.text import JS_BLANK, strip_blank
+from tallyglass.functions.text import JS_BLANK_CHARS, strip_blank
 
 IST = "+05:30"
 
@@ -20,7 +20,7 @@ def ist_date_of_seconds(seconds: Column) -> Column:
 
 def parse_published(text: Column) -> Column:
     """A feed's date text as an instant.  A bare ``yyyy-MM-dd HH:mm:ss`` is UTC; unreadable -> null."""
-    text = strip_blank(text, JS_BLANK)
+    text = strip_blank(text, JS_BLANK_CHARS)
     mail = F.regexp_replace(text, r"^[A-Za-z]{3},\s*", "")
     return F.coalesce(
         F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")),

@@ -9,7 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Characters that count as blank, written as regular-expression ranges.
+# Characters that count as blank in the page and in the service, as text and as regex ranges.
+JS_BLANK_CHARS = (
+    "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003"
+    "\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+PY_BLANK_CHARS = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000"
+    "\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 JS_BLANK = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 PY_BLANK = r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -20,9 +28,14 @@ FOLDER_LIMIT = 300
 SECTION_LIMIT = 120
 
 
-def strip_blank(c: Column, blank: str = PY_BLANK) -> Column:
-    """Trim every Unicode blank, not only spaces."""
-    return F.regexp_replace(c, f"^[{blank}]+|[{blank}]+$", "")
+def strip_blank(c: Column, blank: str = PY_BLANK_CHARS) -> Column:
+    """Trim every Unicode blank, not only spaces.  Looks at the ends only, unlike a pattern."""
+    return F.trim(c, F.lit(blank))
+
+
+def even_blanks(c: Column, blank: str = JS_BLANK_CHARS) -> Column:
+    """Every blank becomes a space, so later patterns test one character instead of a list of ranges."""
+    return F.translate(c, blank, " " * len(blank))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -73,14 +86,14 @@ def cell_text(text: Column | None = None, number: Column | None = None, stamp: C
 
 def to_number(c: Column) -> Column:
     """A number written as text, currency signs, thousands commas and ``%`` dropped; else null."""
-    bare = F.regexp_replace(c, f"[,₹$€£%{JS_BLANK}]", "")
+    bare = F.translate(c, ",₹$€£%" + JS_BLANK_CHARS, "")
     value = F.when(bare.rlike(r"(?i)^[-+]?[0-9]*\.?[0-9]+(e[-+]?[0-9]+)?$"), bare.try_cast("double"))
     return F.when(F.abs(value) < float("inf"), value)
 
 
 def same_key(c: Column) -> Column:
     """The form under which two labels count as the same: trimmed, lower case, null as empty."""
-    return F.lower(strip_blank(F.coalesce(c.cast("string"), F.lit("")), JS_BLANK))
+    return F.lower(strip_blank(F.coalesce(c.cast("string"), F.lit("")), JS_BLANK_CHARS))
 
 
 def same_text(a: Column, b: Column) -> Column:
@@ -88,11 +101,11 @@ def same_text(a: Column, b: Column) -> Column:
 
 
 def count_words(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"[^{JS_BLANK}]+"))
+    return F.regexp_count(even_blanks(c), F.lit("[^ ]+"))
 
 
 def count_chars(c: Column) -> Column:
-    return F.length(strip_blank(F.regexp_replace(c, f"[{JS_BLANK}]+", " "), JS_BLANK))
+    return F.length(F.trim(F.regexp_replace(even_blanks(c), " +", " ")))
 
 
 def attr_escape(c: Column) -> Column:
@@ -132,7 +145,7 @@ def strip_source(title: Column) -> tuple[Column, Column]:
     has_dash = title.contains(" - ")
     head = F.when(has_dash, F.regexp_extract(title, r"(?s)^(.*) - (.*)$", 1)).otherwise(title)
     tail = F.when(has_dash, F.regexp_extract(title, r"(?s)^(.*) - (.*)$", 2)).otherwise(F.lit(""))
-    return strip_blank(head, JS_BLANK), strip_blank(tail, JS_BLANK)
+    return strip_blank(head, JS_BLANK_CHARS), strip_blank(tail, JS_BLANK_CHARS)
 
 
 def strip_source_tagged(title: Column, tag: Column) -> tuple[Column, Column]:
@@ -140,8 +153,8 @@ def strip_source_tagged(title: Column, tag: Column) -> tuple[Column, Column]:
     head, tail = strip_source(title)
     tagged = F.coalesce(tag, F.lit("")) != ""
     return (
-        F.when(tagged, strip_blank(title, JS_BLANK)).otherwise(head),
-        F.when(tagged, strip_blank(tag, JS_BLANK)).otherwise(tail),
+        F.when(tagged, strip_blank(title, JS_BLANK_CHARS)).otherwise(head),
+        F.when(tagged, strip_blank(tag, JS_BLANK_CHARS)).otherwise(tail),
     )
 
 
@@ -207,7 +220,7 @@ def source_label(folder: Column, name: Column, sheet: Column, row_start: Column,
 
 def is_not_found(reply: Column) -> Column:
     """The whole reply is the not-found sentence, whatever its quotes, case or closing dots."""
-    plain = F.translate(strip_blank(reply, JS_BLANK), "‘’", "''")
+    plain = F.translate(strip_blank(reply, JS_BLANK_CHARS), "‘’", "''")
     return F.lower(F.regexp_replace(plain, f"[.{JS_BLANK}]+$", "")) == NOT_FOUND[:-1].lower()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.functions.text import JS_BLANK, cited_numbers, is_not_found, source_label, strip_blank
+from tallyglass.functions.text import JS_BLANK, JS_BLANK_CHARS, cited_numbers, is_not_found, source_label, strip_blank
 
 CITATION_COLUMNS = ("file_id", "name", "folder", "page", "section", "sheet", "row_start", "row_end")
 
@@ -84,8 +84,8 @@ _BULLET = r"^\s*([-*•]|\d+\.)\s+"
 
 
 def _cells(line: Column) -> Column:
-    bare = F.regexp_replace(strip_blank(line, JS_BLANK), r"^\||\|$", "")
-    return F.transform(F.split(bare, r"\|", -1), lambda c: strip_blank(c, JS_BLANK))
+    bare = F.regexp_replace(strip_blank(line, JS_BLANK_CHARS), r"^\||\|$", "")
+    return F.transform(F.split(bare, r"\|", -1), lambda c: strip_blank(c, JS_BLANK_CHARS))
 
 
 def markdown_blocks(answers: DataFrame, id_col: str = "answer_id", text: str = "text") -> DataFrame:
@@ -93,14 +93,14 @@ def markdown_blocks(answers: DataFrame, id_col: str = "answer_id", text: str = "
 
     A table is a rule line under a line with bars; short rows are padded, long ones cut to the header.
     """
-    paragraphs = F.split(strip_blank(F.col(text), JS_BLANK), rf"\n[{JS_BLANK}]*\n", -1)
+    paragraphs = F.split(strip_blank(F.col(text), JS_BLANK_CHARS), rf"\n[{JS_BLANK}]*\n", -1)
     blocks = answers.select(id_col, F.posexplode(paragraphs).alias("block", "_p"))
     lines = blocks.withColumn("_l", F.split("_p", "\n", -1))
     is_rule = F.transform("_l", lambda l, i: (i > 0) & l.rlike(_RULE) & F.get("_l", i - 1).contains("|"))
     placed = lines.withColumn("_rule", F.array_position(is_rule, True).cast("int") - 1)
     table = F.col("_rule") > 0
     bullets = F.forall("_l", lambda l: l.rlike(_BULLET))
-    before = strip_blank(F.array_join(F.slice("_l", F.lit(1), F.greatest(F.col("_rule") - 1, F.lit(0))), "\n"), JS_BLANK)
+    before = strip_blank(F.array_join(F.slice("_l", F.lit(1), F.greatest(F.col("_rule") - 1, F.lit(0))), "\n"), JS_BLANK_CHARS)
     body = F.filter(F.slice("_l", F.col("_rule") + 2, F.size("_l")), lambda l: l.contains("|"))
     grid = F.concat(F.array(_cells(F.get("_l", F.col("_rule") - 1))), F.transform(body, lambda line: _cells(line)))
     shaped = placed.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.functions.text import JS_BLANK, strip_blank
+from tallyglass.functions.text import JS_BLANK_CHARS, strip_blank
 from tallyglass.operators.ordered import first_per_key
 
 # Suggestions shown, symbols per search.
@@ -45,7 +45,7 @@ def find_symbol(symbols: DataFrame, queries: DataFrame, query: str = "query") ->
     both = symbols.select("symbol", "name", "pos", F.explode(F.array_distinct(
         F.array(F.lower("name"), F.lower("symbol")))).alias("_key"))
     first = both.groupBy("_key").agg(F.min_by(F.struct("symbol", "name", "pos"), "pos").alias("_s"))
-    key = F.lower(strip_blank(F.col(query), JS_BLANK))
+    key = F.lower(strip_blank(F.col(query), JS_BLANK_CHARS))
     asked = queries.withColumn("_key", key).where(F.col("_key") != "")
     return asked.join(first, "_key").select(*queries.columns, "_s.symbol", "_s.name")
 
@@ -53,7 +53,7 @@ def find_symbol(symbols: DataFrame, queries: DataFrame, query: str = "query") ->
 def parse_symbol_param(params: DataFrame, symbols: DataFrame, id_col: str = "param_id",
                        text: str = "param") -> DataFrame:
     """``"A, B,,C,D"`` -> its first three non-blank names, resolved, each symbol once, in order."""
-    names = F.transform(F.split(F.col(text), ","), lambda s: strip_blank(s, JS_BLANK))
+    names = F.transform(F.split(F.col(text), ","), lambda s: strip_blank(s, JS_BLANK_CHARS))
     first = F.slice(F.filter(names, lambda s: s != ""), 1, MAX_SYMBOLS)
     asked = params.select(id_col, F.posexplode(first).alias("pos_in_param", "query"))
     found = find_symbol(symbols, asked)
@@ -62,6 +62,6 @@ def parse_symbol_param(params: DataFrame, symbols: DataFrame, id_col: str = "par
 
 def question_lookup(questions: DataFrame, references: DataFrame) -> DataFrame:
     """questions(question_id, text) matched to references(ref_id, text), case and outer blanks aside; first match."""
-    key = lambda: F.lower(strip_blank(F.col("text"), JS_BLANK))
+    key = lambda: F.lower(strip_blank(F.col("text"), JS_BLANK_CHARS))
     first = references.groupBy(key().alias("_key")).agg(F.min("ref_id").alias("ref_id"))
     return questions.withColumn("_key", key()).join(first, "_key").select("question_id", "ref_id")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.functions.text import JS_BLANK, half_up
+from tallyglass.functions.text import even_blanks, half_up
 from tallyglass.scale import BROADCAST_ROWS, broadcast_if_small
 
 # Model constants.
@@ -54,22 +54,23 @@ IDIOMS = {
 }
 
 # ASCII punctuation, and the affixes that are cut off a word.
-PUNCTUATION = r"""!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
+PUNCTUATION = r"""!"#$%&'()*+,\-./:;<=>?@\[\\\]\^_`{|}~"""
 AFFIX = r"""(?:\?!\?!|!\?!\?|\?!\?|!\?!|!!!|\?\?\?|!!|\?\?|[.!?,;:\-'"])"""
-_WORD = rf"((?:[^{PUNCTUATION}{JS_BLANK}]{{2,}})|[\x{{10000}}-\x{{10FFFF}}])"
-_START, _END = rf"(?<![^{JS_BLANK}])", rf"(?![^{JS_BLANK}])"
-STRIPPABLE = rf"{_START}{AFFIX}{_WORD}{_END}|{_START}{_WORD}{AFFIX}{_END}"
+_WORD = rf"([^{PUNCTUATION} ]{{2,}}|[\x{{10000}}-\x{{10FFFF}}])"
+_STRIPPABLE = rf"^{AFFIX}{_WORD}$|^{_WORD}{AFFIX}$"
+_TOUCHED = rf"^[{PUNCTUATION}]|[{PUNCTUATION}]$"
 
 
 def tokens(text: Column) -> Column:
     """Words of a text in order, one listed punctuation affix cut off, one-letter words dropped.
 
-    The affixes are cut over the whole text by one pattern.  A character outside the basic plane counts as
-    two letters, so a single emoji stays.
+    A character outside the basic plane counts as two letters, so a single emoji stays.  Only words with
+    punctuation at an end meet the affix pattern.
     """
-    bare = F.regexp_replace(text, STRIPPABLE, "$1$2")
-    kept_before = rf"(?:[^{JS_BLANK}]{{2,}}|[\x{{10000}}-\x{{10FFFF}}])"
-    return F.regexp_extract_all(bare, F.lit(f"({kept_before})"), F.lit(1))
+    words = F.filter(F.split(even_blanks(text), " +"), lambda w: (F.length(w) > 1) | (F.octet_length(w) == 4))
+    return F.transform(
+        words, lambda w: F.when(w.rlike(_TOUCHED), F.regexp_replace(w, _STRIPPABLE, "$1$2")).otherwise(w)
+    )
 
 
 def is_upper(word: Column) -> Column:
@@ -157,25 +158,48 @@ def lexicon_lookup(token_rows: DataFrame, lexicon: DataFrame, column: str = "tok
     return joined.withColumnRenamed("_valence", name)
 
 
+def word_table(lexicon: DataFrame) -> DataFrame:
+    """The lexicon with the rule words beside it: (token, valence, boost, negation)."""
+    rules = [(w, BOOST, False) for w in STRONGER] + [(w, -BOOST, False) for w in WEAKER]
+    rules += [(w, None, True) for w in NEGATIONS]
+    side = lexicon.sparkSession.createDataFrame(rules, "token string, boost double, negation boolean")
+    return lexicon.select("token", "valence").join(side, "token", "full_outer")
+
+
+def _neighbour_lookup(rows: DataFrame, words: DataFrame, p: int) -> DataFrame:
+    """What the p-th word to the left is: scored (``l``), a booster (``b``), a negation (``g``)."""
+    low = F.lower(F.col(f"p{p}"))
+    side = words.select(F.col("token").alias("_key"), "valence", "boost", "negation").withColumnsRenamed(
+        {"valence": "_valence", "boost": f"b{p}", "negation": "_negation"})
+    joined = rows.join(side, low == F.col("_key"), "left")
+    return joined.withColumns({
+        f"l{p}": F.col("_valence").isNotNull(),
+        f"g{p}": F.coalesce(F.col("_negation"), F.lit(False)) | low.contains("n't"),
+    }).drop("_key", "_valence", "_negation")
+
+
 def _phrase(*words: Column) -> Column:
     return F.concat_ws(" ", *words)
 
 
 def _idiom(valence: Column, t: Column, p1: Column, p2: Column, p3: Column, n1: Column, n2: Column) -> Column:
-    def value_of(phrase: Column, otherwise: Column) -> Column:
-        out = otherwise
-        for words, value in IDIOMS.items():
-            out = F.when(phrase == words, value).otherwise(out)
-        return out
-
-    # The first phrase that is an idiom wins, so the last candidate is the innermost fallback.
-    backward = [_phrase(p1, t), _phrase(p2, p1, t), _phrase(p2, p1), _phrase(p3, p2, p1), _phrase(p3, p2)]
-    for phrase in reversed(backward):
-        valence = value_of(phrase, valence)
-    valence = F.when(n1.isNotNull(), value_of(_phrase(t, n1), valence)).otherwise(valence)
-    valence = F.when(n2.isNotNull(), value_of(_phrase(t, n1, n2), valence)).otherwise(valence)
-    weak = _phrase(p3, p2).isin(WEAKER_PHRASES) | _phrase(p2, p1).isin(WEAKER_PHRASES)
-    return F.when(weak, valence - BOOST).otherwise(valence)
+    table = F.create_map(*[F.lit(x) for pair in IDIOMS.items() for x in pair])
+
+    def value_of(*words: Column) -> Column:
+        return F.try_element_at(table, F.concat(*[x for w in words for x in (w, F.lit(" "))][:-1]))
+
+    # An idiom reaching to the right wins over one to the left; of those to the left the first found wins.
+    found = F.coalesce(
+        value_of(t, n1, n2), value_of(t, n1), value_of(p1, t), value_of(p2, p1, t), value_of(p2, p1),
+        value_of(p3, p2, p1), value_of(p3, p2), valence,
+    )
+    # Phrases are put together only where a word that ends one is near.
+    endings = sorted({words.split()[-1] for words in IDIOMS})
+    near = F.arrays_overlap(F.array_compact(F.array(t, p1, p2, n1, n2)), F.array(*[F.lit(w) for w in endings]))
+    weak = p2.isin("kind", "sort", "just") | p3.isin("kind", "sort", "just")
+    valence = F.when(near, found).otherwise(valence)
+    weakened = weak & (_phrase(p3, p2).isin(WEAKER_PHRASES) | _phrase(p2, p1).isin(WEAKER_PHRASES))
+    return F.when(weakened, valence - BOOST).otherwise(valence)
 
 
 def _apply_rules(hits: DataFrame) -> DataFrame:
@@ -184,50 +208,53 @@ def _apply_rules(hits: DataFrame) -> DataFrame:
     p1, p2, p3, n1, n2 = (F.col(c) for c in ("p1", "p2", "p3", "n1", "n2"))
     v = F.col("v")
     so_this = ["so", "this"]
+
+    def signed(amount: Column | float, by: Column) -> Column:
+        return F.when(by > 0, amount).otherwise(-amount)
+
+    def boosted(p: int) -> Column:
+        boost = F.when(v < 0, -F.col(f"b{p}")).otherwise(F.col(f"b{p}"))
+        loud = F.when(is_upper(F.col(f"p{p}")) & caps, signed(F.lit(CAPS), v)).otherwise(0.0)
+        return (boost + loud) * (1.0, 0.95, 0.9)[p - 1]
+
+    def free(p: int) -> Column:
+        return F.col(f"p{p}").isNotNull() & ~F.col(f"l{p}")
+
+    valence = F.col("valence")
     out = hits.withColumn(
-        "v",
-        F.when(is_upper(t) & caps, F.col("valence") + F.when(F.col("valence") > 0, CAPS).otherwise(-CAPS))
-        .otherwise(F.col("valence")),
-    )
-    # One word back.
-    free = p1.isNotNull() & ~F.col("l1")
-    out = out.withColumn("v", F.when(free, v + booster_scalar(p1, v, caps)).otherwise(v))
-    out = out.withColumn("v", F.when(free & negated(p1), v * NEGATION).otherwise(v))
-    # Two words back.
-    free = p2.isNotNull() & ~F.col("l2")
-    out = out.withColumn("v", F.when(free, v + booster_scalar(p2, v, caps) * 0.95).otherwise(v))
-    never = (p2 == "never") & p1.isin(so_this)
-    out = out.withColumn(
-        "v", F.when(free & never, v * 1.5).when(free & negated(p2), v * NEGATION).otherwise(v)
-    )
-    # Three words back, then phrases.
-    free = p3.isNotNull() & ~F.col("l3")
-    out = out.withColumn("v", F.when(free, v + booster_scalar(p3, v, caps) * 0.9).otherwise(v))
-    never = ((p3 == "never") & p2.isin(so_this)) | p1.isin(so_this)
-    out = out.withColumn(
-        "v", F.when(free & never, v * 1.25).when(free & negated(p3), v * NEGATION).otherwise(v)
-    )
-    out = out.withColumn("v", F.when(free, _idiom(v, t, p1, p2, p3, n1, n2)).otherwise(v))
+        "v", F.when(is_upper(t) & caps, valence + signed(F.lit(CAPS), valence)).otherwise(valence))
+    # "never so" and "never this" two or three words back strengthen instead of turning the valence round.
+    never = {
+        1: (F.lit(False), 1.0),
+        2: ((p2 == "never") & p1.isin(so_this), 1.5),
+        3: (((p3 == "never") & p2.isin(so_this)) | p1.isin(so_this), 1.25),
+    }
+    for p in (1, 2, 3):
+        out = out.withColumn("v", F.when(free(p) & F.col(f"b{p}").isNotNull(), v + boosted(p)).otherwise(v))
+        test, factor = never[p]
+        out = out.withColumn(
+            "v", F.when(free(p) & test, v * factor).when(free(p) & F.col(f"g{p}"), v * NEGATION).otherwise(v))
+    out = out.withColumn("v", F.when(free(3), _idiom(v, t, p1, p2, p3, n1, n2)).otherwise(v))
     # "least" in front, unless it reads "at least" or "very least".
-    least = p1.isNotNull() & ~F.col("l1") & (F.lower(p1) == "least")
     spared = F.coalesce(F.lower(p2).isin("at", "very"), F.lit(False))
-    out = out.withColumn("v", F.when(least & ~spared, v * NEGATION).otherwise(v))
-    # Boosters and "kind of" carry no valence themselves.
+    out = out.withColumn("v", F.when(free(1) & (F.lower(p1) == "least") & ~spared, v * NEGATION).otherwise(v))
+    # "kind of" carries no valence itself.
     kind_of = (F.lower(t) == "kind") & (F.lower(n1) == "of")
-    return out.withColumn("v", F.when(is_booster(t) | F.coalesce(kind_of, F.lit(False)), 0.0).otherwise(v))
+    return out.withColumn("v", F.when(F.coalesce(kind_of, F.lit(False)), 0.0).otherwise(v))
 
 
 def token_valences(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per text and distinct scored token: valence ``v``, total ``weight``, count ``n``.
 
-    A row with a null token per text carries the text's figures.
+    A row with a null token per text carries the text's figures.  Boosters add 0 and are left out.
     """
-    lexicon = broadcast_if_small(lexicon.select("token", "valence"), max_broadcast_rows)
-    rows = lexicon_lookup(token_table(docs, id_col, text_col), lexicon)
+    words = broadcast_if_small(word_table(lexicon), max_broadcast_rows)
+    scored = words.where(F.col("valence").isNotNull() & F.col("boost").isNull())
+    rows = lexicon_lookup(token_table(docs, id_col, text_col), scored)
     hits = rows.where(F.col("valence").isNotNull() | F.col("token").isNull())
-    for p in ("1", "2", "3"):
-        hits = lexicon_lookup(hits, lexicon, f"p{p}", f"_v{p}").withColumn(f"l{p}", F.col(f"_v{p}").isNotNull())
+    for p in (1, 2, 3):
+        hits = _neighbour_lookup(hits, words, p)
     weighted = _apply_rules(hits).withColumn("w", but_weight(F.col("pos"), F.col("but_pos")))
     return weighted.groupBy(id_col, "token").agg(
         F.min_by("v", "pos").alias("v"),

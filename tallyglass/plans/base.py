@@ -11,13 +11,16 @@ from tallyglass.functions.dates import ist_date
 from tallyglass.functions.text import JS_BLANK
 from tallyglass.operators import prices as price_ops
 from tallyglass.operators import sentiment
-from tallyglass.scale import durable
+from tallyglass.scale import durable, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 TODAY = "2024-01-31"
 
+# Tables whose rows cost real work (whole texts), with the column that tells their rows apart.
+TEXT_TABLES = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
+
 
 def query(key: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` and the SQL that must give the same rows."""
@@ -42,7 +45,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table, *TEXT_TABLES[name]) if name in TEXT_TABLES else table
 
     def price_points(self) -> DataFrame:
         """symbol = event type, day = IST date, close = value, payload order = event id; weekends have none."""

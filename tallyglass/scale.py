@@ -22,6 +22,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if small else df
 
 
+def spread(scan: DataFrame, *ids: str) -> DataFrame:
+    """Give every core a share of a scan too small to be split by file size; a larger scan stays as it lies.
+
+    Spread by row id, so the layout is the same whenever a task is run again.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *ids) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def _shared_folder(spark) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one where none is named (tests)."""
     context = spark.sparkContext
