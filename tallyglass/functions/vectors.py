@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,16 +38,15 @@ def word_buckets(text: Column, dim: int = EMBED_DIM) -> Column:
 
 
 def _dense(dim: int):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def dense(buckets: pd.Series) -> pd.Series:
-        lengths = buckets.map(len).to_numpy()
-        out = np.zeros((len(lengths), dim))
-        if lengths.sum():
-            rows = np.repeat(np.arange(len(lengths)), lengths)
-            flat = rows * dim + np.concatenate(buckets.to_numpy())
-            out = np.bincount(flat, minlength=len(lengths) * dim).reshape(-1, dim).astype(float)
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return pd.Series(list(out / np.where(norms == 0, 1, norms)))
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def dense(buckets: pa.Array) -> pa.Array:
+        rows = len(buckets)
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(buckets), 0))
+        at = np.repeat(np.arange(rows), lengths) * dim + np.asarray(buckets.flatten())
+        counts = np.bincount(at, minlength=rows * dim).reshape(rows, dim).astype(float)
+        norms = np.linalg.norm(counts, axis=1, keepdims=True)
+        unit = counts / np.where(norms == 0, 1, norms)
+        return pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * dim, unit.ravel())
 
     return dense
 

@@ -94,7 +94,7 @@ def markdown_blocks(answers: DataFrame, id_col: str = "answer_id", text: str = "
     A table is a rule line under a line with bars; short rows are padded, long ones cut to the header.
     """
     paragraphs = F.split(strip_blank(F.col(text), JS_BLANK_CHARS), rf"\n[{JS_BLANK}]*\n", -1)
-    blocks = answers.select(id_col, F.posexplode(paragraphs).alias("block", "_p"))
+    blocks = answers.select(id_col, F.posexplode_outer(paragraphs).alias("block", "_p")).where(F.col("_p").isNotNull())
     lines = blocks.withColumn("_l", F.split("_p", "\n", -1))
     is_rule = F.transform("_l", lambda l, i: (i > 0) & l.rlike(_RULE) & F.get("_l", i - 1).contains("|"))
     placed = lines.withColumn("_rule", F.array_position(is_rule, True).cast("int") - 1)

@@ -288,8 +288,9 @@ def html_sections(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
         F.transform("_b", lambda b, i: F.when(b["kind"] == "heading", i)), lambda i: i.isNotNull()
     )
     bounded = blocks.withColumn("_at", F.concat(F.array(F.lit(-1)), places, F.array(F.size("_b"))))
+    # The outer form: the plain one makes the optimizer test the array first, parsing every page twice.
     cut_up = bounded.select(
-        id_col, "_b", "_at", F.posexplode(F.slice("_at", F.lit(1), F.size("_at") - 1)).alias("_k", "_from")
+        id_col, "_b", "_at", F.posexplode_outer(F.slice("_at", F.lit(1), F.size("_at") - 1)).alias("_k", "_from")
     )
     inside = F.slice("_b", F.col("_from") + 2, F.get("_at", F.col("_k") + 1) - F.col("_from") - 1)
     heading = F.substring(F.get("_b", F.col("_from"))["text"], 1, SECTION_LIMIT)

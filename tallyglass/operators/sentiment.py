@@ -150,6 +150,13 @@ def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def token_rows(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
+    """(keep..., pos, token): one row per token and nothing more."""
+    # The outer form for the same reason as above.
+    rows = docs.select(*keep, F.posexplode_outer(tokens(F.col(text_col))).alias("pos", "token"))
+    return rows.where(F.col("token").isNotNull())
+
+
 def lexicon_lookup(token_rows: DataFrame, lexicon: DataFrame, column: str = "token",
                    name: str = "valence") -> DataFrame:
     """Left join of a token column to its valence, looked up in lower case."""
@@ -163,7 +170,9 @@ def word_table(lexicon: DataFrame) -> DataFrame:
     rules = [(w, BOOST, False) for w in STRONGER] + [(w, -BOOST, False) for w in WEAKER]
     rules += [(w, None, True) for w in NEGATIONS]
     side = lexicon.sparkSession.createDataFrame(rules, "token string, boost double, negation boolean")
-    return lexicon.select("token", "valence").join(side, "token", "full_outer")
+    both = lexicon.select("token", "valence").unionByName(side, allowMissingColumns=True)
+    return both.groupBy("token").agg(F.max("valence").alias("valence"), F.max("boost").alias("boost"),
+                                     F.max("negation").alias("negation"))
 
 
 def _neighbour_lookup(rows: DataFrame, words: DataFrame, p: int) -> DataFrame:

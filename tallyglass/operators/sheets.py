@@ -259,6 +259,13 @@ def stats_by_file(units: DataFrame, measure: str = "words") -> DataFrame:
     return units.groupBy("file_id").agg(F.sum(unit_measure(measure)).alias("value"))
 
 
+def file_statistics(units: DataFrame) -> DataFrame:
+    """Words and characters of every file in one pass."""
+    return units.groupBy("file_id").agg(
+        F.sum(unit_measure("words")).alias("words"), F.sum(unit_measure("characters")).alias("characters")
+    )
+
+
 def stats_by_section(units: DataFrame, measure: str = "words") -> DataFrame:
     """One row per unit, equal sections not merged; an unnamed section is numbered by its place."""
     section = F.coalesce(

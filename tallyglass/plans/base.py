@@ -67,10 +67,10 @@ class Tables:
         """Lower-case words of the documents; the last byte of a word's md5 says whether it carries a valence
         (a quarter of the words do) and which one.
         """
-        words = self.documents.select(F.explode(sentiment.tokens(F.col("text"))).alias("w"))
+        words = sentiment.token_rows(self.documents)
         byte = F.conv(F.right(F.md5("token"), F.lit(2)), 16, 10).cast("int")
         return (
-            words.select(F.lower("w").alias("token")).distinct().withColumn("b", byte).where(F.col("b") >= 192)
+            words.select(F.lower("token").alias("token")).distinct().withColumn("b", byte).where(F.col("b") >= 192)
             .select("token", ((F.col("b") % 33 - 16) / 4.0).alias("valence"))
         )
 

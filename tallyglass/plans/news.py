@@ -163,13 +163,13 @@ def _(t):
 
 @query("strip_punct_token", f"WITH {TOKENS_SQL} SELECT token, count(*) AS n FROM tk GROUP BY 1")
 def _(t):
-    return t.documents.select(F.explode(S.tokens(F.col("text"))).alias("token")).groupBy("token").agg(
+    return S.token_rows(t.documents).select("token").groupBy("token").agg(
         F.count(F.lit(1)).alias("n"))
 
 
 @query("first_occurrence", f"WITH {TOKENS_SQL} SELECT doc_id, token, min(pos)::INT AS first_pos, count(*) AS n FROM tk GROUP BY 1, 2")
 def _(t):
-    rows = t.documents.select("doc_id", F.posexplode(S.tokens(F.col("text"))).alias("pos", "token"))
+    rows = S.token_rows(t.documents, "doc_id")
     return rows.groupBy("doc_id", "token").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n"))
 
 
@@ -189,7 +189,7 @@ def _(t):
 
 @query("is_upper", f"""WITH {TOKENS_SQL} SELECT token, bool_and({_is_up('token')}) AS upper FROM tk GROUP BY 1""")
 def _(t):
-    words = t.documents.select(F.explode(S.tokens(F.col("text"))).alias("token")).distinct()
+    words = S.token_rows(t.documents).select("token").distinct()
     return words.select("token", S.is_upper(F.col("token")).alias("upper"))
 
 
@@ -201,14 +201,14 @@ def _(t):
 
 @query("negated", f"""WITH {TOKENS_SQL} SELECT token, {_neg('token')} AS negated FROM (SELECT DISTINCT token FROM tk)""")
 def _(t):
-    words = t.documents.select(F.explode(S.tokens(F.col("text"))).alias("token")).distinct()
+    words = S.token_rows(t.documents).select("token").distinct()
     return words.select("token", S.negated(F.col("token")).alias("negated"))
 
 
 @query("booster_scalar", f"""WITH {TOKENS_SQL} SELECT token, v, {_boost('token')} AS scalar
 FROM (SELECT DISTINCT token, true AS caps FROM tk) CROSS JOIN (VALUES (1.5::DOUBLE), (-1.5::DOUBLE)) x(v)""")
 def _(t):
-    words = t.documents.select(F.explode(S.tokens(F.col("text"))).alias("token")).distinct()
+    words = S.token_rows(t.documents).select("token").distinct()
     both = words.select("token", F.explode(F.array(F.lit(1.5), F.lit(-1.5))).alias("v"))
     return both.withColumn("scalar", S.booster_scalar(F.col("token"), F.col("v"), F.lit(True)))
 
@@ -236,7 +236,7 @@ FROM tk t LEFT JOIN lex l ON l.token = lower(t.token) GROUP BY 1""")
 def _(t):
     from tallyglass.scale import broadcast_if_small
 
-    rows = t.documents.select("doc_id", F.explode(S.tokens(F.col("text"))).alias("token"))
+    rows = S.token_rows(t.documents, "doc_id")
     found = S.lexicon_lookup(rows, broadcast_if_small(durable(t.lexicon())))
     return found.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.count("valence").alias("scored"), F.round(F.sum("valence"), 6).alias("total"))

@@ -117,7 +117,7 @@ SELECT id AS doc_id, bucket::INT AS bucket, round(x, 8) AS weight FROM bag""")
 def _(t):
     embedded = t.documents.select("doc_id", vectors.hash_embed(F.col("text")).alias("e"))
     return _rounded(
-        embedded.select("doc_id", F.posexplode("e").alias("bucket", "weight")).where("weight <> 0"), "weight", places=8)
+        embedded.select("doc_id", F.posexplode_outer("e").alias("bucket", "weight")).where("weight <> 0"), "weight", places=8)
 
 
 _SEARCH_SQL = f"""{_bag_sql('d', '(SELECT doc_id AS id, text FROM documents)')},

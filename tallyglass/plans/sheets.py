@@ -187,8 +187,7 @@ _CHARS = f"length(trim(regexp_replace(text, '[{JS_BLANK}]+', ' ', 'g')))"
 @query("doc_stats", f"""SELECT source AS file_id, CAST(sum({_WORDS}) AS BIGINT) AS words,
 CAST(sum({_CHARS}) AS BIGINT) AS characters FROM documents GROUP BY 1""")
 def _(t):
-    words = S.stats_by_file(t.units(), "words").withColumnRenamed("value", "words")
-    return words.join(S.stats_by_file(t.units(), "characters").withColumnRenamed("value", "characters"), "file_id")
+    return S.file_statistics(t.units())
 
 
 @query("count_words", f"SELECT doc_id, {_WORDS}::INT AS words, {_CHARS}::INT AS characters FROM documents")
