@@ -26,6 +26,8 @@ NEGATION = -0.74
 ALPHA = 15.0
 BUT_BEFORE, BUT_AFTER = 0.5, 1.5
 
+NOISE = 1e-9  # smaller than any difference the model can mean
+
 # Negations.
 NEGATIONS = (
     "aint arent cannot cant couldnt darent didnt doesnt ain't aren't can't couldn't daren't didn't doesn't "
@@ -290,13 +292,19 @@ def sentence_sums(valences: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def polarity_of_sums(sums: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Emphasis goes to the larger side.  Sides that differ by less than ``NOISE`` are equal: a float sum's last
+    bits depend on the order of partial sums, and must not decide which way a text is pushed.
+    """
     emphasis, total = F.col("emphasis"), F.col("total")
-    loud = F.when(total > 0, total + emphasis).when(total < 0, total - emphasis).otherwise(total)
+    loud = (
+        F.when(total > NOISE, total + emphasis).when(total < -NOISE, total - emphasis).otherwise(0.0)
+    )
     pos, neg = F.col("pos_sum"), F.col("neg_sum")
+    lead = pos - F.abs(neg)
     out = sums.select(
         id_col, "n_tokens", "neu_count", loud.alias("_total"),
-        F.when(pos > F.abs(neg), pos + emphasis).otherwise(pos).alias("_pos"),
-        F.abs(F.when(pos < F.abs(neg), neg - emphasis).otherwise(neg)).alias("_neg"),
+        F.when(lead > NOISE, pos + emphasis).otherwise(pos).alias("_pos"),
+        F.abs(F.when(lead < -NOISE, neg - emphasis).otherwise(neg)).alias("_neg"),
     )
     whole = F.col("_pos") + F.col("_neg") + F.col("neu_count")
 

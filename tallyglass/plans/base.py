@@ -209,9 +209,9 @@ sums AS (
   FROM stat s JOIN emph e ON e.doc_id = s.doc_id LEFT JOIN each_token t ON t.doc_id = s.doc_id
   GROUP BY s.doc_id, s.n, e.e),
 loud AS (
-  SELECT doc_id, n_tokens, neu_count, total + CASE WHEN total > 0 THEN emphasis WHEN total < 0 THEN -emphasis ELSE 0 END
-    AS total, pos_sum + CASE WHEN pos_sum > abs(neg_sum) THEN emphasis ELSE 0 END AS p,
-    abs(neg_sum - CASE WHEN pos_sum < abs(neg_sum) THEN emphasis ELSE 0 END) AS q FROM sums),
+  SELECT doc_id, n_tokens, neu_count, CASE WHEN total > 1e-9 THEN total + emphasis WHEN total < -1e-9 THEN total - emphasis
+    ELSE 0.0 END AS total, pos_sum + CASE WHEN pos_sum - abs(neg_sum) > 1e-9 THEN emphasis ELSE 0 END AS p,
+    abs(neg_sum - CASE WHEN pos_sum - abs(neg_sum) < -1e-9 THEN emphasis ELSE 0 END) AS q FROM sums),
 polarity AS (
   SELECT doc_id,
     CASE WHEN n_tokens = 0 THEN 0.0 ELSE floor(q / (p + q + neu_count) * 1000.0::DOUBLE + 0.5) / 1000 END AS neg,
