@@ -173,6 +173,18 @@ def pack_rows(units: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     )
 
 
+def chunk_files(units: DataFrame, strategy: str = "recursive", size: int = CHUNK_SIZE,
+                overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """Chunks of all files: sheet rows are packed whatever the strategy, other units are cut by it.
+
+    ``units(file_id, unit_pos, text, page, section, sheet, row)``.
+    """
+    cut_up = chunk_units(units.where(F.col("sheet").isNull()).drop("sheet", "row"), strategy, size, overlap)
+    packed = pack_rows(units.where(F.col("sheet").isNotNull()), size)
+    columns = ["file_id", "chunk_index", "page", "section", "sheet", "row_start", "row_end", "text"]
+    return cut_up.unionByName(packed, allowMissingColumns=True).select(*columns)
+
+
 def check_params(saved: DataFrame, params: dict) -> DataFrame:
     """Distinct saved parameters that differ from ``params``: any row means the index must be rebuilt."""
     differs = [~F.col(k).eqNullSafe(F.lit(v)) for k, v in params.items()]

@@ -91,12 +91,13 @@ class SlidingWindow(Fold):
 
 def rate_limit(events: DataFrame, limit: int, window_seconds: int, key: str = "user_id", ts: str = "ts",
                tie: str = "event_id") -> DataFrame:
-    """Allow an event iff fewer than ``limit`` allowed ones lie in the last ``window_seconds``.
+    """(key, ts, tie, allowed): allow an event iff fewer than ``limit`` allowed ones lie in the last
+    ``window_seconds``.  Denied events do not count; one exactly a window old has left.
 
-    Denied events do not count; one exactly a window old has left.
+    Only the ordering columns are staged; join the verdict to the events by ``tie`` where more is wanted.
     """
     if limit <= 0:
-        return events.withColumn("allowed", F.lit(False))
-    timed = events.withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp")))
+        return events.select(key, ts, tie, F.lit(False).alias("allowed"))
+    timed = events.select(key, ts, tie, F.unix_micros(F.col(ts).cast("timestamp")).alias("_micros"))
     rule = SlidingWindow(limit, window_seconds * 1_000_000)
     return fold_ordered(timed, [key], ["_micros", tie], rule, "allowed", T.BooleanType()).drop("_micros")

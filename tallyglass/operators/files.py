@@ -90,7 +90,8 @@ class FileQuota(Fold):
 
 def file_quota(files: DataFrame, session: str, order: str, max_files: int = MAX_FILES,
                max_pages: int = MAX_PAGES) -> DataFrame:
-    """files(session, order, page_equivalent) -> with ``verdict``; exact for sessions of any size."""
+    """(session, order, page_equivalent, verdict); exact for sessions of any size."""
+    files = files.select(session, order, "page_equivalent")
     return fold_ordered(files, [session], [order], FileQuota(max_files, max_pages), "verdict", T.StringType())
 
 

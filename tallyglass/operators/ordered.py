@@ -44,18 +44,22 @@ def _blocked(df: DataFrame, pos: str, block: int) -> DataFrame:
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], pos: str, value: Column, name: str,
-                block: int = BLOCK) -> DataFrame:
+                block: int = BLOCK, levels: int = 2) -> DataFrame:
     """Sum of ``value`` over the earlier rows of the key (the row itself excluded), by integer position.
 
-    Each (key, block of positions) is summed map-side, the few block sums are accumulated per key, and
-    only a block's own rows are ever sorted together.
+    Each (key, block of positions) is summed map-side; the block sums are accumulated the same way one level
+    up.  Only a block's own rows are ever sorted together, and at the top one row per ``block ** levels``
+    positions.
     """
     blocked = _blocked(df.withColumn("_value", value), pos, block)
-    per_key = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        blocked.groupBy(*keys, "_block").agg(F.sum("_value").alias("_sum"))
-        .select(*keys, "_block", F.coalesce(F.sum("_sum").over(per_key), F.lit(0)).alias("_offset"))
-    )
+    sums = blocked.groupBy(*keys, "_block").agg(F.sum("_value").alias("_sum"))
+    if levels > 1:
+        upper = running_sum(
+            sums.withColumnRenamed("_block", "_at"), keys, "_at", F.col("_sum"), "_upper", block, levels - 1)
+        offsets = upper.select(*keys, F.col("_at").alias("_block"), F.col("_upper").alias("_offset"))
+    else:
+        per_key = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sums.select(*keys, "_block", F.coalesce(F.sum("_sum").over(per_key), F.lit(0)).alias("_offset"))
     in_block = Window.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     return (
         blocked.join(offsets, [*keys, "_block"])
@@ -65,19 +69,23 @@ def running_sum(df: DataFrame, keys: Sequence[str], pos: str, value: Column, nam
 
 
 def running_last(df: DataFrame, keys: Sequence[str], pos: str, value: Column, name: str,
-                 block: int = BLOCK) -> DataFrame:
-    """Last non-null ``value`` among the earlier rows of the key, by integer position."""
+                 block: int = BLOCK, levels: int = 2) -> DataFrame:
+    """Last non-null ``value`` among the earlier rows of the key, by integer position; blocks as above."""
     blocked = _blocked(df.withColumn("_value", value), pos, block)
-    per_key = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        blocked.groupBy(*keys, "_block")
-        .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(pos))).alias("_last"))
-        .select(*keys, "_block", F.last("_last", ignorenulls=True).over(per_key).alias("_before"))
-    )
+    present = F.when(F.col("_value").isNotNull(), F.col(pos))
+    lasts = blocked.groupBy(*keys, "_block").agg(F.max_by("_value", present).alias("_last"))
+    if levels > 1:
+        upper = running_last(
+            lasts.withColumnRenamed("_block", "_at"), keys, "_at", F.col("_last"), "_upper", block, levels - 1)
+        before = upper.select(*keys, F.col("_at").alias("_block"), F.col("_upper").alias("_before"))
+    else:
+        per_key = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        before = lasts.select(*keys, "_block", F.last("_last", ignorenulls=True).over(per_key).alias("_before"))
     in_block = Window.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.last("_value", ignorenulls=True).over(in_block)
     return (
         blocked.join(before, [*keys, "_block"])
-        .withColumn(name, F.coalesce(F.last("_value", ignorenulls=True).over(in_block), F.col("_before")))
+        .withColumn(name, F.coalesce(inside, F.col("_before")))
         .drop("_block", "_value", "_before")
     )
 

@@ -11,9 +11,9 @@ from tallyglass.operators import files as L
 from tallyglass.operators import retrieval as R
 from tallyglass.operators import sheets as S
 from tallyglass.operators.ordered import running_sum
-from tallyglass.plans.base import query
+from tallyglass.plans.base import TOKENS_SQL, query
 from tallyglass.plans.sheets import _UNITS_SQL, _cells
-from tallyglass.scale import scratch_path
+from tallyglass.scale import durable, scratch_path
 from tallyglass.sources import readers, writers
 
 # ---------------------------------------------------------------- text expressions
@@ -224,8 +224,7 @@ def _(t):
 
 
 _SHEETS_SQL = _UNITS_SQL + """,
-numbered AS (SELECT *, row_number() OVER (ORDER BY file_id, sheet) AS pos FROM head),
-counted AS (SELECT n.pos, n.file_id, n.sheet, n.header_row, count(u.row) AS rows FROM numbered n
+counted AS (SELECT n.file_id || '/' || n.sheet AS pos, n.file_id, n.sheet, n.header_row, count(u.row) AS rows FROM head n
   LEFT JOIN sheet_units u ON u.file_id = n.file_id AND u.sheet = n.sheet GROUP BY ALL)"""
 
 
@@ -234,16 +233,13 @@ SELECT pos, '- file "' || file_id || '" (folder "", path "' || file_id || '"), s
   ' data rows, columns: ' || (SELECT string_agg('"' || header || '"', ', ' ORDER BY h.col) FROM headers h
     WHERE h.file_id = c.file_id AND h.sheet = c.sheet) AS line FROM counted c ORDER BY pos LIMIT 40""")
 def _(t):
-    from pyspark.sql import Window
-
-    cells = _cells(t)
-    headers, keys = S.header_infer(cells), ["file_id", "sheet"]
+    cells, keys = _cells(t), ["file_id", "sheet"]
+    place = F.concat("file_id", F.lit("/"), "sheet").alias("pos")
+    headers = S.header_infer(cells)
     rows = S.sheet_units(cells).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    # One row per sheet of the workbooks: their order is the list's order.
     listed = headers.select(*keys).distinct().join(rows, keys, "left").fillna(0, ["rows"])
-    placed = listed.withColumn("pos", F.row_number().over(Window.orderBy(*keys)).cast("bigint"))
-    sheets = placed.select("pos", F.col("file_id").alias("name"), F.lit("").alias("folder"), "sheet", "rows")
-    return L.sheet_catalog(sheets, headers.join(placed.select("pos", *keys), keys).select("pos", "col", "header"))
+    sheets = listed.select(place, F.col("file_id").alias("name"), F.lit("").alias("folder"), "sheet", "rows")
+    return L.sheet_catalog(sheets, headers.select(place, "col", "header"))
 
 
 @query("list_files")
@@ -349,25 +345,45 @@ _ROWS_SQL = """rows AS (SELECT p_type AS file_id, CAST(regexp_extract(p_brand, '
   p_brand AS sheet, p_partkey AS row, 'Name: ' || p_name || '; Size: ' || p_size AS text FROM part)"""
 
 
-@query("pack_rows", f"""WITH RECURSIVE {_ROWS_SQL},
-o AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY unit_pos) AS rn FROM rows),
+def _packed_sql(size: int) -> str:
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY unit_pos) AS rn FROM rows),
 r AS (
   SELECT file_id, rn, sheet, length(text) + 1 AS used, 0::BIGINT AS chunk_index FROM o WHERE rn = 1
   UNION ALL
-  SELECT o.file_id, o.rn, o.sheet, CASE WHEN o.sheet <> r.sheet OR r.used + length(o.text) > 200 THEN length(o.text) + 1
+  SELECT o.file_id, o.rn, o.sheet, CASE WHEN o.sheet <> r.sheet OR r.used + length(o.text) > {size} THEN length(o.text) + 1
       ELSE r.used + length(o.text) + 1 END,
-    CASE WHEN o.sheet <> r.sheet OR r.used + length(o.text) > 200 THEN r.chunk_index + 1 ELSE r.chunk_index END
-  FROM r JOIN o ON o.file_id = r.file_id AND o.rn = r.rn + 1)
-SELECT r.file_id, r.chunk_index, max(r.sheet) AS sheet, min(o.row) AS row_start, max(o.row) AS row_end,
+    CASE WHEN o.sheet <> r.sheet OR r.used + length(o.text) > {size} THEN r.chunk_index + 1 ELSE r.chunk_index END
+  FROM r JOIN o ON o.file_id = r.file_id AND o.rn = r.rn + 1),
+packed AS (SELECT r.file_id, r.chunk_index, max(r.sheet) AS sheet, min(o.row) AS row_start, max(o.row) AS row_end,
   'Sheet ' || max(r.sheet) || ':' || chr(10) || string_agg(o.text, chr(10) ORDER BY o.rn) AS text
-FROM r JOIN o ON o.file_id = r.file_id AND o.rn = r.rn GROUP BY 1, 2""")
-def _(t):
+  FROM r JOIN o ON o.file_id = r.file_id AND o.rn = r.rn GROUP BY 1, 2)"""
+
+
+def _part_rows(t):
+    """Parts as sheet rows: a workbook per type, a sheet per brand."""
     brand = F.regexp_extract("p_brand", "([0-9]+)", 1).cast("bigint")
-    rows = t.part.select(
+    return t.part.select(
         F.col("p_type").alias("file_id"), (brand * 1_000_000_000 + F.col("p_partkey")).alias("unit_pos"),
         F.col("p_brand").alias("sheet"), F.col("p_partkey").alias("row"),
         F.concat(F.lit("Name: "), "p_name", F.lit("; Size: "), F.col("p_size").cast("string")).alias("text"))
-    return C.pack_rows(rows, 200)
+
+
+@query("pack_rows", f"WITH RECURSIVE {_ROWS_SQL}, {_packed_sql(200)} SELECT * FROM packed")
+def _(t):
+    return C.pack_rows(_part_rows(t), 200)
+
+
+@query("chunk_units", f"""WITH RECURSIVE {_ROWS_SQL}, {_packed_sql(400)}, p AS ({_fixed_sql(400, 60)}), n AS ({_numbered('p')})
+SELECT file_id, chunk_index, NULL::INT AS page, section, NULL::VARCHAR AS sheet, NULL::BIGINT AS row_start,
+  NULL::BIGINT AS row_end, text FROM n
+UNION ALL SELECT file_id, chunk_index, NULL, NULL, sheet, row_start, row_end, text FROM packed""")
+def _(t):
+    # Documents and workbooks side by side: rows are packed, the rest is cut.
+    none = F.lit(None)
+    texts = t.units().withColumns({
+        "page": none.cast("int"), "sheet": none.cast("string"), "row": none.cast("bigint")})
+    rows = _part_rows(t).withColumns({"page": none.cast("int"), "section": none.cast("string")})
+    return C.chunk_files(texts.unionByName(rows), "fixed", 400, 60)
 
 
 @query("html_sections", f"""
@@ -408,46 +424,70 @@ def _(t):
     return R.accumulate_index(index, added)
 
 
-@query("save_index", f"""WITH {_CHUNKS_SQL} SELECT file_id, chunk_index, unit_pos, text, section AS workspace FROM chunks""")
-def _(t):
+def _saved(t):
     path = scratch_path(t.spark, "index")
-    chunks = C.chunk_units(t.units(), "fixed", 400, 60)
-    writers.save_index(chunks.drop("section"), path, None) if "workspace" in chunks.columns else writers.save_index(
-        chunks.withColumnRenamed("section", "workspace"), path)
-    return writers.load_index(t.spark, path)
+    writers.save_index(C.chunk_units(t.units(), "fixed", 400, 60), path, F.col("section"))
+    return path
 
 
-@query("write_manifest", """SELECT (s_suppkey)::INT AS pos, s_name AS name, n_name AS folder FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
+@query("save_index", f"""WITH {_CHUNKS_SQL} SELECT file_id, chunk_index, unit_pos, section, text, section AS workspace
+FROM chunks""")
 def _(t):
-    # Suppliers as the files of a sample pack, regions as its questions; written and read back.
-    files = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.col("s_suppkey").alias("pos"), F.col("s_name").alias("name"), F.col("n_name").alias("folder"))
-    questions = t.region.select(
-        F.col("r_regionkey").alias("pos"), F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("text"))
+    return writers.load_index(t.spark, _saved(t))
+
+
+@query("load_index", f"""WITH {_CHUNKS_SQL} SELECT file_id, chunk_index, unit_pos, section, text, section AS workspace
+FROM chunks WHERE section = 'de'""")
+def _(t):
+    # One workspace is one folder of the snapshot.
+    return writers.load_index(t.spark, _saved(t), "de")
+
+
+def _packs(t):
+    """Sample packs of a hundred parts each, asking about the larger of them; written and read back."""
+    pack = F.floor(F.col("p_partkey") / 100)
+    pos = (F.col("p_partkey") % 100).cast("int").alias("pos")
+    files = t.part.select(pack.alias("pack"), pos, F.col("p_name").alias("name"), F.col("p_brand").alias("folder"))
+    questions = t.part.where(F.col("p_size") > 25).select(
+        pack.alias("pack"), pos, F.col("p_partkey").cast("string").alias("id"), F.col("p_type").alias("text"))
     path = scratch_path(t.spark, "manifest")
-    writers.write_manifest(files, questions, path, "suppliers", "from tables")
-    return readers.read_manifest(t.spark, path)[0].select("pos", "name", "folder")
+    writers.write_manifest(files, questions, path, "parts", "from tables")
+    return readers.read_manifest(t.spark, path, lines=True)
+
+
+@query("write_manifest", "SELECT (p_partkey % 100)::INT AS pos, p_name AS name, p_brand AS folder FROM part")
+def _(t):
+    return _packs(t)[0].select("pos", "name", "folder")
+
+
+@query("read_manifest", "SELECT p_partkey::VARCHAR AS id, p_type AS text FROM part WHERE p_size > 25")
+def _(t):
+    return _packs(t)[1].select("id", "text")
 
 
-@query("read_symbols", "SELECT p_partkey AS pos, p_name || ' ' || p_partkey AS name, p_brand AS symbol FROM part")
+@query("read_symbols", "SELECT p_partkey % 500 AS pos, p_name || ' ' || p_partkey AS name, p_brand AS symbol FROM part")
 def _(t):
-    # The symbol list as one landed JSON document in list order.
+    # Symbol lists of five hundred entries, landed as one JSON document each.
     entry = F.struct(
         F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"), F.col("p_brand").alias("symbol"))
-    listed = t.part.agg(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))).alias("l"))
+    listed = t.part.groupBy(F.floor(F.col("p_partkey") / 500).alias("list")).agg(
+        F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))).alias("l"))
     path = scratch_path(t.spark, "symbols")
-    listed.select(F.to_json(F.transform("l", lambda x: x["e"])).alias("value")).write.text(path)
-    return readers.read_symbols(t.spark, path)
+    value = F.to_json(F.transform("l", lambda x: x["e"])).alias("value")
+    listed.select("list", value).repartition("list").write.partitionBy("list").text(path)
+    return readers.read_symbols(t.spark, f"{path}/*").drop("list")
 
 
-@query("read_lexicon", """WITH n AS (SELECT DISTINCT n_name AS token, n_regionkey - 2.5 AS valence FROM nation)
-SELECT token, valence::DOUBLE AS valence FROM n""")
+@query("read_lexicon", f"WITH {TOKENS_SQL} SELECT token, valence::DOUBLE AS valence FROM lex")
 def _(t):
-    pairs = t.nation.select("n_name", (F.col("n_regionkey") - 2.5).cast("double").alias("v")).distinct()
-    whole = pairs.agg(F.map_from_entries(F.collect_list(F.struct("n_name", "v"))).alias("m"))
+    # The lexicon landed as JSON objects of about five hundred words each.
+    lexicon = durable(t.lexicon())
+    parts = lexicon.agg(F.ceil(F.count(F.lit(1)) / 500)).scalar()
+    grouped = lexicon.groupBy(F.pmod(F.xxhash64("token"), F.greatest(parts, F.lit(1))).alias("part")).agg(
+        F.map_from_entries(F.collect_list(F.struct("token", "valence"))).alias("m"))
     path = scratch_path(t.spark, "lexicon")
-    whole.select(F.to_json("m").alias("value")).write.text(path)
-    return readers.read_lexicon(t.spark, path)
+    grouped.select("part", F.to_json("m").alias("value")).repartition("part").write.partitionBy("part").text(path)
+    return readers.read_lexicon(t.spark, f"{path}/*")
 
 
 @query("read_feed_xml", """SELECT (rn - 1)::INT AS pos, CASE WHEN p_size > 25 THEN p_name || ' - Wire' ELSE p_name END AS title,

@@ -313,12 +313,16 @@ def _(t):
     return out.withColumn("net_sentiment", F.round("net_sentiment", 10) + 0.0)
 
 
-@query("headline_count", """SELECT event_type AS symbol, count(*) AS headline_count,
-count(DISTINCT CAST(ts + INTERVAL 330 MINUTE AS DATE)) AS date_count FROM events GROUP BY 1""")
+@query("headline_count", "SELECT event_type AS symbol, count(*) AS headline_count FROM events GROUP BY 1")
+def _(t):
+    return t.events.groupBy(F.col("event_type").alias("symbol")).agg(F.count(F.lit(1)).alias("headline_count"))
+
+
+@query("date_count", """SELECT event_type AS symbol, count(DISTINCT CAST(ts + INTERVAL 330 MINUTE AS DATE)) AS date_count
+FROM events GROUP BY 1""")
 def _(t):
     dated = t.events.select(F.col("event_type").alias("symbol"), dates.ist_date(F.col("ts")).alias("date"))
-    return dated.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("headline_count"), F.countDistinct("date").alias("date_count"))
+    return dated.groupBy("symbol").agg(F.countDistinct("date").alias("date_count"))
 
 
 _SUMMARY_SQL = f"""{HEADLINES_SQL}, {PRICES_SQL},

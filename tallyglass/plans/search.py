@@ -76,9 +76,9 @@ def _(t):
     return _rounded(R.vector_topk(_vectors(t), _centroids(t), 10, 0.1), "score", places=8)
 
 
-@query("hit_number", f"WITH {_CENTROIDS_SQL} SELECT query_id, n::INT AS n, chunk_id, round(score, 8) AS score FROM ranked WHERE n <= 15")
+@query("hit_number", f"WITH {_CENTROIDS_SQL} SELECT query_id, n::INT AS n, chunk_id, round(score, 8) AS score FROM ranked WHERE n <= 15 AND score >= 0.3")
 def _(t):
-    pairs = R.similarity_join(_vectors(t), _centroids(t), 0.1)
+    pairs = R.similarity_join(_vectors(t), _centroids(t), 0.3)
     return _rounded(R.hit_number(pairs, 15).select("query_id", "n", "chunk_id", "score"), "score", places=8)
 
 
@@ -256,10 +256,15 @@ def _(t):
 
 
 @query("is_not_found", f"""WITH {_ANSWERS_SQL} SELECT answer_id, regexp_replace(replace(lower(trim(text)), '’', ''''), '[. ]+$', '')
-= 'i couldn''t find this in your documents' AS exact, starts_with(trim(text), 'I couldn''t find this in your documents') AS prefix FROM ans""")
+= 'i couldn''t find this in your documents' AS not_found FROM ans""")
+def _(t):
+    return _answers(t).select("answer_id", text.is_not_found(F.col("text")).alias("not_found"))
+
+
+@query("is_not_found_prefix", f"""WITH {_ANSWERS_SQL} SELECT answer_id, starts_with(trim(text),
+'I couldn''t find this in your documents') AS not_found FROM ans""")
 def _(t):
-    c = F.col("text")
-    return _answers(t).select("answer_id", text.is_not_found(c).alias("exact"), text.is_not_found_prefix(c).alias("prefix"))
+    return _answers(t).select("answer_id", text.is_not_found_prefix(F.col("text")).alias("not_found"))
 
 
 @query("answer_records", f"""WITH {_ANSWERS_SQL} SELECT answer_id, CASE WHEN conv_id % 10 = 4 THEN 'chart'

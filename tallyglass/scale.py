@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A lookup side is broadcast only when a count that stops at this many rows proves it is smaller.
@@ -31,16 +31,16 @@ def spread(scan: DataFrame, *ids: str) -> DataFrame:
     return scan.repartition(cores, *ids) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def _shared_folder(spark) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one where none is named (tests)."""
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is named (tests)."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyglass-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
+    return context.getCheckpointDir()
 
 
-def scratch_path(spark, name: str) -> str:
+def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table in the shared folder."""
     return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

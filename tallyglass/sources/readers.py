@@ -94,11 +94,11 @@ def parse_price_payload(payloads: DataFrame) -> DataFrame:
 
 
 def read_symbols(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of {name, symbol} -> (pos, symbol, name) in list order."""
-    whole = spark.read.text(path, wholetext=True)
+    """JSON lists of {name, symbol} -> (list, pos, symbol, name) in list order; one document is one list."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("list"), "value")
     entries = F.from_json("value", "array<struct<name:string,symbol:string>>")
-    return whole.select(F.posexplode(entries).alias("pos", "s")).select(
-        F.col("pos").cast("bigint").alias("pos"), "s.symbol", "s.name")
+    return whole.select("list", F.posexplode(entries).alias("pos", "s")).select(
+        "list", F.col("pos").cast("bigint").alias("pos"), "s.symbol", "s.name")
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
@@ -107,14 +107,14 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(F.from_json("value", "map<string,double>")).alias("token", "valence"))
 
 
-def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Sample manifest -> (files, questions)."""
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Sample manifests -> (files, questions); one document per file, or per line with ``lines``."""
     schema = (
         "company string, note string, "
         "files array<struct<name:string,folder:string,path:string,title:string,description:string,kind:string>>, "
         "questions array<struct<id:string,group:string,text:string,reference:string>>"
     )
-    whole = spark.read.schema(schema).json(path, multiLine=True)
+    whole = spark.read.schema(schema).json(path, multiLine=not lines)
     return (
         whole.select(F.posexplode("files").alias("pos", "f")).select("pos", "f.*"),
         whole.select(F.posexplode("questions").alias("pos", "q")).select("pos", "q.*"),

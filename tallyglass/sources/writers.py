@@ -53,18 +53,18 @@ def write_chart_csv(chart: DataFrame, path: str, category: str, series: list[str
     lines.orderBy("pos").select("line").write.mode("overwrite").text(path)
 
 
-def manifest_rows(files: DataFrame, questions: DataFrame, company: str, note: str) -> DataFrame:
-    """One manifest row: a sample pack is a hand-made list, its entries travel inside one document."""
-    def gathered(df: DataFrame, name: str) -> Column:
-        inner = [c for c in df.columns if c != "pos"]
+def manifest_rows(files: DataFrame, questions: DataFrame, company: str, note: str, pack: str = "pack") -> DataFrame:
+    """One manifest per pack; a sample pack is a short hand-made list, its entries travel inside one document."""
+    def gathered(df: DataFrame, name: str) -> DataFrame:
+        inner = [c for c in df.columns if c not in ("pos", pack)]
         items = F.array_sort(F.collect_list(F.struct("pos", F.struct(*inner).alias("v"))))
-        return df.agg(F.transform(items, lambda x: x["v"]).alias(name)).scalar()
+        return df.groupBy(pack).agg(F.transform(items, lambda x: x["v"]).alias(name))
 
-    return files.sparkSession.range(1).select(
-        F.lit(company).alias("company"), F.lit(note).alias("note"),
-        gathered(files, "files").alias("files"), gathered(questions, "questions").alias("questions"),
-    )
+    both = gathered(files, "files").join(gathered(questions, "questions"), pack, "left")
+    return both.select(F.lit(company).alias("company"), F.lit(note).alias("note"), "files", "questions")
 
 
-def write_manifest(files: DataFrame, questions: DataFrame, path: str, company: str = "", note: str = "") -> None:
-    manifest_rows(files, questions, company, note).write.mode("overwrite").json(path)
+def write_manifest(files: DataFrame, questions: DataFrame, path: str, company: str = "", note: str = "",
+                   pack: str = "pack") -> None:
+    """One JSON line per pack."""
+    manifest_rows(files, questions, company, note, pack).write.mode("overwrite").json(path)

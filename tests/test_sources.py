@@ -38,7 +38,7 @@ def test_price_payload(spark, tmp_path):
 def test_lists(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps([{"name": "B", "symbol": "b"}, {"name": "A", "symbol": "a"}]))
     (tmp_path / "l.json").write_text(json.dumps({"good": 1.9, "bad": -2}))
-    assert [tuple(r) for r in readers.read_symbols(spark, str(tmp_path / "s.json")).orderBy("pos").collect()] == [(0, "b", "B"), (1, "a", "A")]
+    assert [tuple(r)[1:] for r in readers.read_symbols(spark, str(tmp_path / "s.json")).orderBy("pos").collect()] == [(0, "b", "B"), (1, "a", "A")]
     assert dict(readers.read_lexicon(spark, str(tmp_path / "l.json")).collect()) == {"good": 1.9, "bad": -2.0}
 
 
@@ -72,8 +72,8 @@ def test_csv(spark, tmp_path):
 
 
 def test_manifest_round_trip(spark, tmp_path):
-    files = spark.createDataFrame([(1, "b.pdf", "F"), (0, "a.pdf", "F")], "pos int, name string, folder string")
-    questions = spark.createDataFrame([(0, "A1", "Why?")], "pos int, id string, text string")
+    files = spark.createDataFrame([(7, 1, "b.pdf", "F"), (7, 0, "a.pdf", "F")], "pack int, pos int, name string, folder string")
+    questions = spark.createDataFrame([(7, 0, "A1", "Why?")], "pack int, pos int, id string, text string")
     writers.write_manifest(files, questions, str(tmp_path / "m"), "Co")
     f, q = readers.read_manifest(spark, str(tmp_path / "m"))
     assert [r.name for r in f.orderBy("pos").collect()] == ["a.pdf", "b.pdf"] and q.head().text == "Why?"
