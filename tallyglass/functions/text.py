@@ -70,7 +70,7 @@ def cell_text(text: Column | None = None, number: Column | None = None, stamp: C
     """One sheet cell as text: a whole number loses ``.0``, a midnight timestamp becomes a date."""
     parts = []
     if number is not None:
-        whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+        whole = (number == F.floor(number)) & (F.abs(number) < 9e18)
         parts.append(F.when(whole, number.cast("bigint").cast("string")).otherwise(number.cast("string")))
     if stamp is not None:
         midnight = stamp == F.date_trunc("day", stamp)

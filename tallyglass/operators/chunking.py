@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tallyglass.functions.text import PY_BLANK, SECTION_LIMIT, strip_blank
 from tallyglass.operators.ordered import Fold, fold_ordered, running_sum
+from tallyglass.scale import staged
 
 # Separators from coarse to fine, and default parameters.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
@@ -116,15 +117,21 @@ def chunk_units(units: DataFrame, strategy: str = "recursive", size: int = CHUNK
                 overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """units(file_id, unit_pos, text, ...) -> chunks(file_id, chunk_index, ..., text).
 
-    A unit's first chunk number is the count of chunks in the file's earlier units; the text is cut once and
-    the running count moves only with its own block of units.
+    A unit's first chunk number is the count of chunks in the file's earlier units.  The count and the chunks
+    are two readings of the same pieces: the costly strategies cut once and stage the pieces, of which the
+    count reads one narrow column; slicing is cheaper than writing and is simply done twice.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown chunk strategy {strategy!r}")
     kept = [c for c in units.columns if c not in ("file_id", "unit_pos", "text")]
-    pieces = units.select("file_id", "unit_pos", *kept, cut(F.col("text"), strategy, size, overlap).alias("_pieces"))
-    placed = running_sum(pieces, ["file_id"], "unit_pos", F.size("_pieces"), "_before")
-    return placed.select(
+    pieces = units.select(
+        "file_id", "unit_pos", *kept, cut(F.col("text"), strategy, size, overlap).alias("_pieces")
+    ).withColumn("_n", F.size("_pieces"))
+    if strategy in ("recursive", "by_paragraph"):
+        pieces = staged(pieces, "pieces")
+    counts = pieces.select("file_id", "unit_pos", "_n")
+    before = running_sum(counts, ["file_id"], "unit_pos", F.col("_n"), "_before").drop("_n")
+    return pieces.drop("_n").join(before, ["file_id", "unit_pos"]).select(
         "file_id", "unit_pos", *kept, "_before", F.posexplode("_pieces").alias("_i", "text")
     ).select(
         "file_id", (F.col("_before") + F.col("_i")).alias("chunk_index"), "unit_pos", *kept, "text"

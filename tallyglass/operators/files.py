@@ -76,12 +76,12 @@ class FileQuota(Fold):
     def step(self, state, rows):
         count, total = state
         pages = rows["page_equivalent"]
-        verdict = np.full(len(pages), "file limit reached", dtype=object)
+        verdict = np.full(len(pages), f"file limit reached ({self.max_files} per session)", dtype=object)
         for i, size in enumerate(pages):
             if count >= self.max_files:
                 break
             if total + size > self.max_pages:
-                verdict[i] = "page limit reached"
+                verdict[i] = f"would exceed the {self.max_pages}-page limit for this session"
             else:
                 verdict[i] = "ready"
                 count, total = count + 1, int(total + size)
@@ -170,7 +170,8 @@ def sheet_catalog(sheets: DataFrame, headers: DataFrame, limit: int = CATALOG_SH
     first = first_per_key(
         headers.join(F.broadcast(listed.select("pos")), "pos", "left_semi"), ["pos"], [F.col("col")], max_headers, "_n"
     )
-    quoted = F.concat(F.lit('"'), F.replace("header", F.lit('"'), F.lit('\\"')), F.lit('"'))
+    escaped = F.replace(F.replace("header", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    quoted = F.concat(F.lit('"'), escaped, F.lit('"'))
     names = first.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("col", quoted.alias("q")))).alias("_h"))
     path = joined_path(F.col("folder"), F.col("name"))
     line = F.concat(

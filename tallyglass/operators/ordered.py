@@ -108,16 +108,22 @@ class Fold:
         return False
 
 
-def _runs(pdf: pd.DataFrame, keys: Sequence[str]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
-    """Cut a sorted batch into runs of one key."""
+def _cuts(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
+    """Places where a sorted batch changes its key, the start included."""
     changed = np.zeros(len(pdf), dtype=bool)
-    if len(pdf):
-        changed[0] = True
+    changed[:1] = True
     for key in keys:
         column = pdf[key].to_numpy()
         changed[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(changed)
+
+
+def _runs(pdf: pd.DataFrame, keys: Sequence[str], last_only: bool = False) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+    """Cut a sorted batch into runs of one key."""
     columns = {name: pdf[name].to_numpy() for name in pdf.columns}
-    cuts = [*np.flatnonzero(changed), len(pdf)]
+    cuts = [*_cuts(pdf, keys), len(pdf)]
+    if last_only:
+        cuts = cuts[-2:]
     for begin, end in zip(cuts, cuts[1:]):
         yield tuple(columns[k][begin] for k in keys), {n: c[begin:end] for n, c in columns.items()}
 
@@ -185,11 +191,10 @@ def _edges(staged: DataFrame, keys: Sequence[str], fold: Fold, carried: dict, on
             pid = int(pdf["_pid"].iloc[0])
             if first is None and pid in states:
                 current, state = states[pid]
-            runs = list(_runs(pdf, keys))
-            first = first or runs[0][0]
+            first = first or tuple(pdf[k].iloc[0] for k in keys)
             # Only the last key leaves the partition, and it can only reach back to the previous batch
             # when the whole batch is one run.
-            key, rows = runs[-1]
+            key, rows = next(_runs(pdf, keys, last_only=True))
             if key != current:
                 current, state = key, fold.start()
             state, _ = fold.step(state, rows)

@@ -22,25 +22,29 @@ def next_close(prices: DataFrame) -> DataFrame:
     return prices.withColumn("next_close", F.lead("close").over(series))
 
 
-def price_on_or_after(dates: DataFrame, prices: DataFrame) -> DataFrame:
-    """Forward as-of join: for each distinct (symbol, date) the first price day on or after it.
+def _forward(dates: DataFrame, prices: DataFrame) -> DataFrame:
+    """Every row of ``dates`` (one per symbol and date) with ``_found``, the first price day on or after it.
 
-    ``prices`` may carry extra columns; they come along.  Dates past the last price give no row.
     One sort per symbol over the union of both sides, no inequality join.
     """
     carried = [c for c in prices.columns if c not in ("symbol", "date")]
-    wanted = dates.select("symbol", "date").distinct()
     price = F.struct(F.col("date").alias("price_date"), *carried)
-    both = wanted.select("symbol", "date", F.lit(1).alias("_wanted")).unionByName(
+    both = dates.withColumn("_wanted", F.lit(1)).unionByName(
         prices.select("symbol", "date", price.alias("_price")), allowMissingColumns=True
     )
     # Walking back from the last day keeps the frame a running one; a day's price comes before its request.
     back = Window.partitionBy("symbol").orderBy(F.col("date").desc(), F.col("_wanted").asc_nulls_first())
-    return (
-        both.withColumn("_found", F.last("_price", ignorenulls=True).over(back))
-        .where(F.col("_wanted").isNotNull() & F.col("_found").isNotNull())
-        .select("symbol", "date", "_found.*")
-    )
+    found = both.withColumn("_found", F.last("_price", ignorenulls=True).over(back))
+    return found.where(F.col("_wanted").isNotNull()).drop("_wanted", "_price")
+
+
+def price_on_or_after(dates: DataFrame, prices: DataFrame) -> DataFrame:
+    """Forward as-of join: for each distinct (symbol, date) the first price day on or after it.
+
+    ``prices`` may carry extra columns; they come along.  Dates past the last price give no row.
+    """
+    found = _forward(dates.select("symbol", "date").distinct(), prices)
+    return found.where(F.col("_found").isNotNull()).select("symbol", "date", "_found.*")
 
 
 def percent_change(base: Column, later: Column) -> Column:
@@ -98,15 +102,26 @@ def net_sentiment(daily: DataFrame) -> DataFrame:
 
 
 def stock_summary(symbols: DataFrame, headlines: DataFrame, prices: DataFrame, today: str, days: int) -> DataFrame:
-    """One row per symbol; a missing news or price side leaves nulls (counts 0), never drops the row."""
+    """One row per symbol; a missing news or price side leaves nulls (counts 0), never drops the row.
+
+    The headlines are read once: their daily means carry the as-of prices along and are summed up together.
+    """
     recent = daily_sentiment(horizon_filter(headlines, today, days))
-    returns = next_day_avg(next_day_return(recent, prices))
+    moved = _forward(recent, next_close(prices)).withColumn(
+        "next_day_pct", percent_change(F.col("_found.close"), F.col("_found.next_close"))
+    )
+    news = moved.groupBy("symbol").agg(
+        F.avg("avg_score").alias("net_sentiment"),
+        F.sum("n_headlines").alias("headline_count"),
+        F.count(F.lit(1)).alias("date_count"),
+        F.avg("next_day_pct").alias("next_day_avg_pct"),
+        F.count("next_day_pct").alias("next_day_sample_size"),
+    )
     zero = F.lit(0).cast("bigint")
     return (
         symbols.select("symbol").distinct()
-        .join(net_sentiment(recent), "symbol", "left")
+        .join(news, "symbol", "left")
         .join(horizon_move(prices, today, days), "symbol", "left")
-        .join(returns, "symbol", "left")
         .select(
             "symbol",
             F.coalesce("headline_count", zero).alias("headline_count"),

@@ -260,7 +260,7 @@ def token_valences(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
 
     A row with a null token per text carries the text's figures.  Boosters add 0 and are left out.
     """
-    words = broadcast_if_small(word_table(lexicon), max_broadcast_rows)
+    words = broadcast_if_small(word_table(lexicon), max_broadcast_rows, counted=lexicon)
     scored = words.where(F.col("valence").isNotNull() & F.col("boost").isNull())
     rows = lexicon_lookup(token_table(docs, id_col, text_col), scored)
     hits = rows.where(F.col("valence").isNotNull() | F.col("token").isNull())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.functions.text import (
-    count_chars, count_words, joined_path, natural_key, same_key, strip_blank, to_number,
+    cell_text, count_chars, count_words, joined_path, natural_key, same_key, strip_blank, to_number,
 )
 from tallyglass.scale import only_if
 
@@ -33,6 +33,27 @@ def number_of(df: DataFrame, column: str) -> Column:
     return F.lit(None).cast("double")
 
 
+def text_of(df: DataFrame, column: str) -> Column:
+    """A column as a sheet shows it: whole numbers without ``.0``, midnight timestamps as dates, blank as null."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+        shown = cell_text(number=F.col(column).cast("double"))
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        shown = cell_text(stamp=F.col(column))
+    else:
+        shown = F.col(column).cast("string")
+    return F.when(shown != "", shown)
+
+
+def find_column(df: DataFrame, name: str) -> str:
+    """The column of that name, whatever its case and outer blanks."""
+    wanted = name.strip().lower()
+    for column in df.columns:
+        if column.strip().lower() == wanted:
+            return column
+    raise ValueError(f"the sheet has no column “{name}” (columns: {', '.join(df.columns)})")
+
+
 def _literal_number(value) -> float | None:
     import re
 
@@ -46,11 +67,12 @@ def _literal_number(value) -> float | None:
 
 def predicate(df: DataFrame, column: str, op: str, value) -> Column:
     """One filter of a question.  Never null: an empty cell does satisfy ``not_equals``."""
+    column = find_column(df, column)
     number, given = number_of(df, column), _literal_number(value)
-    no = F.lit(False)
+    shown, no = text_of(df, column), F.lit(False)
     if op in ("equals", "not_equals"):
         # A constant with the column's own type on one side keeps the comparison pushable to the scan.
-        text = same_key(F.col(column)) == F.lit("" if value is None else str(value).strip().lower())
+        text = same_key(shown) == F.lit("" if value is None else str(value).strip().lower())
         if given is None:
             equal = text
         elif isinstance(df.schema[column].dataType, T.NumericType):
@@ -59,7 +81,7 @@ def predicate(df: DataFrame, column: str, op: str, value) -> Column:
             equal = F.when(number.isNotNull(), number == given).otherwise(text)
         return equal if op == "equals" else ~equal
     if op == "contains":
-        return F.lower(F.coalesce(F.col(column).cast("string"), F.lit(""))).contains(str(value).lower())
+        return F.lower(F.coalesce(shown, F.lit(""))).contains(str(value).lower())
     if op in ("greater_than", "less_than"):
         if given is None:
             return no
@@ -74,10 +96,10 @@ def sheet_filter(df: DataFrame, filters: Sequence[tuple]) -> DataFrame:
     return reduce(lambda out, f: out.where(predicate(df, *f)), filters, df)
 
 
-def category_of(category: str | None, blank: str = "(blank)") -> Column:
+def category_of(df: DataFrame, category: str | None) -> Column:
     if category is None:
         return F.lit("All selected rows")
-    return F.coalesce(F.col(category).cast("string"), F.lit(blank))
+    return F.coalesce(text_of(df, find_column(df, category)), F.lit("(blank)"))
 
 
 def series_name(column: str, aggregation: str) -> str:
@@ -92,6 +114,7 @@ def sheet_aggregate(df: DataFrame, category: str | None, values: Sequence[str],
     """
     if not values:
         raise ValueError("the proposal named no column to plot")
+    values = [find_column(df, v) for v in values]
     if aggregation not in AGGREGATIONS:
         aggregation = "sum"
     if aggregation == "none":
@@ -106,7 +129,7 @@ def sheet_aggregate(df: DataFrame, category: str | None, values: Sequence[str],
 
     grouped = (
         sheet_filter(df, filters)
-        .groupBy(category_of(category).alias("category"))
+        .groupBy(category_of(df, category).alias("category"))
         .agg(F.min(row).alias("first_row"), *[measure(c).alias(series_name(c, aggregation)) for c in values])
     )
     return category_sort(grouped, sort, series_name(values[0], aggregation))
@@ -135,7 +158,9 @@ def sheet_rows_listing(df: DataFrame, category: str, values: Sequence[str], filt
                        row: str = "row", max_rows: int = MAX_CATEGORIES) -> DataFrame:
     """Each row its own category.  More than ``max_rows`` rows is an error, not a cut."""
     kept = sheet_filter(df, filters)
-    label = F.coalesce(F.col(category).cast("string"), F.concat(F.lit("Row "), F.col(row).cast("string")))
+    values = [find_column(df, v) for v in values]
+    shown = text_of(df, find_column(df, category))
+    label = F.coalesce(shown, F.concat(F.lit("Row "), F.col(row).cast("string")))
     listed = kept.select(F.col(row), label.alias("category"), *[number_of(df, c).alias(c) for c in values])
     # Counting stops one row past the limit.
     over = kept.limit(max_rows + 1).agg(

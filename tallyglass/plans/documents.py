@@ -142,11 +142,11 @@ _FILES_SQL = """files AS (SELECT o_custkey AS session, o_orderkey AS pos, 1 + CA
 o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY pos) AS rn FROM files),
 r AS (
   SELECT session, pos, rn, pages, CASE WHEN pages <= 200 THEN 1 ELSE 0 END AS n, CASE WHEN pages <= 200 THEN pages ELSE 0 END AS total,
-    CASE WHEN pages <= 200 THEN 'ready' ELSE 'page limit reached' END AS verdict FROM o WHERE rn = 1
+    CASE WHEN pages <= 200 THEN 'ready' ELSE 'would exceed the 200-page limit for this session' END AS verdict FROM o WHERE rn = 1
   UNION ALL
   SELECT o.session, o.pos, o.rn, o.pages, CASE WHEN r.n < 6 AND r.total + o.pages <= 200 THEN r.n + 1 ELSE r.n END,
     CASE WHEN r.n < 6 AND r.total + o.pages <= 200 THEN r.total + o.pages ELSE r.total END,
-    CASE WHEN r.n >= 6 THEN 'file limit reached' WHEN r.total + o.pages > 200 THEN 'page limit reached' ELSE 'ready' END
+    CASE WHEN r.n >= 6 THEN 'file limit reached (6 per session)' WHEN r.total + o.pages > 200 THEN 'would exceed the 200-page limit for this session' ELSE 'ready' END
   FROM r JOIN o ON o.session = r.session AND o.rn = r.rn + 1)
 SELECT session, pos, pages AS page_equivalent, verdict FROM r""")
 def _(t):

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """Hint a broadcast when the side is proven small, else leave the join to Catalyst and AQE.
 
-    The check reads at most ``max_rows + 1`` rows.  Past the bound the same join runs as a shuffled
-    join, where AQE splits skewed partitions, so the result never depends on the check.
+    The check reads at most ``max_rows + 1`` rows, of ``counted`` where the side itself is derived from it row by
+    row.  Past the bound the same join runs as a shuffled join, where AQE splits skewed partitions, so the
+    result never depends on the check.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
+    probe = df if counted is None else counted
+    small = probe.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if small else df
 
 
@@ -51,6 +53,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a costly intermediate once as a table in the shared folder and go on from there, column by column."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def only_if(df: DataFrame, problem: DataFrame) -> DataFrame:
     """Return ``df``, or fail when the one-row ``problem(message)`` frame carries a message.
 

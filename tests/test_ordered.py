@@ -64,9 +64,9 @@ def test_file_quota_refused_files_use_nothing(spark, many_partitions):
         count = total = 0
         for _, pos, pages in [r for r in rows if r[0] == key]:
             if count >= 8:
-                want = "file limit reached"
+                want = "file limit reached (8 per session)"
             elif total + pages > 150:
-                want = "page limit reached"
+                want = "would exceed the 150-page limit for this session"
             else:
                 want, count, total = "ready", count + 1, total + pages
             assert got[pos] == want

@@ -59,6 +59,14 @@ def test_groups_and_sorts(sheet):
     assert [(r.category, r.Units) for r in total] == [("All selected rows", 19.0)]
 
 
+def test_columns_are_found_like_labels_and_numbers_group_as_shown(spark):
+    df = spark.createDataFrame([(1, 5.0, 2.0), (2, 5.5, 1.0), (3, None, 4.0)], "row int, Size double, `Net revenue` double")
+    got = S.sheet_aggregate(df, " size", ["net Revenue "], "sum").collect()
+    assert [(r.category, r["Net revenue"]) for r in got] == [("5", 2.0), ("5.5", 1.0), ("(blank)", 4.0)]
+    with pytest.raises(ValueError, match="columns: row, Size, Net revenue"):
+        S.sheet_aggregate(df, "Colour", ["Size"])
+
+
 def test_listing_refuses_too_many_rows(sheet):
     assert [r.category for r in S.sheet_rows_listing(sheet, "Region", ["Units"]).collect()][2] == "Row 4"
     with pytest.raises(Exception, match="more than 3 rows"):
@@ -66,10 +74,10 @@ def test_listing_refuses_too_many_rows(sheet):
 
 
 def test_column_without_numbers_is_refused(sheet):
-    grouped = S.sheet_aggregate(sheet, "Region", ["Region"], "sum")
+    grouped = S.sheet_aggregate(sheet, "Units", ["Region"], "sum")
     with pytest.raises(Exception, match="has no numbers"):
         S.reject_empty_series(grouped, ["Region"]).collect()
-    fine = S.sheet_aggregate(sheet, "Row", ["Units"], "sum") if "Row" in sheet.columns else S.sheet_aggregate(sheet, "Region", ["Units"])
+    fine = S.sheet_aggregate(sheet, "Region", ["Units"])
     assert S.reject_empty_series(fine, ["Units"]).count() == 6
 
 
