@@ -139,7 +139,11 @@ def chunk_units(units: DataFrame, strategy: str = "recursive", size: int = CHUNK
 
 
 class RowPacking(Fold):
-    """Rows of one file in order -> the position of the row that opens each row's chunk."""
+    """Rows of one file in order -> the position of the row that opens each row's chunk.
+
+    The state is (sheet, used length, opening position); a step jumps from chunk to chunk by binary search in
+    the running length.
+    """
 
     def __init__(self, size: int):
         self.size = size
@@ -148,13 +152,22 @@ class RowPacking(Fold):
         return None
 
     def step(self, state, rows):
-        positions, sheets, lengths = rows["unit_pos"], rows["sheet"], rows["_length"]
+        positions, sheets = rows["unit_pos"], rows["sheet"]
+        total = np.concatenate([[0], np.cumsum(rows["_length"].astype(np.int64) + 1)])
+        turns = np.append(np.flatnonzero(sheets[1:] != sheets[:-1]) + 1, len(sheets))
         opened = np.empty(len(positions), dtype=np.int64)
-        for i in range(len(positions)):
-            full = state is None or sheets[i] != state[0] or state[1] + lengths[i] > self.size
-            sheet, used, first = (sheets[i], 0, int(positions[i])) if full else state
-            state = (sheet, int(used + lengths[i] + 1), first)
-            opened[i] = first
+        at = 0
+        while at < len(positions):
+            fresh = state is None or sheets[at] != state[0]
+            used, first = (0, int(positions[at])) if fresh else state[1:]
+            # A row fits while the length before it, plus its own, stays within the size.
+            fits = int(np.searchsorted(total[1:], self.size + 1 - used + total[at], side="right"))
+            upto = min(max(fits, at + 1 if fresh else at), int(turns[np.searchsorted(turns, at, side="right")]))
+            opened[at:upto] = first
+            state = (sheets[at], int(used + total[upto] - total[at]), first) if upto > at else None
+            at = upto
+            if at < len(positions) and state is not None and sheets[at] == state[0]:
+                state = None   # the chunk is full: the next row opens a new one
         return state, opened
 
 

@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from typing import Any
 
@@ -142,20 +143,27 @@ def fold_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold:
         df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
         .withColumn("_pid", F.spark_partition_id())
     )
-    carried: dict[int, tuple] = {}
-    edges = _edges(staged, keys, fold, carried, None)
+    edges = _edges(staged, keys, fold, {}, None)
+    assumed: dict[int, tuple] = {}
+    before = None
     while True:
         wanted = _carry(edges, fold)
         stale = [
-            p for p, carry in wanted.items()
-            if edges[p]["single"] and carried.get(p) != carry and not fold.final(carry[1])
+            p for p, carry in sorted(wanted.items())
+            if edges[p]["single"] and assumed.get(p) != carry and not fold.final(carry[1])
         ]
-        carried = wanted
         if not stale:
             break
-        edges.update(_edges(staged, keys, fold, carried, stale))
+        # The first stale partition of a key has its true state.  The later ones are tried as well while
+        # states keep agreeing early; once each round settles only one, the rest would be tried in vain.
+        first = list({edges[p]["first"]: p for p in reversed(stale)}.values())
+        again = stale if before is None or before - len(stale) > len(first) else first
+        before = len(stale)
+        tried = {p: wanted[p] for p in again}
+        edges.update(_edges(staged, keys, fold, tried, again))
+        assumed.update(tried)
     schema = T.StructType([*staged.schema.fields, T.StructField(name, output)])
-    states = dict(carried)
+    states = wanted
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
@@ -177,13 +185,10 @@ def fold_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold:
 
 
 def _edges(staged: DataFrame, keys: Sequence[str], fold: Fold, carried: dict, only: list[int] | None) -> dict:
-    """First key, last key and leaving state of every partition: one small row each."""
+    """First key, last key and leaving state of every partition, or of some: one small row each."""
     states = dict(carried)
-    wanted = staged if only is None else staged.where(F.col("_pid").isin(only))
 
     def report(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pickle
-
         first, current, state, pid = None, None, None, -1
         for pdf in batches:
             if not len(pdf):
@@ -201,10 +206,12 @@ def _edges(staged: DataFrame, keys: Sequence[str], fold: Fold, carried: dict, on
         if first is not None:
             yield pd.DataFrame({"pid": [pid], "edge": [pickle.dumps((first, current, state))]})
 
-    import pickle
-
-    columns = [*keys, *[c for c in staged.columns if c not in keys]]
-    found = wanted.select(*columns).mapInPandas(report, "pid int, edge binary").collect()
+    reports = staged.mapInPandas(report, "pid int, edge binary")
+    if only is None:
+        found = reports.collect()
+    else:
+        # Read nothing but the partitions asked for; a filter would still open all of them.
+        found = staged.sparkSession.sparkContext.runJob(reports.rdd, list, only)
     edges = {}
     for row in found:
         first, last, state = pickle.loads(bytes(row["edge"]))

@@ -54,14 +54,11 @@ def _(t):
     return t.pages.select("page_id", F.md5(text.attr_escape(F.col("html"))).alias("digest"))
 
 
-@query("redact_secrets", """SELECT doc_id, md5(regexp_replace(replace(text || ' key sk-' || md5(text), source, '[redacted]'),
-'\\b(sk|AIza|gsk|xai)[-_A-Za-z0-9*]{8,}', '[redacted]', 'g')) AS digest,
-contains(text || ' key sk-' || md5(text), 'sk-') AS had_key FROM documents WHERE source = 'src1'""")
-def _(t):
-    keyed = F.concat("text", F.lit(" key sk-"), F.md5("text"))
-    docs = t.documents.where(F.col("source") == "src1")
-    return docs.select(
-        "doc_id", F.md5(text.redact_secrets(keyed, "src1")).alias("digest"), keyed.contains("sk-").alias("had_key"))
+@query("redact_secrets", """SELECT doc_id, md5(regexp_replace(replace(text || ' key sk-' || md5(text) || source, 'src1', '[redacted]'),
+'\\b(sk|AIza|gsk|xai)[-_A-Za-z0-9*]{8,}', '[redacted]', 'g')) AS digest FROM documents""")
+def _(t):
+    keyed = F.concat("text", F.lit(" key sk-"), F.md5("text"), F.col("source"))
+    return t.documents.select("doc_id", F.md5(text.redact_secrets(keyed, "src1")).alias("digest"))
 
 
 @query("source_label", """SELECT l_orderkey, l_linenumber, l_partkey, 'Orders/' || l_suppkey || '.xlsx' || CASE

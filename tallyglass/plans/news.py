@@ -244,7 +244,7 @@ def _(t):
 
 @query("merge_lexicons", f"""WITH {TOKENS_SQL},
 fin AS (SELECT DISTINCT lower(p_name) AS token, (p_partkey % 9 - 4)::DOUBLE AS v, p_partkey FROM part
-  UNION ALL SELECT token, 3.0, -1 FROM lex WHERE token < 'e'),
+  UNION ALL SELECT token, 3.0, -1 FROM lex WHERE valence > 2),
 f AS (SELECT token, arg_min(v, p_partkey) AS v FROM fin GROUP BY 1)
 SELECT coalesce(l.token, f.token) AS token, round(coalesce(f.v * 0.1, l.valence), 6) AS valence
 FROM lex l FULL JOIN f ON f.token = l.token""")
@@ -252,7 +252,7 @@ def _(t):
     base = durable(t.lexicon())
     named = t.part.select(
         F.lower("p_name").alias("token"), (F.col("p_partkey") % 9 - 4).cast("double").alias("v"), "p_partkey")
-    shared = base.where(F.col("token") < "e").select("token", F.lit(3.0).alias("v"), F.lit(-1).alias("p_partkey"))
+    shared = base.where("valence > 2").select("token", F.lit(3.0).alias("v"), F.lit(-1).alias("p_partkey"))
     finance = named.unionByName(shared).groupBy("token").agg(F.min_by("v", "p_partkey").alias("valence"))
     return S.merge_lexicons(base, finance).withColumn("valence", F.round("valence", 6))
 

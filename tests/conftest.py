@@ -27,7 +27,8 @@ def tables(spark):
 @pytest.fixture
 def many_partitions(spark):
     """Keep small shuffles apart, so that one key really spans several tasks."""
-    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7",
+             "spark.sql.execution.arrow.maxRecordsPerBatch": "20"}
     before = {k: spark.conf.get(k) for k in names}
     for k, v in names.items():
         spark.conf.set(k, v)
