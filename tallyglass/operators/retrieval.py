@@ -25,6 +25,7 @@ TOP_K, MAX_TOP_K, MIN_SIMILARITY, MMR_LAMBDA, POOL_FACTOR = 6, 15, 0.45, 0.7, 4
 
 MAX_QUERY_ROWS = 4096     # queries that may travel as one matrix
 BLOCK_ROWS = 8192         # rows of a grid block
+QUERY_STEP = 256          # queries multiplied at once
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -42,15 +43,21 @@ def _matrix(column: pa.Array | pa.ChunkedArray, count: int) -> np.ndarray:
 def _candidates(vectors: np.ndarray, queries: np.ndarray, threshold: float, k: int | None) -> tuple[np.ndarray, ...]:
     """(vector row, query row, similarity) of the pairs to keep: above the threshold, ``k`` best per query.
 
-    Rows tied with the k-th best are all kept; the exact order is settled by the caller's ranking.
+    Rows tied with the k-th best are all kept; the exact order is settled by the caller's ranking.  Queries are
+    taken a few at a time, so the product of a large batch stays small.
     """
-    sims = vectors @ queries.T
-    keep = sims >= threshold
-    if k is not None and len(vectors) > k:
-        kth = -np.partition(-sims, k - 1, axis=0)[k - 1]
-        keep &= sims >= kth
-    v, q = np.nonzero(keep)
-    return v, q, sims[v, q]
+    parts = []
+    for start in range(0, len(queries), QUERY_STEP):
+        sims = vectors @ queries[start:start + QUERY_STEP].T
+        keep = sims >= threshold
+        if k is not None and len(vectors) > k:
+            kth = -np.partition(-sims, k - 1, axis=0)[k - 1]
+            keep &= sims >= kth
+        v, q = np.nonzero(keep)
+        parts.append((v, q + start, sims[v, q]))
+    if not parts:
+        return np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0)
+    return tuple(np.concatenate(column) for column in zip(*parts))
 
 
 def _pair_schema(vectors: DataFrame, id_col: str, queries: DataFrame, query_col: str) -> T.StructType:

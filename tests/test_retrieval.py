@@ -101,3 +101,12 @@ def test_search_plan_has_no_cross_join(tables):
     asked = tables.benchmark.select(F.col("item_id").alias("query_id"), V.hash_embed(F.col("text")).alias("embedding"))
     plan = R.search(docs, asked)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("few", [4096, 0])
+def test_queries_taken_a_few_at_a_time(data, monkeypatch, few):
+    vectors, queries, *_ = data
+    key = lambda df: sorted((r.query_id, r.n, r.chunk_id) for r in df.collect())
+    whole = key(R.vector_topk(vectors, queries, 4, 0.1, max_query_rows=few, block_rows=100))
+    monkeypatch.setattr(R, "QUERY_STEP", 2)
+    assert key(R.vector_topk(vectors, queries, 4, 0.1, max_query_rows=few, block_rows=100)) == whole
