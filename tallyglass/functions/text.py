@@ -188,7 +188,7 @@ def sentiment_label(value: Column) -> Column:
 
 
 def is_supported(name: Column) -> Column:
-    return F.lower(name).rlike(r"\.(pdf|docx|xlsx|xlsm)$")
+    return F.lower(name).rlike("(" + "|".join(SUPPORTED_SUFFIXES).replace(".", r"\.") + ")$")
 
 
 def is_hidden(name: Column) -> Column:

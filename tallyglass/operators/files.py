@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.functions.text import (
-    SUPPORTED_SUFFIXES, basename, dirname, is_hidden, is_supported, joined_path, normalize_folder, refusal_reason,
+    basename, dirname, is_hidden, joined_path, normalize_folder, refusal_reason,
 )
 from tallyglass.operators.ordered import Fold, first_per_key, fold_ordered
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.functions.text import (
-    cell_text, count_chars, count_words, joined_path, natural_key, same_key, strip_blank, to_number,
+    cell_text, count_chars, count_words, natural_key, same_key, to_number,
 )
 from tallyglass.scale import only_if
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyglass.functions import text
-from tallyglass.functions.text import JS_BLANK, PY_BLANK
+from tallyglass.functions.text import PY_BLANK
 from tallyglass.operators import chunking as C
 from tallyglass.operators import files as L
 from tallyglass.operators import retrieval as R

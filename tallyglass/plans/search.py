@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyglass.functions import text, vectors
-from tallyglass.functions.text import JS_BLANK
 from tallyglass.operators import answers as A
 from tallyglass.operators import events as E
 from tallyglass.operators import lookup as K

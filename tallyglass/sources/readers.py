@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions.dates import ist_date_of_seconds
 from tallyglass.functions.text import (
-    basename, blank_to_null, decode_entities, host_of_link, source_fallback, strip_source, strip_source_tagged,
+    basename, blank_to_null, decode_entities, source_fallback, strip_source, strip_source_tagged,
 )
 from tallyglass.operators.ordered import first_per_key
 
