@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,10 +35,16 @@ def spread(scan: DataFrame, *ids: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is named (tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a session of one process (tests) gets a folder of its own; a cluster must name one, since
+    its executors do not share the driver's disk.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyglass-checkpoint-"))
     return context.getCheckpointDir()
 
