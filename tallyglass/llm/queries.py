@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import exact_dedup, simhash_dedup, url_filter
+from tallyglass.llm import exact_dedup, line_dedup, quality_rules, simhash_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,34 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---------------------------------------------------------------- 2
+
+_BLANKS_SQL = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query("op2_line_dedup", f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+keyed AS (SELECT *, {_sql_lower(f"trim(line, {_BLANKS_SQL})")} AS key FROM lines),
+repeated AS (SELECT key, min(doc_id) AS low FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1)
+SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (r.low < k.doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (r.low IS NULL OR r.low = k.doc_id), '')) AS kept_sha256
+FROM keyed k LEFT JOIN repeated r ON r.key = k.key GROUP BY k.doc_id""")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+# ---------------------------------------------------------------- 4
+
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents marked as good stand for the trusted source."""
+    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+
+
+@query("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))

@@ -42,18 +42,18 @@ def test_components_equal_brute_force(spark, tables):
 def test_links_of_crowded_prefixes(spark):
     """Values that share a long prefix, or hang together in chains, are split into small node pairs without losing links."""
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
     values = set(base.tolist())
     for b in base.tolist():
         for _ in range(12):
             b ^= sum(1 << int(x) for x in rng.choice(64, rng.integers(1, 5), replace=False))
             values.add(b)
-    values |= {(0xABCDEF << 40) | int(x) for x in rng.integers(0, 1 << 14, 100)}
+    values |= {(0xABCDEF << 40) | int(x) << 26 for x in rng.integers(0, 1 << 14, 80)}
     ids = sorted(values)
     want = plain_components({i: i for i in ids})
     signed = [(v - (1 << 64) if v >> 63 else v,) for v in ids]
     table = spark.createDataFrame(signed, "print bigint")
-    for size in (24, 100_000):
+    for size in (48, 100_000):
         links = simhash_dedup.near_links(table, len(ids), group_size=size).collect()
         joined = {i: i for i in ids}
 
