@@ -121,7 +121,7 @@ def _judged(rows: DataFrame, text: Column, weights: Column, threshold: float) ->
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  threshold: float = -0.3, max_trusted: int = 200_000) -> DataFrame:
+                  threshold: float = -0.2, max_trusted: int = 200_000) -> DataFrame:
     """One row per document: ``doc_id``, the statistics, ``base_failed``, ``kept`` and ``log_ratio``.
 
     Words are runs without the blanks U+0020 and U+0009 to U+000D; a null text has none and fails.  ``log_ratio`` is
@@ -137,7 +137,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_poor(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-              threshold: float = -0.3, max_trusted: int = 200_000) -> DataFrame:
+              threshold: float = -0.2, max_trusted: int = 200_000) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns as they are."""
     weights = ngram_model(docs, trusted, id_col, text_col, max_trusted).scalar()
     rows = packed(docs, text=whole_text(text_col))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyglass.llm import exact_dedup, line_dedup, quality_rules, simhash_dedup, url_filter
+from tallyglass.llm import chat, exact_dedup, line_dedup, packing, quality_rules, simhash_dedup, url_filter, word_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +116,71 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_quality_rules")
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- 9
+
+DELTA_CHARS = 1000
+CONTROL = "\\### Assistant: </turn> ok"
+
+
+def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log behind ``conversations``: each row a message that was streamed in deltas of ``DELTA_CHARS`` characters.
+
+    Messages are numbered in order of turn, then role and text, so that repeated rows stay messages of their own.
+    """
+    extra = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    text = F.coalesce("text", F.lit(""))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    numbered = rows.select("conv_id", "role", text.alias("text"), F.row_number().over(order).cast("bigint").alias("message"))
+    last = F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / DELTA_CHARS).cast("int")
+    streamed = numbered.select("*", F.explode(F.sequence(F.lit(0), last)).alias("part"))
+    return streamed.select(
+        "conv_id", F.col("part").cast("bigint").alias("seq"), "message", F.lit("delta").alias("op"), "role",
+        F.substring("text", F.col("part") * DELTA_CHARS + 1, F.lit(DELTA_CHARS)).alias("text"))
+
+
+@query("op9_chat_format", f"""
+WITH every AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', {"'" + CONTROL + "'"} UNION ALL SELECT -7, 1, 'assistant', {"'" + CONTROL + "'"}),
+written AS (
+  SELECT *, replace(replace(replace(replace(text, '\\', '\\\\'), '<turn', '<\\turn'), '</turn', '<\\/turn'), '##', '#\\#') AS body,
+    replace(replace(replace(replace(replace(role, '\\', '\\\\'), '<turn', '<\\turn'), '</turn', '<\\/turn'), '##', '#\\#'), ':', '\\:')
+      AS head FROM every)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(body) + length(head) + {len(chat.OPEN) + len(chat.COLON) + len(chat.CLOSE)}) AS BIGINT) AS formatted_chars
+FROM written GROUP BY conv_id""")
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat.format_chats(chat_events(spark, sf_dir))
+    read = chats.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"),
+                        chat.under_loss(F.col("formatted"), F.col("loss_spans")).alias("learnt"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learnt = F.array_join("learnt", "")
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length(learnt).cast("bigint").alias("loss_chars"), F.sha2(learnt.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+# ---------------------------------------------------------------- 3
+
+CAPACITY, END_ID = 4096, 1
+
+
+def packed_digest(docs: DataFrame) -> DataFrame:
+    """Where every piece of every document goes, with a digest of its ids in their place."""
+    pieces = word_tokens.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID, CAPACITY)
+    return packing.pack_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), CAPACITY)
+
+
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digest(table(spark, sf_dir, "documents")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
