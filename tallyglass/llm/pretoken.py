@@ -8,8 +8,8 @@ from collections.abc import Callable
 import regex
 
 # Fixed values of Unicode: White_Space, and the letters and numbers below U+0300.
-BLANKS = "\t-\r \x85\xa0  -     　"
-LATIN_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ˁˆ-ˑˠ-ˤˬˮ"
+BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LATIN_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02c1\u02c6-\u02d1\u02e0-\u02e4\u02ec\u02ee"
 LATIN_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 BEYOND_LATIN = re.compile("[^\x00-\u02ff]")
 
