@@ -45,6 +45,11 @@ def _covered(windows: Column) -> Column:
         let(let(placed, repeated), length))
 
 
+def repeated_words(words: Column) -> Column:
+    """Words in windows of ``WINDOW`` that the text holds twice or more, the first included."""
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(_windows(h, WINDOW), _covered))
+
+
 def _repeated_lines(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^ \t-\r]"))
     return let(lines, lambda x: _count(x) - _count(F.array_distinct(x)))
@@ -98,7 +103,7 @@ def quality_columns(text: Column, weights: Column) -> Column:
             def fit(grams: Column) -> Column:
                 total = F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get(weights, b))
                 return F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(F.lit(0.0))
-            return F.struct(_covered(_windows(hashes, WINDOW)).alias("n_repeat_words"), let(_buckets(hashes), fit).alias("ratio"))
+            return F.struct(let(_windows(hashes, WINDOW), _covered).alias("n_repeat_words"), let(_buckets(hashes), fit).alias("ratio"))
         found = let(F.transform(words, lambda w: F.xxhash64(w)), by_hash)
         return F.struct(_count(words).alias("n_words"), found.alias("found"))
     bare = F.length(F.regexp_replace(text, BLANKS, "")).cast("bigint")

@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyglass.llm import byte_bpe, chat, exact_dedup, line_dedup, packing, quality_rules, simhash_dedup, url_filter, word_tokens
+from tallyglass.llm import (
+    byte_bpe, chat, exact_dedup, line_dedup, packing, pii, quality_classifier, quality_rules, simhash_dedup, url_filter,
+    word_tokens,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -195,3 +198,27 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = byte_bpe.decode(coded, path)
     return both.select("doc_id", F.floor(F.length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# ---------------------------------------------------------------- 7
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    model = quality_classifier.learn(docs, labels, "quality")
+    scored = quality_classifier.quality_scores(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+# ---------------------------------------------------------------- 8
+
+PSEUDONYM_KEY = b"key of the test tables"
+
+
+@query("op8_pii_pseudonyms")
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY, counts_col="counts")
+    return masked.select("doc_id", "text", *[F.col("counts")[i].alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)])
