@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,31 +13,40 @@ from pyspark.sql import functions as F
 from tallyglass.llm.common import whole_text
 from tallyglass.llm.pretoken import BEYOND_LATIN, splitter
 
-# Words a worker remembers; it starts over beyond that, so its memory does not grow with the corpus.
-REMEMBERED = 400_000
+# Words a worker remembers in each of two generations, so its memory does not grow with the corpus.
+REMEMBERED = 500_000
 ID_BYTES = 4
 _ENCODERS: dict[str, Callable[[str], bytes]] = {}
 
 
 class _Words(dict):
-    """Ids of words as bytes; a new word is encoded by the library once."""
+    """Ids of words as bytes.  When full, all words become the older generation; those met again come back."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        ids = self[word] = self.encode(word)
+        ids = self[word] = self.older.get(word) or self.encode(word)
         return ids
 
 
+def byte_characters() -> dict[int, str]:
+    """How byte-level files spell bytes: printable Latin-1 as it is, the rest from U+0100 on in order."""
+    printable = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173]
+    rest = [b for b in range(256) if b not in printable]
+    return {**{b: chr(b) for b in printable}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
 def encoder(path: str) -> Callable[[str], bytes]:
     """Text to ids (unsigned 32-bit, little-endian), as the library's ``encode(text, add_special_tokens=False)``.
 
     Texts of Latin letters are lower-cased and split here, which gives the same words as the file's own normaliser and
-    splitter, and encoded word by word.  Any other text, or one with a special token's opening, goes to the library.
+    splitter, and the library's model encodes word by word.  Any other text, or one with a special token's opening,
+    goes to the library whole.
     """
     if path in _ENCODERS:
         return _ENCODERS[path]
@@ -47,15 +57,16 @@ def encoder(path: str) -> Callable[[str], bytes]:
         shape = json.load(file)
     split = splitter(shape["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
     marks = {t["content"][:2] for t in shape["added_tokens"]}
+    spelling, merge = byte_characters(), whole.model.tokenize
 
-    def by_library(text: str) -> bytes:
-        return b"".join(i.to_bytes(ID_BYTES, "little") for i in whole.encode(text, add_special_tokens=False).ids)
+    def by_model(word: str) -> bytes:
+        return array("I", [t.id for t in merge(word.encode().decode("latin-1").translate(spelling))]).tobytes()
 
-    words = _Words(by_library)
+    words = _Words(by_model)
 
     def encode(text: str) -> bytes:
         if BEYOND_LATIN.search(text) or any(m in text for m in marks):
-            return by_library(text)
+            return array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(words.__getitem__, split(text.lower())))
 
     _ENCODERS[path] = encode
