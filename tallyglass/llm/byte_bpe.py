@@ -3,25 +3,22 @@
 from __future__ import annotations
 
 import base64
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.llm.common import let, whole_text
 from tallyglass.llm.pretoken import splitter
-from tallyglass.scale import staged
 
 # The rank map is an array of small maps by hash, since a map of Spark is searched from its first entry on.
 SLOTS = 1 << 16
 # A piece is written as the character FIRST + rank; NONE lies above all of them and below the surrogates.
 FIRST, NONE = 0x100, "\ud7ff"
 # Characters of text that make up a block, and words after which a task starts its numbering over.
-BLOCK_CHARS, RENUMBER = 1 << 21, 1 << 20
+BLOCK_CHARS, RENUMBER = 1 << 20, 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -86,54 +83,45 @@ def encoded_word(word: Column, ranks: Column, alphabet: tuple[str, str]) -> Colu
 
     def fold(bytes_: Column) -> Column:
         steps = F.sequence(F.lit(1), F.length(bytes_) - 1)
-        pairs = F.array_join(F.transform(steps, lambda i: _merge(ranks, F.substring(bytes_, i.cast("int"), F.lit(2)))), "")
-        return F.aggregate(steps, F.struct(bytes_.alias("p"), pairs.alias("m")), step, lambda s: s["p"])
+        pairs = F.array_join(F.transform(steps, lambda i: _merge(ranks, F.substring(bytes_, i, F.lit(2)))), "")
+        start = let(pairs, lambda m: F.struct(bytes_.alias("p"), m.alias("m"), _least(m).alias("new")))
+        return F.aggregate(steps, start, step, lambda s: s["p"])
 
     def step(state: Column, _: Column) -> Column:
-        least = F.array_min(F.split(state["m"], ""))
-        return let(least, lambda new: F.when((new == NONE) | (new == ""), state).otherwise(
-            let(F.call_function("locate", new, state["m"]), lambda i: _merged(state, i, new, ranks))))
+        return F.when(state["new"] == NONE, state).otherwise(
+            let(F.call_function("locate", state["new"], state["m"]), lambda i: _merged(state, i, ranks)))
 
     return let(spelt, lambda b: let(_merge(ranks, b), lambda own: F.when(own != NONE, own).when(F.length(b) < 2, b).otherwise(fold(b))))
 
 
-def _merged(state: Column, i: Column, new: Column, ranks: Column) -> Column:
-    """The state after the pieces ``i`` and ``i + 1`` (from 1) became ``new``."""
-    p, m, rest = state["p"], state["m"], F.lit(1 << 30)
-    one = F.lit(1)
+def _least(merges: Column) -> Column:
+    """The least character; ``NONE`` for an empty string."""
+    return F.when(merges == "", NONE).otherwise(F.array_min(F.split(merges, "")))
+
+
+def _merged(state: Column, i: Column, ranks: Column) -> Column:
+    """The state after the pieces ``i`` and ``i + 1`` (from 1) became one."""
+    p, m, new, rest, one = state["p"], state["m"], state["new"], F.lit(1 << 30), F.lit(1)
     pieces = F.concat(F.substring(p, one, i - 1), new, F.substring(p, i + 2, rest))
     before = F.when(i > 1, F.concat(F.substring(m, one, i - 2), _merge(ranks, F.concat(F.substring(p, i - 1, one), new)))).otherwise("")
     after = F.when(i < F.length(m), F.concat(_merge(ranks, F.concat(new, F.substring(p, i + 2, one))), F.substring(m, i + 2, rest))).otherwise("")
-    return F.struct(pieces.alias("p"), F.concat(before, after).alias("m"))
-
-
-def _packed_refs(refs: list[int]) -> bytes:
-    """Numbers of words in four planes of bytes, compressed; most are small, so the upper planes nearly vanish."""
-    return zlib.compress(np.array(refs, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-
-
-def _refs(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return let(F.concat(before, after), lambda merges: F.struct(pieces.alias("p"), merges.alias("m"), _least(merges).alias("new")))
 
 
 def _blocks(docs: DataFrame, pattern: str) -> DataFrame:
-    """A written table of documents in blocks: ``keys``, ``sizes`` (words per document), ``refs`` (numbers of their
-    words) and ``words``, those that the ``part`` meets for the first time, numbered from ``first`` on.
-
-    A part is what one task has read since it last started its numbering over.
+    """Documents in blocks: ``keys``, ``sizes`` (words per document), ``refs`` (numbers of their words) and ``words``,
+    those that the task meets for the first time, numbered from ``first`` on; at 0 it has started over.
     """
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known, new, block = splitter(pattern), {}, [], ([], [], [])
-        part, chars = TaskContext.get().partitionId() << 32, 0
+        find, known, new, block, chars = splitter(pattern), {}, [], ([], [], []), 0
 
         def flush() -> pa.RecordBatch:
             keys, sizes, refs = block
             row = pa.RecordBatch.from_arrays([
-                pa.array([part], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
-                pa.array([_packed_refs(refs)], pa.binary()), pa.array([[w.encode() for w in new]], pa.list_(pa.binary())),
-                pa.array([len(known) - len(new)], pa.int64()),
-            ], names=["part", "keys", "sizes", "refs", "words", "first"])
+                pa.array([keys], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
+                pa.array([np.array(refs, "<u4").tobytes()], pa.binary()),
+                pa.array([[w.encode() for w in new]], pa.list_(pa.binary())), pa.array([len(known) - len(new)], pa.int64()),
+            ], names=["keys", "sizes", "refs", "words", "first"])
             for filled in (*block, new):
                 filled.clear()
             return row
@@ -155,24 +143,10 @@ def _blocks(docs: DataFrame, pattern: str) -> DataFrame:
                     chars = 0
                     if len(known) > RENUMBER:
                         known.clear()
-                        part += 1
         if block[0]:
             yield flush()
 
-    schema = "part bigint, keys array<bigint>, sizes array<int>, refs binary, words array<binary>, first bigint"
-    return staged(docs.mapInArrow(split, schema), "word-blocks")
-
-
-def _dictionary(words: DataFrame, spread: int, ranks: Column, alphabet: tuple[str, str]) -> DataFrame:
-    """``word, pieces`` for every distinct word.
-
-    Distinct words are encoded in batches of ``spread`` rows of the exploded words at most, since the rank map comes
-    along with every row that uses it.
-    """
-    distinct = words.select("word").distinct()
-    batches = distinct.groupBy(F.pmod(F.xxhash64("word"), F.lit(spread)).alias("batch")).agg(F.collect_list("word").alias("words"))
-    coded = F.transform("words", lambda w: F.struct(w.alias("word"), encoded_word(w, F.col("ranks"), alphabet).alias("pieces")))
-    return batches.withColumn("ranks", ranks).select(F.explode(coded).alias("e")).select("e.*")
+    return docs.mapInArrow(split, "keys array<bigint>, sizes array<int>, refs binary, words array<binary>, first bigint")
 
 
 def _joined(starts: np.ndarray, sizes: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,65 +156,56 @@ def _joined(starts: np.ndarray, sizes: np.ndarray, refs: np.ndarray) -> tuple[np
     return np.repeat(starts[refs] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0), each
 
 
-def _unblocked(blocks: DataFrame, numbered: DataFrame) -> DataFrame:
-    """``doc_id, ids`` from the blocks and the pieces ``part, number, pieces`` of their words.
-
-    Both travel to the part's task; sorting puts a part's words, by number, before its blocks.
-    """
-    none = F.lit(None)
-    words = numbered.select("part", "number", "pieces", none.cast("array<bigint>").alias("keys"),
-                            none.cast("array<int>").alias("sizes"), none.cast("binary").alias("refs"))
-    after = F.lit(1 << 62) + F.col("first")
-    rows = words.unionByName(blocks.select("part", after.alias("number"), none.cast("string").alias("pieces"), "keys", "sizes", "refs"))
-    dealt = rows.repartition("part").sortWithinPartitions("part", "number")
-
+def _unblocked(encoded: DataFrame) -> DataFrame:
+    """``doc_id, ids`` from blocks whose ``pieces`` are those of their new words, in the task's own order."""
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, words, flat, starts, sizes = None, [], None, None, None
+        flat, starts, sizes, used, n = np.empty(1 << 16, np.uint32), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64), 0, 0
         for batch in batches:
-            parts, is_block = batch.column(0).to_numpy(), batch.column(2).is_null().to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero((parts[1:] != parts[:-1]) | is_block[1:] | is_block[:-1]) + 1).tolist(), len(parts)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if parts[a] != part:
-                    part, words, flat = parts[a], [], None
-                if not is_block[a]:
-                    words.extend(batch.column(2).slice(a, b - a).to_pylist())
-                    continue
-                if flat is None:
-                    sizes = np.fromiter(map(len, words), np.int64, len(words))
-                    starts = np.cumsum(sizes) - sizes
-                    flat = np.frombuffer("".join(words).encode("utf-32-le"), "<u4") - np.uint32(FIRST)
-                    words = []
-                places, each = _joined(starts, sizes, _refs(batch.column(5)[a].as_py()))
+            for i in range(batch.num_rows):
+                keys, counts, refs, pieces, first = (batch.column(c)[i] for c in range(5))
+                if first.as_py() == 0:
+                    used = n = 0
+                words = pieces.values.to_pylist()
+                own = np.fromiter(map(len, words), np.int64, len(words))
+                ids = np.frombuffer("".join(words).encode("utf-32-le"), "<u4") - np.uint32(FIRST)
+                flat, starts, sizes = _room(flat, used + len(ids)), _room(starts, n + len(own)), _room(sizes, n + len(own))
+                flat[used:used + len(ids)] = ids
+                starts[n:n + len(own)] = used + np.cumsum(own) - own
+                sizes[n:n + len(own)] = own
+                used, n = used + len(ids), n + len(own)
+                places, each = _joined(starts, sizes, np.frombuffer(refs.as_py(), "<u4").astype(np.int64))
                 total = np.concatenate(([0], np.cumsum(each)))
-                counts = batch.column(4)[a].values.to_numpy()
-                cuts_ = (total[np.concatenate(([0], np.cumsum(counts)))] * 4).tolist()
+                cuts = (total[np.concatenate(([0], np.cumsum(counts.values.to_numpy())))] * 4).tolist()
                 data = flat[places].astype("<u4").tobytes()
-                texts = [data[x:y] for x, y in zip(cuts_, cuts_[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(3)[a].values, pa.array(texts, pa.binary())], names=["doc_id", "ids"])
+                texts = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([keys.values, pa.array(texts, pa.binary())], names=["doc_id", "ids"])
+
+    return encoded.mapInArrow(expand, "doc_id bigint, ids binary")
+
 
-    return dealt.mapInArrow(expand, "doc_id bigint, ids binary")
+def _room(values: np.ndarray, size: int) -> np.ndarray:
+    return values if size <= len(values) else np.concatenate((values, np.empty(max(size, 2 * len(values)) - len(values), values.dtype)))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           batch_words: int = 1 << 14) -> DataFrame:
+           splits_per_task: int = 2) -> DataFrame:
     """``doc_id, ids``: every whole text's token ids (binary, unsigned 32-bit little-endian), without special tokens.
 
-    Tasks number the words they meet and write their documents as numbers, in blocks; Spark's higher-order functions
-    encode each distinct word of the corpus once; a join gives every task's words their pieces, which then travel to
-    the task's blocks.  Words are few beside texts, and no dictionary is broadcast or gathered, so memory is bounded by a
-    block and ``RENUMBER`` words.  A null text counts as empty and has no ids; repeated rows repeat in the result;
-    null ids stay; an empty table gives an empty result.
+    A task gathers its documents in blocks of about a million characters; Spark's higher-order functions encode the
+    distinct words that the task has not met before; then each document's ids are put together from its words' ids.
+    Nothing is shuffled, written or broadcast but the rank map, so a lost task is simply run again, and memory is
+    bounded by a block and ``RENUMBER`` words.  Tasks that read more share more words: ``splits_per_task`` splits go to
+    one task where there are more splits than cores.  A null text counts as empty and has no ids; repeated rows
+    repeat in the result; null ids stay; an empty table gives an empty result.
     """
-    vocabulary = read_ranks(path)
-    ranks, alphabet = rank_map(docs.sparkSession, vocabulary), byte_alphabet(vocabulary)
-    blocks = _blocks(docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")), pattern)
-    met = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
-    words = blocks.select("part", "first", F.posexplode("words").alias("at", "word")).select(
-        "part", (F.col("first") + F.col("at")).alias("number"), "word")
-    dictionary = _dictionary(words, max(1, -(-met // batch_words)), ranks, alphabet)
-    return _unblocked(blocks, words.join(dictionary, "word").select("part", "number", "pieces"))
+    spark, vocabulary = docs.sparkSession, read_ranks(path)
+    ranks, alphabet = rank_map(spark, vocabulary), byte_alphabet(vocabulary)
+    texts = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    splits = texts.rdd.getNumPartitions()
+    texts = texts.coalesce(max(1, min(splits, max(spark.sparkContext.defaultParallelism, -(-splits // splits_per_task)))))
+    blocks = _blocks(texts, pattern).withColumn("ranks", ranks)
+    pieces = F.transform("words", lambda w: encoded_word(w, F.col("ranks"), alphabet))
+    return _unblocked(blocks.select("keys", "sizes", "refs", pieces.alias("pieces"), "first"))
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

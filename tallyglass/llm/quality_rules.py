@@ -113,16 +113,18 @@ def quality_columns(text: Column, weights: Column) -> Column:
 
 
 def _judged(rows: DataFrame, text: Column, weights: Column, threshold: float) -> DataFrame:
-    """``rows`` with ``__q``: the statistics, ``base_failed`` and ``kept``."""
+    """``rows`` with ``__q``: the statistics, ``base_failed`` and ``kept``, in one expression that reads the text once."""
+    def verdict(s: Column) -> Column:
+        words, repeats, ratio = s["s"]["n_words"], s["s"]["found"]["n_repeat_words"], s["s"]["found"]["ratio"]
+        failed = (words < 10) | (100 * repeats > 20 * words)
+        return F.struct(
+            words.alias("n_words"), s["word_chars"].alias("word_chars"), s["n_symbols"].alias("n_symbols"),
+            s["n_dup_lines"].alias("n_dup_lines"), repeats.alias("n_repeat_words"), failed.alias("base_failed"),
+            (~failed & (ratio >= threshold)).alias("kept"), ratio.alias("log_ratio"))
+
     # Spark takes no subquery inside a lambda function, so the one value of the weights comes in as a column.
-    q = rows.withColumn("__w", weights).withColumn("__s", quality_columns(text, F.col("__w")))
-    words, repeats = F.col("__s.s.n_words"), F.col("__s.s.found.n_repeat_words")
-    failed = (words < 10) | (100 * repeats > 20 * words)
-    ratio = F.col("__s.s.found.ratio")
-    return q.select(*rows.columns, F.struct(
-        words.alias("n_words"), F.col("__s.word_chars").alias("word_chars"), F.col("__s.n_symbols").alias("n_symbols"),
-        F.col("__s.n_dup_lines").alias("n_dup_lines"), repeats.alias("n_repeat_words"), failed.alias("base_failed"),
-        (~failed & (ratio >= threshold)).alias("kept"), ratio.alias("log_ratio")).alias("__q"))
+    weighted = rows.withColumn("__w", weights)
+    return weighted.select(*rows.columns, let(quality_columns(text, F.col("__w")), verdict).alias("__q"))
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
