@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -156,9 +156,10 @@ def _joined(starts: np.ndarray, sizes: np.ndarray, refs: np.ndarray) -> tuple[np
     return np.repeat(starts[refs] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0), each
 
 
-def _unblocked(encoded: DataFrame) -> DataFrame:
-    """``doc_id, ids`` from blocks whose ``pieces`` are those of their new words, in the task's own order."""
+def _unblocked(encoded: DataFrame, path: str, decoded: bool) -> DataFrame:
+    """``doc_id, ids`` (and ``decoded``) from blocks whose ``pieces`` are those of their new words, in the task's own order."""
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelt = _decoder(path) if decoded else None
         flat, starts, sizes, used, n = np.empty(1 << 16, np.uint32), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64), 0, 0
         for batch in batches:
             for i in range(batch.num_rows):
@@ -178,9 +179,13 @@ def _unblocked(encoded: DataFrame) -> DataFrame:
                 cuts = (total[np.concatenate(([0], np.cumsum(counts.values.to_numpy())))] * 4).tolist()
                 data = flat[places].astype("<u4").tobytes()
                 texts = [data[a:b] for a, b in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([keys.values, pa.array(texts, pa.binary())], names=["doc_id", "ids"])
+                columns = [keys.values, pa.array(texts, pa.binary())]
+                if spelt:
+                    columns.append(pa.array(map(spelt, texts), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return encoded.mapInArrow(expand, "doc_id bigint, ids binary")
+    names = ["doc_id", "ids", *(["decoded"] if decoded else [])]
+    return encoded.mapInArrow(expand, "doc_id bigint, ids binary" + ", decoded binary" * decoded)
 
 
 def _room(values: np.ndarray, size: int) -> np.ndarray:
@@ -188,8 +193,8 @@ def _room(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           splits_per_task: int = 2) -> DataFrame:
-    """``doc_id, ids``: every whole text's token ids (binary, unsigned 32-bit little-endian), without special tokens.
+           splits_per_task: int = 2, decoded: bool = False) -> DataFrame:
+    """``doc_id, ids`` (with ``decoded``, also the ids decoded at once, as ``decode`` does): every whole text's token ids (binary, unsigned 32-bit little-endian), without special tokens.
 
     A task gathers its documents in blocks of about a million characters; Spark's higher-order functions encode the
     distinct words that the task has not met before; then each document's ids are put together from its words' ids.
@@ -205,7 +210,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     texts = texts.coalesce(max(1, min(splits, max(spark.sparkContext.defaultParallelism, -(-splits // splits_per_task)))))
     blocks = _blocks(texts, pattern).withColumn("ranks", ranks)
     pieces = F.transform("words", lambda w: encoded_word(w, F.col("ranks"), alphabet))
-    return _unblocked(blocks.select("keys", "sizes", "refs", pieces.alias("pieces"), "first"))
+    return _unblocked(blocks.select("keys", "sizes", "refs", pieces.alias("pieces"), "first"), path, decoded)
+
+
+def _decoder(path: str) -> Callable[[bytes], bytes]:
+    """Ids (binary) to the joined pieces."""
+    pieces = [p for p, _ in sorted(read_ranks(path).items(), key=lambda x: x[1])]
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    flat, starts = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes
+    return lambda ids: flat[_joined(starts, sizes, np.frombuffer(ids, "<u4").astype(np.int64))[0]].tobytes()
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -214,18 +227,9 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     at = columns.index(ids_col)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = [p for p, _ in sorted(read_ranks(path).items(), key=lambda x: x[1])]
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        flat, starts = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes
+        spelt = _decoder(path)
         for batch in batches:
-            texts = []
-            for ids in batch.column(at):
-                ids = ids.as_py()
-                if ids is None:
-                    texts.append(None)
-                    continue
-                places, _ = _joined(starts, sizes, np.frombuffer(ids, "<u4").astype(np.int64))
-                texts.append(flat[places].tobytes())
+            texts = [None if ids.as_py() is None else spelt(ids.as_py()) for ids in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*columns, "decoded"])
 
     rows = coded.select(*columns)

@@ -193,11 +193,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_byte_bpe")
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Four Python workers an executor hold a batch each; the default of 64 MB is too much for small executors.
+    # The Python workers of an executor hold a batch each; the default of 64 MB is too much for small executors.
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    both = byte_bpe.decode(coded, path)
+    both = byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True)
     return both.select("doc_id", F.floor(F.length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
