@@ -67,11 +67,13 @@ def column_letter(i: Column) -> Column:
 
 
 def cell_text(text: Column | None = None, number: Column | None = None, stamp: Column | None = None) -> Column:
-    """One sheet cell as text: a whole number loses ``.0``, a midnight timestamp becomes a date."""
+    """One sheet cell as text: a number is a plain decimal without closing zeros, a midnight timestamp a date."""
     parts = []
     if number is not None:
         whole = (number == F.floor(number)) & (F.abs(number) < 9e18)
-        parts.append(F.when(whole, number.cast("bigint").cast("string")).otherwise(number.cast("string")))
+        plain = number.try_cast("decimal(38,18)").cast("string")
+        plain = F.when(plain.rlike(r"^-?[0-9]+\.[0-9]+$"), F.regexp_replace(plain, r"\.?0+$", ""))
+        parts.append(F.when(whole, number.cast("bigint").cast("string")).otherwise(F.coalesce(plain, number.cast("string"))))
     if stamp is not None:
         midnight = stamp == F.date_trunc("day", stamp)
         parts.append(

@@ -22,7 +22,7 @@ from tallyglass.scale import staged
 # Separators from coarse to fine, and default parameters.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 STRATEGIES = ("recursive", "fixed", "by_paragraph", "by_page")
-CHUNK_SIZE, CHUNK_OVERLAP = 900, 150
+CHUNK_SIZE, CHUNK_OVERLAP = 800, 120
 
 _MARK = "\x00"  # cleaned text holds no NUL, so it can mark the places to cut
 

@@ -51,10 +51,10 @@ def find_symbol(symbols: DataFrame, queries: DataFrame, query: str = "query") ->
 
 
 def parse_symbol_param(params: DataFrame, symbols: DataFrame, id_col: str = "param_id",
-                       text: str = "param") -> DataFrame:
-    """``"A, B,,C,D"`` -> its first three non-blank names, resolved, each symbol once, in order."""
+                       text: str = "param", most: int = MAX_SYMBOLS) -> DataFrame:
+    """``"A, B,,C,D"`` -> its first ``most`` non-blank names, resolved, each symbol once, in order."""
     names = F.transform(F.split(F.col(text), ","), lambda s: strip_blank(s, JS_BLANK_CHARS))
-    first = F.slice(F.filter(names, lambda s: s != ""), 1, MAX_SYMBOLS)
+    first = F.slice(F.filter(names, lambda s: s != ""), 1, most)
     asked = params.select(id_col, F.posexplode(first).alias("pos_in_param", "query"))
     found = find_symbol(symbols, asked)
     return found.groupBy(id_col, "symbol").agg(F.min("pos_in_param").alias("pos_in_param"))

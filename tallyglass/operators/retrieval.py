@@ -21,7 +21,7 @@ from tallyglass.functions.vectors import blend_query
 from tallyglass.operators.ordered import first_per_key, running_last
 
 # Default search parameters.
-TOP_K, MAX_TOP_K, MIN_SIMILARITY, MMR_LAMBDA, POOL_FACTOR = 6, 15, 0.45, 0.7, 4
+TOP_K, MAX_TOP_K, MIN_SIMILARITY, MMR_LAMBDA, POOL_FACTOR = 5, 15, 0.45, 0.7, 4
 
 MAX_QUERY_ROWS = 4096     # queries that may travel as one matrix
 BLOCK_ROWS = 8192         # rows of a grid block
@@ -186,7 +186,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, threshold: fl
            diversify: bool = True, lam: float = MMR_LAMBDA, id_col: str = "chunk_id",
            query_col: str = "query_id") -> DataFrame:
     """Numbered hits per query.  A query without a hit has no row: the answer is "not found"."""
-    k = max(1, min(k, MAX_TOP_K))
+    if not 1 <= k <= MAX_TOP_K:
+        raise ValueError(f"k must be between 1 and {MAX_TOP_K}")
     if diversify:
         return mmr_topk(vectors, queries, k, threshold, lam, id_col, query_col)
     return vector_topk(vectors, queries, k, threshold, id_col, query_col)

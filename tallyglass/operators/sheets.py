@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.functions.text import (
     cell_text, count_chars, count_words, natural_key, same_key, to_number,
 )
+from tallyglass.operators.ordered import running_sum
 from tallyglass.scale import only_if
 
 # Chart limits.
-MAX_CATEGORIES, MAX_STAT_CATEGORIES, MAX_BARS, MAX_SERIES, MAX_PIE, MAX_LISTED = 50, 500, 60, 6, 6, 200
+MAX_CATEGORIES, MAX_STAT_CATEGORIES, MAX_BARS, MAX_SERIES, MAX_PIE = 50, 500, 60, 6, 6  # fixed values
 
 AGGREGATIONS = ("sum", "average", "count", "min", "max", "none")
 
@@ -87,6 +88,9 @@ def predicate(df: DataFrame, column: str, op: str, value) -> Column:
             return no
         if isinstance(df.schema[column].dataType, T.NumericType):
             number = F.col(column)
+        if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+            no = F.abs(number) == float("inf")
+            return (number > given if op == "greater_than" else number < given) & ~no & ~F.isnan(number)
         return number > given if op == "greater_than" else number < given
     return F.lit(True)
 
@@ -212,25 +216,21 @@ def to_long(grouped: DataFrame, series: Sequence[str]) -> DataFrame:
     return grouped.unpivot(["category"], list(series), "series", "value")
 
 
-def calculate_text(grouped: DataFrame, series: Sequence[str], order: Sequence[Column], source: str,
-                   max_rows: int = MAX_LISTED) -> DataFrame:
-    """Result of a calculation as pipe text with its source line.
+def calculate_text(grouped: DataFrame, series: Sequence[str], pos: str, source: str, settings: str = "") -> DataFrame:
+    """Result of a calculation as pipe text, one row (pos, line) per line: a head, the categories in the order of
+    their integer ``pos``, a blank line, and where the figures come from with the ``settings`` they were made by.
 
-    The text of more than ``max_rows`` categories is refused, so the collected list is bounded; reading
-    stops one row past the limit.
+    Lines are never gathered, so there may be any number of categories.
     """
     def figure(c: str) -> Column:
         fixed = F.format_string("%.4f", F.round(F.col(c).cast("double"), 4))
         return F.coalesce(F.regexp_replace(F.regexp_replace(fixed, r"0+$", ""), r"\.$", ""), F.lit(""))
 
-    head = " | ".join(["Category", *series])
+    last = f"Source: {source}." + (f" {settings}" if settings else "")
+    frame = grouped.sparkSession.createDataFrame(
+        [(-(1 << 62), " | ".join(["Category", *series])), (1 << 62, ""), ((1 << 62) + 1, last)], "pos bigint, line string")
     line = F.concat_ws(" | ", "category", *[figure(c) for c in series])
-    few = grouped.orderBy(*order).limit(max_rows + 1)
-    numbered = few.select(F.row_number().over(Window.orderBy(*order)).alias("pos"), line.alias("line"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda r: r["line"]), "\n")
-    text = F.concat(F.lit(head + "\n"), body, F.lit(f"\n\nSource: {source}."))
-    refused = F.lit(f"Could not calculate: more than {max_rows} categories.")
-    return numbered.agg(F.when(F.count(F.lit(1)) > max_rows, refused).otherwise(text).alias("text"))
+    return frame.union(grouped.select(F.col(pos).cast("bigint"), line))
 
 
 # ---------------------------------------------------------------- finding a sheet
@@ -292,10 +292,11 @@ def file_statistics(units: DataFrame) -> DataFrame:
 
 
 def stats_by_section(units: DataFrame, measure: str = "words") -> DataFrame:
-    """One row per unit, equal sections not merged; an unnamed section is numbered by its place."""
+    """One row per unit, equal sections not merged; an unnamed section is numbered by its place in the file."""
+    units = running_sum(units, ["file_id"], "unit_pos", F.lit(1), "_place")
     section = F.coalesce(
         F.when(F.col("section") != "", F.col("section")),
-        F.concat(F.lit("Section "), (F.col("unit_pos") + 1).cast("string")),
+        F.concat(F.lit("Section "), (F.coalesce("_place", F.lit(0)) + 1).cast("bigint").cast("string")),
     )
     return units.select("file_id", "unit_pos", section.alias("category"), unit_measure(measure).alias("value"))
 

@@ -239,11 +239,6 @@ def _(t):
     return L.sheet_catalog(sheets, headers.select(place, "col", "header"))
 
 
-@query("list_files")
-def _(t):
-    return readers.list_files(t.spark, t.sf_dir)
-
-
 # ---------------------------------------------------------------- chunks
 
 
@@ -489,10 +484,10 @@ def _(t):
 
 @query("read_feed_xml", """SELECT (rn - 1)::INT AS pos, CASE WHEN p_size > 25 THEN p_name || ' - Wire' ELSE p_name END AS title,
 CASE WHEN p_size > 25 THEN p_brand ELSE 'Wire' END AS source, CASE WHEN p_size % 5 = 0 THEN '#' ELSE 'https://x.example.com/' || p_partkey END AS link,
-'Fri, 05 Jan 2024 10:00:00 GMT' AS pub_date FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS rn FROM part)
+'Fri, 05 Jan 2024 10:00:00 GMT' AS pub_date FROM (SELECT *, row_number() OVER (PARTITION BY p_type, p_partkey // 60 ORDER BY p_partkey) AS rn FROM part)
 WHERE rn <= 12""")
 def _(t):
-    # An RSS file per part type, items in part order.
+    # An RSS file per part type and sixty parts, items in part order.
     tag = lambda name, v: F.concat(F.lit(f"<{name}>"), v, F.lit(f"</{name}>"))
     size = F.col("p_size")
     item = F.concat(
@@ -501,13 +496,10 @@ def _(t):
         tag("pubDate", F.lit("Fri, 05 Jan 2024 10:00:00 GMT")),
         F.when(size > 25, F.concat(F.lit('<source url="https://w.example.com">'), "p_brand", F.lit("</source>"))).otherwise(""),
         F.lit("</item>"))
-    # A sender lists at most a page of items.
-    from tallyglass.operators.ordered import first_per_key
-
-    sent = first_per_key(t.part.select("p_type", "p_partkey", item.alias("i")), ["p_type"], [F.col("p_partkey")], 20)
-    feeds = sent.groupBy("p_type").agg(F.array_join(F.transform(
+    page = F.floor(F.col("p_partkey") / 60).alias("page")
+    feeds = t.part.select("p_type", page, "p_partkey", item.alias("i")).groupBy("p_type", "page").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("p_partkey", "i"))), lambda x: x["i"]), "\n").alias("items"))
     path = scratch_path(t.spark, "feeds")
     rss = F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>"))
-    feeds.select("p_type", rss.alias("value")).repartition("p_type").write.partitionBy("p_type").text(path)
-    return readers.read_feed_xml(t.spark, f"{path}/*/*").drop("feed")
+    feeds.select("p_type", "page", rss.alias("value")).repartition("p_type", "page").write.partitionBy("p_type", "page").text(path)
+    return readers.read_feed_xml(t.spark, f"{path}/*/*/*").drop("feed")

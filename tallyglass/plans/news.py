@@ -434,25 +434,23 @@ def _(t):
 
 
 @query("read_feed_json", f"""WITH {_TITLE_SQL}, ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM titled)
-SELECT 'user' || user_id AS feed, k::INT AS pos, replace(regexp_extract(raw, '^(.*) - (.*)$', 1), '&amp;', '&') AS title,
+  SELECT *, 'user' || user_id || '-' || (event_id // 500) AS feed,
+    row_number() OVER (PARTITION BY user_id, event_id // 500 ORDER BY event_id) - 1 AS k FROM titled)
+SELECT feed, k::INT AS pos, replace(regexp_extract(raw, '^(.*) - (.*)$', 1), '&amp;', '&') AS title,
   CASE WHEN tag <> '' THEN tag ELSE regexp_extract(raw, '^(.*) - (.*)$', 2) END AS source, link,
   NULL::VARCHAR AS error FROM ranked WHERE k < 12 AND user_id % 10 <> 3
-UNION ALL SELECT DISTINCT 'user' || user_id, NULL, NULL, NULL, NULL, 'quota' FROM titled WHERE user_id % 10 = 3""")
+UNION ALL SELECT DISTINCT feed, NULL, NULL, NULL, NULL, 'quota' FROM ranked WHERE user_id % 10 = 3""")
 def _(t):
-    # One landed feed per user; every tenth feed answers with an error.
-    from tallyglass.operators.ordered import first_per_key
-
+    # One landed feed per user and five hundred events; the feeds of every tenth user answer with an error.
     user = F.col("user_id")
-    # A landed document holds one feed's answer, which the sender already limits.
-    sent = first_per_key(_titles(t), ["user_id"], [F.col("event_id")], 20, "k")
-    item = F.struct("k", F.struct(F.col("raw").alias("title"), F.col("tag").alias("author"), "link",
+    page = F.floor(F.col("event_id") / 500)
+    item = F.struct("event_id", F.struct(F.col("raw").alias("title"), F.col("tag").alias("author"), "link",
                                   F.lit("2024-01-05 10:00:00").alias("pubDate")).alias("i"))
-    feeds = sent.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["i"]).alias("items"))
+    feeds = _titles(t).groupBy("user_id", page.alias("page")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["i"]).alias("items"))
     ok = user % 10 != 3
     document = F.to_json(F.struct(
         F.when(ok, "ok").otherwise("error").alias("status"), F.when(~ok, "quota").alias("message"), "items"))
-    landed = feeds.select(F.concat(F.lit("user"), user.cast("string")).alias("feed"), document.alias("value"))
+    landed = feeds.select(F.concat(F.lit("user"), user.cast("string"), F.lit("-"), F.col("page").cast("string")).alias("feed"), document.alias("value"))
     return readers.parse_feed_json(landed).drop("pub_date")
 
 

@@ -132,13 +132,15 @@ def _(t):
 @query("calculate_text", """
 WITH g AS (SELECT l_returnflag AS c, min(l_orderkey * 8 + l_linenumber) AS r, round(sum(l_quantity), 4) AS q,
   round(avg(l_tax), 4) AS x FROM lineitem GROUP BY 1)
-SELECT 'Category | l_quantity | l_tax' || chr(10) || string_agg(c || ' | ' || regexp_replace(regexp_replace(
-  printf('%.4f', q), '0+$', ''), '\\.$', '') || ' | ' || regexp_replace(regexp_replace(printf('%.4f', x), '0+$', ''), '\\.$', ''),
-  chr(10) ORDER BY r) || chr(10) || chr(10) || 'Source: lineitem.' AS text FROM g""")
+SELECT -4611686018427387904 AS pos, 'Category | l_quantity | l_tax' AS line
+UNION ALL SELECT r, c || ' | ' || regexp_replace(regexp_replace(printf('%.4f', q), '0+$', ''), '\\.$', '') || ' | '
+  || regexp_replace(regexp_replace(printf('%.4f', x), '0+$', ''), '\\.$', '') FROM g
+UNION ALL SELECT 4611686018427387904, '' UNION ALL SELECT 4611686018427387905, 'Source: lineitem. By l_returnflag.'""")
 def _(t):
     one = S.sheet_aggregate(t.sheet(), "l_returnflag", ["l_quantity"], "sum")
     two = S.sheet_aggregate(t.sheet(), "l_returnflag", ["l_tax"], "average").drop("first_row")
-    return S.calculate_text(one.join(two, "category"), ["l_quantity", "l_tax"], [F.col("first_row")], "lineitem")
+    both = one.join(two, "category")
+    return S.calculate_text(both, ["l_quantity", "l_tax"], "first_row", "lineitem", "By l_returnflag.")
 
 
 @query("write_chart_csv", """
@@ -199,7 +201,7 @@ def _(t):
 
 
 @query("doc_stats_section", f"""SELECT source AS file_id, doc_id AS unit_pos,
-CASE WHEN lang = 'en' THEN 'Section ' || (doc_id + 1) ELSE lang END AS category, {_WORDS} AS value FROM documents""")
+CASE WHEN lang = 'en' THEN 'Section ' || row_number() OVER (PARTITION BY source ORDER BY doc_id) ELSE lang END AS category, {_WORDS} AS value FROM documents""")
 def _(t):
     units = t.units().withColumn("section", F.when(F.col("section") == "en", "").otherwise(F.col("section")))
     return S.stats_by_section(units)
@@ -303,13 +305,16 @@ def _(t):
 
 
 @query("cell_text", """SELECT o_orderkey, CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(o_totalprice::BIGINT AS VARCHAR)
-ELSE CAST(o_totalprice AS VARCHAR) END AS price, strftime(o_orderdate, '%Y-%m-%d') AS day,
+ELSE CAST(o_totalprice AS VARCHAR) END AS price, printf('%.2f', floor(o_totalprice) * 1000 + 0.25) AS large,
+CASE o_orderkey % 4 WHEN 0 THEN '0.0005' WHEN 1 THEN '-0.001' WHEN 2 THEN '0.0000625' ELSE '0.25' END AS small, strftime(o_orderdate, '%Y-%m-%d') AS day,
 strftime(o_orderdate + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS moment FROM orders""")
 def _(t):
     day = F.col("o_orderdate")
     later = day + F.expr("INTERVAL 90 MINUTE")
     return t.orders.select(
         "o_orderkey", text.cell_text(number=F.round("o_totalprice", 2)).alias("price"),
+        text.cell_text(number=F.floor("o_totalprice") * 1000 + F.lit(0.25)).alias("large"),
+        text.cell_text(number=F.get(F.array(*map(F.lit, (0.0005, -0.001, 0.0000625, 0.25))), F.col("o_orderkey") % 4)).alias("small"),
         text.cell_text(stamp=day).alias("day"), text.cell_text(stamp=later).alias("moment"))
 
 

@@ -23,7 +23,7 @@ _PRICE = (
 def read_feed_json(spark: SparkSession, path: str) -> DataFrame:
     """Feed files, one JSON document each -> (feed, pos, title, source, link, pub_date, error).
 
-    The first twelve items in feed order; a feed that is not ``ok`` gives one error row.
+    The first twelve items in feed order; a feed that is not ``ok`` or has no items gives one error row.
     """
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("feed"), "value")
     return parse_feed_json(text)
@@ -32,7 +32,8 @@ def read_feed_json(spark: SparkSession, path: str) -> DataFrame:
 def parse_feed_json(feeds: DataFrame) -> DataFrame:
     parsed = feeds.select("feed", F.from_json("value", _FEED).alias("f"))
     sound = F.col("f.status") == "ok"
-    error = F.when(~F.coalesce(sound, F.lit(False)), F.coalesce("f.message", F.lit("feed error")))
+    error = F.when(~F.coalesce(sound, F.lit(False)), F.coalesce("f.message", F.lit("feed error"))).when(
+        F.coalesce(F.size("f.items"), F.lit(0)) <= 0, F.lit("No items returned"))
     items = F.slice(F.when(sound, F.col("f.items")), 1, FEED_ITEMS)
     rows = parsed.select("feed", error.alias("error"), F.posexplode_outer(items).alias("pos", "i"))
     decoded = rows.select("feed", "error", "pos", "i.*", decode_entities(F.col("i.title")).alias("_t"))
@@ -77,7 +78,7 @@ def read_price_payload(spark: SparkSession, path: str) -> DataFrame:
 def parse_price_payload(payloads: DataFrame) -> DataFrame:
     """(symbol, value) -> (symbol, pos, date, close, error): parallel arrays zipped by index, null closes dropped.
 
-    A text without JSON and a payload without a result give one error row.
+    A text without JSON, a payload without a result and a series without a close give one error row.
     """
     body = unwrap_json_preamble(F.col("value"))
     parsed = payloads.select("symbol", body.alias("_b"), F.from_json(body, _PRICE).alias("p")).select(
@@ -87,8 +88,10 @@ def parse_price_payload(payloads: DataFrame) -> DataFrame:
     close = F.get("r.indicators.quote", F.lit(0))["close"]
     points = F.transform(
         F.col("r.timestamp"), lambda t, i: F.struct(t.alias("seconds"), F.get(F.col("c"), i).alias("close")))
-    rows = parsed.select("symbol", error.alias("error"), "r", close.alias("c")).select(
-        "symbol", "error", F.posexplode_outer(points).alias("pos", "x"))
+    rows = parsed.select("symbol", error.alias("error"), "r", close.alias("c")).withColumn("points", points)
+    empty = ~F.exists(F.coalesce("points", F.array().cast("array<struct<seconds:bigint,close:double>>")), lambda x: x["close"].isNotNull())
+    failed = F.coalesce("error", F.when(empty, "Empty price series"))
+    rows = rows.select("symbol", failed.alias("error"), F.posexplode_outer(F.when(failed.isNull(), F.col("points"))).alias("pos", "x"))
     return rows.where(F.col("error").isNotNull() | F.col("x.close").isNotNull()).select(
         "symbol", "pos", ist_date_of_seconds(F.col("x.seconds")).alias("date"), F.col("x.close").alias("close"), "error")
 

@@ -50,6 +50,9 @@ def rate_limit_stream(events: DataFrame, limit: int, window_seconds: int, key: s
             return
         rows = _ordered(batches, tie)
         recent = tuple(state.get[0]) if state.exists else rule.start()
+        if limit <= 0:
+            yield pd.DataFrame({key: group[0], tie: rows[tie].to_numpy(), "allowed": False})
+            return
         recent, allowed = rule.step(recent, {"_micros": rows["_micros"].to_numpy()})
         state.update((list(recent),))
         if recent:

@@ -110,3 +110,12 @@ def test_queries_taken_a_few_at_a_time(data, monkeypatch, few):
     whole = key(R.vector_topk(vectors, queries, 4, 0.1, max_query_rows=few, block_rows=100))
     monkeypatch.setattr(R, "QUERY_STEP", 2)
     assert key(R.vector_topk(vectors, queries, 4, 0.1, max_query_rows=few, block_rows=100)) == whole
+
+
+def test_search_refuses_a_number_of_hits_it_cannot_honour(spark, tables):
+    import pytest
+
+    from tallyglass.operators.retrieval import search
+
+    with pytest.raises(ValueError):
+        search(tables.embeddings, tables.embeddings, k=20)

@@ -172,3 +172,19 @@ def test_half_up_and_half_even(spark):
 def test_windows_of_prices_follow_a_map_side_reduction(tables):
     plan = P.next_close(tables.prices())._jdf.queryExecution().toString()
     assert plan.index("Window") < plan.index("partial_max_by")
+
+
+def test_calculation_of_many_categories(spark):
+    from tallyglass.operators.sheets import calculate_text
+
+    grouped = spark.range(250).selectExpr("concat('c', id) category", "id first_row", "id / 2 AS v")
+    lines = [r.line for r in calculate_text(grouped, ["v"], "first_row", "sheet 1", "By category.").orderBy("pos").collect()]
+    assert len(lines) == 253 and lines[0] == "Category | v" and lines[4] == "c3 | 1.5" and lines[-1] == "Source: sheet 1. By category."
+
+
+def test_only_finite_numbers_compare(spark):
+    from tallyglass.operators.sheets import sheet_filter
+
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),), (float("-inf"),), (None,), (3.0,)], "x double")
+    assert [r.x for r in sheet_filter(df, [("x", "greater_than", 2)]).collect()] == [3.0]
+    assert [r.x for r in sheet_filter(df, [("x", "less_than", 2)]).collect()] == [1.0]

@@ -77,3 +77,11 @@ def test_manifest_round_trip(spark, tmp_path):
     writers.write_manifest(files, questions, str(tmp_path / "m"), "Co")
     f, q = readers.read_manifest(spark, str(tmp_path / "m"))
     assert [r.name for r in f.orderBy("pos").collect()] == ["a.pdf", "b.pdf"] and q.head().text == "Why?"
+
+
+def test_feeds_and_series_without_content_give_an_error_row(spark):
+    feeds = spark.createDataFrame([("a", '{"status":"ok","items":[]}'), ("b", '{"status":"ok"}')], "feed string, value string")
+    assert {(r.feed, r.error) for r in readers.parse_feed_json(feeds).collect()} == {("a", "No items returned"), ("b", "No items returned")}
+    body = '{"chart":{"result":[{"timestamp":[1,2],"indicators":{"quote":[{"close":[null,null]}]}}]}}'
+    rows = readers.parse_price_payload(spark.createDataFrame([("s", body)], "symbol string, value string")).collect()
+    assert [(r.symbol, r.close, r.error) for r in rows] == [("s", None, "Empty price series")]
