@@ -18,7 +18,7 @@ SLOTS = 1 << 16
 # A piece is written as the character FIRST + rank; NONE lies above all of them and below the surrogates.
 FIRST, NONE = 0x100, "\ud7ff"
 # Characters of text that make up a block, and words after which a task starts its numbering over.
-BLOCK_CHARS, RENUMBER = 1 << 20, 1 << 19
+BLOCK_CHARS, RENUMBER = 1 << 20, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -193,7 +193,7 @@ def _room(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           splits_per_task: int = 2, decoded: bool = False) -> DataFrame:
+           splits_per_task: int = 3, decoded: bool = False) -> DataFrame:
     """``doc_id, ids`` (with ``decoded``, also the ids decoded at once, as ``decode`` does): every whole text's token ids (binary, unsigned 32-bit little-endian), without special tokens.
 
     A task gathers its documents in blocks of about a million characters; Spark's higher-order functions encode the
