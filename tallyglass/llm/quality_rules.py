@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.llm.common import BLANKS, let, packed, unpacked, whole_text, words_of
+from tallyglass.scale import BROADCAST_ROWS, broadcast_if_small
 
 BUCKETS = 1 << 14
 WINDOW = 5
@@ -66,19 +67,20 @@ def _hashes(text: Column) -> Column:
 
 
 def ngram_model(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                max_trusted: int = 200_000, smoothing: float = 1.0) -> DataFrame:
+                smoothing: float = 1.0, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """One row with ``weights``: per bucket the log of its share in trusted texts over its share in all texts.
 
-    ``trusted`` holds ids in ``id_col``.  At most ``max_trusted`` of them, those of the smallest hashes, make up the
-    trusted model, so their ids are of bounded size and may be broadcast; the raw model counts every text.  Both counts
-    come from one reading and combine map-side into ``BUCKETS`` rows.
+    ``trusted`` holds ids in ``id_col``: all of them make up the trusted model, all texts the raw one.  Both counts
+    come from one reading and combine map-side into ``BUCKETS`` rows.  The ids travel to the texts only where a count
+    finds at most ``max_broadcast``; otherwise both sides are shuffled by id, texts before their n-grams, which are longer.
     """
-    chosen = trusted.select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct().orderBy(
-        F.xxhash64("__id"), "__id").limit(max_trusted).withColumn("__trusted", F.lit(1))
-    texts = docs.select(F.col(id_col).alias("__id"), _buckets_once(whole_text(text_col)).alias("grams"))
-    flagged = texts.join(F.broadcast(chosen), "__id", "left")
+    chosen = trusted.select(F.col(id_col).alias("__id")).where("__id IS NOT NULL").distinct().withColumn(
+        "__trusted", F.lit(1))
+    texts = docs.select(F.col(id_col).alias("__id"), whole_text(text_col).alias("__text"))
+    flagged = texts.join(broadcast_if_small(chosen, max_broadcast), "__id", "left")
     # explode() would have its input computed once more, to drop texts without words beforehand.
-    grams = flagged.select("__trusted", F.explode_outer("grams").alias("bucket")).where("bucket IS NOT NULL")
+    grams = flagged.select("__trusted", F.explode_outer(_buckets_once(F.col("__text"))).alias("bucket")).where(
+        "bucket IS NOT NULL")
     counts = grams.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("raw"), F.count("__trusted").alias("own"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
@@ -128,7 +130,7 @@ def _judged(rows: DataFrame, text: Column, weights: Column, threshold: float) ->
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  threshold: float = -0.2, max_trusted: int = 200_000) -> DataFrame:
+                  threshold: float = -0.2) -> DataFrame:
     """One row per document: ``doc_id``, the statistics, ``base_failed``, ``kept`` and ``log_ratio``.
 
     Words are runs without the blanks U+0020 and U+0009 to U+000D; a null text has none and fails.  ``log_ratio`` is
@@ -138,14 +140,14 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     ids are judged like others but cannot be trusted; repeated rows repeat in the result and count twice in the raw
     model.
     """
-    weights = ngram_model(docs, trusted, id_col, text_col, max_trusted).scalar()
+    weights = ngram_model(docs, trusted, id_col, text_col).scalar()
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("__text"))
     return _judged(rows, F.col("__text"), weights, threshold).select("doc_id", "__q.*")
 
 
 def drop_poor(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-              threshold: float = -0.2, max_trusted: int = 200_000) -> DataFrame:
+              threshold: float = -0.2) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns as they are."""
-    weights = ngram_model(docs, trusted, id_col, text_col, max_trusted).scalar()
+    weights = ngram_model(docs, trusted, id_col, text_col).scalar()
     rows = packed(docs, text=whole_text(text_col))
     return unpacked(_judged(rows, F.col("__text"), weights, threshold).where("__q.kept"), docs)

@@ -70,6 +70,17 @@ def test_quality_rules_against_plain_statistics(spark, tables):
     assert {r.log_ratio for r in quality_rules.quality_rules(odd, trusted.limit(0)).where("n_words = 0").collect()} == {0.0}
 
 
+def test_trusted_ids_too_many_to_broadcast_give_the_same_model(spark, tables):
+    trusted = tables.labels.where("quality = 1").select("doc_id")
+    few = quality_rules.ngram_model(tables.documents, trusted).first().weights
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert quality_rules.ngram_model(tables.documents, trusted, max_broadcast=0).first().weights == few
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_byte_bpe_equals_the_library(spark, tables):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
