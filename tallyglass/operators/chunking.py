@@ -117,21 +117,20 @@ def chunk_units(units: DataFrame, strategy: str = "recursive", size: int = CHUNK
                 overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """units(file_id, unit_pos, text, ...) -> chunks(file_id, chunk_index, ..., text).
 
-    A unit's first chunk number is the count of chunks in the file's earlier units.  The count and the chunks
-    are two readings of the same pieces: the costly strategies cut once and stage the pieces, of which the
-    count reads one narrow column; slicing is cheaper than writing and is simply done twice.
+    A unit's first chunk number is the count of chunks in the file's earlier units.  Texts are read and cut once; the
+    pieces are written to the shared folder with a number of their own, of which the count reads narrow columns and
+    which brings the count back.  Units with a null file or place, and units that share a place, keep their chunks:
+    null is a file of its own, a null place comes first, and units of one place follow in the order they were read.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown chunk strategy {strategy!r}")
     kept = [c for c in units.columns if c not in ("file_id", "unit_pos", "text")]
-    pieces = units.select(
+    pieces = staged(units.select(
         "file_id", "unit_pos", *kept, cut(F.col("text"), strategy, size, overlap).alias("_pieces")
-    ).withColumn("_n", F.size("_pieces"))
-    if strategy in ("recursive", "by_paragraph"):
-        pieces = staged(pieces, "pieces")
-    counts = pieces.select("file_id", "unit_pos", "_n")
-    before = running_sum(counts, ["file_id"], "unit_pos", F.col("_n"), "_before").drop("_n")
-    return pieces.drop("_n").join(before, ["file_id", "unit_pos"]).select(
+    ).withColumns({"_n": F.size("_pieces"), "_row": F.monotonically_increasing_id()}), "pieces")
+    counts = pieces.select("_row", "file_id", "unit_pos", "_n").where("_n > 0")
+    before = running_sum(counts, ["file_id"], ["unit_pos", "_row"], F.col("_n"), "_before").select("_row", "_before")
+    return pieces.join(before, "_row").select(
         "file_id", "unit_pos", *kept, "_before", F.posexplode("_pieces").alias("_i", "text")
     ).select(
         "file_id", (F.col("_before") + F.col("_i")).alias("chunk_index"), "unit_pos", *kept, "text"
@@ -139,9 +138,9 @@ def chunk_units(units: DataFrame, strategy: str = "recursive", size: int = CHUNK
 
 
 class RowPacking(Fold):
-    """Rows of one file in order -> the position of the row that opens each row's chunk.
+    """Rows of one file in order -> the number of the row that opens each row's chunk.
 
-    The state is (sheet, used length, opening position); a step jumps from chunk to chunk by binary search in
+    The state is (sheet, used length, opening row); a step jumps from chunk to chunk by binary search in
     the running length.
     """
 
@@ -152,21 +151,21 @@ class RowPacking(Fold):
         return None
 
     def step(self, state, rows):
-        positions, sheets = rows["unit_pos"], rows["sheet"]
+        numbers, sheets = rows["_row"], rows["sheet"]
         total = np.concatenate([[0], np.cumsum(rows["_length"].astype(np.int64) + 1)])
         turns = np.append(np.flatnonzero(sheets[1:] != sheets[:-1]) + 1, len(sheets))
-        opened = np.empty(len(positions), dtype=np.int64)
+        opened = np.empty(len(numbers), dtype=np.int64)
         at = 0
-        while at < len(positions):
+        while at < len(numbers):
             fresh = state is None or sheets[at] != state[0]
-            used, first = (0, int(positions[at])) if fresh else state[1:]
+            used, first = (0, int(numbers[at])) if fresh else state[1:]
             # A row fits while the length before it, plus its own, stays within the size.
             fits = int(np.searchsorted(total[1:], self.size + 1 - used + total[at], side="right"))
             upto = min(max(fits, at + 1 if fresh else at), int(turns[np.searchsorted(turns, at, side="right")]))
             opened[at:upto] = first
             state = (sheets[at], int(used + total[upto] - total[at]), first) if upto > at else None
             at = upto
-            if at < len(positions) and state is not None and sheets[at] == state[0]:
+            if at < len(numbers) and state is not None and sheets[at] == state[0]:
                 state = None   # the chunk is full: the next row opens a new one
         return state, opened
 
@@ -174,21 +173,26 @@ class RowPacking(Fold):
 def pack_rows(units: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
     """Pack consecutive sheet rows into chunks of up to ``size``; a row is never split, sheets never mix.
 
-    ``units(file_id, unit_pos, sheet, row, text)`` -> one row per chunk with its exact row range.  The
-    order is decided on lengths alone; a chunk's texts are joined afterwards and are bounded by its size.
+    ``units(file_id, unit_pos, sheet, row, text)`` -> one row per chunk with its exact row range.  Rows are read once
+    and written with a number of their own; the order is decided on lengths alone, and a chunk's texts are joined
+    afterwards and are bounded by its size.  A null text counts as empty; null files and places, and rows that share a
+    place, are treated as in ``chunk_units``.
     """
-    lengths = units.select("file_id", "unit_pos", "sheet", F.length("text").alias("_length"))
-    opened = fold_ordered(lengths, ["file_id"], ["unit_pos"], RowPacking(size), "_open", T.LongType())
-    texts = units.join(opened.select("file_id", "unit_pos", "_open"), ["file_id", "unit_pos"])
-    lines = F.array_sort(F.collect_list(F.struct("unit_pos", "row", "text")))
-    chunks = texts.groupBy("file_id", "_open").agg(F.max("sheet").alias("sheet"), lines.alias("_lines"))
+    texts = staged(units.select("file_id", "unit_pos", "sheet", "row", F.coalesce("text", F.lit("")).alias("text"))
+                   .withColumn("_row", F.monotonically_increasing_id()), "rows")
+    lengths = texts.select("_row", "file_id", "unit_pos", "sheet", F.length("text").alias("_length"))
+    opened = fold_ordered(lengths, ["file_id"], ["unit_pos", "_row"], RowPacking(size), "_open", T.LongType())
+    placed = texts.join(opened.select("_row", "_open"), "_row")
+    lines = F.array_sort(F.collect_list(F.struct("unit_pos", "_row", "row", "text")))
+    chunks = placed.groupBy("_open").agg(
+        F.first("file_id").alias("file_id"), F.max("sheet").alias("sheet"), lines.alias("_lines"))
     body = F.array_join(F.transform("_lines", lambda r: r["text"]), "\n")
     packed = chunks.select(
-        "file_id", "_open", "sheet",
+        "file_id", "_open", F.col("_lines")[0]["unit_pos"].alias("_first"), "sheet",
         F.col("_lines")[0]["row"].alias("row_start"), F.element_at("_lines", -1)["row"].alias("row_end"),
         F.concat(F.lit("Sheet "), F.col("sheet"), F.lit(":\n"), body).alias("text"),
     )
-    return running_sum(packed, ["file_id"], "_open", F.lit(1), "chunk_index").select(
+    return running_sum(packed, ["file_id"], ["_first", "_open"], F.lit(1), "chunk_index").select(
         "file_id", "chunk_index", "sheet", "row_start", "row_end", "text"
     )
 

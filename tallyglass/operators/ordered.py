@@ -1,7 +1,7 @@
 """Order-dependent work that stays parallel when one key holds a large share of the rows.
 
 * ``first_per_key``: a row-number bound, which Spark applies map-side before its shuffle.
-* ``running_sum`` / ``running_last``: two-level prefix over blocks of positions.
+* ``running_sum`` / ``running_last``: prefixes within range partitions, and over one row per partition and key.
 * ``fold_ordered``: a state carried along the order, over range partitions that may cut through a key.
 """
 
@@ -19,9 +19,6 @@ from pyspark.sql import types as T
 
 from tallyglass.scale import durable
 
-BLOCK = 4096
-
-
 # Spark applies a row-number bound before the shuffle only up to this many rows per key (its default setting).
 MAP_SIDE_BOUND = 1000
 SALTS = 64
@@ -40,55 +37,52 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= n)
 
 
-def _blocked(df: DataFrame, pos: str, block: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(pos) / block))
+def _in_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column) -> DataFrame:
+    """Rows range-partitioned by (keys, order), with ``_value`` and the partition's number ``_part``.
+
+    Partitions follow the ranks of the rows and not the values of the order columns, so a hot key is cut into even
+    parts however sparse its places are.  The checkpoint keeps the parts the same for all later readings.
+    """
+    laid = df.withColumn("_value", value).repartitionByRange(*keys, *order)
+    return durable(laid.withColumn("_part", F.spark_partition_id()))
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], pos: str, value: Column, name: str,
-                block: int = BLOCK, levels: int = 2) -> DataFrame:
-    """Sum of ``value`` over the earlier rows of the key (the row itself excluded), by integer position.
+def _carried(parts: DataFrame, keys: Sequence[str], order: Sequence[str], reduced: Column, gather) -> DataFrame:
+    """``parts`` with ``_offset``, from the key's earlier parts, and ``_inside``, from earlier rows of the same part.
 
-    Each (key, block of positions) is summed map-side; the block sums are accumulated the same way one level
-    up.  Only a block's own rows are ever sorted together, and at the top one row per ``block ** levels``
-    positions.
+    The window over a key's parts sees one row per part.  Null keys form a key of their own.
     """
-    blocked = _blocked(df.withColumn("_value", value), pos, block)
-    sums = blocked.groupBy(*keys, "_block").agg(F.sum("_value").alias("_sum"))
-    if levels > 1:
-        upper = running_sum(
-            sums.withColumnRenamed("_block", "_at"), keys, "_at", F.col("_sum"), "_upper", block, levels - 1)
-        offsets = upper.select(*keys, F.col("_at").alias("_block"), F.col("_upper").alias("_offset"))
-    else:
-        per_key = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sums.select(*keys, "_block", F.coalesce(F.sum("_sum").over(per_key), F.lit(0)).alias("_offset"))
-    in_block = Window.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        blocked.join(offsets, [*keys, "_block"])
-        .withColumn(name, F.col("_offset") + F.coalesce(F.sum("_value").over(in_block), F.lit(0)))
-        .drop("_block", "_value", "_offset")
-    )
+    reductions = parts.groupBy(*keys, "_part").agg(reduced.alias("_reduced"))
+    over_parts = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = reductions.select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_part").alias("_at"),
+        gather("_reduced").over(over_parts).alias("_offset"))
+    same = F.col("_part") == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    in_part = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = parts.join(offsets, same).drop("_at", *[f"_key{i}" for i in range(len(keys))])
+    return joined.withColumn("_inside", gather("_value").over(in_part))
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of the key, the row itself excluded; null values count as nothing.
+
+    ``df`` is written once to the shared folder: give it no more columns than the result needs.
+    """
+    carried = _carried(_in_parts(df, keys, order, value), keys, order, F.sum("_value"), F.sum)
+    total = F.coalesce("_offset", F.lit(0)) + F.coalesce("_inside", F.lit(0))
+    return carried.withColumn(name, total).drop("_part", "_value", "_offset", "_inside")
 
 
-def running_last(df: DataFrame, keys: Sequence[str], pos: str, value: Column, name: str,
-                 block: int = BLOCK, levels: int = 2) -> DataFrame:
-    """Last non-null ``value`` among the earlier rows of the key, by integer position; blocks as above."""
-    blocked = _blocked(df.withColumn("_value", value), pos, block)
-    present = F.when(F.col("_value").isNotNull(), F.col(pos))
-    lasts = blocked.groupBy(*keys, "_block").agg(F.max_by("_value", present).alias("_last"))
-    if levels > 1:
-        upper = running_last(
-            lasts.withColumnRenamed("_block", "_at"), keys, "_at", F.col("_last"), "_upper", block, levels - 1)
-        before = upper.select(*keys, F.col("_at").alias("_block"), F.col("_upper").alias("_before"))
-    else:
-        per_key = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        before = lasts.select(*keys, "_block", F.last("_last", ignorenulls=True).over(per_key).alias("_before"))
-    in_block = Window.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.last("_value", ignorenulls=True).over(in_block)
-    return (
-        blocked.join(before, [*keys, "_block"])
-        .withColumn(name, F.coalesce(inside, F.col("_before")))
-        .drop("_block", "_value", "_before")
-    )
+def running_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Last non-null ``value`` among the earlier rows of the key; written once, as in ``running_sum``."""
+    def last(column: str) -> Column:
+        return F.last(column, ignorenulls=True)
+
+    places = F.when(F.col("_value").isNotNull(), F.struct(*order))
+    carried = _carried(_in_parts(df, keys, order, value), keys, order, F.max_by("_value", places), last)
+    return carried.withColumn(name, F.coalesce("_inside", "_offset")).drop("_part", "_value", "_offset", "_inside")
 
 
 class Fold:
@@ -114,11 +108,17 @@ def _cuts(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
     changed = np.zeros(len(pdf), dtype=bool)
     changed[:1] = True
     for key in keys:
-        column = pdf[key].to_numpy()
-        changed[1:] |= column[1:] != column[:-1]
+        column, null = pdf[key].to_numpy(), pdf[key].isna().to_numpy()
+        changed[1:] |= (column[1:] != column[:-1]) & ~(null[1:] & null[:-1])
     return np.flatnonzero(changed)
 
 
+def _key_at(pdf: pd.DataFrame, keys: Sequence[str], row: int) -> tuple:
+    """The key of a row; null is a key like any other and equals itself."""
+    values = (pdf[k].iloc[row] for k in keys)
+    return tuple(None if pd.isna(v) else v for v in values)
+
+
 def _runs(pdf: pd.DataFrame, keys: Sequence[str], last_only: bool = False) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
     """Cut a sorted batch into runs of one key."""
     columns = {name: pdf[name].to_numpy() for name in pdf.columns}
@@ -126,7 +126,7 @@ def _runs(pdf: pd.DataFrame, keys: Sequence[str], last_only: bool = False) -> It
     if last_only:
         cuts = cuts[-2:]
     for begin, end in zip(cuts, cuts[1:]):
-        yield tuple(columns[k][begin] for k in keys), {n: c[begin:end] for n, c in columns.items()}
+        yield _key_at(pdf, keys, begin), {n: c[begin:end] for n, c in columns.items()}
 
 
 def fold_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], fold: Fold,
@@ -196,7 +196,7 @@ def _edges(staged: DataFrame, keys: Sequence[str], fold: Fold, carried: dict, on
             pid = int(pdf["_pid"].iloc[0])
             if first is None and pid in states:
                 current, state = states[pid]
-            first = first or tuple(pdf[k].iloc[0] for k in keys)
+            first = first or _key_at(pdf, keys, 0)
             # Only the last key leaves the partition, and it can only reach back to the previous batch
             # when the whole batch is one run.
             key, rows = next(_runs(pdf, keys, last_only=True))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyglass.functions.text import attr_escape, strip_blank
+from tallyglass.functions.text import NOT_FOUND, attr_escape, strip_blank
 from tallyglass.functions.vectors import blend_query
 from tallyglass.operators.ordered import first_per_key, running_last
 
@@ -26,6 +26,7 @@ TOP_K, MAX_TOP_K, MIN_SIMILARITY, MMR_LAMBDA, POOL_FACTOR = 5, 15, 0.45, 0.7, 4
 MAX_QUERY_ROWS = 4096     # queries that may travel as one matrix
 BLOCK_ROWS = 8192         # rows of a grid block
 QUERY_STEP = 256          # queries multiplied at once
+SCORE_PLACES = 9          # scores are rounded, so that their last bits, which vary with the blocks, decide no rank
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -48,7 +49,7 @@ def _candidates(vectors: np.ndarray, queries: np.ndarray, threshold: float, k: i
     """
     parts = []
     for start in range(0, len(queries), QUERY_STEP):
-        sims = vectors @ queries[start:start + QUERY_STEP].T
+        sims = np.round(vectors @ queries[start:start + QUERY_STEP].T, SCORE_PLACES)
         keep = sims >= threshold
         if k is not None and len(vectors) > k:
             kth = -np.partition(-sims, k - 1, axis=0)[k - 1]
@@ -60,20 +61,21 @@ def _candidates(vectors: np.ndarray, queries: np.ndarray, threshold: float, k: i
     return tuple(np.concatenate(column) for column in zip(*parts))
 
 
-def _pair_schema(vectors: DataFrame, id_col: str, queries: DataFrame, query_col: str) -> T.StructType:
+def _pair_schema(vectors: DataFrame, id_col: str, queries: DataFrame, query_col: str, vectors_too: bool) -> T.StructType:
     return T.StructType([
         T.StructField(query_col, queries.schema[query_col].dataType),
         T.StructField(id_col, vectors.schema[id_col].dataType),
         T.StructField("score", T.DoubleType()),
-        vectors.schema["embedding"],
+        *([vectors.schema["embedding"]] if vectors_too else []),
     ])
 
 
 def _pairs(vectors: DataFrame, queries: DataFrame, id_col: str, query_col: str, threshold: float,
-           k: int | None, max_query_rows: int, block_rows: int) -> DataFrame:
+           k: int | None, max_query_rows: int, block_rows: int, vectors_too: bool = False) -> DataFrame:
+    """(query, id, score) and, where asked for, the vector found."""
     vectors = vectors.select(id_col, "embedding")
     queries = queries.select(query_col, F.col("embedding").cast("array<double>").alias("embedding"))
-    schema = _pair_schema(vectors, id_col, queries, query_col)
+    schema = _pair_schema(vectors, id_col, queries, query_col, vectors_too)
     few = queries.limit(max_query_rows + 1).toArrow()
     if few.num_rows <= max_query_rows:
         return _pairs_of_few(vectors, few, schema, id_col, query_col, threshold, k)
@@ -91,11 +93,10 @@ def _pairs_of_few(vectors, few, schema, id_col, query_col, threshold, k) -> Data
             return
         for batch in batches:
             v, q, s = _candidates(_matrix(batch.column("embedding"), batch.num_rows), matrix, threshold, k)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(q)), batch.column(id_col).take(pa.array(v)), pa.array(s),
-                 batch.column("embedding").take(pa.array(v))],
-                names=[query_col, id_col, "score", "embedding"],
-            )
+            found = [ids.take(pa.array(q)), batch.column(id_col).take(pa.array(v)), pa.array(s)]
+            if "embedding" in schema.names:
+                found.append(batch.column("embedding").take(pa.array(v)))
+            yield pa.RecordBatch.from_arrays(found, names=schema.names)
 
     return vectors.mapInArrow(score, schema)
 
@@ -115,13 +116,13 @@ def _pairs_of_grid(vectors, queries, schema, id_col, query_col, threshold, k, bl
 
     def score(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(v) or not len(q):
-            return pd.DataFrame({query_col: [], id_col: [], "score": [], "embedding": []})
+            return pd.DataFrame({name: [] for name in schema.names})
         rows_v, rows_q = (_unit(np.stack(side["embedding"]).astype(np.float64)) for side in (v, q))
         at_v, at_q, s = _candidates(rows_v, rows_q, threshold, k)
-        return pd.DataFrame({
-            query_col: q[query_col].to_numpy()[at_q], id_col: v[id_col].to_numpy()[at_v], "score": s,
-            "embedding": v["embedding"].to_numpy()[at_v],
-        })
+        found = {query_col: q[query_col].to_numpy()[at_q], id_col: v[id_col].to_numpy()[at_v], "score": s}
+        if "embedding" in schema.names:
+            found["embedding"] = v["embedding"].to_numpy()[at_v]
+        return pd.DataFrame(found)
 
     return left.groupBy("_vb", "_qb").cogroup(right.groupBy("_vb", "_qb")).applyInPandas(score, schema)
 
@@ -130,8 +131,7 @@ def similarity_join(vectors: DataFrame, queries: DataFrame, threshold: float = M
                     id_col: str = "chunk_id", query_col: str = "query_id",
                     max_query_rows: int = MAX_QUERY_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Pairs whose cosine reaches the threshold (inclusive)."""
-    pairs = _pairs(vectors, queries, id_col, query_col, threshold, None, max_query_rows, block_rows)
-    return pairs.select(query_col, id_col, "score")
+    return _pairs(vectors, queries, id_col, query_col, threshold, None, max_query_rows, block_rows)
 
 
 def min_similarity_filter(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -146,7 +146,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, threshol
     Each batch returns its own best k, the row-number bound is applied again map-side, and only k rows per
     query and task are shuffled.
     """
-    pairs = _pairs(vectors, queries, id_col, query_col, threshold, k, max_query_rows, block_rows)
+    pairs = _pairs(vectors, queries, id_col, query_col, threshold, k, max_query_rows, block_rows, keep_embedding)
     ranked = first_per_key(pairs, [query_col], [F.col("score").desc(), F.col(id_col)], k)
     return ranked.select(query_col, "n", id_col, "score", *(["embedding"] if keep_embedding else []))
 
@@ -171,7 +171,7 @@ def mmr_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, threshold:
         order: list[int] = []
         for _ in range(min(k, len(rows))):
             gain = lam * relevance - (1 - lam) * closeness if order else relevance
-            pick = int(np.argmax(np.where(free, gain, -np.inf))) if order else 0
+            pick = int(np.argmax(np.where(free, np.round(gain, SCORE_PLACES), -np.inf))) if order else 0
             order.append(pick)
             free[pick] = False
             closeness = np.maximum(closeness, rows @ rows[pick])
@@ -235,7 +235,7 @@ SYSTEM = (
 
 def last_user_turn(turns: DataFrame) -> DataFrame:
     """The most recent earlier user turn of every turn."""
-    return running_last(turns, ["conv_id"], "turn", F.when(F.col("role") == "user", F.col("text")), "last_user_text")
+    return running_last(turns, ["conv_id"], ["turn"], F.when(F.col("role") == "user", F.col("text")), "last_user_text")
 
 
 def trim_history(turns: DataFrame, history_turns: int) -> DataFrame:
@@ -268,10 +268,13 @@ def excerpt_block(hits: DataFrame, query_col: str = "query_id") -> DataFrame:
 
 def build_prompts(questions: DataFrame, hits: DataFrame, history: DataFrame | None = None, style: str = "concise",
                   strict: bool = True, query_col: str = "query_id") -> DataFrame:
-    """(query, question) x hits x trimmed history(query, turn, role, text) -> system, messages."""
+    """(query, question) x hits x trimmed history(query, turn, role, text) -> n_hits, system, messages, answer.
+
+    A question without hits is not put to a model: it has no messages, and its answer is the not-found sentence.
+    """
     system = SYSTEM.format(grounding=STRICT if strict else OPEN, style=STYLES[style])
     user = F.concat(F.col("excerpts"), F.lit("\n\nQuestion: "), F.col("question"))
-    asked = questions.join(excerpt_block(hits, query_col), query_col)
+    asked = questions.join(excerpt_block(hits, query_col), query_col, "left")
     turn = F.struct(F.lit("user").alias("role"), user.alias("content"))
     if history is None:
         messages = F.array(turn)
@@ -283,7 +286,10 @@ def build_prompts(questions: DataFrame, hits: DataFrame, history: DataFrame | No
             F.coalesce("_past", F.array()), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))
         )
         messages = F.when(F.col("_past").isNull(), F.array(turn)).otherwise(F.concat(earlier, F.array(turn)))
-    return asked.select(query_col, "n_hits", F.lit(system).alias("system"), messages.alias("messages"))
+    hit = F.col("excerpts").isNotNull()
+    return asked.select(
+        query_col, F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.when(hit, F.lit(system)).alias("system"),
+        F.when(hit, messages).alias("messages"), F.when(~hit, F.lit(NOT_FOUND)).alias("answer"))
 
 
 def question_key(c: Column) -> Column:

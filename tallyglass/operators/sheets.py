@@ -293,12 +293,13 @@ def file_statistics(units: DataFrame) -> DataFrame:
 
 def stats_by_section(units: DataFrame, measure: str = "words") -> DataFrame:
     """One row per unit, equal sections not merged; an unnamed section is numbered by its place in the file."""
-    units = running_sum(units, ["file_id"], "unit_pos", F.lit(1), "_place")
+    measured = units.select("file_id", "unit_pos", "section", unit_measure(measure).alias("value"))
+    placed = running_sum(measured, ["file_id"], ["unit_pos"], F.lit(1), "_place")
     section = F.coalesce(
         F.when(F.col("section") != "", F.col("section")),
-        F.concat(F.lit("Section "), (F.coalesce("_place", F.lit(0)) + 1).cast("bigint").cast("string")),
+        F.concat(F.lit("Section "), (F.col("_place") + 1).cast("bigint").cast("string")),
     )
-    return units.select("file_id", "unit_pos", section.alias("category"), unit_measure(measure).alias("value"))
+    return placed.select("file_id", "unit_pos", section.alias("category"), "value")
 
 
 def page_grid(files: DataFrame, counts: DataFrame, pages: str = "pages", value: str = "value") -> DataFrame:

@@ -242,25 +242,25 @@ def _(t):
 # ---------------------------------------------------------------- chunks
 
 
-def _numbered(pieces: str) -> str:
+def numbered_sql(pieces: str) -> str:
     """SQL over pieces(file_id, unit_pos, k, text): drop blank ones and number the rest within each file."""
     return f"""SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY unit_pos, k) - 1 AS chunk_index, unit_pos,
   section, text FROM (SELECT file_id, unit_pos, section, k, {_strip_sql('text')} AS text FROM {pieces}) WHERE text <> ''"""
 
 
-def _fixed_sql(size: int, overlap: int) -> str:
+def fixed_sql(size: int, overlap: int) -> str:
     return f"""SELECT source AS file_id, doc_id AS unit_pos, lang AS section, i AS k, substring(text, i + 1, {size}) AS text
   FROM documents, unnest(range(0, greatest(length(text) - {overlap}, 1), {max(1, size - overlap)})) u(i)"""
 
 
-@query("chunk_fixed", f"WITH p AS ({_fixed_sql(400, 60)}) {_numbered('p')}")
+@query("chunk_fixed", f"WITH p AS ({fixed_sql(400, 60)}) {numbered_sql('p')}")
 def _(t):
     return C.chunk_units(t.units(), "fixed", 400, 60)
 
 
-@query("chunk_by_page", f"""WITH f AS ({_fixed_sql(1000, 100)}), p AS (
+@query("chunk_by_page", f"""WITH f AS ({fixed_sql(1000, 100)}), p AS (
 SELECT f.* FROM f JOIN documents d ON d.doc_id = f.unit_pos WHERE length(d.text) > 1000
-UNION ALL SELECT source, doc_id, lang, 0, text FROM documents WHERE length(text) <= 1000) {_numbered('p')}""")
+UNION ALL SELECT source, doc_id, lang, 0, text FROM documents WHERE length(text) <= 1000) {numbered_sql('p')}""")
 def _(t):
     return C.chunk_units(t.units(), "by_page", 500, 100)
 
@@ -292,7 +292,7 @@ chunked AS (SELECT id, n AS k, chunk AS text FROM r WHERE n > 0)"""
 
 @query("chunk_recursive", f"""WITH RECURSIVE {_recursive_sql('(SELECT doc_id AS id, text FROM documents)', 300, 60)},
 p AS (SELECT d.source AS file_id, c.id AS unit_pos, d.lang AS section, c.k, c.text FROM chunked c JOIN documents d ON d.doc_id = c.id)
-{_numbered('p')}""")
+{numbered_sql('p')}""")
 def _(t):
     return C.chunk_units(t.units(), "recursive", 300, 60)
 
@@ -305,7 +305,7 @@ def _(t):
 all_pieces AS (SELECT doc_id, j, 0 AS k, text FROM paras WHERE length(text) <= 300
   UNION ALL SELECT split_part(id, '/', 1)::BIGINT, split_part(id, '/', 2)::BIGINT, k, text FROM chunked),
 p AS (SELECT d.source AS file_id, a.doc_id AS unit_pos, d.lang AS section, a.j * 100000 + a.k AS k, a.text
-  FROM all_pieces a JOIN documents d ON d.doc_id = a.doc_id) {_numbered('p')}""")
+  FROM all_pieces a JOIN documents d ON d.doc_id = a.doc_id) {numbered_sql('p')}""")
 def _(t):
     units = t.units().withColumn("text", F.replace("text", F.lit(".\n"), F.lit(".\n  \n")))
     return C.chunk_units(units, "by_paragraph", 300, 60)
@@ -317,16 +317,16 @@ FROM documents""")
 def _(t):
     units = t.documents.select(F.col("source").alias("file_id"), F.col("doc_id").alias("unit_pos"), "n_chars")
     pieces = 1 + F.floor(F.col("n_chars") / 500)
-    return running_sum(units, ["file_id"], "unit_pos", pieces, "first_index", block=64).drop("n_chars")
+    return running_sum(units, ["file_id"], ["unit_pos"], pieces, "first_index").drop("n_chars")
 
 
-@query("reindex", f"WITH p AS ({_fixed_sql(300, 100)}), n AS ({_numbered('p')}) "
+@query("reindex", f"WITH p AS ({fixed_sql(300, 100)}), n AS ({numbered_sql('p')}) "
        "SELECT *, 'fixed' AS chunk_strategy, 300 AS chunk_size, 100 AS chunk_overlap FROM n")
 def _(t):
     return C.reindex(t.units(), "fixed", 300, 100)
 
 
-@query("context_chars", f"""WITH p AS ({_fixed_sql(400, 60)}), n AS ({_numbered('p')}),
+@query("context_chars", f"""WITH p AS ({fixed_sql(400, 60)}), n AS ({numbered_sql('p')}),
 s AS (SELECT CAST(sum(length(text)) AS BIGINT) AS total_chars FROM n)
 SELECT *, CASE WHEN total_chars <= 150000 THEN 'full' ELSE 'passages' END AS mode FROM s""")
 def _(t):
@@ -365,7 +365,7 @@ def _(t):
     return C.pack_rows(_part_rows(t), 200)
 
 
-@query("chunk_units", f"""WITH RECURSIVE {_ROWS_SQL}, {_packed_sql(400)}, p AS ({_fixed_sql(400, 60)}), n AS ({_numbered('p')})
+@query("chunk_units", f"""WITH RECURSIVE {_ROWS_SQL}, {_packed_sql(400)}, p AS ({fixed_sql(400, 60)}), n AS ({numbered_sql('p')})
 SELECT file_id, chunk_index, NULL::INT AS page, section, NULL::VARCHAR AS sheet, NULL::BIGINT AS row_start,
   NULL::BIGINT AS row_end, text FROM n
 UNION ALL SELECT file_id, chunk_index, NULL, NULL, sheet, row_start, row_end, text FROM packed""")
@@ -398,7 +398,7 @@ def _(t):
 
 # ---------------------------------------------------------------- index upkeep and snapshots
 
-_CHUNKS_SQL = f"p AS ({_fixed_sql(400, 60)}), chunks AS ({_numbered('p')})"
+_CHUNKS_SQL = f"p AS ({fixed_sql(400, 60)}), chunks AS ({numbered_sql('p')})"
 
 
 @query("remove_file", f"""WITH {_CHUNKS_SQL} SELECT * FROM chunks WHERE file_id NOT IN (

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions import text, vectors
 from tallyglass.operators import answers as A
+from tallyglass.operators import chunking as C
 from tallyglass.operators import events as E
 from tallyglass.operators import lookup as K
 from tallyglass.operators import retrieval as R
 from tallyglass.plans.base import query
+from tallyglass.plans.documents import fixed_sql, numbered_sql
+from tallyglass.scale import staged
 
 # ---------------------------------------------------------------- vectors
 
@@ -17,8 +20,8 @@ _CENTROIDS_SQL = """cent AS (SELECT query_id, list(a ORDER BY i) AS q FROM (
   SELECT label AS query_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS a FROM embeddings, unnest(range(1, len(embedding) + 1)) u(i)
   GROUP BY 1, 2) GROUP BY 1),
 vec AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-sims AS (SELECT query_id, chunk_id, list_inner_product(e, q) / sqrt(list_inner_product(e, e)) / sqrt(list_inner_product(q, q))
-  AS score FROM vec CROSS JOIN cent),
+sims AS (SELECT query_id, chunk_id, round(list_inner_product(e, q) / sqrt(list_inner_product(e, e))
+  / sqrt(list_inner_product(q, q)), 9) AS score FROM vec CROSS JOIN cent),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM sims WHERE score >= 0.1)"""
 
 
@@ -52,55 +55,63 @@ def _(t):
     return _rounded(rows, "x", places=8)
 
 
-@query("similarity_join", f"WITH {_CENTROIDS_SQL} SELECT query_id, chunk_id, round(score, 8) AS score FROM sims WHERE score >= 0.3")
+@query("similarity_join", f"WITH {_CENTROIDS_SQL} SELECT query_id, chunk_id, round(score, 9) AS score FROM sims WHERE score >= 0.3")
 def _(t):
-    return _rounded(R.similarity_join(_vectors(t), _centroids(t), 0.3), "score", places=8)
+    return _rounded(R.similarity_join(_vectors(t), _centroids(t), 0.3), "score", places=9)
 
 
-@query("similarity_join_grid", f"WITH {_CENTROIDS_SQL} SELECT query_id, chunk_id, round(score, 8) AS score FROM sims WHERE score >= 0.3")
+@query("similarity_join_grid", f"WITH {_CENTROIDS_SQL} SELECT query_id, chunk_id, round(score, 9) AS score FROM sims WHERE score >= 0.3")
 def _(t):
     # The same join by blocks, as it runs when the queries are too many to travel.
     pairs = R.similarity_join(_vectors(t), _centroids(t), 0.3, max_query_rows=0, block_rows=200)
-    return _rounded(pairs, "score", places=8)
+    return _rounded(pairs, "score", places=9)
 
 
-@query("min_similarity_filter", f"WITH {_CENTROIDS_SQL} SELECT query_id, chunk_id, round(score, 8) AS score FROM sims WHERE score >= 0.45")
+@query("min_similarity_filter", f"WITH {_CENTROIDS_SQL} SELECT query_id, chunk_id, round(score, 9) AS score FROM sims WHERE score >= 0.45")
 def _(t):
     pairs = R.similarity_join(_vectors(t), _centroids(t), 0.3)
-    return _rounded(R.min_similarity_filter(pairs, 0.45), "score", places=8)
+    return _rounded(R.min_similarity_filter(pairs, 0.45), "score", places=9)
 
 
-@query("vector_topk", f"WITH {_CENTROIDS_SQL} SELECT query_id, n::INT AS n, chunk_id, round(score, 8) AS score FROM ranked WHERE n <= 10")
+@query("vector_topk", f"WITH {_CENTROIDS_SQL} SELECT query_id, n::INT AS n, chunk_id, round(score, 9) AS score FROM ranked WHERE n <= 10")
 def _(t):
-    return _rounded(R.vector_topk(_vectors(t), _centroids(t), 10, 0.1), "score", places=8)
+    return _rounded(R.vector_topk(_vectors(t), _centroids(t), 10, 0.1), "score", places=9)
 
 
-@query("hit_number", f"WITH {_CENTROIDS_SQL} SELECT query_id, n::INT AS n, chunk_id, round(score, 8) AS score FROM ranked WHERE n <= 15 AND score >= 0.3")
+@query("hit_number", f"WITH {_CENTROIDS_SQL} SELECT query_id, n::INT AS n, chunk_id, round(score, 9) AS score FROM ranked WHERE n <= 15 AND score >= 0.3")
 def _(t):
     pairs = R.similarity_join(_vectors(t), _centroids(t), 0.3)
-    return _rounded(R.hit_number(pairs, 15).select("query_id", "n", "chunk_id", "score"), "score", places=8)
+    return _rounded(R.hit_number(pairs, 15).select("query_id", "n", "chunk_id", "score"), "score", places=9)
 
 
-def _mmr_sql(k: int, lam: float) -> str:
-    steps = [f"""pool AS (SELECT * FROM ranked WHERE n <= {4 * k}),
-close AS (SELECT a.query_id, a.chunk_id AS a, b.chunk_id AS b, list_inner_product(x.e, y.e)
+# Closeness of two vectors of a pool, for vectors as lists and as bags.
+_CLOSE_LISTS = """SELECT a.query_id, a.chunk_id AS a, b.chunk_id AS b, list_inner_product(x.e, y.e)
     / sqrt(list_inner_product(x.e, x.e)) / sqrt(list_inner_product(y.e, y.e)) AS s
-  FROM pool a JOIN pool b ON a.query_id = b.query_id JOIN vec x ON x.chunk_id = a.chunk_id JOIN vec y ON y.chunk_id = b.chunk_id),
+  FROM pool a JOIN pool b ON a.query_id = b.query_id JOIN vec x ON x.chunk_id = a.chunk_id JOIN vec y ON y.chunk_id = b.chunk_id"""
+_CLOSE_BAGS = """SELECT a.query_id, a.chunk_id AS a, b.chunk_id AS b, coalesce(sum(x.x * y.x), 0) AS s
+  FROM pool a JOIN pool b ON a.query_id = b.query_id JOIN d x ON x.id = a.chunk_id
+  LEFT JOIN d y ON y.id = b.chunk_id AND y.bucket = x.bucket GROUP BY 1, 2, 3"""
+
+
+def _mmr_sql(k: int, lam: float, close: str = _CLOSE_LISTS) -> str:
+    """Tables up to ``picked(query_id, n, chunk_id, score)``, from ``ranked``: one step per pick."""
+    steps = [f"""pool AS (SELECT * FROM ranked WHERE n <= {4 * k}),
+close AS MATERIALIZED ({close}),
 pick1 AS (SELECT query_id, chunk_id, score, 1 AS pos FROM pool WHERE n = 1)"""]
     for j in range(2, k + 1):
         steps.append(f"""pick{j} AS (SELECT * FROM pick{j - 1} UNION ALL SELECT query_id, chunk_id, score, {j} FROM (
   SELECT p.query_id, p.chunk_id, p.score, row_number() OVER (PARTITION BY p.query_id
-    ORDER BY {lam} * p.score - (1 - {lam}::DOUBLE) * max(c.s) DESC, p.n) AS r
+    ORDER BY round({lam} * p.score - (1 - {lam}::DOUBLE) * max(c.s), 9) DESC, p.n) AS r
   FROM pool p JOIN pick{j - 1} q ON q.query_id = p.query_id JOIN close c ON c.query_id = p.query_id AND c.a = p.chunk_id
     AND c.b = q.chunk_id
   WHERE NOT EXISTS (SELECT 1 FROM pick{j - 1} z WHERE z.query_id = p.query_id AND z.chunk_id = p.chunk_id)
   GROUP BY p.query_id, p.chunk_id, p.score, p.n) WHERE r = 1)""")
-    return ",\n".join(steps) + f" SELECT query_id, pos::INT AS n, chunk_id, round(score, 8) AS score FROM pick{k}"
+    return ",\n".join(steps) + f",\npicked AS (SELECT query_id, pos::INT AS n, chunk_id, score FROM pick{k})"
 
 
-@query("mmr_topk", f"WITH {_CENTROIDS_SQL}, {_mmr_sql(5, 0.5)}")
+@query("mmr_topk", f"WITH {_CENTROIDS_SQL}, {_mmr_sql(5, 0.5)} SELECT query_id, n, chunk_id, round(score, 9) AS score FROM picked")
 def _(t):
-    return _rounded(R.mmr_topk(_vectors(t), _centroids(t), 5, 0.1, 0.5), "score", places=8)
+    return _rounded(R.mmr_topk(_vectors(t), _centroids(t), 5, 0.1, 0.5), "score", places=9)
 
 
 # ---------------------------------------------------------------- text search
@@ -119,44 +130,52 @@ def _(t):
         embedded.select("doc_id", F.posexplode_outer("e").alias("bucket", "weight")).where("weight <> 0"), "weight", places=8)
 
 
-_SEARCH_SQL = f"""{_bag_sql('d', '(SELECT doc_id AS id, text FROM documents)')},
+# The whole chain: documents in chunks of 800 characters, an item asked after the last question of the conversation of
+# its number, five diverse hits.
+_SEARCH_SQL = f"""pc AS ({fixed_sql(800, 120)}), ch AS ({numbered_sql('pc')}),
+idx AS MATERIALIZED (SELECT file_id || '#' || chunk_index AS id, * FROM ch),
+{_bag_sql('d', 'idx')},
 {_bag_sql('q', '(SELECT item_id AS id, text FROM benchmark)')},
-tsims AS (SELECT q.id AS query_id, d.id AS chunk_id, sum(q.x * d.x) AS score FROM q JOIN d USING (bucket) GROUP BY 1, 2),
-hits AS (SELECT * FROM (SELECT query_id, chunk_id, round(score, 8) AS score, row_number() OVER (PARTITION BY query_id
-  ORDER BY round(score, 9) DESC, chunk_id) AS n FROM tsims WHERE score >= 0.45) WHERE n <= 6)"""
+{_bag_sql('p', "(SELECT conv_id AS id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY 1)")},
+mixed AS (SELECT id, bucket, sum(x) AS x FROM (SELECT id, bucket, 0.75 * x AS x FROM q UNION ALL
+  SELECT id, bucket, 0.25 * x FROM p WHERE id IN (SELECT item_id FROM benchmark)) GROUP BY 1, 2),
+asked AS (SELECT id, bucket, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM mixed),
+tsims AS (SELECT asked.id AS query_id, d.id AS chunk_id, round(sum(asked.x * d.x), 9) AS score FROM asked JOIN d USING (bucket)
+  GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM tsims WHERE score >= 0.45),
+{_mmr_sql(5, 0.7, _CLOSE_BAGS)}"""
 
 
-def _text_hits(t):
-    docs = t.documents.select(F.col("doc_id").alias("chunk_id"), vectors.hash_embed(F.col("text")).alias("embedding"))
+def _index(t):
+    chunks = C.chunk_units(t.units(), "fixed", 800, 120)
+    chunk_id = F.concat("file_id", F.lit("#"), F.col("chunk_index").cast("string"))
+    return staged(chunks.select(chunk_id.alias("chunk_id"), "*", vectors.hash_embed(F.col("text")).alias("embedding")), "index")
+
+
+def _text_hits(t, index):
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), vectors.hash_embed(F.col("text")).alias("embedding"))
-    return R.search(docs, asked, 6, 0.45, diversify=False)
+    before = t.conversations.where("role = 'user'").groupBy(F.col("conv_id").alias("query_id")).agg(
+        F.max_by("text", "turn").alias("text"))
+    before = before.select("query_id", vectors.hash_embed(F.col("text")).alias("embedding"))
+    return R.search(index.select("chunk_id", "embedding"), R.blended_queries(asked, before), 5, 0.45)
 
 
-@query("search", f"WITH {_SEARCH_SQL} SELECT query_id, count(*) AS n, min(score) AS worst, max(score) AS best FROM hits GROUP BY 1")
+@query("search", f"WITH {_SEARCH_SQL} SELECT query_id, n, chunk_id, round(score, 9) AS score FROM picked")
 def _(t):
-    hits = _rounded(_text_hits(t), "score", places=8)
-    return hits.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("score").alias("worst"), F.max("score").alias("best"))
+    return _rounded(_text_hits(t, _index(t)), "score", places=9)
 
 
-# Excerpts for prompts: the longest documents of each source, so that their order has no ties.
-_EXCERPTS_SQL = """ex AS (SELECT item_id AS query_id, n, source || '/' || doc_id || ', section "' || lang || '"' AS label, text, score FROM (
-  SELECT b.item_id, d.*, d.n_chars / 100000.0::DOUBLE AS score, row_number() OVER (PARTITION BY b.item_id ORDER BY d.n_chars DESC, d.doc_id) AS n
-  FROM benchmark b JOIN documents d ON d.source = 'src' || (b.item_id % 20)) WHERE n <= 4)"""
+_EXCERPTS_SQL = _SEARCH_SQL + """,
+ex AS (SELECT query_id, n, file_id || '/' || unit_pos || ', section "' || section || '"' AS label, text, score
+  FROM picked JOIN idx ON idx.id = picked.chunk_id)"""
 
 
 def _excerpts(t):
-    from tallyglass.operators.ordered import first_per_key
-
-    best = first_per_key(t.documents, ["source"], [F.col("n_chars").desc(), F.col("doc_id")], 4)
-    asked = t.benchmark.select(
-        F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"))
-    none = F.lit(None)
-    return asked.join(best, "source").select(
-        "query_id", "n", "text", (F.col("n_chars") / 100000.0).alias("score"), F.col("doc_id").alias("file_id"),
-        F.col("doc_id").cast("string").alias("name"), F.col("source").alias("folder"), none.cast("int").alias("page"),
-        F.col("lang").alias("section"), none.cast("string").alias("sheet"), none.cast("int").alias("row_start"),
-        none.cast("int").alias("row_end"))
+    index, none = _index(t), F.lit(None)
+    return index.drop("embedding").join(_text_hits(t, index), "chunk_id").select(
+        "query_id", "n", "text", "score", F.col("chunk_id").alias("file_id"), F.col("unit_pos").cast("string").alias("name"),
+        F.col("file_id").alias("folder"), none.cast("int").alias("page"), "section", none.cast("string").alias("sheet"),
+        none.cast("int").alias("row_start"), none.cast("int").alias("row_end"))
 
 
 @query("hit_sources", f"""WITH {_EXCERPTS_SQL} SELECT query_id, n::INT AS n, label, round(score, 3) AS score, md5(text) AS snippet FROM ex""")
@@ -182,16 +201,18 @@ def _(t):
 @query("build_prompts", f"""WITH {_EXCERPTS_SQL}, {_BLOCK_SQL},
 hist AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations),
 past AS (SELECT conv_id, string_agg(role || ':' || text, '|' ORDER BY turn) AS told, count(*) AS k FROM hist WHERE rn <= 4 GROUP BY 1)
-SELECT b.item_id AS query_id, n_hits, coalesce(k, 0) + 1 AS n_messages, md5(coalesce(told || '|', '') || 'user:' || excerpts
-  || chr(10) || chr(10) || 'Question: ' || b.text) AS digest
-FROM benchmark b JOIN blocks x ON x.query_id = b.item_id LEFT JOIN past ON conv_id = b.item_id""")
+SELECT b.item_id AS query_id, coalesce(n_hits, 0) AS n_hits, CASE WHEN n_hits > 0 THEN coalesce(k, 0) + 1 END AS n_messages, md5(coalesce(told || '|', '') || 'user:' || excerpts
+  || chr(10) || chr(10) || 'Question: ' || b.text) AS digest,
+  CASE WHEN n_hits IS NULL THEN 'I couldn''t find this in your documents.' END AS answer
+FROM benchmark b LEFT JOIN blocks x ON x.query_id = b.item_id LEFT JOIN past ON conv_id = b.item_id""")
 def _(t):
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     history = R.trim_history(t.conversations, 2).withColumnRenamed("conv_id", "query_id")
     prompts = R.build_prompts(asked, _labelled(t), history, "concise", True)
     told = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
     return prompts.select(
-        "query_id", "n_hits", F.size("messages").cast("bigint").alias("n_messages"), F.md5(told).alias("digest"))
+        "query_id", "n_hits", F.when(F.col("messages").isNotNull(), F.size("messages")).cast("bigint").alias("n_messages"),
+        F.md5(told).alias("digest"), "answer")
 
 
 @query("last_user_turn", """SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (

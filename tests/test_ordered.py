@@ -96,10 +96,10 @@ def test_pack_rows_keeps_every_row_once(spark, many_partitions):
 def test_running_sum_and_last(spark, many_partitions):
     rng = random.Random(8)
     keys = skewed(500, 2)
-    rows = [(k, i, rng.randrange(9), rng.choice([None, f"v{i}"])) for i, k in enumerate(keys)]
+    rows = [(None if k == "k0" else k, i * 10 ** 9, rng.randrange(9), rng.choice([None, f"v{i}"])) for i, k in enumerate(keys)]
     df = spark.createDataFrame(rows, "k string, pos long, n int, v string")
-    sums = {r.pos: r.s for r in running_sum(df, ["k"], "pos", F.col("n"), "s", block=16).collect()}
-    lasts = {r.pos: r.b for r in running_last(df, ["k"], "pos", F.col("v"), "b", block=16).collect()}
+    sums = {r.pos: r.s for r in running_sum(df, ["k"], ["pos"], F.col("n"), "s").collect()}
+    lasts = {r.pos: r.b for r in running_last(df, ["k"], ["pos"], F.col("v"), "b").collect()}
     seen, last = {}, {}
     for k, pos, n, v in rows:
         assert sums[pos] == seen.get(k, 0)
@@ -108,6 +108,18 @@ def test_running_sum_and_last(spark, many_partitions):
         last[k] = v if v is not None else last.get(k)
 
 
+def test_units_without_ids_or_with_one_place_keep_their_chunks(spark, many_partitions):
+    units = [("f", 0, "aa"), ("f", None, "bb"), ("f", 0, "cc dd"), (None, 1, "ee"), (None, None, "ff"), ("f", 5, None), ("f", 6, " ")]
+    cut = chunking.chunk_units(spark.createDataFrame(units, "file_id string, unit_pos long, text string"), "fixed", 3, 0)
+    got = sorted(((r.file_id or "", r.chunk_index, r.text) for r in cut.collect()))
+    assert got == [("", 0, "ff"), ("", 1, "ee"), ("f", 0, "bb"), ("f", 1, "aa"), ("f", 2, "cc"), ("f", 3, "dd")]
+    rows = [(f, p, "s", i, t) for i, (f, p, t) in enumerate(units)]
+    packed = chunking.pack_rows(spark.createDataFrame(rows, "file_id string, unit_pos long, sheet string, row int, text string"), 1)
+    got = sorted((r.file_id or "", r.chunk_index, r.row_start, r.text[9:]) for r in packed.collect())
+    assert got == [("", 0, 4, "ff"), ("", 1, 3, "ee"), ("f", 0, 1, "bb"), ("f", 1, 0, "aa"), ("f", 2, 2, "cc dd"), ("f", 3, 5, ""),
+                   ("f", 4, 6, " ")]
+
+
 def test_first_per_key_beyond_the_map_side_bound(spark):
     df = spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
     got = first_per_key(df, ["k"], [F.col("v")], 1500)

@@ -8,7 +8,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from tallyglass.operators import events, files, prices, sheets
+from tallyglass.operators import chunking, events, files, prices, sheets
 from tallyglass.plans import load
 
 QUERIES, _ = load()
@@ -59,3 +59,10 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
     )
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0 and int(done.stdout.split()[0]) == 1000, done.stderr[-500:]
+
+
+@pytest.mark.parametrize("strategy", ["fixed", "by_page", "recursive", "by_paragraph"])
+def test_chunking_reads_its_texts_once(tables, strategy):
+    """The texts are cut while they are written; what follows reads the written pieces."""
+    chunks = chunking.chunk_units(tables.units(), strategy, 300, 60)
+    assert not [f for f in chunks.inputFiles() if "documents" in f]

@@ -119,3 +119,19 @@ def test_search_refuses_a_number_of_hits_it_cannot_honour(spark, tables):
 
     with pytest.raises(ValueError):
         search(tables.embeddings, tables.embeddings, k=20)
+
+
+def test_a_question_without_hits_gets_the_not_found_answer(spark):
+    questions = spark.createDataFrame([(1, "who?"), (2, "why?")], "query_id long, question string")
+    hits = spark.createDataFrame([(1, 1, "f", "text")], "query_id long, n int, label string, text string")
+    rows = {r.query_id: r for r in R.build_prompts(questions, hits).collect()}
+    assert rows[1].n_hits == 1 and rows[1].answer is None and rows[1].messages[0].content.endswith("Question: who?")
+    assert rows[2].n_hits == 0 and rows[2].messages is None and rows[2].answer == "I couldn't find this in your documents."
+
+
+def test_vectors_leave_the_workers_only_on_request(data):
+    vectors, queries, *_ = data
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    sent = lambda df: plan(df).split("MapInArrow score")[1].split("\n")[0].split("],")[0]
+    assert "embedding" not in sent(R.similarity_join(vectors, queries, 0.3)).split(", [")[-1]
+    assert "embedding" in sent(R.vector_topk(vectors, queries, 5, keep_embedding=True)).split(", [")[-1]
