@@ -96,15 +96,16 @@ def file_quota(files: DataFrame, session: str, order: str, max_files: int = MAX_
 def file_limit(files: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """Accept the first ``n`` files of each key and report every other one.
 
-    The n-th file's place is found by a bounded ranking; the rest is one comparison per row.
+    The n-th file's place is found by a bounded ranking; the rest is one comparison per row.  A null key is a key of
+    its own.
     """
-    last = first_per_key(files.select(key, order), [key], [F.col(order)], n).groupBy(key).agg(
+    last = first_per_key(files.select(key, order), [key], [F.col(order)], n).groupBy(F.col(key).alias("_key")).agg(
         F.max(order).alias("_last")
     )
-    joined = files.join(last, key)
+    joined = files.join(last, F.col(key).eqNullSafe(F.col("_key")), "left")
     return joined.withColumn(
         "reason", F.when(F.col(order) > F.col("_last"), F.lit(f"file limit reached ({n})"))
-    ).drop("_last")
+    ).drop("_key", "_last")
 
 
 def file_result(name: Column, folder: Column, file_id: Column, pages: Column, chunks: Column,

@@ -101,9 +101,13 @@ def net_sentiment(daily: DataFrame) -> DataFrame:
     )
 
 
-def stock_summary(symbols: DataFrame, headlines: DataFrame, prices: DataFrame, today: str, days: int) -> DataFrame:
+def stock_summary(symbols: DataFrame, headlines: DataFrame, prices: DataFrame, today: str, days: int,
+                  failed: DataFrame | None = None) -> DataFrame:
     """One row per symbol; a missing news or price side leaves nulls (counts 0), never drops the row.
 
+    ``failed(symbol, news_error, price_error)``, where given, tells which sides could not be fetched; both flags come
+    out beside the figures, false for symbols it does not list, and ``status_notes`` takes them.
+
     The headlines are read once: their daily means carry the as-of prices along and are summed up together.
     """
     recent = daily_sentiment(horizon_filter(headlines, today, days))
@@ -118,7 +122,7 @@ def stock_summary(symbols: DataFrame, headlines: DataFrame, prices: DataFrame, t
         F.count("next_day_pct").alias("next_day_sample_size"),
     )
     zero = F.lit(0).cast("bigint")
-    return (
+    summary = (
         symbols.select("symbol").distinct()
         .join(news, "symbol", "left")
         .join(horizon_move(prices, today, days), "symbol", "left")
@@ -130,6 +134,11 @@ def stock_summary(symbols: DataFrame, headlines: DataFrame, prices: DataFrame, t
             F.coalesce("date_count", zero).alias("date_count"),
         )
     )
+    if failed is None:
+        return summary
+    flags = {side: F.coalesce(F.col(side), F.lit(False)) for side in ("news_error", "price_error")}
+    either = failed.groupBy("symbol").agg(*[F.bool_or(side).alias(side) for side in flags])
+    return summary.join(either, "symbol", "left").withColumns(flags)
 
 
 def status_notes(summary: DataFrame, days: int, news_error: Column | None = None,
@@ -172,11 +181,11 @@ def align_series(points: DataFrame, series: str = "symbol", value: str = "close"
 
 def rebase_pct(prices: DataFrame) -> DataFrame:
     """Percent change from each series' own first point; series with fewer than two points are dropped."""
-    series = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    has_two = prices.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select("symbol")
-    return prices.join(has_two, "symbol", "left_semi").withColumn(
-        "pct", percent_change(F.first("close").over(series), F.col("close"))
-    )
+    series = Window.partitionBy("symbol")
+    so_far = series.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = prices.withColumns({
+        "pct": percent_change(F.first("close").over(so_far), F.col("close")), "_n": F.count(F.lit(1)).over(series)})
+    return counted.where("_n >= 2").drop("_n")
 
 
 def last_point(points: DataFrame, series: str = "symbol", value: str = "close") -> DataFrame:
@@ -187,15 +196,19 @@ def last_point(points: DataFrame, series: str = "symbol", value: str = "close")
 
 
 def line_segments(points: DataFrame, series: str = "symbol", value: str = "close") -> DataFrame:
-    """Runs of present values on the union of dates: a missing value lifts the pen."""
-    order = Window.partitionBy(series).orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gaps = align_series(points, series, value).withColumn(
-        "_gap", F.sum(F.when(F.col(value).isNull(), 1).otherwise(0)).over(order)
-    )
+    """Runs of present values on the union of dates: a missing value lifts the pen.
+
+    Within a run the place of the date among all dates and the rank among the series' own points grow together, so
+    no grid of series and dates is needed.  The dates travel as in ``align_series``.
+    """
+    dates = points.agg(F.array_sort(F.collect_set("date")).alias("dates")).scalar()
+    own = F.dense_rank().over(Window.partitionBy(series).orderBy("date"))
+    placed = points.where(F.col(value).isNotNull() & F.col("date").isNotNull()).withColumn(
+        "_run", F.array_position(dates, F.col("date")) - own)
     return (
-        gaps.where(F.col(value).isNotNull()).groupBy(series, "_gap")
+        placed.groupBy(series, "_run")
         .agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count(F.lit(1)).alias("points"))
-        .drop("_gap")
+        .drop("_run")
     )
 
 

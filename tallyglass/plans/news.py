@@ -130,7 +130,7 @@ def _(t):
 @query("last_point", f"""WITH {_USER_POINTS_SQL}
 SELECT symbol, max(date) AS last_date, arg_max(close, date) AS last_value FROM grid WHERE close IS NOT NULL GROUP BY 1""")
 def _(t):
-    return P.last_point(P.align_series(_user_points(t)))
+    return P.last_point(_user_points(t))
 
 
 @query("line_segments", f"""WITH {_USER_POINTS_SQL}
@@ -343,28 +343,37 @@ summary AS (SELECT y.symbol, coalesce(CAST(net.hc AS BIGINT), 0) AS headline_cou
   LEFT JOIN mv ON mv.symbol = y.symbol LEFT JOIN nd ON nd.symbol = y.symbol)"""
 
 
+# Regions are symbols without news or prices, some because a side could not be fetched: their rows must survive.
+_FAILED_SQL = """failed AS (SELECT y.*, coalesce(r_regionkey % 2 = 0, false) AS news_error,
+  coalesce(r_regionkey % 3 = 0, false) AS price_error FROM summary y LEFT JOIN region ON r_name = y.symbol)"""
+
+
 def _summary(t):
-    # Regions are symbols without news or prices: their rows must survive.
+    failed = t.region.select(
+        F.col("r_name").alias("symbol"), (F.col("r_regionkey") % 2 == 0).alias("news_error"),
+        (F.col("r_regionkey") % 3 == 0).alias("price_error"))
     listed = t.symbols().unionByName(t.region.select(F.col("r_name").alias("symbol")))
-    out = P.stock_summary(listed, t.headlines(), t.prices(), TODAY, 14)
+    out = P.stock_summary(listed, t.headlines(), t.prices(), TODAY, 14, failed)
     return out.withColumns({
         "net_sentiment": F.round("net_sentiment", 10) + 0.0, "movement_pct": F.round("movement_pct", 6),
         "next_day_avg_pct": F.round("next_day_avg_pct", 6)})
 
 
-@query("stock_summary", f"WITH {_SUMMARY_SQL} SELECT * FROM summary")
+@query("stock_summary", f"WITH {_SUMMARY_SQL}, {_FAILED_SQL} SELECT * FROM failed")
 def _(t):
     return _summary(t)
 
 
-@query("status_notes", f"""WITH {_SUMMARY_SQL} SELECT *, concat_ws(' ',
-CASE WHEN headline_count = 0 THEN symbol || ': no headlines found within the last 14 days.'
+@query("status_notes", f"""WITH {_SUMMARY_SQL}, {_FAILED_SQL} SELECT *, concat_ws(' ',
+CASE WHEN news_error THEN symbol || ': couldn''t fetch news right now.'
+  WHEN headline_count = 0 THEN symbol || ': no headlines found within the last 14 days.'
   WHEN next_day_sample_size < date_count
   THEN symbol || ': next-day figure only covers dates with a following trading day so far.' END,
-CASE WHEN movement_pct IS NULL THEN symbol || ': no trading data found within the last 14 days.' END) AS notes
-FROM summary""")
+CASE WHEN price_error THEN symbol || ': price data is unavailable right now.'
+  WHEN NOT news_error AND movement_pct IS NULL THEN symbol || ': no trading data found within the last 14 days.' END) AS notes
+FROM failed""")
 def _(t):
-    return P.status_notes(_summary(t), 14)
+    return P.status_notes(_summary(t), 14, F.col("news_error"), F.col("price_error"))
 
 
 # ---------------------------------------------------------------- feeds

@@ -66,3 +66,15 @@ def test_chunking_reads_its_texts_once(tables, strategy):
     """The texts are cut while they are written; what follows reads the written pieces."""
     chunks = chunking.chunk_units(tables.units(), strategy, 300, 60)
     assert not [f for f in chunks.inputFiles() if "documents" in f]
+
+
+def test_segments_and_last_points_make_no_grid(tables):
+    points = tables.price_points()
+    for df in (prices.line_segments(points), prices.last_point(points)):
+        assert "explode" not in plan_of(df)
+
+
+def test_files_without_a_key_share_the_limit(spark):
+    rows = [(None, 1), (None, 2), (None, 3), ("a", 1)]
+    got = files.file_limit(spark.createDataFrame(rows, "k string, pos long"), "k", "pos", 2).collect()
+    assert sorted((r.k or "", r.pos) for r in got if r.reason is None) == [("", 1), ("", 2), ("a", 1)] and len(got) == 4
