@@ -120,6 +120,7 @@ def redact_secrets(c: Column, secret: str | None = None) -> Column:
     """Hide a known secret and anything that looks like a service key."""
     if secret:
         c = F.replace(c, F.lit(secret), F.lit("[redacted]"))
+    # Fixed value: the shape of a service key.
     return F.regexp_replace(c, r"\b(sk|AIza|gsk|xai)[-_A-Za-z0-9*]{8,}", "[redacted]")
 
 

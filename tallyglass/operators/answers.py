@@ -79,6 +79,7 @@ def excerpt_refs(cells: DataFrame, hits: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- Markdown answers
 
+# What rules of tables and items of lists look like.
 _RULE = r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*\|?\s*$"
 _BULLET = r"^\s*([-*•]|\d+\.)\s+"
 

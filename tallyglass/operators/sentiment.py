@@ -29,24 +29,28 @@ BUT_BEFORE, BUT_AFTER = 0.5, 1.5
 NOISE = 1e-9  # smaller than any difference the model can mean
 
 # Negations.
-NEGATIONS = (
-    "aint arent cannot cant couldnt darent didnt doesnt ain't aren't can't couldn't daren't didn't doesn't "
-    "dont hadnt hasnt havent isnt mightnt mustnt neither don't hadn't hasn't haven't isn't mightn't mustn't "
-    "neednt needn't never none nope nor not nothing nowhere oughtnt shant shouldnt uhuh wasnt werent "
-    "oughtn't shan't shouldn't uh-uh wasn't weren't without wont wouldnt won't wouldn't rarely seldom despite"
-).split()
+NEGATIONS = [
+    "aint", "arent", "cannot", "cant", "couldnt", "darent", "didnt", "doesnt", "ain't", "aren't", "can't",
+    "couldn't", "daren't", "didn't", "doesn't", "dont", "hadnt", "hasnt", "havent", "isnt", "mightnt", "mustnt",
+    "neither", "don't", "hadn't", "hasn't", "haven't", "isn't", "mightn't", "mustn't", "neednt", "needn't",
+    "never", "none", "nope", "nor", "not", "nothing", "nowhere", "oughtnt", "shant", "shouldnt", "uhuh",
+    "wasnt", "werent", "oughtn't", "shan't", "shouldn't", "uh-uh", "wasn't", "weren't", "without", "wont",
+    "wouldnt", "won't", "wouldn't", "rarely", "seldom", "despite",
+]
 
 # Words that strengthen the next word, and words and phrases that weaken it.
-STRONGER = (
-    "absolutely amazingly awfully completely considerably decidedly deeply effing enormously entirely "
-    "especially exceptionally extremely fabulously flipping flippin fricking frickin frigging friggin fully "
-    "fucking greatly hella highly hugely incredibly intensely majorly more most particularly purely quite "
-    "really remarkably so substantially thoroughly totally tremendously uber unbelievably unusually utterly very"
-).split()
-WEAKER = (
-    "almost barely hardly kinda kindof kind-of less little marginally occasionally partly scarcely slightly "
-    "somewhat sorta sortof sort-of"
-).split()
+STRONGER = [
+    "absolutely", "amazingly", "awfully", "completely", "considerably", "decidedly", "deeply", "effing",
+    "enormously", "entirely", "especially", "exceptionally", "extremely", "fabulously", "flipping", "flippin",
+    "fricking", "frickin", "frigging", "friggin", "fully", "fucking", "greatly", "hella", "highly", "hugely",
+    "incredibly", "intensely", "majorly", "more", "most", "particularly", "purely", "quite", "really",
+    "remarkably", "so", "substantially", "thoroughly", "totally", "tremendously", "uber", "unbelievably",
+    "unusually", "utterly", "very",
+]
+WEAKER = [
+    "almost", "barely", "hardly", "kinda", "kindof", "kind-of", "less", "little", "marginally", "occasionally",
+    "partly", "scarcely", "slightly", "somewhat", "sorta", "sortof", "sort-of",
+]
 WEAKER_PHRASES = ["just enough", "kind of", "sort of"]
 
 # Phrases with a valence of their own.
