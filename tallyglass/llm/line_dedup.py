@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.llm.common import BLANK_CHARS, whole_text
 from tallyglass.llm.perfect_hash import pack, unpack
-from tallyglass.scale import staged
+from tallyglass.scale import broadcast_if_small, staged
 
 _STRIP = BLANK_CHARS.encode()
 NO_ID = -(1 << 63)  # a null id counts as the smallest
@@ -65,24 +65,34 @@ def _shard(shards: int):
     return F.pmod(F.col("low"), F.lit(shards)).cast("int")
 
 
-def _lost(hashes: DataFrame, index: DataFrame, shards: int, salts: int) -> DataFrame:
+def _salts(hashes: DataFrame, shards: int, even: float) -> DataFrame:
+    """``shard, salts`` for the shards that over twice the ``even`` load goes to: how many such parts they need; written once."""
+    loads = hashes.groupBy(_shard(shards).alias("shard")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * even)
+    return staged(loads.select("shard", F.ceil(F.col("n") / even).cast("int").alias("salts")), "crowded-shards")
+
+
+def _lost(hashes: DataFrame, index: DataFrame, shards: int, even: float) -> DataFrame:
     """``id, keys``: the keys (16-byte hashes in one binary) whose lines each document loses.
 
-    Hashes travel to their shard, in ``salts`` parts by document so that a line found in every document is probed by
-    several tasks; the shard's arrays go to each part.  Rows stream past the arrays, one batch at a time.
+    Hashes travel to their shard; a crowded shard is dealt by document into parts of about the ``even`` load, so that a
+    line found in every document is probed by as many tasks as it needs.  The shard's arrays go to each part.  Rows
+    stream past the arrays, one batch at a time.
     """
-    none = F.lit(None)
-    salted = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"),
-                          "blob", none.cast("bigint").alias("id"), none.cast("bigint").alias("high"), none.cast("bigint").alias("low"))
-    probes = hashes.select(_shard(shards).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"),
-                           F.lit(1).alias("kind"), none.cast("binary").alias("blob"), "id", "high", "low")
+    none, crowded = F.lit(None), broadcast_if_small(_salts(hashes, shards, even))
+    salts = F.coalesce("salts", F.lit(1))
+    salted = index.join(crowded, "shard", "left").select(
+        "shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"),
+        "blob", none.cast("bigint").alias("id"), none.cast("bigint").alias("high"), none.cast("bigint").alias("low"))
+    probes = hashes.withColumn("shard", _shard(shards)).join(crowded, "shard", "left").select(
+        "shard", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), F.lit(1).alias("kind"),
+        none.cast("binary").alias("blob"), "id", "high", "low")
     dealt = salted.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, arrays = None, []
         for batch in batches:
             shard, salt, kind = (batch.column(i).to_numpy() for i in range(3))
-            place = shard.astype(np.int64) * salts + salt
+            place = shard.astype(np.int64) << 32 | salt
             ids, high, low = (pc.fill_null(batch.column(i), 0).to_numpy() for i in (4, 5, 6))
             out = []
             cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]) | (kind[1:] == 0) | (kind[1:] != kind[:-1])) + 1).tolist(), len(place)]
@@ -109,8 +119,8 @@ def _lost(hashes: DataFrame, index: DataFrame, shards: int, salts: int) -> DataF
     return dropped.groupBy("id").agg(F.collect_set(F.struct("high", "low")).alias("keys"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, salts: int = 8,
-               shard_lines: int = 1 << 16) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10,
+               part_rows: int = 1 << 20, shard_lines: int = 1 << 16) -> DataFrame:
     """One row per document: ``doc_id, text, n_lines, n_dropped``.
 
     Texts are split at ``\\n``; a null or empty text is one empty line.  A line's key is the line without blanks at
@@ -120,7 +130,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The lines' 128-bit hashes are counted map-side.  Those found in two documents or more fill shards of about
     ``shard_lines`` lines: a minimal perfect hash over one half of the hash indexes arrays of the other half, of
-    counts and of smallest ids (25 bytes a line).  Documents send their hashes, never their lines, past the arrays.
+    counts and of smallest ids (25 bytes a line).  Documents send their hashes, never their lines, past the arrays; there
+    are enough shards for an even load of at most ``part_rows`` hashes.
     """
     held = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("id"), F.col(id_col).alias("own_id"),
                        whole_text(text_col).alias("text"))
@@ -128,8 +139,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = staged(
         hashes.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
         .where("n >= 2"), "repeated-lines")
-    shards = 1 << max(6, math.ceil(math.log2(max(1, repeated.count()) / shard_lines)))
-    lost = _lost(hashes, _shards(repeated, shards), shards, salts)
+    total = max(1, hashes.count())
+    shards = 1 << max(6, math.ceil(math.log2(max(1, repeated.count()) / shard_lines)), math.ceil(math.log2(total / part_rows)))
+    lost = _lost(hashes, _shards(repeated, shards), shards, total / shards)
     joined = held.join(lost, "id", "left").select(F.col("own_id"), F.col("text").cast("binary"), "keys")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -41,6 +41,19 @@ def test_line_dedup_of_odd_rows(spark):
     assert len(rows) == 10 and line_dedup.line_dedup(documents(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part_rows", [3, 1 << 20])
+def test_line_dedup_of_a_line_in_every_document(spark, part_rows):
+    text = F.concat_ws("\n", F.lit("  ONE line that all hold"), F.concat(F.lit("a line of its own "), F.col("id")),
+                       F.concat(F.lit("shared by a few "), F.floor(F.col("id") / 3)), F.lit("one LINE that all hold "))
+    docs = spark.range(10, 410, numPartitions=5).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got = line_dedup.line_dedup(docs, part_rows=part_rows).collect()
+    groups = {}
+    for i in range(10, 410):
+        groups.setdefault(i // 3, i)
+    assert {r.doc_id: (r.n_lines, r.n_dropped) for r in got} == {
+        i: (4, 2 * (i > 10) + (groups[i // 3] != i)) for i in range(10, 410)}
+
+
 def plain_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
