@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions.text import JS_BLANK_CHARS, strip_blank
@@ -10,6 +10,8 @@ from tallyglass.operators.ordered import first_per_key
 
 # Suggestions shown, symbols per search.
 MAX_SUGGESTIONS, MAX_SYMBOLS = 8, 3
+# Characters of a typed text that are looked up before the rest is compared.
+GRAM = 3
 
 
 def suggest_symbols(symbols: DataFrame, typed: list[str], limit: int = MAX_SUGGESTIONS) -> DataFrame:
@@ -24,8 +26,7 @@ def suggest_symbols(symbols: DataFrame, typed: list[str], limit: int = MAX_SUGGE
         asked_rows = F.array(*[
             F.struct(F.lit(i).alias("query_id"), F.lit(t).alias("query"), F.lit(q).alias("q")) for i, t, q in asked
         ])
-    name, symbol, q = F.lower("name"), F.lower("symbol"), F.col("_a.q")
-    rank = F.when(name.startswith(q) | symbol.startswith(q), 0).when(name.contains(q) | symbol.contains(q), 1)
+    rank = _fit(F.lower("name"), F.lower("symbol"), F.col("_a.q"))
     hits = symbols.select("symbol", "name", "pos", F.explode(asked_rows).alias("_a")).select(
         F.col("_a.query_id").alias("query_id"), F.col("_a.query").alias("query"), "symbol", "name", "pos",
         rank.alias("_rank"),
@@ -33,6 +34,34 @@ def suggest_symbols(symbols: DataFrame, typed: list[str], limit: int = MAX_SUGGE
     return first_per_key(hits, ["query_id"], [F.col("_rank"), F.col("pos")], limit).drop("_rank")
 
 
+def suggest_for_typed(symbols: DataFrame, typed: DataFrame, text: str = "query", limit: int = MAX_SUGGESTIONS) -> DataFrame:
+    """``suggest_symbols`` for a table of typed texts: its rows with ``symbol, name, pos, n``; blank texts find nothing.
+
+    Each different text is answered once.  It meets the symbols by an equi-join on its first ``GRAM`` characters and
+    the parts of that length in names and symbols; then the best ``limit`` rows go to all rows that typed it.
+    """
+    key = F.lower(strip_blank(F.col(text), JS_BLANK_CHARS))
+    asked = typed.withColumn("_q", key).where(F.col("_q") != "")
+    texts = asked.select("_q").distinct().withColumn("_gram", F.substring("_q", 1, GRAM))
+
+    def parts(label: str) -> Column:
+        low = F.lower(F.coalesce(F.col(label), F.lit("")))
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.length(low) + 1), lambda i: F.transform(
+            F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(low, i, n))))
+
+    grams = symbols.select("symbol", "name", "pos", F.explode(F.array_distinct(F.concat(parts("name"), parts("symbol")))).alias("_gram"))
+    rank = _fit(F.lower("name"), F.lower("symbol"), F.col("_q"))
+    hits = texts.join(grams, "_gram").withColumn("_rank", rank).where(F.col("_rank").isNotNull())
+    best = first_per_key(hits, ["_q"], [F.col("_rank"), F.col("pos")], limit).select("_q", "symbol", "name", "pos", "n")
+    return asked.join(best, "_q").select(*typed.columns, "symbol", "name", "pos", "n")
+
+
+def _fit(name: Column, symbol: Column, q: Column) -> Column:
+    """0 where a label starts with the text, 1 where one contains it, else null."""
+    starts = F.coalesce(name.startswith(q), F.lit(False)) | F.coalesce(symbol.startswith(q), F.lit(False))
+    return F.when(starts, 0).when(name.contains(q) | symbol.contains(q), 1)
+
+
 def exclude_selected(suggestions: DataFrame, selected: DataFrame) -> DataFrame:
     return suggestions.join(selected.select("symbol").distinct(), "symbol", "left_anti")
 

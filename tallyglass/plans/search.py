@@ -351,6 +351,17 @@ def _(t):
     return K.suggest_symbols(_symbols(t), _TYPED)
 
 
+@query("suggest_for_typed", """WITH q AS (SELECT page_id, lower(trim(split_part(split_part(url, '://', 2), '.', 1))) AS q FROM pages),
+u AS (SELECT DISTINCT q FROM q WHERE q <> ''),
+m AS (SELECT q, p_brand AS symbol, p_partkey AS pos, CASE WHEN starts_with(lower(p_name), q) OR starts_with(lower(p_brand), q) THEN 0 ELSE 1 END AS k
+  FROM part, u WHERE contains(lower(p_name), q) OR contains(lower(p_brand), q)),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY k, pos) AS n FROM m)
+SELECT page_id, symbol, pos, n::INT AS n FROM q JOIN r USING (q) WHERE n <= 8""")
+def _(t):
+    typed = t.pages.select("page_id", F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("."), F.lit(1)).alias("query"))
+    return K.suggest_for_typed(_symbols(t), typed).select("page_id", "symbol", "pos", "n")
+
+
 @query("exclude_selected", """SELECT p_partkey AS pos, p_name AS name, p_brand AS symbol FROM part WHERE p_brand NOT IN (
 SELECT p_brand FROM part WHERE p_size = 50)""")
 def _(t):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # A lookup side is broadcast only when a count that stops at this many rows proves it is smaller.
 BROADCAST_ROWS = 200_000
+# Scans of this many splits are not spread over more cores.
+SPREAD_SPLITS = 64
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, counted: DataFrame | None = None) -> DataFrame:
@@ -28,10 +30,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, counted: D
 def spread(scan: DataFrame, *ids: str) -> DataFrame:
     """Give every core a share of a scan too small to be split by file size; a larger scan stays as it lies.
 
-    Spread by row id, so the layout is the same whenever a task is run again.
+    Spread by row id, so the layout is the same whenever a task is run again.  A scan of ``SPREAD_SPLITS`` splits (8 GB
+    at the usual split size) is never shuffled for this, however many cores there are.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *ids) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores, *ids) if scan.rdd.getNumPartitions() < min(cores, SPREAD_SPLITS) else scan
 
 
 def _shared_folder(spark: SparkSession) -> str:

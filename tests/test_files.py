@@ -76,3 +76,14 @@ def test_markdown(spark):
     cells = sorted((r.row, r.col, r.text) for r in rows if r.kind == "table")
     assert cells == [(0, 0, "A"), (0, 1, "B"), (1, 0, "1"), (1, 1, ""), (2, 0, "2"), (2, 1, "3")]
     assert sorted(r.text for r in rows if r.kind != "table") == ["Lead", "last | not a table", "x", "y"]
+
+
+def test_suggestions_for_a_table_of_typed_texts(spark):
+    names = [("T1", "Tata Steel", 1), ("T2", "Old Tata", 2), ("TATA", None, 3), ("X", "ab", 4), (None, "tat", 5)]
+    symbols = spark.createDataFrame(names, "symbol string, name string, pos int")
+    texts = ["tata", " TATA ", "t", "steel", "tata steel!", "  ", None, "b", "ta"]
+    typed = spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
+    got = sorted((r.query_id, r.n, r.pos) for r in K.suggest_for_typed(symbols, typed, limit=3).collect())
+    one_by_one = K.suggest_symbols(symbols, [t or "" for t in texts], 3)
+    assert got == sorted((r.query_id, r.n, r.pos) for r in one_by_one.collect()) and len(got) == 14
+    assert K.suggest_for_typed(symbols, typed.limit(0)).count() == 0
