@@ -20,7 +20,7 @@ SHAPES = re.compile(r"""
   (?P<email>(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-]))
 | (?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?!\w))
 | (?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))
-| (?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?P<sep>[./])[0-9]{1,2}(?P=sep)[0-9]{4})(?![\w/-]|\.[0-9]))
+| (?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?P<sep>[./])[0-9]{1,2}(?P=sep)[0-9]{4})(?:(?=T[0-9]{2}:?[0-9]{2})|(?![\w/-]|\.[0-9])))
 | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
 | (?P<card>(?<![\w+.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))
 | (?P<phone>(?<![\w+.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w-])
@@ -28,6 +28,15 @@ SHAPES = re.compile(r"""
 | (?P<secret>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:gh[pousr]_|sk[-_]|xox[abp]-)[A-Za-z0-9_-]{16,}
     |(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)["']?[ ]?[:=][ ]?["']?)[^\s"'<>,;]{6,})
 """, re.VERBOSE)
+# Each shape by itself, for places where an earlier kind matches but is not valid.
+KIND_SHAPES = [(kind, re.compile(shape, re.VERBOSE)) for kind, shape in zip(
+    ("email", "iban", "ip", "date", "ssn", "card", "phone", "secret"), re.split(r"\n\| ", SHAPES.pattern))]
+# The lengths of IBANs by country; others are tried from the longest end to the shortest.
+IBAN_LENGTHS = {c: int(n) for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB PL SV NI", 29: "BR EG PS QA UA",
+    30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
 # No value lacks all of these.
 MAY_HOLD = re.compile(r"[0-9@=:]|sk|xox").search
 LETTERS, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
@@ -88,16 +97,17 @@ class Pseudonyms:
         if not MAY_HOLD(text):
             return text
 
-        def swap(match: re.Match) -> str:
-            kind, value = match.lastgroup, match.group()
-            kind = "date" if kind == "sep" else kind
-            new = self.pseudonym(kind, value)
-            if new is None:
-                return value
-            counts[kind] += 1
-            return new
-
-        return SHAPES.sub(swap, text)
+        out, done, at = [], 0, 0
+        while match := SHAPES.search(text, at):
+            start, at = match.start(), match.start() + 1
+            for kind, value in _readings(text, match):
+                new = self.pseudonym(kind, value)
+                if new is not None:
+                    counts[kind] += 1
+                    out += [text[done:start], new]
+                    done = at = start + len(value)
+                    break
+        return "".join(out) + text[done:] if out else text
 
     def pseudonym(self, kind: str, value: str) -> str | None:
         """The replacement, or None for a value that is not valid."""
@@ -188,6 +198,24 @@ class Pseudonyms:
         return value[:fixed] + self._characters(value[fixed:], "secret")
 
 
+def _readings(text: str, match: re.Match) -> Iterator[tuple[str, str]]:
+    """What may stand at the place of a match: its kind, with ends at earlier separators, then the later kinds."""
+    first = "date" if match.lastgroup == "sep" else match.lastgroup
+    later = False
+    for kind, shape in KIND_SHAPES:
+        later = later or kind == first
+        found = match if kind == first else shape.match(text, match.start()) if later else None
+        if found:
+            value = found.group()
+            yield kind, value
+            if kind in ("iban", "card"):
+                ends = [m.start() for m in re.finditer("[ -]", value)][::-1]
+                for end in ends:
+                    n = sum(c.isalnum() for c in value[:end])
+                    if n == IBAN_LENGTHS.get(value[:2], n) and n >= 15 if kind == "iban" else n >= 13:
+                        yield kind, value[:end]
+
+
 def _size(radices: list[int]) -> int:
     n = 1
     for radix in radices:

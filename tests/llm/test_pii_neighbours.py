@@ -1,0 +1,29 @@
+"""Valid values with something behind them that their shapes also take."""
+
+import pytest
+
+from tallyglass.llm import pii
+
+
+@pytest.mark.parametrize("text, value, kind", [
+    ("card 4111 1111 1111 1111 12/27 ok", "4111 1111 1111 1111", "card"),
+    ("card 4111111111111111 123 ok", "4111111111111111", "card"),
+    ("pay DE89 3704 0044 0532 0130 00 EUR now", "DE89 3704 0044 0532 0130 00", "iban"),
+    ("pay DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89 3704 0044 0532 0130 00", "iban"),
+    ("pay DE89370400440532013000 EUR 12", "DE89370400440532013000", "iban"),
+    ("call 0049 170 123 4567 now", "0049 170 123 4567", "phone"),
+    ("at 1985-02-28T10:11:12Z there", "1985-02-28", "date"),
+    ("at 1985-02-28 10:11 there", "1985-02-28", "date"),
+])
+def test_value_is_masked_and_the_rest_stays(text, value, kind):
+    counts = dict.fromkeys(pii.KINDS, 0)
+    new = pii.Pseudonyms(b"k").replaced(text, counts)
+    before, after = text.split(value)
+    assert value not in new and len(new) == len(text) and new.startswith(before) and new.endswith(after)
+    assert counts[kind] == 1
+
+
+def test_invalid_values_stay():
+    counts = dict.fromkeys(pii.KINDS, 0)
+    text = "no card 4111111111111112, no date 1985-02-31T10:00"
+    assert pii.Pseudonyms(b"k").replaced(text, counts) == text and not any(counts.values())
