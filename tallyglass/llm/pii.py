@@ -38,7 +38,7 @@ IBAN_LENGTHS = {c: int(n) for n, cs in {
     25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB PL SV NI", 29: "BR EG PS QA UA",
     30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
 # No value lacks all of these.
-MAY_HOLD = re.compile(r"[0-9@=:]|sk|xox").search
+MAY_HOLD = re.compile(r"[0-9@=:]|sk|xox|AKIA|ASIA|gh[pousr]_").search
 LETTERS, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
 CODES = re.compile(r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})")
 
