@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyglass.llm import (
-    byte_bpe, chat, exact_dedup, line_dedup, packing, pii, quality_classifier, quality_rules, simhash_dedup, url_filter,
-    word_tokens,
+    byte_bpe, chat, exact_dedup, line_dedup, merkle, packing, pii, quality_classifier, quality_rules, simhash_dedup,
+    url_filter, word_tokens,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,3 +224,67 @@ PSEUDONYM_KEY = b"key of the test tables"
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY, counts_col="counts")
     return masked.select("doc_id", "text", *[F.col("counts")[i].alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)])
+
+
+# ---------------------------------------------------------------- 11
+
+def row_leaf(text: str = "text") -> Column:
+    """The digest of a documents row over its fields in order."""
+    return merkle.hashed(*[merkle.field(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")], merkle.field(F.expr(text)))
+
+
+def _sql_field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || {value}, '-')"
+
+
+# The reflected CRC-32 of a decimal number, bit by bit: list_reduce starts at its first element.
+_SQL_CRC32 = """xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(
+  string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_transform(range(8), lambda k: ((ord(c) >> k) & 1)::UBIGINT)))),
+  lambda a, b: xor(a >> 1, CASE WHEN xor(a & 1, b) = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)))"""
+
+
+def _sql_tree(name: str, levels: int) -> str:
+    """Levels 1 and up of ``{name}0 (grp, pos, digest)``, then ``{name}p``: all nodes with their run's other digests."""
+    steps = []
+    for i in range(levels):
+        steps.append(f"""{name}{i}s AS (SELECT *, pos // 16 AS run, count(*) OVER (PARTITION BY grp) AS total,
+  coalesce(string_agg(digest, '') OVER (PARTITION BY grp, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(digest, '') OVER (PARTITION BY grp, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}{i})""")
+        steps.append(f"""{name}{i + 1} AS (SELECT grp, run AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest
+  FROM {name}{i}s WHERE total > 1 GROUP BY grp, run)""")
+    tops = " UNION ALL ".join(f"SELECT grp, digest FROM {name}{i}s WHERE total = 1" for i in range(levels))
+    # Paths from the top down: lists of (left, right).
+    steps.append(f"{name}q{levels} AS (SELECT grp, pos, CAST([] AS STRUCT(l VARCHAR, r VARCHAR)[]) AS path FROM {name}{levels} WHERE false)")
+    for i in range(levels - 1, -1, -1):
+        steps.append(f"""{name}q{i} AS (SELECT c.grp, c.pos, CASE WHEN total = 1 THEN CAST([] AS STRUCT(l VARCHAR, r VARCHAR)[])
+  ELSE list_prepend({{'l': c.l, 'r': c.r}}, q.path) END AS path
+  FROM {name}{i}s c LEFT JOIN {name}q{i + 1} q ON q.grp = c.grp AND q.pos = c.run)""")
+    steps.append(f"{name}t AS ({tops})")
+    return ",\n".join(steps)
+
+
+@query("op11_merkle_manifest", f"""
+WITH read AS (SELECT *, coalesce('=' || source, '-') AS grp,
+  {" || ".join(_sql_field(c) for c in ("doc_id", "source", "lang", "n_chars"))} AS head FROM documents),
+hashed AS (SELECT doc_id, grp, sha256(head || {_sql_field("text")}) AS digest,
+  CASE WHEN {_SQL_CRC32} % 5 = 0 THEN sha256(head || {_sql_field(_sql_lower("text"))}) END AS again FROM read),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos FROM hashed),
+d0 AS (SELECT grp, pos, digest FROM leaves),
+{_sql_tree("d", 6)},
+s0 AS (SELECT 0 AS grp, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos, digest, grp AS name FROM dt),
+{_sql_tree("s", 5)},
+every AS (
+  SELECT doc_id, v.digest AS leaf, s0.digest AS subroot, (SELECT digest FROM st) AS root, list_concat(d.path, s.path) AS path,
+    coalesce(again, v.digest) AS start
+  FROM leaves v JOIN dq0 d ON d.grp = v.grp AND d.pos = v.pos JOIN s0 ON s0.name = v.grp JOIN sq0 s ON s.pos = s0.pos),
+done AS (SELECT *, sha256(array_to_string(list_transform(path, lambda p: p.l || p.r), '')) AS proof_sha256,
+  list_reduce(list_prepend({{'l': start, 'r': ''}}, path),
+    lambda a, p: {{'l': sha256(p.l || a.l || p.r), 'r': ''}}).l AS folded_root FROM every)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM done""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lower = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    made = merkle.manifest(table(spark, sf_dir, "documents"), row_leaf(), again=F.when(tampered, row_leaf(lower)))
+    return made.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+                       merkle.hashed(merkle.siblings_text(F.col("path"))).alias("proof_sha256"), "folded_root", "verified")
