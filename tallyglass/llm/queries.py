@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.llm import (
     byte_bpe, chat, exact_dedup, line_dedup, merkle, packing, pii, quality_classifier, quality_rules, simhash_dedup,
-    url_filter, word_tokens,
+    url_filter, whitening, word_tokens,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,3 +288,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = merkle.manifest(table(spark, sf_dir, "documents"), row_leaf(), again=F.when(tampered, row_leaf(lower)))
     return made.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root",
                        merkle.hashed(merkle.siblings_text(F.col("path"))).alias("proof_sha256"), "folded_root", "verified")
+
+
+# ---------------------------------------------------------------- 12
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(rows, whitening.fit_whitening(rows)).withColumnRenamed("id", "vec_id")
