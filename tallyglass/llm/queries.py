@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyglass.llm import (
-    byte_bpe, chat, exact_dedup, line_dedup, merkle, packing, pii, quality_classifier, quality_rules, simhash_dedup,
+    byte_bpe, chat, exact_dedup, line_dedup, merkle, minhash_dedup, packing, pii, quality_classifier, quality_rules, simhash_dedup,
     url_filter, whitening, word_tokens,
 )
 
@@ -296,3 +296,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return whitening.whiten(rows, whitening.fit_whitening(rows)).withColumnRenamed("id", "vec_id")
+
+
+# ---------------------------------------------------------------- 13
+
+@query("op13_minhash_dedup")
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.minhash_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
