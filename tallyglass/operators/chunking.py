@@ -9,14 +9,12 @@ from __future__ import annotations
 import html.parser
 from functools import partial
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallyglass.functions.text import PY_BLANK, SECTION_LIMIT, strip_blank
-from tallyglass.operators.ordered import Fold, fold_ordered, running_sum
+from tallyglass.functions.text import PY_BLANK, SECTION_LIMIT, clean_text, strip_blank
+from tallyglass.operators import row_packing
+from tallyglass.operators.ordered import running_sum
 from tallyglass.scale import staged
 
 # Separators from coarse to fine, and default parameters.
@@ -137,64 +135,9 @@ def chunk_units(units: DataFrame, strategy: str = "recursive", size: int = CHUNK
     )
 
 
-class RowPacking(Fold):
-    """Rows of one file in order -> the number of the row that opens each row's chunk.
-
-    The state is (sheet, used length, opening row); a step jumps from chunk to chunk by binary search in
-    the running length.
-    """
-
-    def __init__(self, size: int):
-        self.size = size
-
-    def start(self):
-        return None
-
-    def step(self, state, rows):
-        numbers, sheets = rows["_row"], rows["sheet"]
-        total = np.concatenate([[0], np.cumsum(rows["_length"].astype(np.int64) + 1)])
-        turns = np.append(np.flatnonzero(sheets[1:] != sheets[:-1]) + 1, len(sheets))
-        opened = np.empty(len(numbers), dtype=np.int64)
-        at = 0
-        while at < len(numbers):
-            fresh = state is None or sheets[at] != state[0]
-            used, first = (0, int(numbers[at])) if fresh else state[1:]
-            # A row fits while the length before it, plus its own, stays within the size.
-            fits = int(np.searchsorted(total[1:], self.size + 1 - used + total[at], side="right"))
-            upto = min(max(fits, at + 1 if fresh else at), int(turns[np.searchsorted(turns, at, side="right")]))
-            opened[at:upto] = first
-            state = (sheets[at], int(used + total[upto] - total[at]), first) if upto > at else None
-            at = upto
-            if at < len(numbers) and state is not None and sheets[at] == state[0]:
-                state = None   # the chunk is full: the next row opens a new one
-        return state, opened
-
-
 def pack_rows(units: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
-    """Pack consecutive sheet rows into chunks of up to ``size``; a row is never split, sheets never mix.
-
-    ``units(file_id, unit_pos, sheet, row, text)`` -> one row per chunk with its exact row range.  Rows are read once
-    and written with a number of their own; the order is decided on lengths alone, and a chunk's texts are joined
-    afterwards and are bounded by its size.  A null text counts as empty; null files and places, and rows that share a
-    place, are treated as in ``chunk_units``.
-    """
-    texts = staged(units.select("file_id", "unit_pos", "sheet", "row", F.coalesce("text", F.lit("")).alias("text"))
-                   .withColumn("_row", F.monotonically_increasing_id()), "rows")
-    lengths = texts.select("_row", "file_id", "unit_pos", "sheet", F.length("text").alias("_length"))
-    opened = fold_ordered(lengths, ["file_id"], ["unit_pos", "_row"], RowPacking(size), "_open", T.LongType())
-    placed = texts.join(opened.select("_row", "_open"), "_row")
-    lines = F.array_sort(F.collect_list(F.struct("unit_pos", "_row", "row", "text")))
-    chunks = placed.groupBy("_open").agg(
-        F.first("file_id").alias("file_id"), F.max("sheet").alias("sheet"), lines.alias("_lines"))
-    body = F.array_join(F.transform("_lines", lambda r: r["text"]), "\n")
-    packed = chunks.select(
-        "file_id", "_open", F.col("_lines")[0]["unit_pos"].alias("_first"), "sheet",
-        F.col("_lines")[0]["row"].alias("row_start"), F.element_at("_lines", -1)["row"].alias("row_end"),
-        F.concat(F.lit("Sheet "), F.col("sheet"), F.lit(":\n"), body).alias("text"),
-    )
-    return running_sum(packed, ["file_id"], ["_first", "_open"], F.lit(1), "chunk_index").select(
-        "file_id", "chunk_index", "sheet", "row_start", "row_end", "text"
-    )
+    """Consecutive sheet rows as chunks of up to ``size``, with their row ranges; see ``row_packing``."""
+    return row_packing.pack_rows(units, size)
 
 
 def chunk_files(units: DataFrame, strategy: str = "recursive", size: int = CHUNK_SIZE,
@@ -229,109 +172,136 @@ def reindex(units: DataFrame, strategy: str, size: int, overlap: int) -> DataFra
 # ---------------------------------------------------------------- HTML
 
 
-class _Blocks(html.parser.HTMLParser):
-    """Top-level blocks of a page body as (kind, text) in order."""
+class _Walk(html.parser.HTMLParser):
+    """The blocks of a page as (kind, text) in order.
+
+    Open elements form a stack.  Containers are looked through; a heading, paragraph, list or table outside any other block is
+    a block of its own, whatever it holds; text beside them in a container is a block too.  Only elements count as blocks of
+    the body itself, so bare text there is left out.
+    """
 
     VOID = {"br", "img", "hr", "input", "meta", "link", "wbr", "col", "source", "area", "base", "embed", "track"}
-    HIDDEN = {"head", "title", "style", "script", "template"}
-    BREAKS_P = {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "nav",
-                "header", "footer", "aside", "main", "blockquote", "pre", "form", "figure", "hr", "dl"}
+    HIDDEN = {"head", "title", "style", "script", "template", "noscript"}
+    PAGE = {"html", "body"}
+    CONTAINERS = PAGE | {"div", "article", "section", "main", "header", "footer", "nav", "aside", "form", "fieldset",
+                  "figure", "details", "center", "blockquote"}
+    HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+    BLOCKS = HEADINGS | {"p", "pre", "ul", "ol", "dl", "table", "address", "figcaption", "summary", "legend"}
+    ENDS_P = CONTAINERS | BLOCKS | {"hr"}
+    # What an opening tag closes, up to the block it stands in.
+    SIBLINGS = {"li": {"li"}, "tr": {"td", "th", "tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, str]] = []
         self.stack: list[str] = []
+        self.block: int | None = None  # place of the open block in the stack
+        self.hidden = 0
         self.text: list[str] = []
         self.items: list[str] = []
         self.cells: list[str] = []
 
-    def _close(self, tag: str) -> None:
-        text = "".join(self.text).strip()
-        depth = len(self.stack)
-        if depth == 1:
-            top = self.stack[0]
-            if top in ("table", "ul", "ol"):
-                self.blocks += [("text", item) for item in self.items]
-            elif text:
-                self.blocks.append(("heading" if len(top) == 2 and top[0] == "h" and top[1] in "123456" else "text", text))
-            self.items, self.text = [], []
-        elif self.stack[0] == "table" and tag in ("td", "th"):
-            self.cells.append(text)
-            self.text = []
-        elif self.stack[0] == "table" and tag == "tr":
+    def _flush(self) -> str:
+        text, self.text = "".join(self.text).strip(), []
+        return text
+
+    def _loose(self) -> None:
+        """Text that stands in a container beside the blocks."""
+        if text := self._flush():
+            self.blocks.append(("text", text))
+
+    def _in_body(self) -> bool:
+        return not self.stack or self.stack[-1] in self.PAGE
+
+    def _end_block(self, kind: str) -> None:
+        text = self._flush()
+        if kind in ("ul", "ol", "table"):
+            self.blocks += [("text", item) for item in self.items]
+        elif text:
+            self.blocks.append(("heading" if kind in self.HEADINGS else "text", text))
+        self.block, self.items = None, []
+
+    def _pop(self) -> None:
+        tag = self.stack.pop()
+        if tag in self.HIDDEN:
+            self.hidden -= 1
+        elif self.block is None:
+            if tag in self.CONTAINERS or self._in_body():
+                self._loose()
+        elif self.block == len(self.stack):
+            self._end_block(tag)
+        elif self.stack[self.block] == "table" and tag in ("td", "th"):
+            self.cells.append(self._flush())
+        elif self.stack[self.block] == "table" and tag == "tr":
             if any(self.cells):
                 self.items.append(" | ".join(self.cells))
             self.cells = []
-        elif self.stack[0] in ("ul", "ol") and tag == "li":
-            if text:
+        elif self.stack[self.block] in ("ul", "ol") and tag == "li":
+            if text := self._flush():
                 self.items.append("- " + text)
-            self.text = []
-        self.stack.pop()
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body") or tag in self.VOID:
-            return
-        if tag in self.BREAKS_P and "p" in self.stack:
+        if tag in self.ENDS_P and "p" in self.stack:
             while "p" in self.stack:
-                self._close(self.stack[-1])
-        if tag in ("li", "tr", "td", "th"):
-            ends = {"li": ("li",), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th")}[tag]
-            while len(self.stack) > 1 and self.stack[-1] in ends:
-                self._close(self.stack[-1])
+                self._pop()
+        if tag in self.VOID:
+            return
+        if self.block is not None:
+            while len(self.stack) > self.block + 1 and self.stack[-1] in self.SIBLINGS.get(tag, ()):
+                self._pop()
+        elif tag in self.CONTAINERS:
+            self._loose()
+        elif tag in self.BLOCKS:
+            self._loose()
+            self.block = len(self.stack)
+        self.hidden += tag in self.HIDDEN
         self.stack.append(tag)
 
     def handle_endtag(self, tag):
         if tag in self.stack:
             while self.stack[-1] != tag:
-                self._close(self.stack[-1])
-            self._close(tag)
+                self._pop()
+            self._pop()
 
     def handle_data(self, data):
-        if self.stack and not self.HIDDEN.intersection(self.stack):
+        if not self.hidden and not self._in_body():
             self.text.append(data)
 
     def finish(self) -> list[tuple[str, str]]:
+        # A page that ends inside a tag ends before it.
+        if (at := self.rawdata.rfind("<")) >= 0 and ">" not in self.rawdata[at:]:
+            self.rawdata = self.rawdata[:at]
         self.close()
         while self.stack:
-            self._close(self.stack[-1])
+            self._pop()
+        self._loose()
         return self.blocks
 
 
-_BLOCKS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())]))
-
-
-@F.pandas_udf(_BLOCKS)
-def html_blocks(pages: pd.Series) -> pd.Series:
-    """HTML has no built-in parser; one page is parsed on its own and only its blocks come back."""
-    def blocks(page: str | None) -> list[dict]:
-        parser = _Blocks()
-        parser.feed(page or "")
-        return [{"kind": k, "text": t} for k, t in parser.finish()]
+@F.udtf(returnType="unit_pos int, section string, text string", useArrow=True)
+class PageSections:
+    """HTML has no built-in parser; a page yields its sections: a heading opens one, what stands before the first has none."""
 
-    return pages.map(blocks)
+    def eval(self, page: str):
+        walk = _Walk()
+        walk.feed(page or "")
+        number, section, texts = 0, None, []
+        for kind, text in [*walk.finish(), ("heading", "")]:
+            if kind == "text":
+                texts.append(text)
+                continue
+            if texts:
+                yield number, section, "\n\n".join(texts)
+            number, section, texts = number + 1, text[:SECTION_LIMIT], []
 
 
 def html_sections(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Pages -> (id, unit_pos, section, text): a heading opens a section, text before the first has none.
+    """Whole pages -> (id, unit_pos, section, text): one row per section with text, numbered by the headings before it.
 
-    Blocks are grouped under their heading inside the row, by slicing between heading positions.
+    Each page is walked once in the task that reads it; nothing is shuffled.  Null and empty pages give no row; unclosed
+    elements end with what holds them.
     """
-    from tallyglass.functions.text import clean_text
-
-    blocks = pages.select(id_col, html_blocks(F.col(html_col)).alias("_b"))
-    # Places of the headings; a virtual one before the first block stands for "no section".
-    places = F.filter(
-        F.transform("_b", lambda b, i: F.when(b["kind"] == "heading", i)), lambda i: i.isNotNull()
-    )
-    bounded = blocks.withColumn("_at", F.concat(F.array(F.lit(-1)), places, F.array(F.size("_b"))))
-    # The outer form: the plain one makes the optimizer test the array first, parsing every page twice.
-    cut_up = bounded.select(
-        id_col, "_b", "_at", F.posexplode_outer(F.slice("_at", F.lit(1), F.size("_at") - 1)).alias("_k", "_from")
-    )
-    inside = F.slice("_b", F.col("_from") + 2, F.get("_at", F.col("_k") + 1) - F.col("_from") - 1)
-    heading = F.substring(F.get("_b", F.col("_from"))["text"], 1, SECTION_LIMIT)
-    texts = cut_up.select(
-        id_col, "_k", heading.alias("section"),
-        clean_text(F.array_join(F.transform(inside, lambda b: b["text"]), "\n\n")).alias("text"),
-    )
-    return texts.where(F.col("text") != "").select(id_col, F.col("_k").alias("unit_pos"), "section", "text")
+    read = pages.select(F.col(id_col), F.col(html_col).alias("_html"))
+    found = read.lateralJoin(PageSections(F.col("_html").outer()))
+    texts = found.select(id_col, "unit_pos", "section", clean_text(F.col("text")).alias("text"))
+    return texts.where(F.col("text") != "")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyglass.functions.text import (
     basename, dirname, is_hidden, joined_path, normalize_folder, refusal_reason,
 )
-from tallyglass.operators.ordered import Fold, first_per_key, fold_ordered
+from tallyglass.operators.ordered import first_per_key
+from tallyglass.scale import durable
 
 # Limits of one workspace.
 MAX_FILES, MAX_PAGES, MAX_FILE_MB = 50, 1000, 20
@@ -59,38 +58,37 @@ def archive_entries(entries: DataFrame, max_files: int = MAX_FILES, max_file_mb:
     return out.withColumn("status", F.when(F.col("reason").isNull(), "ready").otherwise("failed"))
 
 
-class FileQuota(Fold):
-    """Admit files in order while both limits hold; a refused file uses up nothing."""
-
-    def __init__(self, max_files: int, max_pages: int):
-        self.max_files, self.max_pages = max_files, max_pages
-
-    def start(self):
-        return (0, 0)
-
-    def final(self, state):
-        return state is not None and state[0] >= self.max_files
-
-    def step(self, state, rows):
-        count, total = state
-        pages = rows["page_equivalent"]
-        verdict = np.full(len(pages), f"file limit reached ({self.max_files} per session)", dtype=object)
-        for i, size in enumerate(pages):
-            if count >= self.max_files:
-                break
-            if total + size > self.max_pages:
-                verdict[i] = f"would exceed the {self.max_pages}-page limit for this session"
-            else:
-                verdict[i] = "ready"
-                count, total = count + 1, int(total + size)
-        return (count, total), verdict
-
-
 def file_quota(files: DataFrame, session: str, order: str, max_files: int = MAX_FILES,
                max_pages: int = MAX_PAGES) -> DataFrame:
-    """(session, order, page_equivalent, verdict); exact for sessions of any size."""
-    files = files.select(session, order, "page_equivalent")
-    return fold_ordered(files, [session], [order], FileQuota(max_files, max_pages), "verdict", T.StringType())
+    """(session, order, page_equivalent, verdict); exact for sessions of any size.
+
+    Files are admitted in order while both limits hold; a refused one uses up nothing.  The budget only shrinks, so of the
+    files of one size the admitted ones are the first, and no more than fit both limits.  Those few candidates per session and
+    size, found by a bounded ranking that runs map-side, are folded in order; every file is then compared with the
+    admitted ones.  Null and negative sizes count as no pages.  A null session is a session of its own; files that share a
+    place follow in the order they were read.
+    """
+    named = files.select(session, order, "page_equivalent", F.struct(session).alias("_key"), F.monotonically_increasing_id().alias("_row"))
+    laid = durable(named.withColumn("_pages", F.greatest(F.coalesce("page_equivalent", F.lit(0)), F.lit(0))))
+    tried = laid.where(F.col("_pages") <= max_pages).select("_key", "_pages", F.col(order).alias("_at"), "_row")
+    ranked = first_per_key(tried, ["_key", "_pages"], [F.col("_at"), F.col("_row")], max_files, "_n")
+    candidates = ranked.where(F.col("_n") * F.col("_pages") <= max_pages)
+    queue = F.array_sort(F.collect_list(F.struct("_at", "_row", F.col("_pages").cast("bigint").alias("_pages"))))
+    start = F.struct(F.array().cast("array<bigint>").alias("rows"), F.lit(0).cast("bigint").alias("used"))
+
+    def admit(state: Column, file: Column) -> Column:
+        fits = (F.size(state["rows"]) < max_files) & (state["used"] + file["_pages"] <= max_pages)
+        return F.when(fits, F.struct(F.array_append(state["rows"], file["_row"]).alias("rows"), (state["used"] + file["_pages"]).alias("used"))
+                      ).otherwise(state)
+
+    folded = candidates.groupBy("_key").agg(queue.alias("_queue")).withColumn("_rows", F.aggregate("_queue", start, admit)["rows"])
+    # The file that fills the last place; what comes after it meets the file limit.
+    last = F.filter("_queue", lambda f: f["_row"] == F.element_at("_rows", -1))[0]
+    full = folded.select("_key", "_rows", F.when(F.size("_rows") >= max_files, F.struct(last["_at"], last["_row"])).alias("_full"))
+    after = F.struct(F.col(order), F.col("_row")) > F.col("_full") if max_files else F.lit(True)
+    verdict = F.when(F.array_contains("_rows", F.col("_row")), "ready").when(
+        after, f"file limit reached ({max_files} per session)").otherwise(f"would exceed the {max_pages}-page limit for this session")
+    return laid.join(full, "_key", "left").select(session, order, "page_equivalent", verdict.alias("verdict"))
 
 
 def file_limit(files: DataFrame, key: str, order: str, n: int) -> DataFrame:

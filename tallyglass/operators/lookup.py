@@ -37,21 +37,30 @@ def suggest_symbols(symbols: DataFrame, typed: list[str], limit: int = MAX_SUGGE
 def suggest_for_typed(symbols: DataFrame, typed: DataFrame, text: str = "query", limit: int = MAX_SUGGESTIONS) -> DataFrame:
     """``suggest_symbols`` for a table of typed texts: its rows with ``symbol, name, pos, n``; blank texts find nothing.
 
-    Each different text is answered once.  It meets the symbols by an equi-join on its first ``GRAM`` characters and
-    the parts of that length in names and symbols; then the best ``limit`` rows go to all rows that typed it.
+    Each different text is answered once, however often it was typed.  Names and symbols are cut into all their runs of
+    up to ``GRAM`` characters; the runs are counted first, and a text looks up the one of its own runs that fewest symbols
+    hold.  A run that all names share is met only by texts that consist of it.  A text with a run that no symbol holds
+    finds nothing.  The best ``limit`` rows then go to all rows that typed the text.
     """
     key = F.lower(strip_blank(F.col(text), JS_BLANK_CHARS))
     asked = typed.withColumn("_q", key).where(F.col("_q") != "")
-    texts = asked.select("_q").distinct().withColumn("_gram", F.substring("_q", 1, GRAM))
 
-    def parts(label: str) -> Column:
-        low = F.lower(F.coalesce(F.col(label), F.lit("")))
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.length(low) + 1), lambda i: F.transform(
-            F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(low, i, n))))
-
-    grams = symbols.select("symbol", "name", "pos", F.explode(F.array_distinct(F.concat(parts("name"), parts("symbol")))).alias("_gram"))
+    def runs(label: Column, least: int) -> Column:
+        low = F.lower(F.coalesce(label, F.lit("")))
+        return F.filter(F.flatten(F.transform(F.sequence(F.lit(1), F.length(low) + 1), lambda i: F.transform(
+            F.sequence(F.lit(least), F.lit(GRAM)), lambda n: F.substring(low, i, n)))), lambda g: F.length(g) >= least)
+
+    labels = F.array_distinct(F.concat(runs(F.col("name"), 1), runs(F.col("symbol"), 1)))
+    grams = symbols.select("symbol", "name", "pos", F.explode(labels).alias("_gram"))
+    held = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # The runs of a text that are as long as can be: shorter ones are held by more symbols.
+    own = F.when(F.length("_q") < GRAM, F.array("_q")).otherwise(F.array_distinct(runs(F.col("_q"), GRAM)))
+    texts = asked.select("_q").distinct().select("_q", F.explode(own).alias("_gram"))
+    counted = texts.join(held, "_gram", "left").groupBy("_q").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_rarest"))
+    picked = counted.where("_rarest.n > 0").select("_q", F.col("_rarest")["gram"].alias("_gram"))
     rank = _fit(F.lower("name"), F.lower("symbol"), F.col("_q"))
-    hits = texts.join(grams, "_gram").withColumn("_rank", rank).where(F.col("_rank").isNotNull())
+    hits = picked.join(grams, "_gram").withColumn("_rank", rank).where(F.col("_rank").isNotNull())
     best = first_per_key(hits, ["_q"], [F.col("_rank"), F.col("pos")], limit).select("_q", "symbol", "name", "pos", "n")
     return asked.join(best, "_q").select(*typed.columns, "symbol", "name", "pos", "n")
 

@@ -108,31 +108,41 @@ def stock_summary(symbols: DataFrame, headlines: DataFrame, prices: DataFrame, t
     ``failed(symbol, news_error, price_error)``, where given, tells which sides could not be fetched; both flags come
     out beside the figures, false for symbols it does not list, and ``status_notes`` takes them.
 
-    The headlines are read once: their daily means carry the as-of prices along and are summed up together.
+    Headlines and prices are read once each and laid out together, one row per symbol and day and side.  One window pass
+    gives prices the next close and headline days the price they meet; one aggregate sums both sides up.
     """
-    recent = daily_sentiment(horizon_filter(headlines, today, days))
-    moved = _forward(recent, next_close(prices)).withColumn(
-        "next_day_pct", percent_change(F.col("_found.close"), F.col("_found.next_close"))
-    )
-    news = moved.groupBy("symbol").agg(
+    start = F.date_sub(F.to_date(F.lit(today)), days)
+    daily = daily_sentiment(headlines.where(F.col("date") >= start))
+    price = F.struct("date", "close").alias("_price")
+    both = daily.withColumn("_wanted", F.lit(1)).unionByName(prices.select("symbol", "date", price), allowMissingColumns=True)
+    # A day's price comes before its headlines: walking on for the next close, walking back for the price they meet.
+    series = Window.partitionBy("symbol")
+    back = series.orderBy(F.col("date").desc(), F.col("_wanted").asc_nulls_first())
+    later = F.last("_price", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    paired = both.withColumn("_pair", F.when(F.col("_price").isNotNull(), F.struct(
+        F.col("_price.close").alias("close"), later["close"].alias("next_close"))))
+    met = F.last("_pair", ignorenulls=True).over(back)
+    moved = paired.withColumn("_met", F.when(F.col("_wanted").isNotNull(), met))
+    moved = moved.withColumn("next_day_pct", percent_change(F.col("_met.close"), F.col("_met.next_close")))
+    day = F.when(F.col("_price").isNotNull(), F.col("date"))
+    sums = moved.groupBy("symbol").agg(
         F.avg("avg_score").alias("net_sentiment"),
         F.sum("n_headlines").alias("headline_count"),
-        F.count(F.lit(1)).alias("date_count"),
+        F.count("_wanted").alias("date_count"),
         F.avg("next_day_pct").alias("next_day_avg_pct"),
         F.count("next_day_pct").alias("next_day_sample_size"),
+        F.min_by("_price", F.when(day >= start, day)).alias("_first"),
+        F.max_by("_price", day).alias("_last"),
     )
+    first, last = F.col("_first.close"), F.col("_last.close")
+    movement = F.when((first != 0) & (last != 0), percent_change(first, last))
     zero = F.lit(0).cast("bigint")
-    summary = (
-        symbols.select("symbol").distinct()
-        .join(news, "symbol", "left")
-        .join(horizon_move(prices, today, days), "symbol", "left")
-        .select(
-            "symbol",
-            F.coalesce("headline_count", zero).alias("headline_count"),
-            "net_sentiment", "movement_pct", "next_day_avg_pct",
-            F.coalesce("next_day_sample_size", zero).alias("next_day_sample_size"),
-            F.coalesce("date_count", zero).alias("date_count"),
-        )
+    summary = symbols.select("symbol").distinct().join(sums, "symbol", "left").select(
+        "symbol",
+        F.coalesce("headline_count", zero).alias("headline_count"),
+        "net_sentiment", movement.alias("movement_pct"), "next_day_avg_pct",
+        F.coalesce("next_day_sample_size", zero).alias("next_day_sample_size"),
+        F.coalesce("date_count", zero).alias("date_count"),
     )
     if failed is None:
         return summary

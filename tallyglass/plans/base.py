@@ -50,17 +50,20 @@ class Tables:
         table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return spread(table, *TEXT_TABLES[name]) if name in TEXT_TABLES else table
 
-    def price_points(self) -> DataFrame:
-        """symbol = event type, day = IST date, close = value, payload order = event id; weekends have none."""
+    def price_points(self, weekends: bool = True) -> DataFrame:
+        """symbol = event type, day = IST date, close = value, payload order = event id.
+
+        Without weekends the days have gaps, as markets do: what looks for the next day with a price needs some.
+        """
         day = ist_date(F.col("ts"))
         points = self.events.select(
             F.col("event_type").alias("symbol"), day.alias("date"), F.col("value").alias("close"),
             F.col("event_id").alias("pos"),
         )
-        return points.where(~F.dayofweek("date").isin(1, 7))
+        return points if weekends else points.where(~F.dayofweek("date").isin(1, 7))
 
-    def prices(self) -> DataFrame:
-        return price_ops.daily_close(self.price_points())
+    def prices(self, weekends: bool = True) -> DataFrame:
+        return price_ops.daily_close(self.price_points(weekends))
 
     def symbols(self) -> DataFrame:
         return self.events.select(F.col("event_type").alias("symbol")).distinct()
@@ -106,12 +109,14 @@ class Tables:
 
 # ---------------------------------------------------------------- SQL of the same roles
 
-PRICES_SQL = """
+_POINTS_SQL = """
 price_points AS (
   SELECT event_type AS symbol, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS date, value AS close, event_id AS pos
-  FROM events WHERE dayofweek(CAST(ts + INTERVAL 330 MINUTE AS DATE)) NOT IN (0, 6)),
+  FROM events WHERE {days}),
 prices AS (SELECT symbol, date, arg_max(close, pos) AS close FROM price_points GROUP BY 1, 2),
 hdates AS (SELECT DISTINCT event_type AS symbol, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS date FROM events)"""
+PRICES_SQL = _POINTS_SQL.format(days="true")
+MARKET_SQL = _POINTS_SQL.format(days="dayofweek(CAST(ts + INTERVAL 330 MINUTE AS DATE)) NOT IN (0, 6)")
 
 _P = r"""!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
 _WORD = rf"([^{_P}{JS_BLANK}]{{2,}}|[\x{{10000}}-\x{{10FFFF}}])"

@@ -378,22 +378,32 @@ def _(t):
     return C.chunk_files(texts.unionByName(rows), "fixed", 400, 60)
 
 
+def _entities_sql(c: str) -> str:
+    """The references that the pages hold; the last one may be cut off by the end of a page."""
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+        c = f"replace({c}, '&{name};', '{char}')"
+    return f"regexp_replace({c}, '&amp$', '&')"
+
+
+_BLOCK_TAGS = "html|body|div|article|section|main|header|footer|nav|aside|p|ul|ol|table|pre|blockquote"
+
+
 @query("html_sections", f"""
-WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '<article>((?s).*)</article>', 1), '<p><b>([^<]*)<br>',
-  '<h2>\\1</h2>', 'g') AS body FROM pages),
-s AS (SELECT page_id, unnest(range(1, len(x))) AS unit_pos, unnest(x[2:]) AS part FROM (
-  SELECT page_id, regexp_split_to_array(body, '<h[12]>') AS x FROM a)),
-u AS (SELECT page_id, unit_pos, replace(replace(trim(split_part(part, '</h', 1)), '&quot;', '"'), '&amp;', '&') AS section,
-  list_filter(list_transform(regexp_split_to_array(regexp_replace(part, '^[^<]*</h[12]>', ''), '</?p>'),
-    lambda p: {_strip_sql('p')}), lambda p: p <> '') AS ps FROM s)
-SELECT page_id, unit_pos::INT AS unit_pos, left(section, 120) AS section, regexp_replace(regexp_replace(replace(replace(
-  array_to_string(ps, chr(10) || chr(10)), '&quot;', '"'), '&amp;', '&'), '[ \t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')
-  AS text FROM u WHERE len(ps) > 0""")
-def _(t):
-    # The article of each page; its bold leads become headings of their own.
-    article = F.regexp_extract("html", "(?s)<article>(.*)</article>", 1)
-    body = F.regexp_replace(article, "<p><b>([^<]*)<br>", "<h2>$1</h2>")
-    return C.html_sections(t.pages.select("page_id", body.alias("html")))
+WITH shown AS (SELECT page_id, regexp_replace(html,
+  '(?s)<!DOCTYPE[^>]*>|<head>.*?</head>|<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*$', '', 'g') AS x FROM pages),
+marked AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<li(?:\\s[^>]*)?>', chr(1) || 'L', 'g'),
+  '<h[1-6](?:\\s[^>]*)?>', chr(1) || 'H', 'g'), '</?(?:{_BLOCK_TAGS})(?:\\s[^>]*)?>|</li>|</h[1-6]>', chr(1) || 'T', 'g'), '<[^>]*>', '', 'g')
+  AS x FROM shown),
+piece AS (SELECT page_id, unnest(p) AS p, unnest(range(len(p))) AS i FROM (SELECT page_id, string_split('T' || x, chr(1)) AS p FROM marked)),
+block AS (SELECT page_id, i, left(p, 1) AS kind, {_strip_sql(_entities_sql("substring(p, 2)"))} AS t FROM piece),
+part AS (SELECT *, CAST(sum(CASE WHEN kind = 'H' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS INT) AS unit_pos
+  FROM block WHERE t <> '')
+SELECT page_id, unit_pos, max(left(t, 120)) FILTER (kind = 'H') AS section, {_strip_sql("""regexp_replace(regexp_replace(
+  string_agg(CASE WHEN kind = 'L' THEN '- ' || t ELSE t END, chr(10) || chr(10) ORDER BY i) FILTER (kind <> 'H'),
+  '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')""")} AS text
+FROM part GROUP BY page_id, unit_pos HAVING count(*) FILTER (kind <> 'H') > 0""")
+def _(t):
+    return C.html_sections(t.pages)
 
 
 # ---------------------------------------------------------------- index upkeep and snapshots

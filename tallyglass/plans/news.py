@@ -8,7 +8,7 @@ from tallyglass.functions import dates, text
 from tallyglass.operators import prices as P
 from tallyglass.operators import sentiment as S
 from tallyglass.plans.base import (
-    HEADLINES_SQL, POLARITY_SQL, PRICES_SQL, TODAY, TOKENS_SQL, _boost, _is_up, _neg, query,
+    HEADLINES_SQL, MARKET_SQL, POLARITY_SQL, PRICES_SQL, TODAY, TOKENS_SQL, _boost, _is_up, _neg, query,
 )
 from tallyglass.scale import durable
 from tallyglass.sources import readers
@@ -49,14 +49,14 @@ def _(t):
     return P.next_close(t.prices())
 
 
-@query("price_on_or_after", f"""WITH {PRICES_SQL}
+@query("price_on_or_after", f"""WITH {MARKET_SQL}
 SELECT h.symbol, h.date, p.date AS price_date, p.close FROM hdates h ASOF JOIN prices p
 ON h.symbol = p.symbol AND h.date <= p.date""")
 def _(t):
-    return P.price_on_or_after(t.headline_dates(), t.prices())
+    return P.price_on_or_after(t.headline_dates(), t.prices(weekends=False))
 
 
-_RETURNS = f"""{PRICES_SQL},
+_RETURNS = f"""{MARKET_SQL},
 series AS (SELECT *, lead(close) OVER (PARTITION BY symbol ORDER BY date) AS next_close FROM prices),
 returns AS (SELECT h.symbol, h.date, p.date AS price_date, p.close, p.next_close,
   (p.next_close - p.close) / p.close * 100 AS next_day_pct
@@ -65,14 +65,14 @@ returns AS (SELECT h.symbol, h.date, p.date AS price_date, p.close, p.next_close
 
 @query("next_day_return", f"WITH {_RETURNS} SELECT * REPLACE (round(next_day_pct, 6) AS next_day_pct) FROM returns")
 def _(t):
-    returns = P.next_day_return(t.headline_dates(), t.prices())
+    returns = P.next_day_return(t.headline_dates(), t.prices(weekends=False))
     return returns.withColumn("next_day_pct", F.round("next_day_pct", 6))
 
 
 @query("next_day_avg", f"""WITH {_RETURNS} SELECT symbol, round(avg(next_day_pct), 6) AS next_day_avg_pct,
 count(next_day_pct) AS next_day_sample_size FROM returns GROUP BY 1""")
 def _(t):
-    out = P.next_day_avg(P.next_day_return(t.headline_dates(), t.prices()))
+    out = P.next_day_avg(P.next_day_return(t.headline_dates(), t.prices(weekends=False)))
     return out.withColumn("next_day_avg_pct", F.round("next_day_avg_pct", 6))
 
 
@@ -325,7 +325,7 @@ def _(t):
     return dated.groupBy("symbol").agg(F.countDistinct("date").alias("date_count"))
 
 
-_SUMMARY_SQL = f"""{HEADLINES_SQL}, {PRICES_SQL},
+_SUMMARY_SQL = f"""{HEADLINES_SQL}, {MARKET_SQL},
 recent AS (SELECT symbol, date, avg(score) AS s, count(*) AS n FROM headlines WHERE date >= DATE '2024-01-17' GROUP BY 1, 2),
 net AS (SELECT symbol, avg(s) AS net_sentiment, sum(n) AS hc, count(*) AS dc FROM recent GROUP BY 1),
 series AS (SELECT *, lead(close) OVER (PARTITION BY symbol ORDER BY date) AS next_close FROM prices),
@@ -353,7 +353,7 @@ def _summary(t):
         F.col("r_name").alias("symbol"), (F.col("r_regionkey") % 2 == 0).alias("news_error"),
         (F.col("r_regionkey") % 3 == 0).alias("price_error"))
     listed = t.symbols().unionByName(t.region.select(F.col("r_name").alias("symbol")))
-    out = P.stock_summary(listed, t.headlines(), t.prices(), TODAY, 14, failed)
+    out = P.stock_summary(listed, t.headlines(), t.prices(weekends=False), TODAY, 14, failed)
     return out.withColumns({
         "net_sentiment": F.round("net_sentiment", 10) + 0.0, "movement_pct": F.round("movement_pct", 6),
         "next_day_avg_pct": F.round("next_day_avg_pct", 6)})

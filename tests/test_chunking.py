@@ -108,7 +108,27 @@ def test_html_sections(spark):
     df = spark.createDataFrame([(1, page), (2, "<p></p>"), (3, None)], "page_id long, html string")
     got = [(r.page_id, r.section, r.text) for r in C.html_sections(df).orderBy("page_id", "unit_pos").collect()]
     assert got == [
-        (1, None, "lead & more"), (1, "One", "first\n\nsecond\n\nA | B\n\n1 | 2\n\n- x\n\n- yz"), (1, "T" * 120, "innerkept")]
+        (1, None, "lead & more"), (1, "One", "first\n\nsecond\n\nA | B\n\n1 | 2\n\n- x\n\n- yz"), (1, "inner", "kept")]
+
+
+def test_html_sections_look_through_containers(spark):
+    page = (
+        "<!DOCTYPE html><html><body><header><nav><ul><li><a href='/x'>X</a></li><li>Y</ul></nav></header><!-- <h1>no</h1> -->"
+        "<main><section class=a><h1>A <i>b</i></h1>loose <b>bold</b> text<p>one<div><div><h3>Deep</h3><p>two<br>three</div>"
+        "after</div></section><article><table><tr><td><h2>cell</h2><td>2</table><blockquote><p>q</p></blockquote></article></main>"
+        "<em>element</em> bare <span>s</span><footer>&copy; end</footer></body></html>")
+    cut = "<div><h2>Cut</h2><p>kept &amp"
+    df = spark.createDataFrame([(1, page), (2, cut), (3, "<p>x</p><p"), (4, "no tags at all"), (5, "")], "page_id long, html string")
+    got = [tuple(r) for r in C.html_sections(df).orderBy("page_id", "unit_pos").collect()]
+    assert got == [
+        (1, 0, None, "- X\n\n- Y"), (1, 1, "A b", "loose bold text\n\none"),
+        (1, 2, "Deep", "twothree\n\nafter\n\ncell | 2\n\nq\n\nelement\n\ns\n\n© end"), (2, 1, "Cut", "kept &"), (3, 0, None, "x")]
+
+
+def test_html_sections_of_a_very_long_page(spark):
+    page = "<div>" * 200 + "".join(f"<h2>t{i}</h2><p>text {i}</p>" for i in range(20_000))
+    rows = C.html_sections(spark.createDataFrame([(1, page)], "page_id long, html string")).collect()
+    assert len(rows) == 20_000 and {(r.unit_pos, r.section, r.text) for r in rows} == {(i + 1, f"t{i}", f"text {i}") for i in range(20_000)}
 
 
 def test_check_params(spark):

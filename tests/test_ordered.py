@@ -93,6 +93,71 @@ def test_pack_rows_keeps_every_row_once(spark, many_partitions):
     assert [tuple(r) for r in got] == want
 
 
+def packed_by_loop(rows, size):
+    """(file, chunk, sheet, first, last, text) of sorted rows (file, place, sheet, row, text)."""
+    want, file, sheet, used, group = [], object(), None, 0, []
+    for f, _, s, row, text in rows:
+        if f != file or s != sheet or used + len(text) > size:
+            index = 0 if f != file else index + 1  # noqa: F821
+            file, sheet, used, group = f, s, 0, []
+            want.append((f, index, s, row, group))
+        group.append((row, text))
+        used += len(text) + 1
+    return [(f, i, s, first, g[-1][0], f"Sheet {s}:\n" + "\n".join(t for _, t in g)) for f, i, s, first, g in want]
+
+
+@pytest.mark.parametrize("size,parts", [(1, 7), (60, 7), (200, 50), (5000, 50)])
+def test_pack_rows_across_many_parts(spark, many_partitions, size, parts):
+    """Chunks that span several parts, rows without text, rows longer than a chunk, sheets that end at a border."""
+    rng = random.Random(size)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    rows = [(f, i, f"s{i * n_sheets // n}", i + 2, "x" * rng.choice([0, 0, 1, 5, 30, 70, 250]))
+            for f, n, n_sheets in (("a", 30, 2), ("hot", 900, 3), ("z", 1, 1)) for i in range(n)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "file_id string, unit_pos long, sheet string, row int, text string")
+    got = sorted((tuple(r) for r in chunking.pack_rows(df, size).collect()), key=lambda r: r[:2])
+    assert got == packed_by_loop(rows, size)
+
+
+def jobs_of(spark, name, work):
+    spark.sparkContext.setJobGroup(name, name)
+    work()
+    found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    return found
+
+
+def test_folds_run_a_fixed_number_of_jobs(spark, many_partitions):
+    """One key over 7 or 50 parts, whose borders all depend on each other, takes as many jobs."""
+    rows = [("hot", i, "s", i, "x" * (3 + i % 7)) for i in range(1500)]
+    sheet = spark.createDataFrame(rows, "file_id string, unit_pos long, sheet string, row int, text string")
+    listed = sheet.selectExpr("file_id AS session", "unit_pos AS pos", "int(1 + unit_pos % 90) AS page_equivalent")
+    counts = {}
+    for parts in (7, 50):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        counts[parts] = (jobs_of(spark, f"pack{parts}", lambda: chunking.pack_rows(sheet, 997).collect()),
+                         jobs_of(spark, f"quota{parts}", lambda: files.file_quota(listed, "session", "pos", 40, 900).collect()))
+    assert counts[7] == counts[50] and max(counts[50]) < 12
+
+
+@pytest.mark.parametrize("max_files,max_pages", [(0, 10), (3, 0), (5, 1000), (500, 60)])
+def test_file_quota_of_odd_files(spark, many_partitions, max_files, max_pages):
+    rng = random.Random(max_files)
+    rows = [(rng.choice([None, "a", "a", "b"]), i, rng.choice([None, 0, -3, 1, 2, 7, 50, 61, 2000])) for i in range(300)]
+    df = spark.createDataFrame(rows, "session string, pos long, page_equivalent int")
+    got = {r.pos: (r.session, r.page_equivalent, r.verdict) for r in files.file_quota(df, "session", "pos", max_files, max_pages).collect()}
+    state = {}
+    for key, pos, pages in rows:
+        count, total = state.get(key, (0, 0))
+        size = max(pages or 0, 0)
+        if count >= max_files:
+            want = f"file limit reached ({max_files} per session)"
+        elif total + size > max_pages:
+            want = f"would exceed the {max_pages}-page limit for this session"
+        else:
+            want, state[key] = "ready", (count + 1, total + size)
+        assert got[pos] == (key, pages, want)
+
+
 def test_running_sum_and_last(spark, many_partitions):
     rng = random.Random(8)
     keys = skewed(500, 2)
