@@ -16,8 +16,9 @@ from tallyglass.llm.similar_sets import similar_roots
 from tallyglass.llm.superminhash import band_keys, codes, signatures
 from tallyglass.scale import broadcast_if_small, staged
 
-# A pair of Jaccard 0.8 shares one of 42 bands of 6 slots with a chance of 1 - (1 - 0.8 ** 6) ** 42 = 1 - 3e-6.
-SLOTS, BANDS, DEPTH = 256, 42, 6
+# A pair of Jaccard 0.8 shares one of 32 bands of 5 slots with a chance of 1 - (1 - 0.8 ** 5) ** 32 = 1 - 3e-6; 42 bands of 6
+# give the same for a third more bucket rows.  The other slots sharpen the signature alone.
+SLOTS, BANDS, DEPTH = 256, 32, 5
 # Slots that must agree before sets are compared: 4.5 standard deviations below the share at the wanted similarity.
 SIGMAS = 4.5
 # Sets whose signatures are made together.

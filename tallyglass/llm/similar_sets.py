@@ -1,8 +1,9 @@
 """Components of similar sets: buckets propose pairs, signatures sift them, whole sets decide, union-find groups them.
 
-A bucket is never multiplied with itself in Spark.  First every member meets one leader of its bucket.  Buckets whose
-members are then not all in one component go on: inside a task, members outside the bucket's largest component are
-compared with the others by their signatures' bytes, and only promising pairs of different components leave the task.
+A bucket is never multiplied with itself in Spark, and no list of its pairs is ever made.  First every member meets one
+leader of its bucket.  Buckets whose members are then not all in one component go on: inside a task, members outside the
+bucket's largest component are compared with the others by their signatures' bytes.  Members that found a promising partner
+meet once more, now with their whole sets, and the task folds the links among them by union-find.
 """
 
 from __future__ import annotations
@@ -17,32 +18,34 @@ from pyspark.sql import functions as F
 from tallyglass.llm.components import stars
 from tallyglass.scale import staged
 
-# Members and askers of a bucket that meet in one task at a time.
-PART = 2048
-# Partners that a member names in its first round; each further round allows so many times more, until all are named.
-FIRST, MORE = 8, 8
+# Members of a bucket, and hashes of their sets, that meet as many askers in one task at a time.
+PART, PART_HASHES = 2048, 4_000_000
+# What places a row in its bucket, and all that goes with it.
+GROUP = ["key", "part", "block"]
+CELL = "key bigint, part int, block int, asks boolean, n bigint, size bigint, root bigint, codes binary, keys array<bigint>"
 
 
-def _alike(size_a, size_b, least: float):
+def _alike(size_a: np.ndarray, size_b: np.ndarray, least: float) -> np.ndarray:
     """Sets whose sizes alone rule out the similarity need no look."""
-    return F.least(size_a, size_b) >= F.greatest(size_a, size_b) * least - 1e-6
+    return np.minimum(size_a, size_b) >= np.maximum(size_a, size_b) * least - 1e-6
 
 
-def promising(pairs: DataFrame, nodes: DataFrame, cut: int) -> DataFrame:
-    """The pairs ``a, b`` whose signatures agree in at least ``cut`` slots."""
-    code = nodes.select("n", "codes")
-    both = pairs.join(code.withColumnsRenamed({"n": "b", "codes": "cb"}), "b")
-    both = both.join(code.withColumnsRenamed({"n": "a", "codes": "ca"}), "a").select("a", "b", "ca", "cb")
+def promising(pairs: DataFrame, nodes: DataFrame, least: float, cut: int) -> DataFrame:
+    """The pairs ``a, b`` whose sizes allow the similarity and whose signatures agree in at least ``cut`` slots."""
+    sketch = nodes.select("n", "size", "codes")
+    both = pairs.join(sketch.withColumnsRenamed({"n": "b", "size": "sb", "codes": "cb"}), "b")
+    both = both.join(sketch.withColumnsRenamed({"n": "a", "size": "sa", "codes": "ca"}), "a")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ca, cb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            near = pa.array((ca == cb).sum(axis=1) >= cut)
+            sa, sb = (batch.column(i).to_numpy() for i in (2, 3))
+            ca, cb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (4, 5))
+            near = pa.array(_alike(sa, sb, least) & ((ca == cb).sum(axis=1) >= cut))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(near) for i in (0, 1)], ["a", "b"])
 
-    return both.mapInArrow(sift, "a bigint, b bigint")
+    return both.select("a", "b", "sa", "sb", "ca", "cb").mapInArrow(sift, "a bigint, b bigint")
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -111,42 +114,102 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield carry
 
 
-def _asked(waiting: DataFrame, nodes: DataFrame, least: float, cut: int, limit: int) -> DataFrame:
-    """``a, b, more``: for members outside their bucket's largest component the ``limit`` most alike members of other
-    components whose signatures agree in ``cut`` slots; ``more`` tells that there were others.
+def _dealt(waiting: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The members of unsettled buckets (``key, n, root``) as rows ``CELL``, several per member of a large bucket.
 
-    A large bucket is dealt into parts and its askers into blocks; every part meets every block in a task of its own.
+    Members outside the bucket's largest component ask.  A large bucket is dealt into parts and its askers into blocks;
+    every part meets every block.
     """
-    counts = waiting.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    buckets = counts.groupBy("key").agg(F.sum("c").alias("members"), F.max(F.struct("c", "root")).alias("top"))
-    sizes = buckets.select("key", F.col("top")["root"].alias("top"), F.ceil(F.col("members") / PART).cast("int").alias("parts"),
-                           F.ceil((F.col("members") - F.col("top")["c"]) / PART).cast("int").alias("blocks"))
-    rows = waiting.join(sizes, "key").join(nodes.select("n", "codes"), "n")
+    rows = waiting.join(nodes, "n")
+    counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("h"))
+    buckets = counts.groupBy("key").agg(F.sum("c").alias("c"), F.sum("h").alias("h"), F.max(F.struct("c", "h", "root")).alias("top"))
+
+    def shares(members, hashes):
+        return F.greatest(F.ceil(members / PART), F.ceil(hashes / PART_HASHES)).cast("int")
+
+    top = F.col("top")
+    sizes = buckets.select("key", top["root"].alias("top"), shares(F.col("c"), F.col("h")).alias("parts"),
+                           shares(F.col("c") - top["c"], F.col("h") - top["h"]).alias("blocks"))
+    rows = rows.join(sizes, "key")
     mark = F.xxhash64("n")
     part, block = F.pmod(mark, "parts").cast("int"), F.pmod(F.shiftright(mark, 20), "blocks").cast("int")
-    columns = ["key", "part", "block", "asks", "n", "size", "root", "codes"]
-    members = rows.select("*", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    askers = rows.where("root <> top").select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    met = members.withColumn("asks", F.lit(False)).select(columns).union(askers.withColumn("asks", F.lit(True)).select(columns))
-    met = met.repartition("key", "part", "block").sortWithinPartitions("key", "part", "block")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, 3):
-            asks, n, size, root = (group.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6))
-            code = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint8).reshape(len(n), -1)
-            other = ~asks
-            a, b, more = [], [], []
-            for i in np.flatnonzero(asks):
-                fit = np.flatnonzero(other & (root != root[i]) & (np.minimum(size, size[i]) >= np.maximum(size, size[i]) * least - 1e-6))
-                agree = (code[fit] == code[i]).sum(axis=1)
-                fit, agree = fit[agree >= cut], agree[agree >= cut]
-                best = fit[np.lexsort((n[fit], -agree))[:limit]]
-                a.extend(np.maximum(n[best], n[i]).tolist())
-                b.extend(np.minimum(n[best], n[i]).tolist())
-                more.extend([len(fit) > limit] * len(best))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], ["a", "b", "more"])
-
-    return met.mapInArrow(meet, "a bigint, b bigint, more boolean")
+    columns = ["key", "part", "block", "asks", "n", "size", "root", "codes", "keys"]
+    members = rows.select("*", F.lit(False).alias("asks"), part.alias("part"),
+                          F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    askers = rows.where("root <> top").select("*", F.lit(True).alias("asks"), block.alias("block"),
+                                              F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return members.select(columns).union(askers.select(columns))
+
+
+def _partners(group: pa.Table, least: float, cut: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Per asker of a group (places in it) its promising partners in other components, the most alike first.
+
+    A pair counts in the first of its shared buckets alone.
+    """
+    asks, n, size, root = (group.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6))
+    code = np.frombuffer(b"".join(group.column(7).to_pylist()), np.uint8).reshape(len(n), -1)
+    keys = group.column(8).combine_chunks().flatten().to_numpy().reshape(len(n), -1)
+    key, other = group.column(0)[0].as_py(), ~asks
+    for i in np.flatnonzero(asks):
+        fit = np.flatnonzero(other & (root != root[i]) & _alike(size, size[i], least))
+        agree = (code[fit] == code[i]).sum(axis=1)
+        fit, agree = fit[agree >= cut], agree[agree >= cut]
+        here = keys[i][(keys[fit] == keys[i]).argmax(axis=1)] == key
+        fit, agree = fit[here], agree[here]
+        if len(fit):
+            yield int(i), fit[np.lexsort((n[fit], -agree))]
+
+
+def _sorted_groups(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+
+def _involved(dealt: DataFrame, least: float, cut: int) -> DataFrame:
+    """The rows of ``dealt`` that have a promising partner in their group."""
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, len(GROUP)):
+            found = np.zeros(group.num_rows, bool)
+            for i, partners in _partners(group, least, cut):
+                found[i] = True
+                found[partners] = True
+            if found.any():
+                yield from group.filter(pa.array(found)).combine_chunks().to_batches()
+
+    return _sorted_groups(dealt).mapInArrow(sift, CELL)
+
+
+def _settled(involved: DataFrame, sets: DataFrame, least: float, percent: int, cut: int) -> DataFrame:
+    """Links ``a, b`` that join components as all promising pairs do whose whole sets reach the Jaccard of ``percent``."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, len(GROUP)):
+            n, hashes = group.column(4).to_numpy(), group.column(9)
+            joined: dict[int, int] = {}
+            roots = group.column(6).to_pylist()
+
+            def find(x: int) -> int:
+                while (up := joined.get(x, x)) != x:
+                    joined[x] = joined.get(up, up)
+                    x = up
+                return x
+
+            a, b = [], []
+            for i, partners in _partners(group, least, cut):
+                mine = np.frombuffer(hashes[i].as_py(), np.uint64)
+                for j in partners.tolist():
+                    low, high = sorted((find(roots[i]), find(roots[j])))
+                    if low == high:
+                        continue
+                    other = np.frombuffer(hashes[j].as_py(), np.uint64)
+                    both = shared(mine, other)
+                    if 100 * both >= percent * (len(mine) + len(other) - both):
+                        joined[high] = low
+                        a.append(max(n[i], n[j]))
+                        b.append(min(n[i], n[j]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    whole = _sorted_groups(involved.join(sets, "n").select(*involved.columns, "hashes"))
+    return whole.mapInArrow(check, "a bigint, b bigint")
 
 
 def similar_roots(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, cut: int) -> DataFrame:
@@ -154,36 +217,24 @@ def similar_roots(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], per
     components of one node are left out.
 
     ``keys`` names the buckets of a node, ``codes`` its signature, ``fetch`` gives ``n, hashes`` (the sorted set) for the
-    nodes ``n`` that share a bucket.  Rounds end when every member has named all promising partners outside its
-    component, so no pair of a bucket whose signatures agree in ``cut`` slots is left out; the number of rounds grows with the
-    logarithm of the largest bucket.
+    nodes ``n`` that share a bucket.  No pair of a bucket whose signatures agree in ``cut`` slots is left out: its sets are
+    compared, or it is in one component already.
     """
     least = percent / 100
-    cells = nodes.select("n", "size", F.explode("keys").alias("key"))
-    leaders = cells.groupBy("key").agg(F.min(F.struct("n", "size")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    leaders = leaders.select("key", F.col("lead")["n"].alias("l"), F.col("lead")["size"].alias("lsize"))
+    cells = nodes.select("n", F.explode("keys").alias("key"))
+    leaders = cells.groupBy("key").agg(F.min("n").alias("l"), F.max("n").alias("last")).where("l < last").select("key", "l")
     buckets = staged(cells.join(leaders, "key"), "similar-buckets")
     sets = staged(fetch(buckets.select("n").distinct()), "similar-sets")
-    first = buckets.where((F.col("n") != F.col("l")) & _alike("size", "lsize", least))
-    first = first.select(F.col("n").alias("a"), F.col("l").alias("b")).distinct()
-    tested = staged(promising(first, nodes, cut), "similar-tested")
-    links = staged(verified(tested, sets, percent), "similar-links")
-    waiting, limit = buckets.where("n <> l").select("key", "n", "size"), FIRST
+    first = buckets.where("n <> l").select(F.col("n").alias("a"), F.col("l").alias("b")).distinct()
+    links = staged(verified(promising(first, nodes, least, cut), sets, percent), "similar-links")
     roots = stars(links)
-    while True:
-        found = waiting.select("key", "n", "size").join(roots.select(F.col("a").alias("n"), F.col("b").alias("root")), "n", "left")
-        placed = found.select("key", "n", "size", F.coalesce("root", "n").alias("root"))
-        several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        waiting = staged(placed.join(several.select("key"), "key", "left_semi"), "similar-waiting")
-        if waiting.isEmpty():
-            return roots
-        asked = staged(_asked(waiting, nodes, least, cut, limit), "similar-asked")
-        new = staged(asked.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "similar-tested")
-        more = not asked.where("more").isEmpty()
-        links = staged(verified(new, sets, percent), "similar-links")
-        # The new links between the components so far, not all links again.
-        last = roots
-        roots = stars(last.union(links))
-        if not more:
-            return roots
-        tested, limit = tested.union(new), limit * MORE
+    # Leaders have met all members of their buckets.
+    waiting = buckets.where("n <> l").select("key", "n")
+    found = waiting.join(roots.select(F.col("a").alias("n"), F.col("b").alias("root")), "n", "left")
+    placed = staged(found.select("key", "n", F.coalesce("root", "n").alias("root")), "similar-placed")
+    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    dealt = _dealt(staged(placed.join(several.select("key"), "key", "left_semi"), "similar-waiting"), nodes)
+    involved = staged(_involved(dealt, least, cut), "similar-involved")
+    links = staged(_settled(involved, sets, least, percent, cut), "similar-links")
+    # Only new links between the components so far, not all links again.
+    return roots if links.isEmpty() else stars(roots.union(links))
