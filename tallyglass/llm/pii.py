@@ -40,6 +40,14 @@ IBAN_LENGTHS = {c: int(n) for n, cs in {
 # No value lacks all of these.
 MAY_HOLD = re.compile(r"[0-9@=:]|sk|xox|AKIA|ASIA|gh[pousr]_").search
 LETTERS, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
+# Characters of a value that are permuted together; longer values go block by block.
+BLOCK = 64
+# Values longer than this are not remembered.
+SHORT = 200
+# A number of a version, not an address, stands behind these words.
+VERSION = re.compile(r"(?i)\b(?:version|release|build|ver\.?|v\.?)[ ]?$")
+# How a number without country code, area code in brackets or leading zero must be grouped to be taken for a phone.
+NATIONAL = re.compile(r"[0-9]{3}([ .-])[0-9]{3}[ .-]?[0-9]{4}")
 CODES = re.compile(r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})")
 
 
@@ -101,6 +109,8 @@ class Pseudonyms:
         while match := SHAPES.search(text, at):
             start, at = match.start(), match.start() + 1
             for kind, value in _readings(text, match):
+                if kind == "ip" and VERSION.search(text, max(0, start - 12), start):
+                    continue
                 new = self.pseudonym(kind, value)
                 if new is not None:
                     counts[kind] += 1
@@ -111,6 +121,8 @@ class Pseudonyms:
 
     def pseudonym(self, kind: str, value: str) -> str | None:
         """The replacement, or None for a value that is not valid."""
+        if len(value) > SHORT:
+            return getattr(self, f"_{kind}")(value)
         found = self.known.get((kind, value), "")
         if found == "":
             if len(self.known) > 100_000:
@@ -123,9 +135,15 @@ class Pseudonyms:
         low = text.lower()
         hexadecimal = len(text) >= 8 and all(c in HEX for c in low) and any(c in DIGITS for c in low)
         sets = [HEX if hexadecimal else LETTERS if c in LETTERS else DIGITS if c in DIGITS else c for c in low]
-        radices = [len(s) for s in sets]
-        start = _gathered([s.index(c) for s, c in zip(sets, low)], radices)
-        new = [s[d] for s, d in zip(sets, _spread(self.permute(start, _size(radices), tag), radices))]
+        new, seen = [], hashlib.blake2b(digest_size=16)
+        for at in range(0, len(low), BLOCK):
+            part, part_sets = low[at:at + BLOCK], sets[at:at + BLOCK]
+            radices = [len(s) for s in part_sets]
+            start = _gathered([s.index(c) for s, c in zip(part_sets, part)], radices)
+            # A later block depends on all before it, so equal blocks of different values do not show.
+            chained = f"{tag} {seen.hexdigest()}" if at else tag
+            new += [s[d] for s, d in zip(part_sets, _spread(self.permute(start, _size(radices), chained), radices))]
+            seen.update(part.encode())
         if hexadecimal:
             return "".join(new).upper() if text.isupper() else "".join(new)
         return "".join(n.upper() if c.isupper() else n for n, c in zip(new, text))
@@ -185,6 +203,8 @@ class Pseudonyms:
         code = CODES.match(value)
         start = code.end() if code else 0
         bare = re.sub("[^0-9]", "", value[start:])
+        if not start and value[0] not in "(0" and not NATIONAL.fullmatch(value):
+            return None
         if not 7 <= len(bare) + (start and start - 1) <= 15 or len(bare) < 6:
             return None
         tag = "phone" + value[:start]
@@ -193,8 +213,12 @@ class Pseudonyms:
         new = self._digits(bare, tag + "n" * north, lambda d: d[0] not in "01" and d[3] not in "01" if north else (d[0] == "0") == zero)
         return value[:start] + _refill(value[start:], new)
 
-    def _secret(self, value: str) -> str:
-        fixed = re.match(r"(?i:AKIA|ASIA|gh[pousr]_|sk[-_]|xox[abp]-)|.*?[:=][ ]?[\"']?", value).end()
+    def _secret(self, value: str) -> str | None:
+        named = re.match(r"(?i:AKIA|ASIA|gh[pousr]_|sk[-_]|xox[abp]-)|.*?[:=][ ]?[\"']?", value)
+        fixed = named.end()
+        # Behind a telling word a plain short word is no secret ("password: required").
+        if named.group()[-1] in " :=\"'" and fixed + 20 > len(value) and not any(c.isdigit() for c in value[fixed:]):
+            return None
         return value[:fixed] + self._characters(value[fixed:], "secret")
 
 
@@ -269,7 +293,10 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", counts_col
     numbers and secrets after a telling word or prefix.  Numbers and dates must be valid (check digits, ranges,
     calendar) and stay so; every replacement has the length and shape of what it replaces.  The same value gets the
     same replacement in every document under one ``key``, without any table of values, and different values of one
-    format get different ones.  Null texts stay null, empty ones empty; a text is handled whole.
+    format get different ones.  Null texts stay null, empty ones empty; a text is handled whole, and a value of more than
+    ``BLOCK`` characters block by block, each depending on those before it, so time grows with its length.  Numbers behind a
+    word for versions are no addresses, short plain words behind a telling word no secrets.  Repeated rows repeat; other
+    columns, whatever their names, stay as they are (``counts_col`` must not be one of them).  An empty table stays empty.
     """
     at = docs.columns.index(text_col)
     names = [*docs.columns, *([counts_col] if counts_col else [])]

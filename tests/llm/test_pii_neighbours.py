@@ -1,6 +1,7 @@
 """Valid values with something behind them that their shapes also take."""
 
 import pytest
+from llm_fixtures import documents
 
 from tallyglass.llm import pii
 
@@ -33,3 +34,41 @@ def test_invalid_values_stay():
 def test_keys_of_letters_alone(key):
     counts = dict.fromkeys(pii.KINDS, 0)
     assert key not in pii.Pseudonyms(b"k").replaced(f"the key {key} here", counts) and counts["secret"] == 1
+
+
+@pytest.mark.parametrize("text", [
+    "order 1234 5678 9012", "total 12.500.000 600 7000", "from 1200 300 4000 on", "version 1.2.3.4", "see v1.2.3.4", "password: required",
+    "Token: authentication"])
+def test_what_is_no_personal_data_stays(text):
+    counts = dict.fromkeys(pii.KINDS, 0)
+    assert pii.Pseudonyms(b"k").replaced(text, counts) == text and not any(counts.values())
+
+
+@pytest.mark.parametrize("text, fixed", [
+    ("password: " + "abcdefgh" * 125_000, 10), ("token=" + "a1" * 10_000, 6), ("k" * 10_000 + "@example.com", 0),
+    ("secret: " + "A1b2-" * 4000, 8), ("1" * 20_000, None), ("4111 " * 20_000, None)])
+def test_long_values(text, fixed):
+    new = pii.Pseudonyms(b"k").replaced(text, dict.fromkeys(pii.KINDS, 0))
+    assert len(new) == len(text)
+    if fixed is None:
+        return
+    assert new != text and new[:fixed] == text[:fixed] and new == pii.Pseudonyms(b"k").replaced(text, dict.fromkeys(pii.KINDS, 0))
+    # A change at the start shows in every block behind it; one at the end leaves the blocks before it.
+    other = pii.Pseudonyms(b"k").replaced(text[:fixed] + "b" + text[fixed + 1:], dict.fromkeys(pii.KINDS, 0))
+    assert other[fixed + 64:fixed + 500] != new[fixed + 64:fixed + 500]
+
+
+def test_blocks_stay_one_to_one(monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 2)
+    names = pii.Pseudonyms(b"k")
+    values = [a + b + c + d for a in "ab1" for b in "xy2" for c in "pq" for d in "r3"]
+    new = [names._characters(v, "t") for v in values]
+    assert len(set(new)) == len(values)
+    assert all([c.isdigit() for c in a] == [c.isdigit() for c in b] for a, b in zip(values, new))
+
+
+def test_odd_rows(spark):
+    odd = documents(spark)
+    masked = pii.pseudonymise(odd, b"k")
+    assert masked.columns == odd.columns and sorted(map(str, masked.collect())) == sorted(map(str, odd.collect()))
+    assert pii.pseudonymise(odd.limit(0), b"k", counts_col="n").count() == 0
