@@ -114,7 +114,8 @@ def sheet_aggregate(df: DataFrame, category: str | None, values: Sequence[str],
                     filters: Sequence[tuple] = (), sort: str = "sheet_order", row: str = "row") -> DataFrame:
     """Filter -> group by the category (or one grand total) -> aggregate 1..6 columns -> sort.
 
-    One partial and one final hash aggregate; the sort touches one row per category.
+    One partial and one final hash aggregate; the sort touches one row per category.  A column without a number in any
+    selected row is refused (``reject_empty_series``), unless rows are only counted.
     """
     if not values:
         raise ValueError("the proposal named no column to plot")
@@ -136,6 +137,8 @@ def sheet_aggregate(df: DataFrame, category: str | None, values: Sequence[str],
         .groupBy(category_of(df, category).alias("category"))
         .agg(F.min(row).alias("first_row"), *[measure(c).alias(series_name(c, aggregation)) for c in values])
     )
+    if aggregation != "count":
+        grouped = reject_empty_series(grouped, values, aggregation)
     return category_sort(grouped, sort, series_name(values[0], aggregation))
 
 
@@ -398,18 +401,25 @@ def header_infer(cells: DataFrame) -> DataFrame:
 def sheet_units(cells: DataFrame) -> DataFrame:
     """One unit of text per data row: ``Header: value; Header: value``.  Blank cells and rows are left out.
 
-    A row wider than the header uses column letters.  A row's cells are the only thing collected together.
+    A row wider than the header uses column letters.  Cells are gathered into rows once; the first row of each sheet, found
+    by a map-side minimum, travels to the others as one map of names.  A row's cells are the only thing collected together.
     """
     from tallyglass.functions.text import column_letter
 
     keys = ["file_id", "sheet"]
-    headers = header_infer(cells)
-    first = headers.select(*keys, "header_row").distinct()
-    data = _filled(cells).join(first, keys).where(F.col("row") > F.col("header_row"))
-    named = data.join(headers.select(*keys, "col", "header"), [*keys, "col"], "left")
-    name = F.coalesce("header", column_letter(F.col("col")))
-    pair = F.concat(name, F.lit(": "), F.col("value"))
-    return named.groupBy(*keys, "row").agg(sheet_row_text(F.collect_list(F.struct("col", pair.alias("pair")))).alias("text"))
+    # Cells without a place have no row; named here, the filter is the same for both readers of the rows.
+    placed = _filled(cells).where(F.col("file_id").isNotNull() & F.col("sheet").isNotNull() & F.col("row").isNotNull())
+    rows = placed.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("_cells"))
+    heads = rows.groupBy(*keys).agg(F.min("row").alias("_first"), F.min_by("_cells", "row").alias("_head"))
+    # The last of several cells at one place names the column.
+    names = F.map_from_entries(F.filter("_head", lambda c, i: F.coalesce(F.get("_head", i + 1)["col"] != c["col"], F.lit(True))))
+    data = rows.join(heads.select(*keys, "_first", names.alias("_names")), keys).where(F.col("row") > F.col("_first"))
+
+    def pair(c: Column) -> Column:
+        name = F.coalesce(F.try_element_at("_names", c["col"]), column_letter(c["col"]))
+        return F.struct(c["col"].alias("col"), F.concat(name, F.lit(": "), c["value"]).alias("pair"))
+
+    return data.select(*keys, "row", sheet_row_text(F.transform("_cells", pair)).alias("text"))
 
 
 def sheet_row_text(pairs: Column) -> Column:

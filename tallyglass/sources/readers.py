@@ -45,22 +45,31 @@ def parse_feed_json(feeds: DataFrame) -> DataFrame:
     )
 
 
-def read_feed_xml(spark: SparkSession, path: str) -> DataFrame:
-    """RSS files -> (feed, pos, title, source, link, pub_date); the XML reader splits large files by item."""
+def read_feed_xml(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
+    """RSS files -> (feed, pos, title, source, link, pub_date); the XML reader splits large files by item.
+
+    Items keep their order in the file: by the place of the block that holds them, then in the order its reader meets them.
+    With ``errors`` a column ``error`` is added, and a feed without a readable item gives one row that tells so.
+    """
     schema = "title string, link string, pubDate string, source struct<_VALUE:string,_url:string>"
     items = (
         spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
-        .select("*", F.col("_metadata.file_path").alias("feed"),
+        .select("*", F.col("_metadata.file_path").alias("feed"), F.col("_metadata.file_block_start").alias("_block"),
                 F.monotonically_increasing_id().alias("_at"))
     )
-    first = first_per_key(items, ["feed"], [F.col("_at")], FEED_ITEMS, "_n")
+    first = first_per_key(items, ["feed"], [F.col("_block"), F.col("_at")], FEED_ITEMS, "_n")
     raw = F.coalesce(F.col("title"), F.lit(""))
     title, source = strip_source_tagged(raw, F.col("source._VALUE"))
-    return first.select(
+    found = first.select(
         "feed", (F.col("_n") - 1).alias("pos"), title.alias("title"), source.alias("source"),
         F.coalesce(blank_to_null(F.col("link")), F.lit("#")).alias("link"),
         F.coalesce("pubDate", F.lit("")).alias("pub_date"),
     )
+    if not errors:
+        return found
+    listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("feed"))
+    without = listed.join(found.select("feed").distinct(), "feed", "left_anti").withColumn("error", F.lit("No items returned"))
+    return found.withColumn("error", F.lit(None).cast("string")).unionByName(without, allowMissingColumns=True)
 
 
 def unwrap_json_preamble(text):

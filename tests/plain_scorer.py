@@ -4,7 +4,18 @@ import math
 import re
 import string
 
-from tallyglass.operators.sentiment import IDIOMS, NEGATIONS, STRONGER, WEAKER
+# Fixed values, written out here so that a slip in the operator's own lists shows.
+NEGATIONS = set("""aint arent cannot cant couldnt darent didnt doesnt ain't aren't can't couldn't daren't didn't doesn't dont hadnt hasnt
+havent isnt mightnt mustnt neither don't hadn't hasn't haven't isn't mightn't mustn't neednt needn't never none nope nor not nothing nowhere
+oughtnt shant shouldnt uhuh wasnt werent oughtn't shan't shouldn't uh-uh wasn't weren't without wont wouldnt won't wouldn't rarely seldom
+despite""".split())
+STRONGER = """absolutely amazingly awfully completely considerably decidedly deeply effing enormously entirely especially exceptionally
+extremely fabulously flipping flippin fricking frickin frigging friggin fully fucking greatly hella highly hugely incredibly intensely
+majorly more most particularly purely quite really remarkably so substantially thoroughly totally tremendously uber unbelievably unusually
+utterly very""".split()
+WEAKER = "almost barely hardly kinda kindof kind-of less little marginally occasionally partly scarcely slightly somewhat sorta sortof sort-of".split()
+IDIOMS = {"the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "yeah right": -2.0, "cut the mustard": 2.0, "kiss of death": -1.5,
+          "hand to mouth": -2.0}
 
 AFFIXES = [".", "!", "?", ",", ";", ":", "-", "'", '"', "!!", "!!!", "??", "???", "?!?", "!?!", "?!?!", "!?!?"]
 BOOST = {**dict.fromkeys(STRONGER, 0.293), **dict.fromkeys(WEAKER, -0.293)}

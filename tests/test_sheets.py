@@ -81,6 +81,14 @@ def test_column_without_numbers_is_refused(sheet):
     assert S.reject_empty_series(fine, ["Units"]).count() == 6
 
 
+@pytest.mark.parametrize("how", ["sum", "average", "min", "max"])
+def test_aggregate_refuses_a_column_without_numbers(sheet, how):
+    with pytest.raises(Exception, match="column “Region” has no numbers in the selected rows"):
+        S.sheet_aggregate(sheet, "Units", ["Units", "Region"], how).collect()
+    assert S.sheet_aggregate(sheet, "Units", ["Region"], "count").count() > 0
+    assert S.sheet_aggregate(sheet, "Region", ["Units"], how, filters=[("Region", "equals", "no such region")]).count() == 0
+
+
 def test_guards(spark):
     pie = spark.createDataFrame([("a", 1.0), ("b", -1.0)], "category string, v double")
     assert S.chart_guards(pie, ["v"], "pie").head().error == "a pie chart needs positive values for every part"
@@ -97,6 +105,26 @@ def test_cells(spark):
     assert got == [(3, "Region: South; Column B: 14"), (5, "Region: North; Column AB: x")]
 
 
+def test_units_of_a_hot_sheet_and_odd_headers(spark, many_partitions):
+    """Unsorted cells, a header row below blank ones, a blank name, wide rows, a sheet of its header alone."""
+    rows = [("f", "hot", 1, 0, None), ("f", "hot", 2, 0, "A"), ("f", "hot", 2, 1, " "), ("f", "hot", 2, 3, "D"), ("g", "only", 7, 2, "x")]
+    rows += [("f", "hot", r, c, f"{r}.{c}") for r in range(3, 303) for c in (4, 3, 1, 0) if (r + c) % 5]
+    cells = spark.createDataFrame(rows, "file_id string, sheet string, row int, col int, value string").repartition(9)
+    got = {r.row: r.text for r in S.sheet_units(cells).collect()}
+    names = {0: "A", 1: " ", 3: "D", 4: "Column E"}
+    assert got == {r: "; ".join(f"{names[c]}: {r}.{c}" for c in (0, 1, 3, 4) if (r + c) % 5) for r in range(3, 303)}
+
+
+def test_units_gather_cells_once(spark):
+    """The rows are made by one exchange of the cells; the header's branch reads it again."""
+    rows = [("f", "s", r, c, f"{r}.{c}") for r in range(50) for c in range(3)]
+    df = S.sheet_units(spark.createDataFrame(rows, "file_id string, sheet string, row int, col int, value string"))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[:plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert final.count("Scan ExistingRDD") <= 2
+
+
 def test_cell_text(spark):
     df = spark.createDataFrame([(14.0, dt.datetime(2026, 7, 1), " a \n b"), (12.4, dt.datetime(2026, 7, 1, 9, 5), None)],
                                "n double, t timestamp, s string")

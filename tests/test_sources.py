@@ -25,6 +25,24 @@ def test_feed_xml(spark, tmp_path):
     assert tuple(rows[0])[1:] == (0, "A - B", "Src", "#", "d") and tuple(rows[1])[1:] == (1, "A - B - Src", "Tag", "l", "d")
 
 
+def test_feed_xml_keeps_its_order_over_splits_and_reports_broken_feeds(spark, tmp_path):
+    for name, n in (("a", 300), ("b", 5)):
+        items = "\n".join(f"<item><title>{name}{i} - S</title>{'<pubDate>d</pubDate>' * (i % 2)}</item>" for i in range(n))
+        (tmp_path / f"{name}.xml").write_text(f"<rss><channel>\n{items}\n</channel></rss>")
+    (tmp_path / "c.xml").write_text("<rss><channel></channel></rss>")
+    (tmp_path / "d.xml").write_text("<html>blocked")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = readers.read_feed_xml(spark, str(tmp_path), errors=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = sorted((r.feed[-5:], r.pos, r.title) for r in rows if r.error is None)
+    assert got == [("a.xml", i, f"a{i}") for i in range(12)] + [("b.xml", i, f"b{i}") for i in range(5)]
+    assert sorted((r.feed[-5:], r.error) for r in rows if r.error) == [("c.xml", "No items returned"), ("d.xml", "No items returned")]
+
+
 def test_price_payload(spark, tmp_path):
     body = {"chart": {"result": [{"timestamp": [0, 86400, 86401], "indicators": {"quote": [{"close": [1.5, None, 2.5]}]}}], "error": None}}
     (tmp_path / "GOOD.json").write_text("Title: x\n" + json.dumps(body))
