@@ -22,6 +22,9 @@ SEPARATORS = ("\n\n", "\n", ". ", " ")
 STRATEGIES = ("recursive", "fixed", "by_paragraph", "by_page")
 CHUNK_SIZE, CHUNK_OVERLAP = 800, 120
 
+# Pieces of a text that are packed in one go.
+BLOCK_PIECES = 512
+
 _MARK = "\x00"  # cleaned text holds no NUL, so it can mark the places to cut
 
 
@@ -67,11 +70,19 @@ def _overlap_tail(text: Column, overlap: int) -> Column:
     return F.regexp_replace(F.right(text, F.lit(overlap)), r"(?s)^[^ ]* ", "")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def chunk_recursive(text: Column, size: int, overlap: int) -> Column:
     """Pack pieces up to ``size``; a chunk starts with the tail of the one before, so it may exceed ``size``
     by at most the overlap.  A fold over the row's own pieces.
+
+    Spark copies the state of a fold at every step, so the chunks found so far must not ride along: pieces are folded in
+    blocks of ``BLOCK_PIECES``, and only once per block its chunks are put aside.
     """
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+    none = F.array().cast("array<string>")
 
     def add(acc: Column, piece: Column) -> Column:
         cur = acc["cur"]
@@ -81,14 +92,23 @@ def chunk_recursive(text: Column, size: int, overlap: int) -> Column:
             F.when(full, F.concat(_overlap_tail(cur, overlap), piece)).otherwise(F.concat(cur, piece)).alias("cur"),
         )
 
+    def add_block(acc: Column, block: Column) -> Column:
+        inside = F.aggregate(block, F.struct(none.alias("out"), acc["cur"].alias("cur")), add)
+        return _bound(inside, lambda x: F.struct(F.array_append(acc["out"], x["out"]).alias("out"), x["cur"].alias("cur")))
+
     def close(acc: Column) -> Column:
-        blank = strip_blank(acc["cur"]) == ""
-        return F.when(blank, acc["out"]).otherwise(F.array_append(acc["out"], acc["cur"]))
+        last = F.when(strip_blank(acc["cur"]) == "", none).otherwise(F.array(acc["cur"]))
+        return F.concat(F.flatten(acc["out"]), last)
+
+    def fold(pieces: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1)), F.lit(BLOCK_PIECES))
+        blocks = F.transform(starts, lambda i: F.slice(pieces, i, BLOCK_PIECES))
+        return F.aggregate(blocks, F.struct(F.array().cast("array<array<string>>").alias("out"), F.lit("").alias("cur")), add_block, close)
 
     # A text that fits is its own single chunk; only longer ones enter the fold.
     fits = F.length(text) <= size
-    short = F.when(strip_blank(text) == "", F.array().cast("array<string>")).otherwise(F.array(text))
-    return F.when(fits, short).otherwise(F.aggregate(_pieces(text, size), start, add, close))
+    short = F.when(strip_blank(text) == "", none).otherwise(F.array(text))
+    return F.when(fits, short).otherwise(_bound(_pieces(text, size), fold))
 
 
 def chunk_by_paragraph(text: Column, size: int, overlap: int) -> Column:

@@ -51,6 +51,19 @@ def test_recursive_equals_the_plain_walk(spark, size, overlap):
         assert got[i] == [p.strip() for p in packed(t, size, overlap) if p.strip()], repr(t)
 
 
+def test_a_unit_of_several_megabytes(spark):
+    """Many blocks of pieces; the time must not grow with the square of the unit (two megabytes took minutes)."""
+    import time
+
+    text = "".join(f"Sentence {i} of one very long unit. " + "\n" * (i % 40 == 0) for i in range(110_000))
+    df = spark.range(110_000).selectExpr(
+        "id", "concat('Sentence ', id, ' of one very long unit. ', CASE WHEN id % 40 = 0 THEN '\n' ELSE '' END) AS s")
+    whole = df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "s"))), lambda x: x["s"]), "").alias("text"))
+    start = time.time()
+    got = whole.select(C.cut(F.col("text"), "recursive", 800, 120).alias("p")).head().p
+    assert time.time() - start < 60 and got == [p.strip() for p in packed(text, 800, 120)]
+
+
 def test_by_paragraph(spark):
     import re
 
