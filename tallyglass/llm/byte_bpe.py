@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -108,42 +109,50 @@ def _merged(state: Column, i: Column, ranks: Column) -> Column:
     return let(F.concat(before, after), lambda merges: F.struct(pieces.alias("p"), merges.alias("m"), _least(merges).alias("new")))
 
 
+class _Numbers(dict):
+    """Words to their numbers; a word met for the first time takes the next one and is noted in ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 def _blocks(docs: DataFrame, pattern: str) -> DataFrame:
     """Documents in blocks: ``keys``, ``sizes`` (words per document), ``refs`` (numbers of their words) and ``words``,
     those that the task meets for the first time, numbered from ``first`` on; at 0 it has started over.
     """
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known, new, block, chars = splitter(pattern), {}, [], ([], [], []), 0
+        find, known, keys, sizes, refs, chars = splitter(pattern), _Numbers(), [], [], array("I"), 0
 
         def flush() -> pa.RecordBatch:
-            keys, sizes, refs = block
             row = pa.RecordBatch.from_arrays([
                 pa.array([keys], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
-                pa.array([np.array(refs, "<u4").tobytes()], pa.binary()),
-                pa.array([[w.encode() for w in new]], pa.list_(pa.binary())), pa.array([len(known) - len(new)], pa.int64()),
+                pa.array([np.asarray(refs, "<u4").tobytes()], pa.binary()),
+                pa.array([list(map(str.encode, known.new))], pa.list_(pa.binary())), pa.array([len(known) - len(known.new)], pa.int64()),
             ], names=["keys", "sizes", "refs", "words", "first"])
-            for filled in (*block, new):
+            for filled in (keys, sizes, known.new):
                 filled.clear()
+            del refs[:]
             return row
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 words = find(text)
-                for word in dict.fromkeys(words):
-                    if word not in known:
-                        known[word] = len(known)
-                        new.append(word)
-                block[0].append(key)
-                block[1].append(len(words))
-                block[2].extend(map(known.__getitem__, words))
+                keys.append(key)
+                sizes.append(len(words))
+                refs.extend(map(known.__getitem__, words))
                 chars += len(text)
                 if chars >= BLOCK_CHARS:
                     yield flush()
                     chars = 0
                     if len(known) > RENUMBER:
                         known.clear()
-        if block[0]:
+        if keys:
             yield flush()
 
     return docs.mapInArrow(split, "keys array<bigint>, sizes array<int>, refs binary, words array<binary>, first bigint")
@@ -176,18 +185,23 @@ def _unblocked(encoded: DataFrame, path: str, decoded: bool) -> DataFrame:
                 used, n = used + len(ids), n + len(own)
                 places, each = _joined(starts, sizes, np.frombuffer(refs.as_py(), "<u4").astype(np.int64))
                 total = np.concatenate(([0], np.cumsum(each)))
-                cuts = (total[np.concatenate(([0], np.cumsum(counts.values.to_numpy())))] * 4).tolist()
-                data = flat[places].astype("<u4").tobytes()
-                texts = [data[a:b] for a, b in zip(cuts, cuts[1:])]
-                columns = [keys.values, pa.array(texts, pa.binary())]
+                cuts = total[np.concatenate(([0], np.cumsum(counts.values.to_numpy())))]
+                coded = flat[places].astype("<u4")
+                columns = [keys.values, _cut(coded.tobytes(), cuts * 4)]
                 if spelt:
-                    columns.append(pa.array(map(spelt, texts), pa.binary()))
+                    data, lengths = spelt(coded)
+                    columns.append(_cut(data, np.concatenate(([0], np.cumsum(lengths)))[cuts]))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["doc_id", "ids", *(["decoded"] if decoded else [])]
     return encoded.mapInArrow(expand, "doc_id bigint, ids binary" + ", decoded binary" * decoded)
 
 
+def _cut(data: bytes, cuts: np.ndarray) -> pa.Array:
+    places = cuts.tolist()
+    return pa.array([data[a:b] for a, b in zip(places, places[1:])], pa.binary())
+
+
 def _room(values: np.ndarray, size: int) -> np.ndarray:
     return values if size <= len(values) else np.concatenate((values, np.empty(max(size, 2 * len(values)) - len(values), values.dtype)))
 
@@ -213,12 +227,17 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return _unblocked(blocks.select("keys", "sizes", "refs", pieces.alias("pieces"), "first"), path, decoded)
 
 
-def _decoder(path: str) -> Callable[[bytes], bytes]:
-    """Ids (binary) to the joined pieces."""
+def _decoder(path: str) -> Callable[[np.ndarray], tuple[bytes, np.ndarray]]:
+    """Ids to the joined pieces and the length of each piece."""
     pieces = [p for p, _ in sorted(read_ranks(path).items(), key=lambda x: x[1])]
     sizes = np.array([len(p) for p in pieces], np.int64)
     flat, starts = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes
-    return lambda ids: flat[_joined(starts, sizes, np.frombuffer(ids, "<u4").astype(np.int64))[0]].tobytes()
+
+    def spelt(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        places, each = _joined(starts, sizes, ids.astype(np.int64))
+        return flat[places].tobytes(), each
+
+    return spelt
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -229,7 +248,7 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelt = _decoder(path)
         for batch in batches:
-            texts = [None if ids.as_py() is None else spelt(ids.as_py()) for ids in batch.column(at)]
+            texts = [None if ids is None else spelt(np.frombuffer(ids, "<u4"))[0] for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*columns, "decoded"])
 
     rows = coded.select(*columns)
