@@ -25,6 +25,20 @@ def l2_normalize(v: Column) -> Column:
     return F.flatten(F.transform(F.array(scale), lambda s: F.transform(v, lambda x: x.cast("double") / s)))
 
 
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero rows stay zero."""
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norms == 0, 1, norms)
+
+
+def unit_rows(column: pa.Array | pa.ChunkedArray, count: int) -> np.ndarray:
+    """A list column of ``count`` vectors as a matrix of unit rows."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return unit(flat.reshape(count, -1)) if count else np.zeros((0, 0))
+
+
 def blend_query(question: Column, previous: Column) -> Column:
     """Three quarters of the question, one quarter of the question before; no previous -> unchanged."""
     mixed = F.zip_with(question, previous, lambda q, p: q * 0.75 + p * 0.25)
@@ -44,9 +58,7 @@ def _dense(dim: int):
         lengths = np.asarray(pc.fill_null(pc.list_value_length(buckets), 0))
         at = np.repeat(np.arange(rows), lengths) * dim + np.asarray(buckets.flatten())
         counts = np.bincount(at, minlength=rows * dim).reshape(rows, dim).astype(float)
-        norms = np.linalg.norm(counts, axis=1, keepdims=True)
-        unit = counts / np.where(norms == 0, 1, norms)
-        return pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * dim, unit.ravel())
+        return pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * dim, unit(counts).ravel())
 
     return dense
 

@@ -1,8 +1,8 @@
 """Vector search: blocked matrix products inside tasks, best rows per query kept before any shuffle.
 
 No cross join is planned and no pair table is written.  When the queries are proven few they travel to the
-tasks as one matrix and the indexed vectors never shuffle.  Otherwise both sides are laid out as a grid of
-bounded blocks; each cell multiplies two blocks and returns only its best rows per query.
+tasks as one matrix and the indexed vectors never shuffle.  Otherwise both sides are laid out in bounded blocks round
+pivots; only blocks that can hold a wanted pair by their angles meet, and each meeting returns only its best rows per query.
 """
 
 from __future__ import annotations
@@ -17,30 +17,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.functions.text import NOT_FOUND, attr_escape, strip_blank
-from tallyglass.functions.vectors import blend_query
+from tallyglass.functions.vectors import blend_query, unit, unit_rows
 from tallyglass.operators.ordered import first_per_key, running_last
+from tallyglass.operators.pivots import meeting_blocks
 
 # Default search parameters.
 TOP_K, MAX_TOP_K, MIN_SIMILARITY, MMR_LAMBDA, POOL_FACTOR = 5, 15, 0.45, 0.7, 4
 
-MAX_QUERY_ROWS = 4096     # queries that may travel as one matrix
-BLOCK_ROWS = 8192         # rows of a grid block
+MAX_QUERY_ROWS = 4096     # queries that may travel as one matrix,
+MAX_QUERY_BYTES = 1 << 26  # and the bytes they may have
+BLOCK_ROWS = 8192         # rows of a block where more queries are asked
 QUERY_STEP = 256          # queries multiplied at once
 SCORE_PLACES = 9          # scores are rounded, so that their last bits, which vary with the blocks, decide no rank
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    return rows / np.where(norms == 0, 1, norms)
-
-
-def _matrix(column: pa.Array | pa.ChunkedArray, count: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return _unit(flat.reshape(count, -1)) if count else np.zeros((0, 0))
-
-
 def _candidates(vectors: np.ndarray, queries: np.ndarray, threshold: float, k: int | None) -> tuple[np.ndarray, ...]:
     """(vector row, query row, similarity) of the pairs to keep: above the threshold, ``k`` best per query.
 
@@ -77,13 +67,13 @@ def _pairs(vectors: DataFrame, queries: DataFrame, id_col: str, query_col: str,
     queries = queries.select(query_col, F.col("embedding").cast("array<double>").alias("embedding"))
     schema = _pair_schema(vectors, id_col, queries, query_col, vectors_too)
     few = queries.limit(max_query_rows + 1).toArrow()
-    if few.num_rows <= max_query_rows:
+    if few.num_rows <= max_query_rows and few.nbytes <= MAX_QUERY_BYTES:
         return _pairs_of_few(vectors, few, schema, id_col, query_col, threshold, k)
-    return _pairs_of_grid(vectors, queries, schema, id_col, query_col, threshold, k, block_rows)
+    return _pairs_of_blocks(vectors, queries, schema, id_col, query_col, threshold, k, block_rows)
 
 
 def _pairs_of_few(vectors, few, schema, id_col, query_col, threshold, k) -> DataFrame:
-    matrix = _matrix(few.column("embedding"), few.num_rows)
+    matrix = unit_rows(few.column("embedding"), few.num_rows)
     ids = few.column(query_col).combine_chunks()
     shared = vectors.sparkSession.sparkContext.broadcast((matrix, ids))
 
@@ -92,7 +82,7 @@ def _pairs_of_few(vectors, few, schema, id_col, query_col, threshold, k) -> Data
         if not len(ids):
             return
         for batch in batches:
-            v, q, s = _candidates(_matrix(batch.column("embedding"), batch.num_rows), matrix, threshold, k)
+            v, q, s = _candidates(unit_rows(batch.column("embedding"), batch.num_rows), matrix, threshold, k)
             found = [ids.take(pa.array(q)), batch.column(id_col).take(pa.array(v)), pa.array(s)]
             if "embedding" in schema.names:
                 found.append(batch.column("embedding").take(pa.array(v)))
@@ -101,30 +91,21 @@ def _pairs_of_few(vectors, few, schema, id_col, query_col, threshold, k) -> Data
     return vectors.mapInArrow(score, schema)
 
 
-def _pairs_of_grid(vectors, queries, schema, id_col, query_col, threshold, k, block_rows) -> DataFrame:
-    """Every block of vectors meets every block of queries once.
-
-    Block counts come from row counts and rows spread by a hash of their id, so cells are even whatever the
-    data looks like.
-    """
-    n_v = max(1, -(-vectors.count() // block_rows))
-    n_q = max(1, -(-queries.count() // block_rows))
-    block = lambda c, n: F.pmod(F.xxhash64(F.col(c)), F.lit(n)).cast("int")
-    all_blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))     # noqa: E731
-    left = vectors.withColumn("_vb", block(id_col, n_v)).withColumn("_qb", all_blocks(n_q))
-    right = queries.withColumn("_qb", block(query_col, n_q)).withColumn("_vb", all_blocks(n_v))
+def _pairs_of_blocks(vectors, queries, schema, id_col, query_col, threshold, k, block_rows) -> DataFrame:
+    """Every block of vectors meets the blocks of queries that may find something in it, once."""
+    left, right, keys = meeting_blocks(vectors, queries, id_col, query_col, threshold, k, block_rows)
 
     def score(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(v) or not len(q):
             return pd.DataFrame({name: [] for name in schema.names})
-        rows_v, rows_q = (_unit(np.stack(side["embedding"]).astype(np.float64)) for side in (v, q))
+        rows_v, rows_q = (unit(np.stack(side["embedding"]).astype(np.float64)) for side in (v, q))
         at_v, at_q, s = _candidates(rows_v, rows_q, threshold, k)
         found = {query_col: q[query_col].to_numpy()[at_q], id_col: v[id_col].to_numpy()[at_v], "score": s}
         if "embedding" in schema.names:
             found["embedding"] = v["embedding"].to_numpy()[at_v]
         return pd.DataFrame(found)
 
-    return left.groupBy("_vb", "_qb").cogroup(right.groupBy("_vb", "_qb")).applyInPandas(score, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
 
 
 def similarity_join(vectors: DataFrame, queries: DataFrame, threshold: float = MIN_SIMILARITY,
@@ -164,7 +145,7 @@ def mmr_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, threshold:
 
     def rerank(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("n")
-        rows = _unit(np.stack(group["embedding"]).astype(np.float64))
+        rows = unit(np.stack(group["embedding"]).astype(np.float64))
         relevance = group["score"].to_numpy()
         closeness = np.full(len(rows), -np.inf)
         free = np.ones(len(rows), dtype=bool)

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyglass.functions import vectors as V
+from tallyglass.operators import pivots as P
 from tallyglass.operators import retrieval as R
 
 
@@ -33,7 +34,7 @@ def test_topk_with_ties(data, few):
         assert got == ranked(v @ q[i], 0.1)[:5]
 
 
-def test_grid_equals_broadcast(data):
+def test_blocks_equal_broadcast(data):
     vectors, queries, *_ = data
     a = R.similarity_join(vectors, queries, 0.3)
     b = R.similarity_join(vectors, queries, 0.3, max_query_rows=2, block_rows=50)
@@ -41,6 +42,48 @@ def test_grid_equals_broadcast(data):
     assert pairs(a) == pairs(b) and len(pairs(a)) > 10
 
 
+@pytest.fixture(scope="module")
+def clustered(spark):
+    """Twelve tight bundles, one with a third of all vectors, zero vectors, and a query near each bundle; one far from all."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(12, 24))
+    home = np.where(rng.random(900) < 0.33, 0, rng.integers(0, 12, 900))
+    v = centres[home] + 0.05 * rng.normal(size=(900, 24))
+    v[100:103] = 0
+    q = np.vstack([centres + 0.05 * rng.normal(size=(12, 24)), -centres.sum(axis=0, keepdims=True), np.zeros((1, 24))])
+    frame = lambda m, name: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], f"{name} long, embedding array<double>")
+    return frame(v, "chunk_id").repartition(4), frame(q, "query_id"), V.unit(v), V.unit(q)
+
+
+@pytest.mark.parametrize("k, threshold", [(None, 0.8), (7, 0.8), (7, -1.0), (400, -1.0), (None, 0.0), (5000, 0.2)])
+def test_no_pair_is_lost_beyond_the_blocks(clustered, k, threshold):
+    vectors, queries, v, q = clustered
+    sims = np.round(v @ q.T, 9)
+    if k is None:
+        got = {(r.chunk_id, r.query_id) for r in R.similarity_join(vectors, queries, threshold, max_query_rows=0, block_rows=40).collect()}
+        assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(sims >= threshold))))
+    else:
+        got = {(r.query_id, r.n): r.chunk_id for r in R.vector_topk(vectors, queries, k, threshold, max_query_rows=0, block_rows=40).collect()}
+        want = {(j, n + 1): i for j in range(len(q)) for n, i in enumerate(ranked(sims[:, j], threshold)[:k])}
+        assert got == want
+
+
+@pytest.mark.parametrize("k, threshold", [(None, 0.8), (7, -1.0)])
+def test_blocks_beyond_the_angles_are_not_multiplied(clustered, k, threshold):
+    vectors, queries, v, q = clustered
+    left, right, keys = P.meeting_blocks(vectors, queries, "chunk_id", "query_id", threshold, k, 40)
+    sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("a")).join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("b")), keys).collect()
+    assert sum(r.a * r.b for r in sizes) < 0.4 * len(v) * len(q)
+    assert max(r.a for r in sizes) < 3 * 40  # the crowded bundle is cut
+
+
+def test_blocks_of_empty_sides(clustered):
+    vectors, queries, *_ = clustered
+    for a, b in ((vectors.limit(0), queries), (vectors, queries.limit(0))):
+        left, right, keys = P.meeting_blocks(a, b, "chunk_id", "query_id", 0.5, 3, 40)
+        assert left.join(right, keys).count() == 0
+
+
 def plain_mmr(v, sims, pool, k, lam):
     chosen, pool = [], list(pool)
     while pool and len(chosen) < k:
