@@ -68,11 +68,11 @@ class Tables:
     def symbols(self) -> DataFrame:
         return self.events.select(F.col("event_type").alias("symbol")).distinct()
 
-    def lexicon(self) -> DataFrame:
-        """Lower-case words of the documents; the last byte of a word's md5 says whether it carries a valence
-        (a quarter of the words do) and which one.
+    def lexicon(self, texts: DataFrame | None = None) -> DataFrame:
+        """Lower-case words of the documents, or other texts(text); the last byte of a word's md5 says whether it carries a
+        valence (a quarter of the words do) and which one.
         """
-        words = sentiment.token_rows(self.documents)
+        words = sentiment.token_rows(self.documents if texts is None else texts)
         byte = F.conv(F.right(F.md5("token"), F.lit(2)), 16, 10).cast("int")
         return (
             words.select(F.lower("token").alias("token")).distinct().withColumn("b", byte).where(F.col("b") >= 192)
@@ -115,8 +115,11 @@ price_points AS (
   FROM events WHERE {days}),
 prices AS (SELECT symbol, date, arg_max(close, pos) AS close FROM price_points GROUP BY 1, 2),
 hdates AS (SELECT DISTINCT event_type AS symbol, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS date FROM events)"""
+_MARKET_DAYS = "dayofweek(CAST(ts + INTERVAL 330 MINUTE AS DATE)) NOT IN (0, 6)"
 PRICES_SQL = _POINTS_SQL.format(days="true")
-MARKET_SQL = _POINTS_SQL.format(days="dayofweek(CAST(ts + INTERVAL 330 MINUTE AS DATE)) NOT IN (0, 6)")
+MARKET_SQL = _POINTS_SQL.format(days=_MARKET_DAYS)
+# Without the prices of the symbol whose payload cannot be read.
+FETCHED_SQL = _POINTS_SQL.format(days=_MARKET_DAYS + " AND event_type <> 'error'")
 
 _P = r"""!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
 _WORD = rf"([^{_P}{JS_BLANK}]{{2,}}|[\x{{10000}}-\x{{10FFFF}}])"

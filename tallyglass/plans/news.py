@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyglass.functions import dates, text
+from tallyglass.operators import news_report as N
 from tallyglass.operators import prices as P
 from tallyglass.operators import sentiment as S
 from tallyglass.plans.base import (
-    HEADLINES_SQL, MARKET_SQL, POLARITY_SQL, PRICES_SQL, TODAY, TOKENS_SQL, _boost, _is_up, _neg, query,
+    FETCHED_SQL, HEADLINES_SQL, MARKET_SQL, POLARITY_SQL, PRICES_SQL, TODAY, TOKENS_SQL, _boost, _is_up, _neg, query,
 )
 from tallyglass.scale import durable
 from tallyglass.sources import readers
@@ -325,7 +326,7 @@ def _(t):
     return dated.groupBy("symbol").agg(F.countDistinct("date").alias("date_count"))
 
 
-_SUMMARY_SQL = f"""{HEADLINES_SQL}, {MARKET_SQL},
+_SUMS_SQL = """
 recent AS (SELECT symbol, date, avg(score) AS s, count(*) AS n FROM headlines WHERE date >= DATE '2024-01-17' GROUP BY 1, 2),
 net AS (SELECT symbol, avg(s) AS net_sentiment, sum(n) AS hc, count(*) AS dc FROM recent GROUP BY 1),
 series AS (SELECT *, lead(close) OVER (PARTITION BY symbol ORDER BY date) AS next_close FROM prices),
@@ -341,6 +342,7 @@ summary AS (SELECT y.symbol, coalesce(CAST(net.hc AS BIGINT), 0) AS headline_cou
   round(nd.a, 6) AS next_day_avg_pct, coalesce(nd.k, 0) AS next_day_sample_size, coalesce(net.dc, 0) AS date_count
   FROM listed y LEFT JOIN net ON net.symbol = y.symbol
   LEFT JOIN mv ON mv.symbol = y.symbol LEFT JOIN nd ON nd.symbol = y.symbol)"""
+_SUMMARY_SQL = f"{HEADLINES_SQL}, {MARKET_SQL}, {_SUMS_SQL}"
 
 
 # Regions are symbols without news or prices, some because a side could not be fetched: their rows must survive.
@@ -353,8 +355,11 @@ def _summary(t):
         F.col("r_name").alias("symbol"), (F.col("r_regionkey") % 2 == 0).alias("news_error"),
         (F.col("r_regionkey") % 3 == 0).alias("price_error"))
     listed = t.symbols().unionByName(t.region.select(F.col("r_name").alias("symbol")))
-    out = P.stock_summary(listed, t.headlines(), t.prices(weekends=False), TODAY, 14, failed)
-    return out.withColumns({
+    return _in_places(P.stock_summary(listed, t.headlines(), t.prices(weekends=False), TODAY, 14, failed))
+
+
+def _in_places(summary):
+    return summary.withColumns({
         "net_sentiment": F.round("net_sentiment", 10) + 0.0, "movement_pct": F.round("movement_pct", 6),
         "next_day_avg_pct": F.round("next_day_avg_pct", 6)})
 
@@ -364,14 +369,17 @@ def _(t):
     return _summary(t)
 
 
-@query("status_notes", f"""WITH {_SUMMARY_SQL}, {_FAILED_SQL} SELECT *, concat_ws(' ',
+_NOTES_SQL = """SELECT *, concat_ws(' ',
 CASE WHEN news_error THEN symbol || ': couldn''t fetch news right now.'
   WHEN headline_count = 0 THEN symbol || ': no headlines found within the last 14 days.'
   WHEN next_day_sample_size < date_count
   THEN symbol || ': next-day figure only covers dates with a following trading day so far.' END,
 CASE WHEN price_error THEN symbol || ': price data is unavailable right now.'
   WHEN NOT news_error AND movement_pct IS NULL THEN symbol || ': no trading data found within the last 14 days.' END) AS notes
-FROM failed""")
+FROM failed"""
+
+
+@query("status_notes", f"WITH {_SUMMARY_SQL}, {_FAILED_SQL} {_NOTES_SQL}")
 def _(t):
     return P.status_notes(_summary(t), 14, F.col("news_error"), F.col("price_error"))
 
@@ -463,20 +471,23 @@ def _(t):
     return readers.parse_feed_json(landed).drop("pub_date")
 
 
-@query("read_price_payload", f"""WITH {PRICES_SQL}
-SELECT symbol, (row_number() OVER (PARTITION BY symbol ORDER BY date) - 1)::INT AS pos, date, close, NULL::VARCHAR AS error
-FROM prices""")
-def _(t):
-    # A payload per symbol: parallel arrays behind a line of preamble; at most one point per calendar day.
+def _payloads(prices):
+    """A payload per symbol: parallel arrays behind a line of preamble; at most one point per calendar day."""
     point = F.struct("date", F.unix_timestamp(F.col("date").cast("timestamp")).alias("s"), "close")
-    series = t.prices().groupBy("symbol").agg(F.array_sort(F.collect_list(point)).alias("p"))
+    series = prices.groupBy("symbol").agg(F.array_sort(F.collect_list(point)).alias("p"))
     quote = F.array(F.struct(F.transform("p", lambda x: x["close"]).alias("close")))
     result = F.struct(
         F.transform("p", lambda x: x["s"] + 3600).alias("timestamp"),
         F.struct(quote.alias("quote")).alias("indicators"))
     body = F.to_json(F.struct(F.struct(F.array(result).alias("result")).alias("chart")))
-    landed = series.select("symbol", F.concat(F.lit("Title: quotes\n\n"), body).alias("value"))
-    return readers.parse_price_payload(landed)
+    return series.select("symbol", F.concat(F.lit("Title: quotes\n\n"), body).alias("value"))
+
+
+@query("read_price_payload", f"""WITH {PRICES_SQL}
+SELECT symbol, (row_number() OVER (PARTITION BY symbol ORDER BY date) - 1)::INT AS pos, date, close, NULL::VARCHAR AS error
+FROM prices""")
+def _(t):
+    return readers.parse_price_payload(_payloads(t.prices()))
 
 
 @query("unwrap_json_preamble", """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL
@@ -485,3 +496,53 @@ def _(t):
     wrapped = F.when(F.col("event_id") % 4 == 0, "no payload").otherwise(F.concat(F.lit("Markdown: "), F.col("props")))
     body = readers.unwrap_json_preamble(wrapped)
     return t.events.select("event_id", F.from_json(body, "k bigint")["k"].alias("k"))
+
+
+# ---------------------------------------------------------------- from feeds to scored headlines and the report
+
+# A landed feed per conversation, for the symbol of the event of its number: a turn is an item, the role its source.  Some
+# feeds fail, for one symbol all of them; the payload of another cannot be read.
+_FEEDS_SQL = f"""landed AS (SELECT c.*, e.event_type AS symbol, e.event_type || '/' || conv_id AS feed,
+    CAST(date_trunc('second', e.ts) + turn * INTERVAL 1 HOUR + INTERVAL 330 MINUTE AS DATE) AS date,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place
+  FROM conversations c JOIN events e ON e.event_id = conv_id WHERE conv_id % 10 <> 3 AND e.event_type <> 'signup'),
+items AS (SELECT feed || '#' || place AS doc_id, * FROM landed WHERE place < 12),
+documents AS (SELECT doc_id, coalesce(text, '') AS text FROM items),
+{POLARITY_SQL},
+headlines AS (SELECT symbol, feed, place::INT AS pos, date, p.compound AS score FROM items JOIN polarity p USING (doc_id))"""
+
+
+def _feed_items(t):
+    talks = t.conversations.join(t.events.select(F.col("event_id").alias("conv_id"), "event_type", "ts"), "conv_id")
+    at = F.col("ts") + F.make_dt_interval(F.lit(0), F.col("turn"))
+    stamp = F.when(F.col("conv_id") % 2 == 0, F.date_format(at, "yyyy-MM-dd HH:mm:ss")).otherwise(
+        F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss 'GMT'"))
+    title = F.concat(F.coalesce("text", F.lit("")), F.lit(" - "), "role")
+    item = F.struct("turn", F.struct(title.alias("title"), stamp.alias("pubDate")).alias("i"))
+    feeds = talks.groupBy("conv_id", "event_type").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["i"]).alias("items"))
+    ok = (F.col("conv_id") % 10 != 3) & (F.col("event_type") != "signup")
+    document = F.to_json(F.struct(F.when(ok, "ok").otherwise("error").alias("status"), F.when(~ok, "quota").alias("message"), "items"))
+    named = F.concat("event_type", F.lit("/"), F.col("conv_id").cast("string"))
+    return readers.parse_feed_json(feeds.select(named.alias("feed"), document.alias("value"))).withColumn(
+        "symbol", F.substring_index("feed", "/", 1))
+
+
+def _feed_lexicon(t, items):
+    return durable(t.lexicon(items.where("error IS NULL").select(F.col("title").alias("text"))))
+
+
+@query("feed_headlines", f"""WITH {_FEEDS_SQL} SELECT *, CASE WHEN score >= 0.05 THEN 'positive' WHEN score <= -0.05 THEN 'negative'
+ELSE 'neutral' END AS tone FROM headlines WHERE date >= DATE '2024-01-17'""")
+def _(t):
+    items = _feed_items(t)
+    return N.scored_headlines(items, _feed_lexicon(t, items), TODAY, 14).select("symbol", "feed", "pos", "date", "score", "tone")
+
+
+@query("feed_report", f"""WITH {_FEEDS_SQL}, {FETCHED_SQL}, {_SUMS_SQL},
+failed AS (SELECT *, symbol NOT IN (SELECT symbol FROM headlines) AS news_error, symbol NOT IN (SELECT symbol FROM prices) AS price_error
+  FROM summary) {_NOTES_SQL}""")
+def _(t):
+    items = _feed_items(t)
+    landed = _payloads(t.prices(weekends=False)).withColumn("value", F.when(F.col("symbol") != "error", F.col("value")).otherwise("busy"))
+    listed = t.symbols().unionByName(t.region.select(F.col("r_name").alias("symbol")))
+    return _in_places(N.feed_report(listed, items, readers.parse_price_payload(landed), _feed_lexicon(t, items), TODAY, 14))
