@@ -223,19 +223,22 @@ def to_long(grouped: DataFrame, series: Sequence[str]) -> DataFrame:
     return grouped.unpivot(["category"], list(series), "series", "value")
 
 
-def calculate_text(grouped: DataFrame, series: Sequence[str], pos: str, source: str, settings: str = "") -> DataFrame:
+def calculate_text(grouped: DataFrame, series: Sequence[str], pos: str, source: str | Column, settings: str = "",
+                   titles: Sequence[str] | None = None) -> DataFrame:
     """Result of a calculation as pipe text, one row (pos, line) per line: a head, the categories in the order of
     their integer ``pos``, a blank line, and where the figures come from with the ``settings`` they were made by.
 
-    Lines are never gathered, so there may be any number of categories.
+    ``titles`` head the series where their columns are named otherwise.  Lines are never gathered, so there may be any
+    number of categories.
     """
     def figure(c: str) -> Column:
         fixed = F.format_string("%.4f", F.round(F.col(c).cast("double"), 4))
         return F.coalesce(F.regexp_replace(F.regexp_replace(fixed, r"0+$", ""), r"\.$", ""), F.lit(""))
 
-    last = f"Source: {source}." + (f" {settings}" if settings else "")
+    last = F.concat(F.lit("Source: "), F.lit(source) if isinstance(source, str) else source, F.lit(f". {settings}".rstrip(" ")))
     frame = grouped.sparkSession.createDataFrame(
-        [(-(1 << 62), " | ".join(["Category", *series])), (1 << 62, ""), ((1 << 62) + 1, last)], "pos bigint, line string")
+        [(-(1 << 62), " | ".join(["Category", *(titles or series)])), (1 << 62, ""), ((1 << 62) + 1, None)], "pos bigint, line string")
+    frame = frame.withColumn("line", F.coalesce("line", last))
     line = F.concat_ws(" | ", "category", *[figure(c) for c in series])
     return frame.union(grouped.select(F.col(pos).cast("bigint"), line))
 

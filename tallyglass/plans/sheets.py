@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyglass.functions import text
 from tallyglass.functions.text import JS_BLANK
 from tallyglass.operators import answers as A
+from tallyglass.operators import requests as Q
 from tallyglass.operators import sheets as S
 from tallyglass.plans.base import query
 from tallyglass.sources import writers
@@ -441,3 +442,33 @@ def _(t):
     hits = proposals.select("proposal_id", F.explode(F.sequence(F.lit(1), F.col("n_hits"))).alias("n"))
     hits = hits.withColumn("label", F.concat(F.lit("orders, row "), F.col("n").cast("string")))
     return A.excerpt_refs(A.excerpt_chart(proposals), hits).select("proposal_id", "ref", "category", "value", "label")
+
+
+# ---------------------------------------------------------------- whole requests
+
+def _workbooks(t):
+    """Orders as cells: a workbook per priority and status (its folder), a sheet with a header row in each."""
+    head = ["Order", "Customer", "Price", "Day"]
+    shown = [F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"),
+             text.cell_text(number=F.col("o_totalprice").cast("double")), F.date_format("o_orderdate", "yyyy-MM")]
+    file_id, sheet = F.concat("o_orderstatus", F.lit("/"), "o_orderpriority").alias("file_id"), F.lit("Orders").alias("sheet")
+    laid = lambda values: F.inline(F.array(*[F.struct(F.lit(i).alias("col"), v.alias("value")) for i, v in enumerate(values)]))
+    data = t.orders.select(file_id, sheet, (F.col("o_orderkey") + 2).alias("row"), laid(shown))
+    files = t.orders.select(file_id, file_id.alias("pos"), F.concat("o_orderpriority", F.lit(".xlsx")).alias("name"),
+                            F.col("o_orderstatus").alias("folder"), F.lit(1).alias("sheets")).distinct()
+    heads = files.select("file_id", sheet, F.lit(1).cast("bigint").alias("row"), laid([F.lit(h) for h in head]))
+    return files, data.unionByName(heads)
+
+
+_TOLD = "regexp_replace(regexp_replace(printf('%.4f', {0}), '0+$', ''), '\\.$', '')"
+
+
+@query("calculate_request", f"""WITH rows AS (SELECT *, o_orderkey + 2 AS row, strftime(o_orderdate, '%Y-%m') AS day FROM orders
+  WHERE o_orderpriority = '2-HIGH' AND o_orderstatus = 'O' AND o_custkey > 10)
+SELECT 'Category | Price | Customer' AS line
+UNION ALL SELECT day || ' | ' || {_TOLD.format('round(max(o_totalprice), 4)')} || ' | ' || max(o_custkey) FROM rows GROUP BY day
+UNION ALL SELECT '' UNION ALL SELECT 'Source: O/2-HIGH.xlsx · sheet “Orders” · rows ' || min(row) || '–' || max(row) || ' (' || count(*)
+  || ' used). X axis (categories): Day; Y values: Price, Customer; Totals: Maximum; Filters: Customer greater than “10”.' FROM rows""")
+def _(t):
+    asked = Q.Request(" 2-high.XLSX", "orders", ("price", "CUSTOMER"), "o", " day", "max", (("customer", "greater_than", "10"),), "value_desc")
+    return Q.calculate(asked, *_workbooks(t)).select("line")
