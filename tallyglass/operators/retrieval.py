@@ -247,14 +247,25 @@ def excerpt_block(hits: DataFrame, query_col: str = "query_id") -> DataFrame:
     )
 
 
+def catalog_block(catalog: DataFrame) -> DataFrame:
+    """One row: the lines(pos, line) of a catalog as the block that goes before the excerpts, empty without lines."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda c: c["line"])
+    block = F.concat(F.lit("<chart_sources>\n"), F.array_join(lines, "\n"), F.lit("\n</chart_sources>\n\n"))
+    return catalog.agg(F.when(F.count("line") > 0, block).otherwise("").alias("block"))
+
+
 def build_prompts(questions: DataFrame, hits: DataFrame, history: DataFrame | None = None, style: str = "concise",
-                  strict: bool = True, query_col: str = "query_id") -> DataFrame:
+                  strict: bool = True, query_col: str = "query_id", catalog: DataFrame | None = None) -> DataFrame:
     """(query, question) x hits x trimmed history(query, turn, role, text) -> n_hits, system, messages, answer.
 
+    ``catalog(pos, line)`` lists the documents before the excerpts; take it from ``document_catalog`` or ``sheet_catalog``, whose
+    limits bound it.  One without lines adds nothing.
+
     A question without hits is not put to a model: it has no messages, and its answer is the not-found sentence.
     """
     system = SYSTEM.format(grounding=STRICT if strict else OPEN, style=STYLES[style])
-    user = F.concat(F.col("excerpts"), F.lit("\n\nQuestion: "), F.col("question"))
+    listed = F.lit("") if catalog is None else catalog_block(catalog).scalar()
+    user = F.concat(listed, F.col("excerpts"), F.lit("\n\nQuestion: "), F.col("question"))
     asked = questions.join(excerpt_block(hits, query_col), query_col, "left")
     turn = F.struct(F.lit("user").alias("role"), user.alias("content"))
     if history is None:

@@ -10,6 +10,7 @@ from tallyglass.operators import chunking as C
 from tallyglass.operators import events as E
 from tallyglass.operators import lookup as K
 from tallyglass.operators import retrieval as R
+from tallyglass.operators.files import document_catalog
 from tallyglass.plans.base import query
 from tallyglass.plans.documents import fixed_sql, numbered_sql
 from tallyglass.scale import staged
@@ -198,23 +199,43 @@ def _(t):
     return R.excerpt_block(_labelled(t)).select("query_id", F.md5("excerpts").alias("digest"), "n_hits")
 
 
-@query("build_prompts", f"""WITH {_EXCERPTS_SQL}, {_BLOCK_SQL},
+_PROMPTS_SQL = f"""{_EXCERPTS_SQL}, {_BLOCK_SQL},
 hist AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations),
-past AS (SELECT conv_id, string_agg(role || ':' || text, '|' ORDER BY turn) AS told, count(*) AS k FROM hist WHERE rn <= 4 GROUP BY 1)
-SELECT b.item_id AS query_id, coalesce(n_hits, 0) AS n_hits, CASE WHEN n_hits > 0 THEN coalesce(k, 0) + 1 END AS n_messages, md5(coalesce(told || '|', '') || 'user:' || excerpts
+past AS (SELECT conv_id, string_agg(role || ':' || text, '|' ORDER BY turn) AS told, count(*) AS k FROM hist WHERE rn <= 4 GROUP BY 1)"""
+_ASKED_SQL = """SELECT b.item_id AS query_id, coalesce(n_hits, 0) AS n_hits, CASE WHEN n_hits > 0 THEN coalesce(k, 0) + 1 END AS n_messages, md5(coalesce(told || '|', '') || 'user:' || {listed} excerpts
   || chr(10) || chr(10) || 'Question: ' || b.text) AS digest,
   CASE WHEN n_hits IS NULL THEN 'I couldn''t find this in your documents.' END AS answer
-FROM benchmark b LEFT JOIN blocks x ON x.query_id = b.item_id LEFT JOIN past ON conv_id = b.item_id""")
+FROM benchmark b LEFT JOIN blocks x ON x.query_id = b.item_id LEFT JOIN past ON conv_id = b.item_id"""
+
+
+@query("build_prompts", f"WITH {_PROMPTS_SQL} {_ASKED_SQL.format(listed='')}")
 def _(t):
+    return _prompts(t)
+
+
+def _prompts(t, catalog=None):
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     history = R.trim_history(t.conversations, 2).withColumnRenamed("conv_id", "query_id")
-    prompts = R.build_prompts(asked, _labelled(t), history, "concise", True)
+    prompts = R.build_prompts(asked, _labelled(t), history, "concise", True, catalog=catalog)
     told = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
     return prompts.select(
         "query_id", "n_hits", F.when(F.col("messages").isNotNull(), F.size("messages")).cast("bigint").alias("n_messages"),
         F.md5(told).alias("digest"), "answer")
 
 
+# The sources of the documents as files, listed before the excerpts.
+@query("build_prompts_catalog", f"""WITH {_PROMPTS_SQL},
+listed AS (SELECT '<chart_sources>' || chr(10) || string_agg('- file "' || source || '" (folder "", path "' || source || '"): Word document, '
+  || k || ' section(s)', chr(10) ORDER BY source) || chr(10) || '</chart_sources>' || chr(10) || chr(10) AS block
+  FROM (SELECT source, count(*) AS k FROM documents GROUP BY 1 ORDER BY 1 LIMIT 60))
+{_ASKED_SQL.format(listed='(SELECT block FROM listed) ||')}""")
+def _(t):
+    none = F.lit(0).cast("bigint")
+    files = t.documents.groupBy(F.col("source").alias("pos")).agg(F.count(F.lit(1)).alias("units")).select(
+        "pos", F.col("pos").alias("name"), F.lit("").alias("folder"), none.alias("pages"), none.alias("sheets"), "units")
+    return _prompts(t, document_catalog(files))
+
+
 @query("last_user_turn", """SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (
 PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_user_text FROM conversations""")
 def _(t):

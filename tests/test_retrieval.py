@@ -178,3 +178,13 @@ def test_vectors_leave_the_workers_only_on_request(data):
     sent = lambda df: plan(df).split("MapInArrow score")[1].split("\n")[0].split("],")[0]
     assert "embedding" not in sent(R.similarity_join(vectors, queries, 0.3)).split(", [")[-1]
     assert "embedding" in sent(R.vector_topk(vectors, queries, 5, keep_embedding=True)).split(", [")[-1]
+
+
+def test_a_catalog_goes_before_the_excerpts_and_an_empty_one_adds_nothing(spark):
+    questions = spark.createDataFrame([(1, "who?"), (2, "why?")], "query_id long, question string")
+    hits = spark.createDataFrame([(1, 1, "f", "text")], "query_id long, n int, label string, text string")
+    lines = spark.createDataFrame([(2, "- b"), (1, "- a")], "pos long, line string")
+    told = lambda catalog: {r.query_id: r.messages for r in R.build_prompts(questions, hits, catalog=catalog).collect()}
+    with_lines, without = told(lines), told(lines.limit(0))
+    assert with_lines[1][0].content.startswith("<chart_sources>\n- a\n- b\n</chart_sources>\n\n<excerpts>\n") and with_lines[2] is None
+    assert without == told(None)
