@@ -239,11 +239,18 @@ def cited_numbers(text: Column, hits: Column) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Sort key in which ``item 9`` comes before ``item 10``: lower case, digit runs padded to 20.
+    """Key for names in which ``item 9`` comes before ``item 10``: lower case, digit runs padded to 20."""
+    return _padded_numbers(F.lower(c))
 
-    An approximation of a locale-aware compare: accents keep their code-point order.
-    """
-    words = F.split(F.regexp_replace(F.lower(c), r"([0-9]+)", "\x01$1\x01"), "\x01")
+
+def natural_order(c: Column, collation: str = "UNICODE") -> Column:
+    """What to sort names by as a reader expects: numbers by value, letters by collation (accents beside their letters, small
+    before capital where nothing else differs)."""
+    return F.collate(_padded_numbers(c), collation)
+
+
+def _padded_numbers(c: Column) -> Column:
+    words = F.split(F.regexp_replace(c, r"([0-9]+)", "\x01$1\x01"), "\x01")
     padded = F.transform(words, lambda w: F.when(w.rlike(r"^[0-9]{1,20}$"), F.lpad(w, 20, "0")).otherwise(w))
     return F.array_join(padded, "")
 

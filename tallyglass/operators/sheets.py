@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyglass.functions.text import (
-    cell_text, count_chars, count_words, natural_key, same_key, to_number,
+    cell_text, count_chars, count_words, natural_order, same_key, to_number,
 )
 from tallyglass.operators.ordered import running_sum
 from tallyglass.scale import only_if
@@ -143,10 +143,10 @@ def sheet_aggregate(df: DataFrame, category: str | None, values: Sequence[str],
 
 
 def category_sort(grouped: DataFrame, sort: str, first_value: str) -> DataFrame:
-    """Order categories; nulls last, ties by first appearance."""
+    """Order categories, names as a reader expects; nulls last, ties by first appearance."""
     seen = F.col("first_row").asc()
     if sort == "category":
-        return grouped.orderBy(natural_key(F.col("category")), seen)
+        return grouped.orderBy(natural_order(F.col("category")), seen)
     if sort == "value_desc":
         return grouped.orderBy(F.col(first_value).desc_nulls_last(), seen)
     if sort == "value_asc":

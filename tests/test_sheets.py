@@ -216,3 +216,10 @@ def test_only_finite_numbers_compare(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (float("inf"),), (float("-inf"),), (None,), (3.0,)], "x double")
     assert [r.x for r in sheet_filter(df, [("x", "greater_than", 2)]).collect()] == [3.0]
     assert [r.x for r in sheet_filter(df, [("x", "less_than", 2)]).collect()] == [1.0]
+
+
+def test_categories_in_the_order_a_reader_expects(spark):
+    names = ["zebra", "(blank)", "Apfel", "item 10", "Äpfel", "Item 9", "apfel", "eclair 2", "éclair", "item 9", "item 010", "Ångström", "b"]
+    rows = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "category string, first_row long").repartition(5)
+    got = [r.category for r in S.category_sort(rows, "category", "first_row").collect()]
+    assert got == ["(blank)", "Ångström", "apfel", "Apfel", "Äpfel", "b", "éclair", "eclair 2", "item 9", "Item 9", "item 10", "item 010", "zebra"]
