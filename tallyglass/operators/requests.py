@@ -13,7 +13,8 @@ from tallyglass.operators.sheets import (
     AGGREGATIONS, calculate_text, category_sort, header_infer, row_span, series_name, sheet_aggregate, sheet_rows_listing,
 )
 
-# Rows that may be listed one by one, and the names of the totals.
+# Rows that may be listed one by one, and the names of the totals.  The sentences of refusals, the source line and the
+# names of the settings below are fixed wording too.
 MAX_LISTED = 200
 TOTALS = {
     "sum": "Sum", "average": "Average", "count": "Count", "min": "Minimum", "max": "Maximum", "none": "Each row (no totals)",

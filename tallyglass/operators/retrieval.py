@@ -248,7 +248,10 @@ def excerpt_block(hits: DataFrame, query_col: str = "query_id") -> DataFrame:
 
 
 def catalog_block(catalog: DataFrame) -> DataFrame:
-    """One row: the lines(pos, line) of a catalog as the block that goes before the excerpts, empty without lines."""
+    """One row: the lines(pos, line) of a catalog as the block that goes before the excerpts, empty without lines.
+
+    The name of the block is fixed wording.
+    """
     lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda c: c["line"])
     block = F.concat(F.lit("<chart_sources>\n"), F.array_join(lines, "\n"), F.lit("\n</chart_sources>\n\n"))
     return catalog.agg(F.when(F.count("line") > 0, block).otherwise("").alias("block"))
