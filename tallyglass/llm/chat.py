@@ -32,15 +32,18 @@ def _role(role: Column) -> Column:
 def fold_events(events: DataFrame) -> DataFrame:
     """From a log ``conv_id, seq, message, op, role, text`` to ``conv_id, turns``: array of ``message, role, text``.
 
-    Events are taken in order of ``seq`` (ties by op, role, text).  ``delta`` adds its text to its message, ``edit``
-    replaces what the message says, ``regenerate`` starts the message anew with its text (null: empty); the role is the
-    last one given.  Each message is folded by itself, in one pass over its events; then a conversation's messages
-    are put in order of ``message``.  A conversation is one row in the end, so it must fit in one.  Null texts add
-    nothing, null roles count as empty if no event gives one, unknown ops count as ``delta``, events without a
-    conversation or message are their own conversation or message null, and repeated events apply repeatedly.
+    The log is partitioned by conversation, once; in it, events are taken in order of ``seq``, which counts over the whole
+    conversation (ties by op, role, text), so they may arrive in any order and messages may interleave.  ``delta`` adds its
+    text to its message, ``edit`` replaces what the message says, ``regenerate`` starts the message anew with its text
+    (null: empty); deltas that follow add to either.  The role is the last one given.  Each message is folded in one pass over its
+    events; then a conversation's messages are put in order of ``message``.  Both steps keep the first partitioning.  A
+    conversation is one row in the end, so it must fit in one.  Null texts add nothing, null roles count as empty
+    if no event gives one, unknown ops count as ``delta``, events without a conversation or message are their own
+    conversation or message null, and repeated events apply repeatedly.  Other columns, whatever their names, are not read.
     """
     event = F.struct("seq", "op", "role", "text")
-    each = events.groupBy("conv_id", "message").agg(F.sort_array(F.collect_list(event)).alias("log"))
+    logs = events.select("conv_id", "message", "seq", "op", "role", "text").repartition("conv_id")
+    each = logs.groupBy("conv_id", "message").agg(F.sort_array(F.collect_list(event)).alias("log"))
 
     def final(log: Column) -> Column:
         resets = F.filter(F.transform(log, lambda e, i: F.when(e["op"].isin("edit", "regenerate"), i)), lambda i: i.isNotNull())

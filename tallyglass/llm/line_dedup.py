@@ -1,4 +1,4 @@
-"""Line duplicates: a sharded perfect hash over repeated lines, probed by the documents' line hashes."""
+"""Line duplicates: a sharded perfect hash over all distinct lines, probed by the documents' line hashes."""
 
 from __future__ import annotations
 
@@ -44,7 +44,7 @@ def _hashes(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("id", F.col("text").cast("binary")).mapInArrow(split, "id bigint, high bigint, low bigint")
 
 
-def _shards(repeated: DataFrame, shards: int) -> DataFrame:
+def _shards(counted: DataFrame, shards: int) -> DataFrame:
     """One row per shard: its perfect hash with fingerprints, counts and smallest ids."""
     def build(key: tuple, group: pa.Table) -> pa.Table:
         high, low, counts, first = (group.column(c).to_numpy() for c in ("high", "low", "n", "first"))
@@ -58,7 +58,7 @@ def _shards(repeated: DataFrame, shards: int) -> DataFrame:
             blobs.append(pack(high[at].view(np.uint64), low[at].view(np.uint64), counts[at], first[at]))
         return pa.table({"shard": pa.array([key[0].as_py()] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
-    return repeated.withColumn("shard", _shard(shards)).groupBy("shard").applyInArrow(build, "shard int, blob binary")
+    return counted.withColumn("shard", _shard(shards)).groupBy("shard").applyInArrow(build, "shard int, blob binary")
 
 
 def _shard(shards: int):
@@ -128,20 +128,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their lines except in the smallest id; all other lines stay, joined by ``\\n``.  A text may become empty.  Rows that
     repeat an id are one document; a null id counts as the smallest and rows with it as one document.
 
-    The lines' 128-bit hashes are counted map-side.  Those found in two documents or more fill shards of about
-    ``shard_lines`` lines: a minimal perfect hash over one half of the hash indexes arrays of the other half, of
-    counts and of smallest ids (25 bytes a line).  Documents send their hashes, never their lines, past the arrays; there
-    are enough shards for an even load of at most ``part_rows`` hashes.
+    The lines' 128-bit hashes are counted map-side.  All distinct ones fill shards of at most about ``shard_lines`` lines: a
+    minimal perfect hash over one half of the hash indexes arrays of the other half (the fingerprint), of counts and
+    of smallest ids (25 bytes a line).  Documents send their hashes, never their lines, past the arrays, where count and smallest id
+    decide; there are enough shards for an even load of at most ``part_rows`` hashes.
     """
     held = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("id"), F.col(id_col).alias("own_id"),
                        whole_text(text_col).alias("text"))
     hashes = staged(_hashes(held, least), "line-hashes")
-    repeated = staged(
-        hashes.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-        .where("n >= 2"), "repeated-lines")
+    counted = hashes.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     total = max(1, hashes.count())
-    shards = 1 << max(6, math.ceil(math.log2(max(1, repeated.count()) / shard_lines)), math.ceil(math.log2(total / part_rows)))
-    lost = _lost(hashes, _shards(repeated, shards), shards, total / shards)
+    shards = 1 << max(6, math.ceil(math.log2(total / min(shard_lines, part_rows))))
+    lost = _lost(hashes, _shards(counted, shards), shards, total / shards)
     joined = held.join(lost, "id", "left").select(F.col("own_id"), F.col("text").cast("binary"), "keys")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

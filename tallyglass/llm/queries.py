@@ -45,8 +45,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- 6
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-# The list of the query: the URLs of pages on hosts that advertise themselves as spam.
-SPAM_HOST = r"(?:^|\.)(?:spam-farm|cheap-pills)\."
+# Words of the usual categories of block lists (advertising, adult, gambling, drugs, fraud).
+LISTED_WORDS = (
+    "ads", "adserver", "track", "tracker", "tracking", "adult", "porn", "sex", "xxx", "bet", "bets", "betting", "casino", "gambling",
+    "lottery", "poker", "cialis", "pharmacy", "pills", "viagra", "malware", "phishing", "spam", "warez",
+)
+# The list of the query: the URLs with such a word of its own in host or path.
+LISTED_URL = rf"(?:^|[^a-z0-9])(?:{'|'.join(LISTED_WORDS)})(?:[^a-z0-9]|$)"
 
 
 def _sql_lower(text: str) -> str:
@@ -67,7 +72,7 @@ WITH part AS (
   SELECT page_id, url, {_sql_lower("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 canon AS (SELECT *, CASE WHEN contains(url, '://') THEN {_sql_canonical()} END AS key FROM part),
-listed AS (SELECT DISTINCT key FROM canon WHERE key IS NOT NULL AND regexp_matches(host, '{SPAM_HOST}')),
+listed AS (SELECT DISTINCT key FROM canon WHERE key IS NOT NULL AND regexp_matches({_sql_lower("host || path")}, '{LISTED_URL}')),
 ruled AS (
   SELECT *, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
@@ -78,7 +83,9 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
   WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM ruled""")
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    listed = pages.where(url_filter.url_host(F.col("url")).rlike(SPAM_HOST)).select("url")
+    place = F.translate(F.concat(url_filter.url_host(F.col("url")), url_filter.url_path(F.col("url"))),
+                        string.ascii_uppercase, string.ascii_lowercase)
+    listed = pages.where(place.rlike(LISTED_URL)).select("url")
     judged = url_filter.filter_urls(pages, listed, URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
@@ -129,9 +136,11 @@ CONTROL = "\\### Assistant: </turn> ok"
 
 
 def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log behind ``conversations``: each row a message that was streamed in deltas of ``DELTA_CHARS`` characters.
+    """The log behind ``conversations``: one sequence per conversation over all its messages, with rows out of order.
 
-    Messages are numbered in order of turn, then role and text, so that repeated rows stay messages of their own.
+    Messages are numbered in order of turn, then role and text, so that repeated rows stay messages of their own.  Each is
+    streamed in deltas of ``DELTA_CHARS`` characters.  Of three messages one is streamed as it is; one begins with a wrong draft
+    and is regenerated; one is drafted and edited only after the message that follows it was streamed.
     """
     extra = spark.range(2).select(
         F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
@@ -141,10 +150,17 @@ def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = rows.select("conv_id", "role", text.alias("text"), F.row_number().over(order).cast("bigint").alias("message"))
     last = F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / DELTA_CHARS).cast("int")
-    streamed = numbered.select("*", F.explode(F.sequence(F.lit(0), last)).alias("part"))
+    way, draft = F.col("message") % 3, F.col("part") < 0
+    parts = F.reverse(F.sequence(F.when(way == 0, 0).otherwise(-1), last))
+    streamed = numbered.select("*", F.explode(parts).alias("part"))
+    # Four stretches of the sequence belong to a message: draft, final text, and, in the stretches of the next, its edit.
+    stretch = F.col("message") * 4 + F.when(draft | (way == 0), 0).when(way == 1, 1).otherwise(6)
+    begins = F.when(way == 1, "regenerate").when(way == 2, "edit").otherwise("delta")
+    said = F.substring("text", F.col("part") * DELTA_CHARS + 1, F.lit(DELTA_CHARS))
     return streamed.select(
-        "conv_id", F.col("part").cast("bigint").alias("seq"), "message", F.lit("delta").alias("op"), "role",
-        F.substring("text", F.col("part") * DELTA_CHARS + 1, F.lit(DELTA_CHARS)).alias("text"))
+        "conv_id", (stretch * (1 << 32) + F.col("part") + 1).alias("seq"), "message",
+        F.when(F.col("part") == 0, begins).otherwise("delta").alias("op"), "role",
+        F.when(draft, F.concat(F.lit("draft: "), F.reverse(F.substring("text", 1, DELTA_CHARS)))).otherwise(said).alias("text"))
 
 
 @query("op9_chat_format", f"""

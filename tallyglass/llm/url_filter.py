@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.llm.common import packed
+from tallyglass.scale import staged
 
-# Bits that one URL sets inside its 64-bit block.
-BITS = 6
+# Bits that one URL sets inside its 64-bit block, and how many URLs share a block on average.
+BITS, PER_BLOCK = 6, 4
+# The filter has at least and at most this many blocks of eight bytes, whatever the length of the list.
+LEAST_BLOCKS, MOST_BLOCKS = 1 << 6, 1 << 20
 # Query parameters that do not change what a URL shows.
 TRACKING = "(?:utm_[a-z]+|ref|fbclid|gclid)"
 
@@ -75,20 +80,27 @@ def bloom_blocks(listed: DataFrame, key_col: str, blocks: int) -> DataFrame:
     return filled.agg(F.transform(in_order, lambda b: b["mask"]).alias("masks"))
 
 
+def blocks_for(listed: int) -> int:
+    """Blocks of a filter of ``listed`` URLs: a power of two between the bounds."""
+    return min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << max(0, math.ceil(listed / PER_BLOCK) - 1).bit_length()))
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], url_col: str = "url",
-                listed_col: str = "url", blocks: int = 1 << 16) -> DataFrame:
+                listed_col: str = "url", blocks: int | None = None) -> DataFrame:
     """All pages with ``host, path, rule, verdict`` (replacing columns of those names).
 
     A page whose URL fits a rule gets the verdict of the longest one.  Every other URL is blocked when its canonical
     form is that of a listed URL: the blocked Bloom filter lets most others pass at once, and an exact join on the
-    canonical URL decides the rest, so the result never depends on the filter.  ``blocks`` bounds the filter (eight
-    bytes each) whatever the list's size; a longer list only sends more URLs to the join.  Null URLs, and those without
+    canonical URL decides the rest, so the result never depends on the filter.  The different listed URLs are written once
+    and counted; the filter has a block for every ``PER_BLOCK`` of them (``blocks``, where given, instead), between bounds: a
+    list of over four million URLs only sends more pages to the join.  Null URLs, and those without
     ``://``, have empty host and path and are allowed; listed ones of that kind are ignored.  Repeated pages and
     repeated list entries change nothing; empty tables are fine.
     """
     url = F.col(url_col)
-    keys = listed.where(F.col(listed_col).contains("://")).select(
-        canonical_url(F.col(listed_col)).alias("__key")).distinct()
+    keys = staged(listed.where(F.col(listed_col).contains("://")).select(
+        canonical_url(F.col(listed_col)).alias("__key")).distinct(), "listed-urls")
+    blocks = blocks or blocks_for(keys.count())
     masks = bloom_blocks(keys, "__key", blocks).scalar()
     rule, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
     judged = packed(pages, host=url_host(url), path=url_path(url),

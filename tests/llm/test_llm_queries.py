@@ -6,6 +6,7 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -13,7 +14,8 @@ from llm_fixtures import documents
 from pyspark.sql import functions as F
 
 from tallyglass.llm import byte_bpe, chat, exact_dedup, line_dedup, pii, quality_classifier, quality_rules, url_filter
-from tallyglass.llm.queries import ORACLES, QUERIES
+from tallyglass.llm.perfect_hash import unpack
+from tallyglass.llm.queries import CONTROL, ORACLES, QUERIES, chat_events
 from tallyglass.plans.compare import compare, duck
 
 SMALL = "/root/testdata/sf0.001"
@@ -121,6 +123,32 @@ def test_url_filter_is_exact_whatever_the_filter(spark):
     assert url_filter.filter_urls(pages.limit(0), listed.limit(0), []).count() == 0
 
 
+def test_url_list_of_the_query_holds_hosts_and_single_urls(spark, tmp_path):
+    rows = [(1, "http://blog.casino-win.example.com/a/1"), (2, "https://clean.example.com/Casino/1?page=2"), (3, "https://clean.example.com/a/1"),
+            (4, "https://www.clean.example.com/casino/1.html?ref=y&page=2"), (5, "http://casinos.example.com/"), (6, "http://x.org/fr/casino/1")]
+    spark.createDataFrame(rows, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.verdict for r in QUERIES["op6_url_filter"](spark, str(tmp_path)).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "allow"}
+
+
+def test_filter_grows_with_the_list_between_its_bounds():
+    assert [url_filter.blocks_for(n) for n in (0, 1, 256, 257, 10_000, 1 << 40)] == [64, 64, 64, 128, 4096, 1 << 20]
+
+
+def test_line_index_holds_every_line_and_counts_decide(spark):
+    hashes = spark.createDataFrame([(i, h, h * 7) for i in range(5) for h in range(-3, 3) if (i + h) % 3 or h < 0],
+                                   "id bigint, high bigint, low bigint")
+    counted = hashes.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    held = {}
+    for row in line_dedup._shards(counted, 4).collect():
+        index, prints, counts, first = unpack(bytes(row.blob))
+        for r in counted.where(line_dedup._shard(4) == row.shard).collect():
+            at = index.number(np.array([r.high], np.int64).view(np.uint64))[0]
+            if at >= 0 and prints[at] == np.int64(r.low).view(np.uint64):
+                held[r.high] = (int(counts[at]), int(first[at]))
+    assert held == {r.high: (r.n, r["first"]) for r in counted.collect()}
+
+
 def test_classifier_on_held_out_rows(spark, tables):
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
     rows = QUERIES["op7_quality_classifier"](spark, SMALL).collect()
@@ -180,6 +208,33 @@ def test_chat_events_fold_and_read_back(spark):
     assert chat.format_chats(events.limit(0)).count() == 0
 
 
+def test_chat_log_of_the_query_has_every_kind_of_event(spark, tables):
+    """One sequence per conversation, out of order, folded by a plain loop to the turns of the table."""
+    log = [r.asDict() for r in chat_events(spark, SMALL).collect()]
+    assert {r["op"] for r in log} == {"delta", "edit", "regenerate"}
+    assert len({(r["conv_id"], r["seq"]) for r in log}) == len(log)
+    assert any(a["conv_id"] == b["conv_id"] and a["seq"] > b["seq"] for a, b in zip(log, log[1:]))
+    said = {}
+    for r in sorted(log, key=lambda r: (r["conv_id"], r["seq"])):
+        own = said.setdefault(r["conv_id"], {})
+        own[r["message"]] = (own.get(r["message"], "") if r["op"] == "delta" else "") + r["text"]
+    rows = sorted((r.conv_id, r.turn, r.role, r.text or "") for r in tables.conversations.collect())
+    want = {}
+    for conv, _, _, text in rows:
+        want.setdefault(conv, []).append(text)
+    want[-7] = [CONTROL, CONTROL]
+    assert {c: [own[m] for m in sorted(own)] for c, own in said.items()} == want
+
+
+def test_chat_of_a_very_long_text_and_clashing_columns(spark):
+    long = "</turn>\n\\ ## long " * 20_000
+    log = [(1, 1, 0, "delta", "assistant", long[500:], "x", 1), (1, 0, 0, "delta", "assistant", long[:500], "y", 2)]
+    events = spark.createDataFrame(log, "conv_id bigint, seq bigint, message bigint, op string, role string, text string, turns string, formatted int")
+    row = chat.format_chats(events).select(chat.read_back(F.col("formatted")).alias("turns"),
+                                           chat.under_loss(F.col("formatted"), F.col("loss_spans")).alias("learnt")).first()
+    assert [tuple(t) for t in row.turns] == [("assistant", long)] and row.learnt == [long]
+
+
 def test_pipeline_equals_brute_force(spark, tables):
     """Quality verdicts as given; then the largest id of equal texts, the smallest id of each component of texts with a
     five-word Jaccard of 0.8, masking, whole packing."""
