@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import heapq
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -20,6 +21,8 @@ SLOTS = 1 << 16
 FIRST, NONE = 0x100, "\ud7ff"
 # Characters of text that make up a block, and words after which a task starts its numbering over.
 BLOCK_CHARS, RENUMBER = 1 << 20, 1 << 20
+# Words of more bytes than this are merged by a heap, as the fold would cost the square of their length.
+FOLDED_BYTES = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,7 +81,7 @@ def encoded_word(word: Column, ranks: Column, alphabet: tuple[str, str]) -> Colu
     A word in the vocabulary is its own piece.  Otherwise its bytes are folded.  The state is two strings: the pieces,
     and for each pair of neighbours the piece they would become (``NONE`` if nothing).  The least character of the
     second, the leftmost of equals, takes the place of its pair; only the pairs beside it are looked up again.  The fold
-    takes one step per byte and copies the strings, so a word costs the square of its length.
+    takes one step per byte and copies the strings, so a word costs the square of its length; ``merged_word`` takes long ones.
     """
     spelt = F.translate(F.decode(word, "ISO-8859-1"), *alphabet)
 
@@ -109,6 +112,38 @@ def _merged(state: Column, i: Column, ranks: Column) -> Column:
     return let(F.concat(before, after), lambda merges: F.struct(pieces.alias("p"), merges.alias("m"), _least(merges).alias("new")))
 
 
+def merged_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word: the same merges from a heap of pairs over linked pieces, n log n in its length."""
+    if word in ranks:
+        return [ranks[word]]
+    n = len(word)
+    ends, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+    pairs: list[tuple[int, int, int]] = []
+
+    def offer(left: int) -> None:
+        right = after[left]
+        if right < n:
+            rank = ranks.get(word[left:ends[right]])
+            if rank is not None:
+                heapq.heappush(pairs, (rank, left, ends[right]))
+
+    for left in range(n - 1):
+        offer(left)
+    while pairs:
+        _, left, end = heapq.heappop(pairs)
+        # Stale unless both pieces still stand as they did: the left one begins here, the right one ends there.
+        right = after[left]
+        if ends[left] == 0 or right >= n or ends[right] != end:
+            continue
+        ends[left], ends[right], after[left] = end, 0, after[right]
+        if after[left] < n:
+            before[after[left]] = left
+        offer(left)
+        if before[left] >= 0:
+            offer(before[left])
+    return [ranks[word[left:end]] for left, end in enumerate(ends) if end]
+
+
 class _Numbers(dict):
     """Words to their numbers; a word met for the first time takes the next one and is noted in ``new``."""
 
@@ -166,16 +201,23 @@ def _joined(starts: np.ndarray, sizes: np.ndarray, refs: np.ndarray) -> tuple[np
 
 
 def _unblocked(encoded: DataFrame, path: str, decoded: bool) -> DataFrame:
-    """``doc_id, ids`` (and ``decoded``) from blocks whose ``pieces`` are those of their new words, in the task's own order."""
+    """``doc_id, ids`` (and ``decoded``) from blocks whose ``pieces`` are those of their new words, in the task's own order.
+
+    Words left without pieces are those of ``long``, in the same order.
+    """
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelt = _decoder(path) if decoded else None
+        spelt, ranks = _decoder(path) if decoded else None, None
         flat, starts, sizes, used, n = np.empty(1 << 16, np.uint32), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64), 0, 0
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, counts, refs, pieces, first = (batch.column(c)[i] for c in range(5))
+                keys, counts, refs, pieces, first, long = (batch.column(c)[i] for c in range(6))
                 if first.as_py() == 0:
                     used = n = 0
                 words = pieces.values.to_pylist()
+                if len(long.values):
+                    ranks = ranks or read_ranks(path)
+                    merged = ("".join(chr(FIRST + r) for r in merged_word(w, ranks)) for w in long.values.to_pylist())
+                    words = [w or next(merged) for w in words]
                 own = np.fromiter(map(len, words), np.int64, len(words))
                 ids = np.frombuffer("".join(words).encode("utf-32-le"), "<u4") - np.uint32(FIRST)
                 flat, starts, sizes = _room(flat, used + len(ids)), _room(starts, n + len(own)), _room(sizes, n + len(own))
@@ -206,12 +248,17 @@ def _room(values: np.ndarray, size: int) -> np.ndarray:
     return values if size <= len(values) else np.concatenate((values, np.empty(max(size, 2 * len(values)) - len(values), values.dtype)))
 
 
+def _long(word: Column) -> Column:
+    return F.octet_length(word) > FOLDED_BYTES
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
            splits_per_task: int = 3, decoded: bool = False) -> DataFrame:
     """``doc_id, ids`` (with ``decoded``, also the ids decoded at once, as ``decode`` does): every whole text's token ids (binary, unsigned 32-bit little-endian), without special tokens.
 
     A task gathers its documents in blocks of about a million characters; Spark's higher-order functions encode the
-    distinct words that the task has not met before; then each document's ids are put together from its words' ids.
+    distinct words that the task has not met before (those of over ``FOLDED_BYTES`` bytes are merged by a heap instead, to
+    the same ids); then each document's ids are put together from its words' ids.
     Nothing is shuffled, written or broadcast but the rank map, so a lost task is simply run again, and memory is
     bounded by a block and ``RENUMBER`` words.  Tasks that read more share more words: ``splits_per_task`` splits go to
     one task where there are more splits than cores.  A null text counts as empty and has no ids; repeated rows
@@ -223,8 +270,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     splits = texts.rdd.getNumPartitions()
     texts = texts.coalesce(max(1, min(splits, max(spark.sparkContext.defaultParallelism, -(-splits // splits_per_task)))))
     blocks = _blocks(texts, pattern).withColumn("ranks", ranks)
-    pieces = F.transform("words", lambda w: encoded_word(w, F.col("ranks"), alphabet))
-    return _unblocked(blocks.select("keys", "sizes", "refs", pieces.alias("pieces"), "first"), path, decoded)
+    pieces = F.transform("words", lambda w: F.when(_long(w), "").otherwise(encoded_word(w, F.col("ranks"), alphabet)))
+    long = F.filter("words", _long)
+    return _unblocked(blocks.select("keys", "sizes", "refs", pieces.alias("pieces"), "first", long.alias("long")), path, decoded)
 
 
 def _decoder(path: str) -> Callable[[np.ndarray], tuple[bytes, np.ndarray]]:

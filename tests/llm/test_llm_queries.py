@@ -1,6 +1,7 @@
 """Every numbered query with SQL against it on small tables; the rest against plain versions."""
 
 import base64
+import random
 import re
 import struct
 import zlib
@@ -101,7 +102,11 @@ def test_byte_bpe_equals_the_library(spark, tables):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     odd = documents(spark).select(F.col("doc_id"), F.col("text"))
-    more = spark.createDataFrame([(100, "\x1c \x85\xa0x" + "unbroken" * 200 + "　 \n\n ½²³ 'S 's"), (101, "é́ΣςİǅĲ")], "doc_id bigint, text string")
+    sizes = (byte_bpe.FOLDED_BYTES - 1, byte_bpe.FOLDED_BYTES, byte_bpe.FOLDED_BYTES + 1, 1_000_000)
+    dice = random.Random(3)
+    letters = {200 + i: "".join(dice.choices("etaoinshrdlu", k=n)) for i, n in enumerate(sizes)}
+    unbroken = [(i, f"{word} short {word} 漢字{'漢字仮名' * 200}") for i, word in letters.items()]
+    more = spark.createDataFrame(unbroken + [(100, "\x1c \x85\xa0x" + "unbroken" * 200 + "　 \n\n ½²³ 'S 's"), (101, "é́ΣςİǅĲ")], "doc_id bigint, text string")
     docs = tables.documents.select("doc_id", "text").where("doc_id > 40").union(odd).union(more)
     coded = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path).collect()
     texts = Counter()
