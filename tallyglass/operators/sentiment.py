@@ -2,22 +2,28 @@
 
 Shape of the plan, for any number of texts:
 
-1. tokens and their neighbours are laid out inside each row with array functions (no shuffle);
-2. one row per token is joined to the lexicon; tokens without a valence are dropped at once, as they add 0;
+1. equal tokens of a text share the valence of the first one, so each different token is laid out once, with its places
+   and the first one's neighbours, inside the row with array functions (no shuffle);
+2. a lexicon proven small is broadcast to these rows.  A larger one never meets them one by one: texts lie in blocks, the
+   different words of a block are joined to the lexicon, and the block's texts take the valences found; tokens without a
+   valence are dropped at once, as they add 0;
 3. the rules are column expressions over the token's neighbours;
-4. equal tokens of a text share the valence of the first one, so a text is summed per distinct token and
-   then per text.  Both sums combine map-side: a text's tokens never leave their task one by one.
+4. a text is summed where it lies.  Only texts that share their id are summed per token first.
 
-No window over tokens and no group larger than one text is needed.
+No window over tokens and no group larger than one text or one block is needed.
 """
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions.text import even_blanks, half_up
-from tallyglass.scale import BROADCAST_ROWS, broadcast_if_small
+from tallyglass.scale import BROADCAST_ROWS, broadcast_if_small, is_small, split_by_id
 
 # Model constants.
 BOOST = 0.293
@@ -28,6 +34,9 @@ BUT_BEFORE, BUT_AFTER = 0.5, 1.5
 
 NOISE = 1e-9  # smaller than any difference the model can mean
 
+# Characters of text whose words are looked up together in a lexicon too large to be broadcast.
+BLOCK_CHARS = 1 << 22
+
 # Negations.
 NEGATIONS = [
     "aint", "arent", "cannot", "cant", "couldnt", "darent", "didnt", "doesnt", "ain't", "aren't", "can't",
@@ -163,6 +172,41 @@ def token_rows(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame
     return rows.where(F.col("token").isNotNull())
 
 
+def _let(value: Column, use) -> Column:
+    """Bind ``value`` once inside an expression: ``use`` gets a variable, so nothing is evaluated again."""
+    return F.transform(F.array(value), use)[0]
+
+
+def word_places(words: Column) -> Column:
+    """The different words of an array: ``array<struct<token, places>>``, ``places`` (0-based) in ascending order."""
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("token"), i.alias("pos"))))
+
+    def starts(s: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (s[i]["token"] != F.get(s, i - 1)["token"]))
+
+    def cut(s: Column) -> Column:
+        return F.when(F.size(s) > 0, _let(starts(s), lambda at: F.transform(
+            F.sequence(F.lit(0), F.size(at) - 2),
+            lambda k: F.struct(s[at[k]]["token"].alias("token"),
+                               F.transform(F.slice(s, at[k] + 1, at[k + 1] - at[k]), lambda x: x["pos"]).alias("places")))))
+
+    return _let(placed, cut)
+
+
+def first_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, token, first_pos, n``: each different token of an id, its first place and how often it stands there.
+
+    Counted inside the row; only texts that share their id meet in a shuffle.
+    """
+    once, again = split_by_id(docs.select(id_col, text_col), id_col)
+    found = once.select(id_col, F.explode(word_places(tokens(F.col(text_col)))).alias("_t")).select(
+        id_col, "_t.token", F.col("_t.places")[0].alias("first_pos"), F.size("_t.places").cast("bigint").alias("n"))
+    if again is None:
+        return found
+    rows = token_rows(again, id_col, text_col=text_col)
+    return found.unionByName(rows.groupBy(id_col, "token").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n")))
+
+
 def lexicon_lookup(token_rows: DataFrame, lexicon: DataFrame, column: str = "token",
                    name: str = "valence") -> DataFrame:
     """Left join of a token column to its valence, looked up in lower case."""
@@ -171,6 +215,58 @@ def lexicon_lookup(token_rows: DataFrame, lexicon: DataFrame, column: str = "tok
     return joined.withColumnRenamed("_valence", name)
 
 
+def _with_valences(laid: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``laid``, which lies in blocks by ``_block``, with ``valences`` for its lower-case words ``_low``: those of the
+    lexicon (one row per token), null where it has none.
+
+    The different words of a block meet the lexicon, and what is found comes back to the block.
+    """
+    asked = laid.select("_block", F.explode("_low").alias("token")).distinct()
+    found = lexicon_lookup(asked, lexicon).where(F.col("valence").isNotNull())
+    kept = laid.drop("_block", "_low")
+    names = kept.columns
+
+    def look_up(block: pa.Table, known: pa.Table) -> pa.Table:
+        low = block.column("_low").combine_chunks()
+        flat = low.flatten()
+        at = pc.index_in(flat, value_set=known.column("token").combine_chunks().cast(flat.type))
+        sizes = pc.list_value_length(low).to_numpy(zero_copy_only=False).tolist()
+        ends = [0]
+        for n in sizes:
+            ends.append(ends[-1] + n)
+        values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), known.column("valence").combine_chunks().take(at))
+        return pa.Table.from_arrays([*(block.column(c) for c in names), values], names=[*names, "valences"])
+
+    schema = kept.withColumn("valences", F.lit(None).cast("array<double>")).schema
+    found = found.select(F.col("_block").alias("_found_in"), "token", F.col("valence").cast("double").alias("valence"))
+    return laid.groupBy("_block").cogroup(found.groupBy("_found_in")).applyInArrow(look_up, schema)
+
+
+def _in_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, _text, _block``, laid out by block.  Equal rows aside, ids and texts spread evenly."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(id_col, text.alias("_text"))
+    blocks = math.ceil((rows.agg(F.sum(F.length("_text"))).first()[0] or 1) / BLOCK_CHARS)
+    placed = rows.withColumn("_block", F.pmod(F.xxhash64(id_col, "_text"), F.lit(blocks)))
+    return placed.repartition(blocks, "_block")
+
+
+def valence_sums(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``id, n, scored, total``: tokens of an id, those that the lexicon (one row per token) scores, and their sum."""
+    if is_small(lexicon, max_broadcast_rows):
+        found = lexicon_lookup(token_rows(docs, id_col, text_col=text_col), F.broadcast(lexicon))
+        return found.groupBy(id_col).agg(
+            F.count(F.lit(1)).alias("n"), F.count("valence").alias("scored"), F.sum("valence").alias("total"))
+    low = F.transform(tokens(F.col("_text")), F.lower)
+    found = _with_valences(_in_blocks(docs, id_col, text_col).select(id_col, "_block", low.alias("_low")), lexicon)
+    scored = F.filter("valences", lambda v: v.isNotNull())
+    each = found.where(F.size("valences") > 0).select(id_col, F.size("valences").alias("n"), scored.alias("_s")).select(
+        id_col, "n", F.size("_s").alias("scored"),
+        F.when(F.size("_s") > 0, F.aggregate("_s", F.lit(0.0), lambda a, v: a + v)).alias("total"))
+    return each.groupBy(id_col).agg(F.sum("n").alias("n"), F.sum("scored").alias("scored"), F.sum("total").alias("total"))
+
+
 def word_table(lexicon: DataFrame) -> DataFrame:
     """The lexicon with the rule words beside it: (token, valence, boost, negation)."""
     rules = [(w, BOOST, False) for w in STRONGER] + [(w, -BOOST, False) for w in WEAKER]
@@ -182,13 +278,13 @@ def word_table(lexicon: DataFrame) -> DataFrame:
 
 
 def _neighbour_lookup(rows: DataFrame, words: DataFrame, p: int) -> DataFrame:
-    """What the p-th word to the left is: scored (``l``), a booster (``b``), a negation (``g``)."""
+    """What the p-th word to the left is: scored (``l``, unless known), a booster (``b``), a negation (``g``)."""
     low = F.lower(F.col(f"p{p}"))
     side = words.select(F.col("token").alias("_key"), "valence", "boost", "negation").withColumnsRenamed(
         {"valence": "_valence", "boost": f"b{p}", "negation": "_negation"})
     joined = rows.join(side, low == F.col("_key"), "left")
     return joined.withColumns({
-        f"l{p}": F.col("_valence").isNotNull(),
+        f"l{p}": F.col(f"l{p}") if f"l{p}" in rows.columns else F.col("_valence").isNotNull(),
         f"g{p}": F.coalesce(F.col("_negation"), F.lit(False)) | low.contains("n't"),
     }).drop("_key", "_valence", "_negation")
 
@@ -258,26 +354,80 @@ def _apply_rules(hits: DataFrame) -> DataFrame:
     return out.withColumn("v", F.when(F.coalesce(kind_of, F.lit(False)), 0.0).otherwise(v))
 
 
+def _laid_out(rows: DataFrame, id_col: str, *keep: str) -> DataFrame:
+    """Texts with their words ``_w`` and their own figures."""
+    laid = rows.select(id_col, *keep, "_text", tokens(F.col("_text")).alias("_w"))
+    return laid.select(
+        id_col, *keep, "_w", F.size("_w").alias("n_tokens"), cap_diff(F.col("_w")).alias("caps"),
+        but_position(F.col("_w")).alias("but_pos"), punct_emphasis(F.col("_text")).alias("emphasis"))
+
+
+def _different_tokens(laid: DataFrame, id_col: str) -> DataFrame:
+    """One row per text and different token: its ``places``, the first one ``pos`` and the neighbours there.
+
+    With ``valences`` beside the words only scored tokens are laid out, with ``valence`` and whether the words to the left
+    are scored.  Each text also yields one closing row with a null token, which keeps texts without any scored token alive
+    through the aggregations and carries the text's own figures.
+    """
+    valued = "valences" in laid.columns
+
+    def row(t: Column) -> Column:
+        first, w = t["places"][0], F.col("_w")
+        around = {"p1": -1, "p2": -2, "p3": -3, "n1": 1, "n2": 2}
+        fields = [t["token"].alias("token"), t["places"].alias("places"), first.alias("pos"),
+                  *[F.get(w, first + by).alias(name) for name, by in around.items()]]
+        if valued:
+            v = F.col("valences")
+            fields += [F.get(v, first).alias("valence"), *[F.get(v, first - p).isNotNull().alias(f"l{p}") for p in (1, 2, 3)]]
+        return F.struct(*fields)
+
+    found = word_places(F.col("_w"))
+    if valued:
+        found = F.filter(found, lambda t: F.get("valences", t["places"][0]).isNotNull())
+    names = [id_col, "n_tokens", "caps", "but_pos", "emphasis"]
+    # The outer form: the plain one makes the optimizer test the array first, cutting the text twice.
+    return laid.select(*names, F.explode_outer(F.concat(F.transform(found, row), F.array(F.lit(None)))).alias("_t")).select(
+        *names, "_t.*")
+
+
 def token_valences(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per text and distinct scored token: valence ``v``, total ``weight``, count ``n``.
+    """One row per id and distinct scored token: valence ``v``, total ``weight``, count ``n``.
 
     A row with a null token per text carries the text's figures.  Boosters add 0 and are left out.
     """
-    words = broadcast_if_small(word_table(lexicon), max_broadcast_rows, counted=lexicon)
-    scored = words.where(F.col("valence").isNotNull() & F.col("boost").isNull())
-    rows = lexicon_lookup(token_table(docs, id_col, text_col), scored)
-    hits = rows.where(F.col("valence").isNotNull() | F.col("token").isNull())
-    for p in (1, 2, 3):
-        hits = _neighbour_lookup(hits, words, p)
-    weighted = _apply_rules(hits).withColumn("w", but_weight(F.col("pos"), F.col("but_pos")))
-    return weighted.groupBy(id_col, "token").agg(
-        F.min_by("v", "pos").alias("v"),
-        F.sum("w").alias("weight"),
-        F.count(F.lit(1)).alias("n"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.max("emphasis").alias("emphasis"),
-    )
+    words = word_table(lexicon)
+    small = is_small(lexicon, max_broadcast_rows)
+    if small:
+        rules = words = F.broadcast(words)
+    else:
+        rules = F.broadcast(word_table(lexicon.limit(0)))
+        words = words.where(F.col("valence").isNotNull()).select("token", "valence")
+
+    def valued(texts: DataFrame) -> DataFrame:
+        if small:
+            text = F.coalesce(F.col(text_col), F.lit(""))
+            rows = _different_tokens(_laid_out(texts.select(id_col, text.alias("_text")), id_col), id_col)
+            rows = lexicon_lookup(rows, words.where(F.col("valence").isNotNull() & F.col("boost").isNull()))
+            hits = rows.where(F.col("valence").isNotNull() | F.col("token").isNull())
+        else:
+            laid = _laid_out(_in_blocks(texts, id_col, text_col), id_col, "_block")
+            rows = _different_tokens(_with_valences(laid.withColumn("_low", F.transform("_w", F.lower)), words), id_col)
+            hits = rows.where(F.col("token").isNull() | ~is_booster(F.col("token")))
+        for p in (1, 2, 3):
+            hits = _neighbour_lookup(hits, rules, p)
+        weight = F.aggregate("places", F.lit(0.0), lambda sum_, at: sum_ + but_weight(at, F.col("but_pos")))
+        return _apply_rules(hits).select(
+            id_col, "token", "pos", "v", weight.alias("weight"),
+            F.coalesce(F.size("places"), F.lit(1)).cast("bigint").alias("n"), "n_tokens", "emphasis")
+
+    once, again = split_by_id(docs, id_col)
+    rows = valued(once).drop("pos")
+    if again is None:
+        return rows
+    return rows.unionByName(valued(again).groupBy(id_col, "token").agg(
+        F.min_by("v", "pos").alias("v"), F.sum("weight").alias("weight"), F.sum("n").alias("n"),
+        F.max("n_tokens").alias("n_tokens"), F.max("emphasis").alias("emphasis")))
 
 
 def sentence_sums(valences: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -90,7 +90,9 @@ class Tables:
             F.col("event_type").alias("symbol"), F.col("event_id").alias("pos"), F.col("ts").alias("pub_ts"),
             ist_date(F.col("ts")).alias("date"), (F.col("event_id") % n).alias("doc_id"),
         )
-        return linked.join(self.scores().select("doc_id", F.col("compound").alias("score")), "doc_id")
+        # Scored once, however often a plan reads the headlines.
+        scores = durable(self.scores().select("doc_id", F.col("compound").alias("score")))
+        return linked.join(scores, "doc_id")
 
     def headline_dates(self) -> DataFrame:
         return self.events.select(F.col("event_type").alias("symbol"), ist_date(F.col("ts")).alias("date")).distinct()

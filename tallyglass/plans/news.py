@@ -235,12 +235,8 @@ def _(t):
 SELECT t.doc_id, count(*) AS n, count(l.valence) AS scored, round(sum(l.valence), 6) AS total
 FROM tk t LEFT JOIN lex l ON l.token = lower(t.token) GROUP BY 1""")
 def _(t):
-    from tallyglass.scale import broadcast_if_small
-
-    rows = S.token_rows(t.documents, "doc_id")
-    found = S.lexicon_lookup(rows, broadcast_if_small(durable(t.lexicon())))
-    return found.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count("valence").alias("scored"), F.round(F.sum("valence"), 6).alias("total"))
+    found = S.valence_sums(t.documents, durable(t.lexicon()))
+    return found.withColumn("total", F.round("total", 6))
 
 
 @query("merge_lexicons", f"""WITH {TOKENS_SQL},

@@ -22,9 +22,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, counted: D
     row.  Past the bound the same join runs as a shuffled join, where AQE splits skewed partitions, so the
     result never depends on the check.
     """
-    probe = df if counted is None else counted
-    small = probe.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    return F.broadcast(df) if is_small(df if counted is None else counted, max_rows) else df
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a count that stops at ``max_rows`` proves that the table is no larger."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def spread(scan: DataFrame, *ids: str) -> DataFrame:
@@ -70,6 +73,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def split_by_id(df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose id no other row has, and those that share theirs; None where there are none.
+
+    Only ids are counted in a shuffle.  Null counts as an id like any other.
+    """
+    ids = df.groupBy(F.col(id_col).alias("_shared")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_shared")
+    ids = durable(ids)
+    if ids.isEmpty():
+        return df, None
+    ids, same = broadcast_if_small(ids), F.col(id_col).eqNullSafe(F.col("_shared"))
+    return df.join(ids, same, "left_anti"), df.join(ids, same, "left_semi")
+
+
 def only_if(df: DataFrame, problem: DataFrame) -> DataFrame:
     """Return ``df``, or fail when the one-row ``problem(message)`` frame carries a message.
 

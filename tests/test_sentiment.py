@@ -83,3 +83,23 @@ def test_merge_lexicons(spark):
     base = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "token string, valence double")
     finance = spark.createDataFrame([("b", 30.0), ("c", -5.0)], "token string, valence double")
     assert dict(S.merge_lexicons(base, finance).collect()) == pytest.approx({"a": 1.0, "b": 3.0, "c": -0.5})
+
+
+def test_texts_that_share_an_id_and_blocks(spark, lexicon, monkeypatch):
+    """Equal ids and null ids are summed as one text, whichever way the lexicon is met and however texts lie in blocks."""
+    rows = [(i, t) for i, t in enumerate(PINS)] + [(5, "good BAD not good"), (6, PINS[6]), (None, "great"), (None, None), (99, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(S, "BLOCK_CHARS", 150)
+    got = [sorted((tuple(r) for r in S.polarity_scores(docs, lexicon, max_broadcast_rows=m).collect()), key=str) for m in (0, 100)]
+    assert got[0] == got[1] and len(got[0]) == len(PINS) + 2
+    sums = [sorted((tuple(r) for r in S.valence_sums(docs, lexicon, max_broadcast_rows=m).collect()), key=str) for m in (0, 100)]
+    assert [r[:3] for r in sums[0]] == [r[:3] for r in sums[1]]
+    assert [r[3] for r in sums[0]] == [r[3] if r[3] is None else pytest.approx(r[3]) for r in sums[1]]
+
+
+def test_large_lexicon_meets_no_tokens_one_by_one(tables, lexicon):
+    """Joins take the different words of a block; texts go round twice, and no row per token is shuffled or sorted."""
+    plan = S.polarity_scores(tables.documents, lexicon, max_broadcast_rows=0)._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert "FlatMapCoGroupsInArrow" in physical and physical.count("SortMergeJoin") + physical.count("ShuffledHashJoin") <= 1
+    assert "token#" not in "".join(line for line in physical.splitlines() if "hashpartitioning(doc_id" in line)
