@@ -170,8 +170,7 @@ def _(t):
 
 @query("first_occurrence", f"WITH {TOKENS_SQL} SELECT doc_id, token, min(pos)::INT AS first_pos, count(*) AS n FROM tk GROUP BY 1, 2")
 def _(t):
-    rows = S.token_rows(t.documents, "doc_id")
-    return rows.groupBy("doc_id", "token").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n"))
+    return S.first_occurrences(t.documents)
 
 
 @query("token_context", f"""WITH {TOKENS_SQL}

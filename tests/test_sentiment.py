@@ -103,3 +103,17 @@ def test_large_lexicon_meets_no_tokens_one_by_one(tables, lexicon):
     physical = plan[plan.index("== Physical Plan =="):]
     assert "FlatMapCoGroupsInArrow" in physical and physical.count("SortMergeJoin") + physical.count("ShuffledHashJoin") <= 1
     assert "token#" not in "".join(line for line in physical.splitlines() if "hashpartitioning(doc_id" in line)
+
+
+def test_first_occurrences(spark):
+    rows = [(1, "bb aa, bb!  cc aa"), (2, None), (3, ""), (4, "aa"), (4, "bb aa bb"), (None, "xx"), (None, "xx yy"), (5, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for i, text in rows:
+        for pos, word in enumerate(words_of(text or "")):
+            first, n = want.get((i, word), (pos, 0))
+            want[i, word] = (min(first, pos), n + 1)
+    assert {(r.doc_id, r.token): (r.first_pos, r.n) for r in S.first_occurrences(docs).collect()} == want
+    # Where no id repeats nothing but ids is shuffled.
+    plan = S.first_occurrences(docs.where("doc_id < 4"))._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
