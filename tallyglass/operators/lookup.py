@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions.text import JS_BLANK_CHARS, strip_blank
 from tallyglass.operators.ordered import first_per_key
+from tallyglass.scale import broadcast_if_small, durable, spread
 
 # Suggestions shown, symbols per search.
 MAX_SUGGESTIONS, MAX_SYMBOLS = 8, 3
@@ -38,33 +39,49 @@ def suggest_for_typed(symbols: DataFrame, typed: DataFrame, text: str = "query",
     """``suggest_symbols`` for a table of typed texts: its rows with ``symbol, name, pos, n``; blank texts find nothing.
 
     Each different text is answered once, however often it was typed.  Names and symbols are cut into all their runs of
-    up to ``GRAM`` characters; the runs are counted first, and a text looks up the one of its own runs that fewest symbols
-    hold.  A run that all names share is met only by texts that consist of it.  A text with a run that no symbol holds
+    up to ``GRAM`` characters; of these only runs of typed texts go on.  They are counted first, and a text looks up the one of its
+    own runs that fewest symbols hold.  A run that all names share is met only by texts that consist of it.  A text with a run that no symbol holds
     finds nothing.  The best ``limit`` rows then go to all rows that typed the text.
     """
     key = F.lower(strip_blank(F.col(text), JS_BLANK_CHARS))
     asked = typed.withColumn("_q", key).where(F.col("_q") != "")
 
-    def runs(label: Column, least: int) -> Column:
-        low = F.lower(F.coalesce(label, F.lit("")))
-        return F.filter(F.flatten(F.transform(F.sequence(F.lit(1), F.length(low) + 1), lambda i: F.transform(
-            F.sequence(F.lit(least), F.lit(GRAM)), lambda n: F.substring(low, i, n)))), lambda g: F.length(g) >= least)
-
-    labels = F.array_distinct(F.concat(runs(F.col("name"), 1), runs(F.col("symbol"), 1)))
-    grams = symbols.select("symbol", "name", "pos", F.explode(labels).alias("_gram"))
-    held = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    q, ends = F.col("_q"), F.length("_q") - GRAM + 1
+    long = F.array_distinct(F.transform(F.sequence(F.lit(1), ends), lambda i: F.substring(q, i, F.lit(GRAM))))
     # The runs of a text that are as long as can be: shorter ones are held by more symbols.
-    own = F.when(F.length("_q") < GRAM, F.array("_q")).otherwise(F.array_distinct(runs(F.col("_q"), GRAM)))
-    texts = asked.select("_q").distinct().select("_q", F.explode(own).alias("_gram"))
+    own = F.when(ends < 1, F.array("_q")).otherwise(long)
+    texts = durable(asked.select("_q").distinct().select("_q", F.explode(own).alias("_gram")))
+    wanted = durable(texts.select("_gram").distinct())
+    sizes = [n for n, in wanted.select(F.length("_gram")).distinct().collect()]
+    grams = _runs_of(spread(symbols.select("symbol", "name", "pos"), "pos"), broadcast_if_small(wanted), sizes)
+    held = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     counted = texts.join(held, "_gram", "left").groupBy("_q").agg(
         F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_rarest"))
-    picked = counted.where("_rarest.n > 0").select("_q", F.col("_rarest")["gram"].alias("_gram"))
+    picked = durable(counted.where("_rarest.n > 0").select("_q", F.col("_rarest")["gram"].alias("_gram")))
     rank = _fit(F.lower("name"), F.lower("symbol"), F.col("_q"))
-    hits = picked.join(grams, "_gram").withColumn("_rank", rank).where(F.col("_rank").isNotNull())
+    hits = grams.join(broadcast_if_small(picked), "_gram").withColumn("_rank", rank).where(F.col("_rank").isNotNull())
     best = first_per_key(hits, ["_q"], [F.col("_rank"), F.col("pos")], limit).select("_q", "symbol", "name", "pos", "n")
+    best = broadcast_if_small(durable(best))
     return asked.join(best, "_q").select(*typed.columns, "symbol", "name", "pos", "n")
 
 
+def _runs_of(symbols: DataFrame, wanted: DataFrame, sizes: list[int]) -> DataFrame:
+    """``symbol, name, pos, _gram``: the wanted runs of ``sizes`` characters that a name or symbol holds, each once a row.
+
+    A run counts where it stands first, and in the symbol only if the name does not hold it.
+    """
+    name, symbol = (F.lower(F.coalesce(c, F.lit(""))) for c in ("name", "symbol"))
+    labels = F.explode(F.array(F.struct(F.lit(True).alias("named"), name.alias("label")),
+                               F.struct(F.lit(False).alias("named"), symbol.alias("label"))))
+    rows = symbols.select("symbol", "name", "pos", labels.alias("_l")).select("symbol", "name", "pos", "_l.*").where("label <> ''")
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("label"))))
+    rows = rows.withColumn("_size", F.explode(F.array(*[F.lit(n) for n in sizes]).cast("array<int>")))
+    rows = rows.where(F.col("_i") + F.col("_size") - 1 <= F.length("label"))
+    rows = rows.withColumn("_gram", F.substring("label", F.col("_i"), F.col("_size"))).join(wanted, "_gram", "left_semi")
+    first = F.call_function("locate", F.col("_gram"), F.col("label")) == F.col("_i")
+    return rows.where(first & (F.col("named") | ~name.contains(F.col("_gram")))).select("symbol", "name", "pos", "_gram")
+
+
 def _fit(name: Column, symbol: Column, q: Column) -> Column:
     """0 where a label starts with the text, 1 where one contains it, else null."""
     starts = F.coalesce(name.startswith(q), F.lit(False)) | F.coalesce(symbol.startswith(q), F.lit(False))

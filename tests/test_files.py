@@ -87,3 +87,19 @@ def test_suggestions_for_a_table_of_typed_texts(spark):
     one_by_one = K.suggest_symbols(symbols, [t or "" for t in texts], 3)
     assert got == sorted((r.query_id, r.n, r.pos) for r in one_by_one.collect()) and len(got) == 14
     assert K.suggest_for_typed(symbols, typed.limit(0)).count() == 0
+
+
+def test_only_typed_runs_of_symbols_go_on(spark):
+    """Runs that nobody typed are left in their task; a run counts once a symbol, and none spans name and symbol."""
+    symbols = spark.createDataFrame(
+        [("anna", "banana", 1), ("ab", "xyz", 2), (None, "Ünanü", 3), ("nan", None, 4), ("", "", 5), ("ab", "xyz", 2)],
+        "symbol string, name string, pos int")
+    wanted = spark.createDataFrame([("ana",), ("nan",), ("a",), ("za",), ("ü",)], "_gram string")
+    got = sorted((r._gram, r.pos) for r in K._runs_of(symbols, wanted, [1, 3]).collect())
+    assert got == [("a", 1), ("a", 2), ("a", 2), ("a", 3), ("a", 4), ("ana", 1), ("nan", 1), ("nan", 3), ("nan", 4), ("ü", 3)]
+    asked = [" NAN ", "ana", "zab", "an", "ü", "banana", "", None, "ana"]
+    typed = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    found = {(r.query_id, r.pos) for r in K.suggest_for_typed(symbols, typed).collect()}
+    rows = [(r.pos, (r.name or "").lower(), (r.symbol or "").lower()) for r in symbols.collect()]
+    assert found == {(i, pos) for i, q in enumerate(asked) if (q or "").strip()
+                     for pos, *labels in rows if any(q.strip().lower() in label for label in labels)}
