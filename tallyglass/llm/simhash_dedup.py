@@ -46,12 +46,15 @@ def near_links(prints: DataFrame, count: int, most: int = 3, group_size: int = 8
     goes down with all node pairs it can still belong to, and node pairs with more than ``group_size`` values are
     walked further until all are small, so a crowded prefix never fills a task.  Below that, a task walks each
     pair with numpy and returns links that join its near values, at most one per value, never all pairs of a group.
+
+    Where ``prints`` has a column ``word``, only values of one word meet.  Values of different words must differ.
     """
     early = most // 2
     budget = {d: early if d <= HALF else most for d in range(STEP, BITS + STEP, STEP)}
     swapped = F.shiftleft("print", HALF).bitwiseOR(F.shiftrightunsigned("print", HALF))
-    turns = F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("print").alias("v")),
-                              F.struct(F.lit(1).alias("turn"), swapped.alias("v")))).alias("t")
+    first = (F.col("word") * 2).cast("int") if "word" in prints.columns else F.lit(0)
+    turns = F.explode(F.array(F.struct(first.alias("turn"), F.col("print").alias("v")),
+                              F.struct((first + 1).alias("turn"), swapped.alias("v")))).alias("t")
     zero = F.lit(0).cast("bigint")
     members = prints.select(turns).select(
         "t.turn", F.lit(0).alias("depth"), zero.alias("pa"), zero.alias("pb"), F.lit(0).alias("err"), "t.v")
@@ -80,7 +83,7 @@ def near_links(prints: DataFrame, count: int, most: int = 3, group_size: int = 8
                 return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         labels = join_tries(*sides, level, err, most, early, HALF)
         values = np.concatenate([s for s in sides if s is not None])
-        if turn:
+        if turn % 2:
             values = (values << np.uint64(HALF)) | (values >> np.uint64(HALF))
         linked = labels != np.arange(len(labels))
         signed = values.view(np.int64)

@@ -78,3 +78,26 @@ def test_odd_rows(spark):
     twice = odd.select(F.lit(None).cast("bigint").alias("doc_id"), "text").where("digest = 'y'")
     assert near_copies.drop_near_copies(twice).count() == 1
     assert near_copies.drop_near_copies(odd.limit(0)).count() == 0
+
+
+def test_buckets_are_those_of_the_trie(spark):
+    """Texts whose words hang together within a few bits share a bucket of that word; texts that meet nobody drop out."""
+    texts = near_texts() | {1000 + i: f"a text of its own with number {i} and little else" for i in range(3)}
+    rows = spark.createDataFrame(list(texts.items()), "n bigint, text string")
+    sketches = near_copies._sketches(rows, 5).localCheckpoint()
+    words = {r.n: [k % (1 << 64) for k in r["keys"]] for r in sketches.collect()}
+    assert all(len(w) == near_copies.WORDS for w in words.values())
+    want = {i: [] for i in words}
+    for w in range(near_copies.WORDS):
+        root = {i: i for i in words}
+        for a, b in combinations(sorted(words), 2):
+            if (words[a][w] ^ words[b][w]).bit_count() <= near_copies.NEAR_BITS:
+                root = {i: root[a] if r == root[b] else r for i, r in root.items()}
+        for i in words:
+            want[i].append(root[i])
+    alone = {i for i in words if all(sum(r[w] == want[i][w] for r in want.values()) == 1 for w in range(near_copies.WORDS))}
+    got = {r.n: r["keys"] for r in near_copies._buckets(sketches).collect()}
+    assert set(got) == set(words) - alone and alone
+    for w in range(near_copies.WORDS):
+        for a, b in combinations(sorted(got), 2):
+            assert (got[a][w] == got[b][w]) == (want[a][w] == want[b][w])
