@@ -221,7 +221,8 @@ def _with_valences(laid: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     The different words of a block meet the lexicon, and what is found comes back to the block.
     """
-    asked = laid.select("_block", F.explode("_low").alias("token")).distinct()
+    # The outer form: the plain one tests the array below the shuffle of the blocks, which then is not the same for both.
+    asked = laid.select("_block", F.explode_outer("_low").alias("token")).distinct()
     found = lexicon_lookup(asked, lexicon).where(F.col("valence").isNotNull())
     kept = laid.drop("_block", "_low")
     names = kept.columns
@@ -243,12 +244,16 @@ def _with_valences(laid: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def _in_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, _text, _block``, laid out by block.  Equal rows aside, ids and texts spread evenly."""
+    """``id, _text, _block``, laid out by block.  Equal rows aside, ids and texts spread evenly.
+
+    The block is told from id and text on both sides of the shuffle, so all that read the blocks, whichever columns they need,
+    ask for the very same shuffle and texts are written once.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(id_col, text.alias("_text"))
     blocks = math.ceil((rows.agg(F.sum(F.length("_text"))).first()[0] or 1) / BLOCK_CHARS)
-    placed = rows.withColumn("_block", F.pmod(F.xxhash64(id_col, "_text"), F.lit(blocks)))
-    return placed.repartition(blocks, "_block")
+    block = F.pmod(F.xxhash64(id_col, "_text"), F.lit(blocks))
+    return rows.repartition(blocks, block).withColumn("_block", block)
 
 
 def valence_sums(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -105,6 +105,19 @@ def test_large_lexicon_meets_no_tokens_one_by_one(tables, lexicon):
     assert "token#" not in "".join(line for line in physical.splitlines() if "hashpartitioning(doc_id" in line)
 
 
+def test_large_lexicon_shuffles_texts_once(tables, lexicon, monkeypatch):
+    """Both readers of the blocks take one shuffle of the texts, and their words are not shuffled beside it."""
+    monkeypatch.setattr(S, "BLOCK_CHARS", 1 << 17)
+    docs = tables.documents.coalesce(1)
+    for found in (S.polarity_scores(docs, lexicon, max_broadcast_rows=0), S.valence_sums(docs, lexicon, max_broadcast_rows=0)):
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        final = [line for line in plan[:plan.index("== Initial Plan ==")].splitlines() if "Exchange" in line]
+        blocks = [line for line in final if "xxhash64" in line]
+        assert len(blocks) == 2 and sum("ReusedExchange" in line for line in blocks) == 1
+        assert not any("hashpartitioning(_block" in line for line in final)
+
+
 def test_first_occurrences(spark):
     rows = [(1, "bb aa, bb!  cc aa"), (2, None), (3, ""), (4, "aa"), (4, "bb aa bb"), (None, "xx"), (None, "xx yy"), (5, "a b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
