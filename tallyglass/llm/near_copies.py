@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.llm import similar_sets, superminhash
-from tallyglass.llm.common import packed, unpacked, whole_text
+from tallyglass.llm.common import ROW, packed, unpacked, whole_text
 from tallyglass.llm.components import stars
 from tallyglass.llm.minhash_dedup import MEMBERS, SLOTS, TOGETHER, cut_of, shingle_set
 from tallyglass.llm.simhash_dedup import near_links
@@ -124,8 +124,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     words are alike.  A null id stays only where no other id is in the component.  Rows are told apart by a number of
     their own, so of rows that repeat an id, or have none, one stays.
     """
-    rows = staged(packed(docs, id=F.col(id_col), text=whole_text(text_col), n=F.monotonically_increasing_id()), "near-rows")
-    roots = similar_roots(rows.select(F.col("__n").alias("n"), F.col("__text").alias("text")), width, least)
+    # The text is written once, as the caller's column: all else reads it there.
+    rows = staged(packed(docs, id=F.col(id_col), n=F.monotonically_increasing_id()), "near-rows")
+    texts = rows.select(F.col("__n").alias("n"), whole_text(f"{ROW}.{text_col}").alias("text"))
+    roots = similar_roots(texts, width, least)
     roots = staged(roots.withColumnsRenamed({"a": "__n", "b": "__root"}), "near-roots")
     placed = rows.select("__id", "__n").join(roots, "__n").select("__id", "__n", "__root").union(
         rows.join(roots.select(F.col("__root").alias("__n")).distinct(), "__n", "left_semi").select("__id", "__n", F.col("__n")))

@@ -7,6 +7,7 @@ from llm_fixtures import documents
 from pyspark.sql import functions as F
 
 from tallyglass.llm import near_copies, simhash_dedup
+from tallyglass.scale import staged
 
 
 def plain_runs(text):
@@ -80,6 +81,20 @@ def test_odd_rows(spark):
     assert near_copies.drop_near_copies(odd.limit(0)).count() == 0
 
 
+def test_text_is_written_once(spark, monkeypatch):
+    """Of the tables that the stage writes only the rows hold texts, and each text stands there once."""
+    written = {}
+    monkeypatch.setattr(near_copies, "staged", lambda df, name: written.setdefault(name, staged(df, name)))
+    docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "A b c d e f", "y"), (3, None, "z")], "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == [1, 3]
+    strings = {name: df.schema.simpleString().count(":string") for name, df in written.items()}
+    assert strings.pop("near-rows") == 2 and not any(strings.values())
+    # Columns inside others are found as before.
+    monkeypatch.undo()
+    inside = docs.select(F.struct("doc_id", "text").alias("doc"), F.col("lang").alias("a.b"))
+    assert sorted(r.doc.doc_id for r in near_copies.drop_near_copies(inside, "doc.doc_id", "doc.text").collect()) == [1, 3]
+
+
 def test_buckets_are_those_of_the_trie(spark):
     """Texts whose words hang together within a few bits share a bucket of that word; texts that meet nobody drop out."""
     texts = near_texts() | {1000 + i: f"a text of its own with number {i} and little else" for i in range(3)}
