@@ -6,7 +6,8 @@ Shape of the plan, for any number of texts:
    and the first one's neighbours, inside the row with array functions (no shuffle);
 2. a lexicon proven small is broadcast to these rows.  A larger one never meets them one by one: texts lie in blocks, the
    different words of a block are joined to the lexicon, and the block's texts take the valences found; tokens without a
-   valence are dropped at once, as they add 0;
+   valence are dropped at once, as they add 0.  Before texts move to their block, a Bloom filter of the lexicon blanks the
+   words that neither it nor a rule can know, so these are neither shuffled nor looked up;
 3. the rules are column expressions over the token's neighbours;
 4. a text is summed where it lies.  Only texts that share their id are summed per token first.
 
@@ -16,7 +17,9 @@ No window over tokens and no group larger than one text or one block is needed.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -35,7 +38,10 @@ BUT_BEFORE, BUT_AFTER = 0.5, 1.5
 NOISE = 1e-9  # smaller than any difference the model can mean
 
 # Characters of text whose words are looked up together in a lexicon too large to be broadcast.
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 23
+
+# Bits that one word sets inside its 64-bit mask, how many words share a mask on average, and the most masks (8 MB).
+FILTER_BITS, WORDS_PER_MASK, MOST_MASKS = 4, 4, 1 << 20
 
 # Negations.
 NEGATIONS = [
@@ -68,6 +74,12 @@ IDIOMS = {
     "cut the mustard": 2.0, "kiss of death": -1.5, "hand to mouth": -2.0,
 }
 
+# Words, in lower case, that a rule compares with a neighbour or with the token itself.
+RULE_WORDS = sorted({
+    *NEGATIONS, *STRONGER, *WEAKER, *[w for phrase in (*WEAKER_PHRASES, *IDIOMS) for w in phrase.split()],
+    "never", "so", "this", "least", "at", "very", "but",
+})
+
 # ASCII punctuation, and the affixes that are cut off a word.
 PUNCTUATION = r"""!"#$%&'()*+,\-./:;<=>?@\[\\\]\^_`{|}~"""
 AFFIX = r"""(?:\?!\?!|!\?!\?|\?!\?|!\?!|!!!|\?\?\?|!!|\?\?|[.!?,;:\-'"])"""
@@ -215,14 +227,57 @@ def lexicon_lookup(token_rows: DataFrame, lexicon: DataFrame, column: str = "tok
     return joined.withColumnRenamed("_valence", name)
 
 
+def _word_filter(lexicon: DataFrame) -> np.ndarray:
+    """A Bloom filter of the lexicon's words: 64-bit masks, at most ``MOST_MASKS``; more words only let more others pass.
+
+    A word's hash, without its sign, tells its mask by its remainder and the bits inside by its parts of six bits.
+    """
+    hashes = lexicon.where(F.col("valence").isNotNull()).select(F.xxhash64("token").alias("h"))
+    masks = max(1, min(MOST_MASKS, math.ceil(hashes.count() / WORDS_PER_MASK)))
+    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"),
+                            F.shiftrightunsigned("h", 6 * i).bitwiseAND(63).cast("int")) for i in range(FILTER_BITS)]
+    place = F.pmod(F.shiftrightunsigned("h", 1), F.lit(masks).cast("bigint")).alias("place")
+    own = hashes.groupBy(place).agg(F.bit_or(reduce(Column.bitwiseOR, bits)).alias("mask")).toArrow()
+    filled = np.zeros(masks, np.uint64)
+    filled[own.column("place").to_numpy()] = own.column("mask").to_numpy().view(np.uint64)
+    return filled
+
+
+def _known_words(laid: DataFrame, lexicon: DataFrame, rules: bool) -> DataFrame:
+    """``laid`` with ``_line`` for its words ``_w``: the words in one line, those empty that are no word of the lexicon for
+    sure, nor, with ``rules``, matter to a rule.  Words hold no blank, so the line cut at blanks gives them back.
+    """
+    filled = laid.sparkSession.sparkContext.broadcast(_word_filter(lexicon))
+
+    @F.arrow_udf("string")
+    def line(words: pa.Array, hashes: pa.Array) -> pa.Array:
+        flat, masks = words.flatten(), filled.value
+        h = hashes.flatten()
+        spared = h.is_null().to_numpy(zero_copy_only=False)
+        h = h.fill_null(0).to_numpy().view(np.uint64)
+        own, known = masks[(h >> np.uint64(1)) % np.uint64(len(masks))], np.ones(len(h), bool)
+        for i in range(FILTER_BITS):
+            known &= (own >> (h >> np.uint64(6 * i) & np.uint64(63)) & np.uint64(1)).astype(bool)
+        kept = pc.if_else(pa.array(known | spared), flat, "")
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), kept), " ")
+
+    def hash_of(word: Column) -> Column:
+        low = F.lower(word)
+        known = F.xxhash64(low)
+        return F.when(~(low.isin(RULE_WORDS) | low.contains("n't")), known) if rules else known
+
+    return laid.withColumn("_line", line("_w", F.transform("_w", hash_of))).drop("_w")
+
+
 def _with_valences(laid: DataFrame, lexicon: DataFrame) -> DataFrame:
     """``laid``, which lies in blocks by ``_block``, with ``valences`` for its lower-case words ``_low``: those of the
-    lexicon (one row per token), null where it has none.
+    lexicon (one row per token), null where it has none.  Empty words have none.
 
     The different words of a block meet the lexicon, and what is found comes back to the block.
     """
     # The outer form: the plain one tests the array below the shuffle of the blocks, which then is not the same for both.
-    asked = laid.select("_block", F.explode_outer("_low").alias("token")).distinct()
+    asked = laid.select("_block", F.explode_outer("_low").alias("token")).where("token <> ''").distinct()
     found = lexicon_lookup(asked, lexicon).where(F.col("valence").isNotNull())
     kept = laid.drop("_block", "_low")
     names = kept.columns
@@ -243,17 +298,19 @@ def _with_valences(laid: DataFrame, lexicon: DataFrame) -> DataFrame:
     return laid.groupBy("_block").cogroup(found.groupBy("_found_in")).applyInArrow(look_up, schema)
 
 
-def _in_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, _text, _block``, laid out by block.  Equal rows aside, ids and texts spread evenly.
+def _in_blocks(laid: DataFrame, chars: int) -> DataFrame:
+    """``laid`` by ``_block``, each of about ``BLOCK_CHARS`` of all ``chars``.  Equal rows aside, rows spread evenly.
 
-    The block is told from id and text on both sides of the shuffle, so all that read the blocks, whichever columns they need,
+    The block is told from all columns on both sides of the shuffle, so all that read the blocks, whichever columns they need,
     ask for the very same shuffle and texts are written once.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(id_col, text.alias("_text"))
-    blocks = math.ceil((rows.agg(F.sum(F.length("_text"))).first()[0] or 1) / BLOCK_CHARS)
-    block = F.pmod(F.xxhash64(id_col, "_text"), F.lit(blocks))
-    return rows.repartition(blocks, block).withColumn("_block", block)
+    blocks = math.ceil((chars or 1) / BLOCK_CHARS)
+    block = F.pmod(F.xxhash64(*laid.columns), F.lit(blocks))
+    return laid.repartition(blocks, block).withColumn("_block", block)
+
+
+def _n_chars(docs: DataFrame, text_col: str) -> int:
+    return docs.agg(F.sum(F.length(text_col))).first()[0] or 0
 
 
 def valence_sums(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -263,10 +320,13 @@ def valence_sums(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", te
         found = lexicon_lookup(token_rows(docs, id_col, text_col=text_col), F.broadcast(lexicon))
         return found.groupBy(id_col).agg(
             F.count(F.lit(1)).alias("n"), F.count("valence").alias("scored"), F.sum("valence").alias("total"))
-    low = F.transform(tokens(F.col("_text")), F.lower)
-    found = _with_valences(_in_blocks(docs, id_col, text_col).select(id_col, "_block", low.alias("_low")), lexicon)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    words = docs.select(id_col, tokens(text).alias("_w")).select(id_col, F.size("_w").alias("n"), "_w")
+    low = F.transform(F.split("_line", " "), F.lower)
+    placed = _in_blocks(_known_words(words, lexicon, rules=False), _n_chars(docs, text_col))
+    found = _with_valences(placed.select(id_col, "n", "_block", low.alias("_low")), lexicon)
     scored = F.filter("valences", lambda v: v.isNotNull())
-    each = found.where(F.size("valences") > 0).select(id_col, F.size("valences").alias("n"), scored.alias("_s")).select(
+    each = found.where("n > 0").select(id_col, "n", scored.alias("_s")).select(
         id_col, "n", F.size("_s").alias("scored"),
         F.when(F.size("_s") > 0, F.aggregate("_s", F.lit(0.0), lambda a, v: a + v)).alias("total"))
     return each.groupBy(id_col).agg(F.sum("n").alias("n"), F.sum("scored").alias("scored"), F.sum("total").alias("total"))
@@ -359,11 +419,11 @@ def _apply_rules(hits: DataFrame) -> DataFrame:
     return out.withColumn("v", F.when(F.coalesce(kind_of, F.lit(False)), 0.0).otherwise(v))
 
 
-def _laid_out(rows: DataFrame, id_col: str, *keep: str) -> DataFrame:
+def _laid_out(rows: DataFrame, id_col: str) -> DataFrame:
     """Texts with their words ``_w`` and their own figures."""
-    laid = rows.select(id_col, *keep, "_text", tokens(F.col("_text")).alias("_w"))
+    laid = rows.select(id_col, "_text", tokens(F.col("_text")).alias("_w"))
     return laid.select(
-        id_col, *keep, "_w", F.size("_w").alias("n_tokens"), cap_diff(F.col("_w")).alias("caps"),
+        id_col, "_w", F.size("_w").alias("n_tokens"), cap_diff(F.col("_w")).alias("caps"),
         but_position(F.col("_w")).alias("but_pos"), punct_emphasis(F.col("_text")).alias("emphasis"))
 
 
@@ -416,7 +476,10 @@ def token_valences(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
             rows = lexicon_lookup(rows, words.where(F.col("valence").isNotNull() & F.col("boost").isNull()))
             hits = rows.where(F.col("valence").isNotNull() | F.col("token").isNull())
         else:
-            laid = _laid_out(_in_blocks(texts, id_col, text_col), id_col, "_block")
+            text = F.coalesce(F.col(text_col), F.lit(""))
+            laid = _laid_out(texts.select(id_col, text.alias("_text")), id_col)
+            placed = _in_blocks(_known_words(laid, lexicon, rules=True), _n_chars(texts, text_col))
+            laid = placed.withColumn("_w", F.split("_line", " ")).drop("_line")
             rows = _different_tokens(_with_valences(laid.withColumn("_low", F.transform("_w", F.lower)), words), id_col)
             hits = rows.where(F.col("token").isNull() | ~is_booster(F.col("token")))
         for p in (1, 2, 3):

@@ -118,6 +118,49 @@ def test_large_lexicon_shuffles_texts_once(tables, lexicon, monkeypatch):
         assert not any("hashpartitioning(_block" in line for line in final)
 
 
+def _nodes(plan):
+    """The nodes of a finished adaptive plan, those inside its stages too."""
+    yield plan
+    name = plan.getClass().getSimpleName()
+    inner = plan.executedPlan() if name == "AdaptiveSparkPlanExec" else plan.plan() if name.endswith("QueryStageExec") else None
+    for child in [inner] if inner is not None else [plan.children().apply(i) for i in range(plan.children().size())]:
+        yield from _nodes(child)
+
+
+@pytest.mark.parametrize("run", [S.polarity_scores, S.valence_sums])
+def test_large_lexicon_moves_no_unknown_words(spark, lexicon, monkeypatch, run):
+    """Words that neither the lexicon nor a rule knows do not move to the blocks."""
+    monkeypatch.setattr(S, "BLOCK_CHARS", 1 << 13)
+    rng = random.Random(3)
+    texts = [" ".join(f"word{rng.randrange(10**9)}" for _ in range(300)) + " not very good" for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = run(docs, lexicon, max_broadcast_rows=0)
+    found.collect()
+    moved = [n.metrics().apply("dataSize").value() for n in _nodes(found._jdf.queryExecution().executedPlan())
+             if n.getClass().getSimpleName() == "ShuffleExchangeExec" and "xxhash64" in n.outputPartitioning().toString()]
+    assert moved and sum(moved) < sum(map(len, texts)) / 4
+
+
+def test_word_filter_never_decides(spark, lexicon, monkeypatch):
+    """A filter that lets every word pass gives the same rows; one that fits blanks what no rule and no valence needs."""
+    texts = [*PINS, None, "Kind of GOOD", "isn't  so BAD! \n plainword", "x", "the Plain words"]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)] + [(None, "good"), (None, "bad plain")],
+                                 "doc_id long, text string")
+
+    def rows(run, most, masks):
+        monkeypatch.setattr(S, "MOST_MASKS", masks)
+        return sorted((tuple(r) for r in run(docs, lexicon, max_broadcast_rows=most).collect()), key=str)
+
+    for run in (S.polarity_scores, S.valence_sums):
+        plain = rows(run, 100, 1)
+        assert [[pytest.approx(x) for x in r] for r in plain] == [list(r) for r in rows(run, 0, 1)]
+        assert [[pytest.approx(x) for x in r] for r in plain] == [list(r) for r in rows(run, 0, 1 << 20)]
+    words = spark.createDataFrame([(["plainword", "Good", "isn't", "the", "Never", "qwertzui"],), ([],)], "_w array<string>")
+    lines = {r["_line"] for r in S._known_words(words, lexicon, rules=True).collect()}
+    assert lines == {" Good isn't the Never ", ""}
+    assert S._known_words(words, lexicon, rules=False).first()["_line"].split(" ")[1] == "Good"
+
+
 def test_first_occurrences(spark):
     rows = [(1, "bb aa, bb!  cc aa"), (2, None), (3, ""), (4, "aa"), (4, "bb aa bb"), (None, "xx"), (None, "xx yy"), (5, "a b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
