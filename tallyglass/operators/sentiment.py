@@ -4,8 +4,9 @@ Shape of the plan, for any number of texts:
 
 1. equal tokens of a text share the valence of the first one, so each different token is laid out once, with its places
    and the first one's neighbours, inside the row with array functions (no shuffle);
-2. a lexicon proven small is broadcast to these rows.  A larger one never meets them one by one: texts lie in blocks, the
-   different words of a block are joined to the lexicon, and the block's texts take the valences found; tokens without a
+2. a lexicon proven small is broadcast to these rows.  A larger one, as long as it is proven to fit in bounded memory, is sent
+   packed, and texts take their valences where they lie.  One beyond that never meets the rows one by one: texts lie in blocks,
+   the different words of a block are joined to the lexicon, and the block's texts take the valences found; tokens without a
    valence are dropped at once, as they add 0.  Before texts move to their block, a Bloom filter of the lexicon blanks the
    words that neither it nor a rule can know, so these are neither shuffled nor looked up;
 3. the rules are column expressions over the token's neighbours;
@@ -40,6 +41,10 @@ NOISE = 1e-9  # smaller than any difference the model can mean
 # Characters of text whose words are looked up together in a lexicon too large to be broadcast.
 BLOCK_CHARS = 1 << 23
 
+# A lexicon past the row bound of a broadcast is sent packed if it takes at most so many bytes for each row of that bound (64 MB
+# at the usual one), a word taking its own bytes, a hash, a valence and an offset.
+PACKED_BYTES, WORD_BYTES = 320, 20
+
 # Bits that one word sets inside its 64-bit mask, how many words share a mask on average, and the most masks (8 MB).
 FILTER_BITS, WORDS_PER_MASK, MOST_MASKS = 4, 4, 1 << 20
 
@@ -189,9 +194,15 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def word_places(words: Column) -> Column:
-    """The different words of an array: ``array<struct<token, places>>``, ``places`` (0-based) in ascending order."""
-    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("token"), i.alias("pos"))))
+def word_places(words: Column, valences: Column | None = None) -> Column:
+    """The different words of an array: ``array<struct<token, places>>``, ``places`` (0-based) in ascending order.
+
+    Given ``valences`` beside the words, only the words that have one.
+    """
+    placed = F.transform(words, lambda w, i: F.struct(w.alias("token"), i.alias("pos")))
+    if valences is not None:
+        placed = F.filter(placed, lambda x: F.get(valences, x["pos"]).isNotNull())
+    placed = F.sort_array(placed)
 
     def starts(s: Column) -> Column:
         return F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (s[i]["token"] != F.get(s, i - 1)["token"]))
@@ -227,6 +238,47 @@ def lexicon_lookup(token_rows: DataFrame, lexicon: DataFrame, column: str = "tok
     return joined.withColumnRenamed("_valence", name)
 
 
+def _packed(lexicon: DataFrame, max_bytes: int) -> tuple[np.ndarray, pa.Array, np.ndarray] | None:
+    """The hashes of the lexicon's words in ascending order, the words and their valences; None where they take over
+    ``max_bytes``, which is told before anything is gathered, or where two rows share a hash.
+    """
+    known = lexicon.where(F.col("valence").isNotNull() & F.col("token").isNotNull())
+    size = F.coalesce(F.sum(F.octet_length("token") + WORD_BYTES), F.lit(0))
+    if known.agg(size).first()[0] > max_bytes:
+        return None
+    own = known.select(F.xxhash64("token").alias("h"), "token", F.col("valence").cast("double").alias("valence")).toArrow()
+    own = own.sort_by("h").combine_chunks()
+    hashes = own.column("h").to_numpy()
+    if (hashes[1:] == hashes[:-1]).any():
+        return None
+    return hashes, pa.concat_arrays(own.column("token").chunks or [pa.array([], pa.string())]), own.column("valence").to_numpy()
+
+
+def _valences_in_place(laid: DataFrame, packed: tuple[np.ndarray, pa.Array, np.ndarray]) -> DataFrame:
+    """``laid`` with ``valences`` for its words ``_w``: those of the packed lexicon, null where it has none.  Nothing moves.
+
+    A hash finds the only word that can be meant, and the word itself decides.
+    """
+    sent = laid.sparkSession.sparkContext.broadcast(packed)
+
+    @F.arrow_udf("array<double>")
+    def look_up(low: pa.Array, hashes: pa.Array) -> pa.Array:
+        keys, words, values = sent.value
+        flat, h = low.flatten(), hashes.flatten().to_numpy()
+        known, found = np.zeros(len(h), bool), np.zeros(len(h))
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            near = np.flatnonzero(keys[at] == h)
+            same = pc.equal(flat.take(pa.array(near)), words.take(pa.array(at[near])).cast(flat.type))
+            near = near[same.to_numpy(zero_copy_only=False)]
+            known[near], found[near] = True, values[at[near]]
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(low).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(found, mask=~known))
+
+    low = laid.withColumn("_low", F.transform("_w", F.lower))
+    return low.withColumn("valences", look_up("_low", F.transform("_low", lambda w: F.xxhash64(w)))).drop("_low")
+
+
 def _word_filter(lexicon: DataFrame) -> np.ndarray:
     """A Bloom filter of the lexicon's words: 64-bit masks, at most ``MOST_MASKS``; more words only let more others pass.
 
@@ -322,9 +374,13 @@ def valence_sums(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", te
             F.count(F.lit(1)).alias("n"), F.count("valence").alias("scored"), F.sum("valence").alias("total"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = docs.select(id_col, tokens(text).alias("_w")).select(id_col, F.size("_w").alias("n"), "_w")
-    low = F.transform(F.split("_line", " "), F.lower)
-    placed = _in_blocks(_known_words(words, lexicon, rules=False), _n_chars(docs, text_col))
-    found = _with_valences(placed.select(id_col, "n", "_block", low.alias("_low")), lexicon)
+    packed = _packed(lexicon, max_broadcast_rows * PACKED_BYTES)
+    if packed is not None:
+        found = _valences_in_place(words, packed)
+    else:
+        low = F.transform(F.split("_line", " "), F.lower)
+        placed = _in_blocks(_known_words(words, lexicon, rules=False), _n_chars(docs, text_col))
+        found = _with_valences(placed.select(id_col, "n", "_block", low.alias("_low")), lexicon)
     scored = F.filter("valences", lambda v: v.isNotNull())
     each = found.where("n > 0").select(id_col, "n", scored.alias("_s")).select(
         id_col, "n", F.size("_s").alias("scored"),
@@ -446,9 +502,7 @@ def _different_tokens(laid: DataFrame, id_col: str) -> DataFrame:
             fields += [F.get(v, first).alias("valence"), *[F.get(v, first - p).isNotNull().alias(f"l{p}") for p in (1, 2, 3)]]
         return F.struct(*fields)
 
-    found = word_places(F.col("_w"))
-    if valued:
-        found = F.filter(found, lambda t: F.get("valences", t["places"][0]).isNotNull())
+    found = word_places(F.col("_w"), F.col("valences") if valued else None)
     names = [id_col, "n_tokens", "caps", "but_pos", "emphasis"]
     # The outer form: the plain one makes the optimizer test the array first, cutting the text twice.
     return laid.select(*names, F.explode_outer(F.concat(F.transform(found, row), F.array(F.lit(None)))).alias("_t")).select(
@@ -462,12 +516,13 @@ def token_valences(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
     A row with a null token per text carries the text's figures.  Boosters add 0 and are left out.
     """
     words = word_table(lexicon)
-    small = is_small(lexicon, max_broadcast_rows)
+    small, packed = is_small(lexicon, max_broadcast_rows), None
     if small:
         rules = words = F.broadcast(words)
     else:
         rules = F.broadcast(word_table(lexicon.limit(0)))
         words = words.where(F.col("valence").isNotNull()).select("token", "valence")
+        packed = _packed(words, max_broadcast_rows * PACKED_BYTES)
 
     def valued(texts: DataFrame) -> DataFrame:
         if small:
@@ -478,9 +533,13 @@ def token_valences(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
         else:
             text = F.coalesce(F.col(text_col), F.lit(""))
             laid = _laid_out(texts.select(id_col, text.alias("_text")), id_col)
-            placed = _in_blocks(_known_words(laid, lexicon, rules=True), _n_chars(texts, text_col))
-            laid = placed.withColumn("_w", F.split("_line", " ")).drop("_line")
-            rows = _different_tokens(_with_valences(laid.withColumn("_low", F.transform("_w", F.lower)), words), id_col)
+            if packed is not None:
+                laid = _valences_in_place(laid, packed)
+            else:
+                placed = _in_blocks(_known_words(laid, lexicon, rules=True), _n_chars(texts, text_col))
+                laid = placed.withColumn("_w", F.split("_line", " ")).drop("_line")
+                laid = _with_valences(laid.withColumn("_low", F.transform("_w", F.lower)), words)
+            rows = _different_tokens(laid, id_col)
             hits = rows.where(F.col("token").isNull() | ~is_booster(F.col("token")))
         for p in (1, 2, 3):
             hits = _neighbour_lookup(hits, rules, p)

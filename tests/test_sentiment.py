@@ -161,6 +161,35 @@ def test_word_filter_never_decides(spark, lexicon, monkeypatch):
     assert S._known_words(words, lexicon, rules=False).first()["_line"].split(" ")[1] == "Good"
 
 
+@pytest.mark.parametrize("run", [S.polarity_scores, S.valence_sums])
+def test_packed_lexicon_moves_no_texts(spark, run):
+    """Past the row bound, but within that of bytes, texts and words stay where they lie; ids and sums move."""
+    rng = random.Random(5)
+    words = [f"word{rng.randrange(10**9)}" for _ in range(400)]
+    lexicon = spark.createDataFrame([(w, 1.0 + i % 3) for i, w in enumerate(words)], "token string, valence double").repartition(2)
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(20)]
+    found = run(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lexicon, max_broadcast_rows=100)
+    found.collect()
+    nodes = list(_nodes(found._jdf.queryExecution().executedPlan()))
+    moved = [n.metrics().apply("dataSize").value() for n in nodes if n.getClass().getSimpleName() == "ShuffleExchangeExec"]
+    assert sum(moved) < sum(map(len, texts)) / 10
+    assert not any("CoGroup" in n.getClass().getSimpleName() for n in nodes)
+
+
+def test_packed_lexicon_gives_the_same(spark, lexicon, monkeypatch):
+    """Small, packed and in blocks: the same rows, for texts that share their id and for null ids too."""
+    odd = lexicon.unionByName(spark.createDataFrame([("plain", None), (None, 2.0)], "token string, valence double"))
+    rows = [*enumerate(PINS), (5, "good BAD not good"), (6, PINS[6]), (None, "great"), (None, None), (99, None), (98, "Plain GOOD")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert S._packed(lexicon, 0) is None and len(S._packed(odd, 1000)[0]) == len(LEXICON)
+    assert S._packed(lexicon.unionByName(lexicon), 10**6) is None
+    for run in (S.polarity_scores, S.valence_sums):
+        small, packed, blocks = (
+            sorted((tuple(r) for r in run(docs, odd, max_broadcast_rows=m).collect()), key=str) for m in (100, 5, 0))
+        assert [[pytest.approx(x) for x in r] for r in small] == [list(r) for r in packed]
+        assert [[pytest.approx(x) for x in r] for r in small] == [list(r) for r in blocks]
+
+
 def test_first_occurrences(spark):
     rows = [(1, "bb aa, bb!  cc aa"), (2, None), (3, ""), (4, "aa"), (4, "bb aa bb"), (None, "xx"), (None, "xx yy"), (5, "a b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
