@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.functions.dates import ist_date_of_seconds
@@ -14,6 +14,24 @@ from tallyglass.operators.ordered import first_per_key
 FEED_ITEMS = 12  # fixed value: items taken from one feed
 
 _FEED = "status string, message string, items array<struct<title:string,author:string,link:string,pubDate:string>>"
+_XML_ITEM = "title string, link string, pubDate string, source struct<_VALUE:string,_url:string>"
+_XML_FIELDS = ["title", "source", "link", "pub_date"]
+
+
+def _xml_items(depth: int = 3) -> str:
+    """Pattern of an ``item`` element with those inside it; comments, CDATA and instructions are passed over whole.
+
+    What is left open runs to the end of the text.  Loops over groups are possessive: Java walks them without a stack.
+    """
+    passed = r"<!--.*?(?:-->|\z)|<!\[CDATA\[.*?(?:\]\]>|\z)|<\?.*?(?:\?>|\z)"
+    start = r"""<item(?=[\s/>])(?:[^"'>/]++|"[^"]*(?:"|\z)|'[^']*(?:'|\z)|/(?!>))*+"""
+    item = ""
+    for _ in range(depth):
+        item = rf"{start}(?:/>|\z|>(?:[^<]++|{passed}|{item + '|' if item else ''}<(?!/item\s*>))*+(?:</item\s*>|\z))"
+    return f"(?s){passed}|({item})"
+
+
+_XML_ITEMS = _xml_items()
 _PRICE = (
     "chart struct<result:array<struct<timestamp:array<bigint>,"
     "indicators:struct<quote:array<struct<close:array<double>>>>>>,error:struct<description:string>>"
@@ -45,26 +63,22 @@ def parse_feed_json(feeds: DataFrame) -> DataFrame:
     )
 
 
-def read_feed_xml(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
-    """RSS files -> (feed, pos, title, source, link, pub_date); the XML reader splits large files by item.
+def read_feed_xml(spark: SparkSession, path: str, errors: bool = False, packed: bool = False) -> DataFrame:
+    """RSS files -> (feed, pos, title, source, link, pub_date); one feed per file, or per JSON line {feed, value} with ``packed``.
 
     Items keep their order in the file: by the place of the block that holds them, then in the order its reader meets them.
     With ``errors`` a column ``error`` is added, and a feed without a readable item gives one row that tells so.
+    The driver lists every file, so feeds by the hundred thousand are landed packed.
     """
-    schema = "title string, link string, pubDate string, source struct<_VALUE:string,_url:string>"
+    if packed:
+        return parse_feed_xml(spark.read.schema("feed string, value string").json(path), errors)
     items = (
-        spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
+        spark.read.format("xml").option("rowTag", "item").schema(_XML_ITEM).load(path)
         .select("*", F.col("_metadata.file_path").alias("feed"), F.col("_metadata.file_block_start").alias("_block"),
                 F.monotonically_increasing_id().alias("_at"))
     )
     first = first_per_key(items, ["feed"], [F.col("_block"), F.col("_at")], FEED_ITEMS, "_n")
-    raw = F.coalesce(F.col("title"), F.lit(""))
-    title, source = strip_source_tagged(raw, F.col("source._VALUE"))
-    found = first.select(
-        "feed", (F.col("_n") - 1).alias("pos"), title.alias("title"), source.alias("source"),
-        F.coalesce(blank_to_null(F.col("link")), F.lit("#")).alias("link"),
-        F.coalesce("pubDate", F.lit("")).alias("pub_date"),
-    )
+    found = first.select("feed", (F.col("_n") - 1).alias("pos"), *_xml_fields())
     if not errors:
         return found
     listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("feed"))
@@ -72,6 +86,29 @@ def read_feed_xml(spark: SparkSession, path: str, errors: bool = False) -> DataF
     return found.withColumn("error", F.lit(None).cast("string")).unionByName(without, allowMissingColumns=True)
 
 
+def parse_feed_xml(feeds: DataFrame, errors: bool = False) -> DataFrame:
+    """(feed, value) -> the rows of ``read_feed_xml``, whole feeds as texts.
+
+    Items are cut out of the text and parsed one by one, so a broken one gives an empty item and spoils no other.
+    """
+    cut = F.filter(F.regexp_extract_all("value", F.lit(_XML_ITEMS), F.lit(1)), lambda x: x != "")
+    texts = feeds.select("feed", F.posexplode_outer(F.slice(cut, 1, FEED_ITEMS)).alias("pos", "_text"))
+    rows = texts.select("feed", "pos", F.from_xml("_text", _XML_ITEM).alias("i")).select("feed", "pos", "i.*")
+    found = F.col("pos").isNotNull()
+    if not errors:
+        return rows.where(found).select("feed", "pos", *_xml_fields())
+    fields = [F.when(found, c).alias(name) for c, name in zip(_xml_fields(), _XML_FIELDS, strict=True)]
+    return rows.select("feed", "pos", *fields, F.when(~found, "No items returned").alias("error"))
+
+
+def _xml_fields() -> list[Column]:
+    """(title, source, link, pub_date) of an RSS item."""
+    raw = F.coalesce(F.col("title"), F.lit(""))
+    title, source = strip_source_tagged(raw, F.col("source._VALUE"))
+    link = F.coalesce(blank_to_null(F.col("link")), F.lit("#"))
+    return [c.alias(name) for c, name in zip((title, source, link, F.coalesce("pubDate", F.lit(""))), _XML_FIELDS, strict=True)]
+
+
 def unwrap_json_preamble(text):
     """Text from its first ``{`` on; null without one."""
     at = F.instr(text, "{")

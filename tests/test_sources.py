@@ -103,3 +103,59 @@ def test_feeds_and_series_without_content_give_an_error_row(spark):
     body = '{"chart":{"result":[{"timestamp":[1,2],"indicators":{"quote":[{"close":[null,null]}]}}]}}'
     rows = readers.parse_price_payload(spark.createDataFrame([("s", body)], "symbol string, value string")).collect()
     assert [(r.symbol, r.close, r.error) for r in rows] == [("s", None, "Empty price series")]
+
+
+def test_packed_feeds_give_the_rows_of_feed_files(spark, tmp_path):
+    item = "<item><title>{}</title><link>l</link></item>".format
+    feeds = {
+        "plain": item("a - S") + item("b") + item("c &amp; d") * 14,
+        "broken": item("a") + item("b & c") + item("d < e") + item("f"),
+        "cdata": "<!-- " + item("no") + " --><description><![CDATA[" + item("no") + "]]></description>" + item("<![CDATA[x </item> <item> y]]>") + item("z"),
+        "inside": "<item><title>o</title><item><title>in</title></item></item>" + item("d"),
+        "start": '<item id="1>2"><title>q</title></item><item/><item\n x="/"><title>r</title></item ><items>' + item("s") + "</items>",
+        "source": '<item><title>A - B</title><source url="u"> Tag </source><link> </link><pubDate>d</pubDate></item>' + item("\n lines\r\nof it - S "),
+        "open": item("a") + "<item><title>cut",
+        "quote": item("a") + '<item id="1><title>b</title></item>' + item("c"),
+        "long": item("<b/>" * 50000 + "x"),
+        "none": "",
+    }
+    feeds = {name: f"<rss><channel>{items}</channel></rss>" for name, items in feeds.items()} | {"html": "<html>blocked"}
+    (tmp_path / "files").mkdir()
+    for name, value in feeds.items():
+        (tmp_path / "files" / name).write_bytes(value.encode())
+    spark.createDataFrame([*feeds.items()], "feed string, value string").write.json(str(tmp_path / "packed"))
+
+    def rows(errors, **kind):
+        found = readers.read_feed_xml(spark, str(tmp_path / ("packed" if kind else "files")), errors, **kind)
+        return sorted((r.feed.rsplit("/", 1)[-1], *map(str, r[1:])) for r in found.collect())
+
+    assert rows(True, packed=True) == rows(True) and rows(False, packed=True) == rows(False)
+    assert sum(r[0] == "plain" for r in rows(False, packed=True)) == 12
+    assert [r[0] for r in rows(True, packed=True) if r[-1] == "No items returned"] == ["html", "none"]
+
+
+def test_a_broken_packed_feed_spoils_no_other_item_or_feed(spark):
+    feeds = spark.createDataFrame([
+        ("a", "<rss><item><title>x</link></item><item><title>y</title></item></rss>"), ("a", "<rss><item><title>z</title></item></rss>"),
+        ("b", None), ("c", "")], "feed string, value string")
+    rows = readers.parse_feed_xml(feeds, errors=True).collect()
+    assert sorted((r.feed, str(r.pos), str(r.title), r.error or "") for r in rows) == [
+        ("a", "0", "", ""), ("a", "0", "z", ""), ("a", "1", "y", ""), ("b", "None", "None", "No items returned"), ("c", "None", "None", "No items returned")]
+
+
+def test_feeds_are_landed_many_to_a_file(spark, tmp_path, monkeypatch):
+    from tallyglass.plans import documents, load
+
+    parts = [(k, f"part {k}", f"B{k % 7}", ["X", "", None, "Y/Z"][k % 4], k % 50) for k in range(3000)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(documents, "scratch_path", lambda spark, name: str(tmp_path / name))
+    rows = load()[0]["read_feed_xml"](spark, str(tmp_path)).collect()
+    landed = [f for f in (tmp_path / "feeds").rglob("part-*") if f.is_file()]
+    assert len(landed) <= 8  # there are 200 feeds, and the driver lists every file
+    feeds = {}
+    for key, _, brand, kind, size in parts:
+        feeds.setdefault((kind, key // 60), []).append((key, brand, size))
+    want = [(pos, f"part {key} - Wire" if size > 25 else f"part {key}", brand if size > 25 else "Wire",
+             "#" if size % 5 == 0 else f"https://x.example.com/{key}", "Fri, 05 Jan 2024 10:00:00 GMT")
+            for items in feeds.values() for pos, (key, brand, size) in enumerate(items[:12])]
+    assert len(feeds) == 200 and sorted(map(tuple, rows)) == sorted(want)
